@@ -140,6 +140,7 @@ def sql(body: str, *views: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{ctes},\n{body[len(start):]}"
     return f"WITH {ctes}\n{body}"

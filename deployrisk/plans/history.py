@@ -180,7 +180,7 @@ def git_diff_stats(spark, sf):
 
 
 @TOPIC.query("git_formatting_ratio", "WITH " + NUMSTATS_SQL + """
-    SELECT change_id, CASE WHEN raw_churn > 0 THEN CAST(printf('%.4f', greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(churn AS DOUBLE) / raw_churn)) AS DOUBLE) END AS formatting_ratio FROM n""")
+    SELECT change_id, CASE WHEN raw_churn > 0 THEN CAST(CAST(CAST(greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(churn AS DOUBLE) / raw_churn) AS VARCHAR) AS DECIMAL(18,4)) AS DOUBLE) END AS formatting_ratio FROM n""")
 def git_formatting_ratio(spark, sf):
     raw, substantive = numstats(spark, sf)
     return history.change_stats(raw, substantive, "change_id").select("change_id", "formatting_ratio")
