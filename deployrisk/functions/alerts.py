@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # colours, icons and notes per verdict (fixed values)
-COLOURS = {"SAFE": "#2eb886", "WARNING": "#daa038", "BLOCKED": "#e01e5a"}
+COLOURS = {"SAFE": "#2eb886", "WARNING": "#f2c744", "BLOCKED": "#e01e5a"}
 ICONS = {"SAFE": ":white_check_mark:", "WARNING": ":warning:", "BLOCKED": ":no_entry:"}
 PHASE_NOTES = {
     "tenant": "Personalised model (trained on your builds)",

@@ -142,7 +142,7 @@ def fn_epoch_iso(spark, sf):
 
 @TOPIC.query("fn_ms_to_s", """
     SELECT event_id, CAST(value * 1000 AS BIGINT) / 1000.0::DOUBLE AS duration_secs,
-        epoch_ms(ts) / 1000.0::DOUBLE + CAST(value * 1000 AS BIGINT) / 1000.0::DOUBLE AS finished_at FROM events""")
+        (epoch_us(ts) // 1000) / 1000.0::DOUBLE + CAST(value * 1000 AS BIGINT) / 1000.0::DOUBLE AS finished_at FROM events""")
 def fn_ms_to_s(spark, sf):
     from deployrisk.sources.ci import ms_times
     duration, finished = ms_times(F.unix_millis(F.col("ts").cast("timestamp")), F.round(F.col("value") * 1000, 0).cast("long"))

@@ -19,19 +19,18 @@ def new_table(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
-def append_builds(rows: DataFrame, path: str, salt_files: int = 8) -> None:
-    """Builds by tenant and day; write defaults for the label fields.
+def append_builds(rows: DataFrame, path: str, period: str = "month") -> None:
+    """Builds by tenant and ``period`` of their time; write defaults for the label fields.
 
-    Rows are spread over ``salt_files`` writers per tenant and day, so one busy tenant is
-    written by many tasks and a small one still gets few files.
+    The rebalance hint makes adaptive execution split a busy tenant over many writers and
+    merge small ones, so files come out evenly sized.
     """
     defaults = {"label": F.lit(-1), "label_source": F.lit("pending"), "sample_weight": F.lit(1.0)}
     for name, value in defaults.items():
         rows = rows.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
-    day = F.to_date(F.timestamp_seconds("timestamp"))
-    (rows.withColumn("day", day)
-     .repartition("tenant_id", "day", F.pmod(F.xxhash64("build_id"), F.lit(salt_files)))
-     .write.mode("append").partitionBy("tenant_id", "day").parquet(path))
+    start = F.to_date(F.date_trunc(period, F.timestamp_seconds("timestamp")))
+    (rows.withColumn("period", start).hint("rebalance", "tenant_id", "period")
+     .write.mode("append").partitionBy("tenant_id", "period").parquet(path))
 
 
 def append_label_events(events: DataFrame, path: str) -> None:
