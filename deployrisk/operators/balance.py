@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from deployrisk import contract as K
 from deployrisk.operators.ordered import running_sums, value_slice, with_position
+from deployrisk.session import materialize
 
 NEIGHBOURS = 5
 LEAST_RISKY = 6
@@ -49,8 +50,9 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, features: Sequence[s
     """
     keys = list(keys)
     line = points.withColumn("_v", projection(features))
-    placed = with_position(line, keys, ["_v", "vid"], value_slice("_v")).withColumn(
-        "_block", F.floor(F.col("pos") / BLOCK))
+    # read five times below, so it is written once
+    placed = materialize(with_position(line, keys, ["_v", "vid"], value_slice("_v")).withColumn(
+        "_block", F.floor(F.col("pos") / BLOCK)), "neighbour-points")
     body = F.struct(*[c for c in placed.columns if c not in keys])
 
     # bound: k-th smallest distance to the 2k points next to it along the line
@@ -120,8 +122,9 @@ def oversample(train: DataFrame, keys: Sequence[str], id_column: str, seed: int
     rare = train.join(plan, [*keys, "label"]).withColumn("_h", F.xxhash64(F.col(id_column), F.lit(seed)))
     ranked = with_position(rare, keys, ["_h", id_column], F.shiftright("_h", 52))
     quota = F.floor(F.col("_need") / F.col("_rare")) + (F.col("pos") < F.col("_need") % F.col("_rare")).cast("long")
-    vectors = ranked.withColumn("_quota", quota).groupBy(*keys, "label", *features).agg(
-        F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("vid"), F.sum("_quota").alias("_quota"), F.max("_k").alias("_k"))
+    vectors = materialize(ranked.withColumn("_quota", quota).groupBy(*keys, "label", *features).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("vid"), F.sum("_quota").alias("_quota"),
+        F.max("_k").alias("_k")), "rare-vectors")
 
     # vectors with enough copies are their own neighbours; the others are searched
     found = nearest(vectors.select(*keys, "vid", "copies", *[F.col(f).cast("double").alias(f) for f in features]),
@@ -154,5 +157,6 @@ def oversample(train: DataFrame, keys: Sequence[str], id_column: str, seed: int
 
 def balance(train: DataFrame, keys: Sequence[str], id_column: str, features: Sequence[str] = K.FEATURES) -> DataFrame:
     """Training rows plus their synthetic ones; only the columns a fit needs."""
-    kept = train.select(*keys, "label", id_column, *[F.col(f).cast("double").alias(f) for f in features])
+    kept = materialize(train.select(
+        *keys, "label", id_column, *[F.col(f).cast("double").alias(f) for f in features]), "train-rows")
     return kept.unionByName(oversample(kept, keys, id_column, features=features))

@@ -49,9 +49,10 @@ def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int
     prepared, report = prepare(builds, as_of, window_days)
     rows_path = sinks.new_table(spark, "training-rows")
     prepared.hint("rebalance", "tenant_id", "held_out").write.partitionBy("held_out", "tenant_id").parquet(rows_path)
-    rows = spark.read.parquet(rows_path)
+    rows = spark.read.schema(prepared.schema).parquet(rows_path)
     train_path = sinks.new_table(spark, "training-balanced")
-    balance.balance(rows.filter("NOT held_out"), ["tenant_id"], "build_id").write.partitionBy("tenant_id").parquet(train_path)
+    balanced = balance.balance(rows.filter("NOT held_out"), ["tenant_id"], "build_id")
+    balanced.write.partitionBy("tenant_id").parquet(train_path)
     report_path = sinks.new_table(spark, "eligibility")
     report.write.parquet(report_path)
 
@@ -62,10 +63,10 @@ def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int
 
     def one(tenant: str) -> None:
         try:
-            train = spark.read.parquet(train_path).filter(F.col("tenant_id") == tenant)
+            train = spark.read.schema(balanced.schema).parquet(train_path).filter(F.col("tenant_id") == tenant)
             model = fit_tenant(train, trees)
             model.save(f"{models_root}/{tenant}/{version}")
-            held = spark.read.parquet(rows_path).filter(F.col("held_out") & (F.col("tenant_id") == tenant))
+            held = rows.filter(F.col("held_out") & (F.col("tenant_id") == tenant))
             scored = models.predict(model, held)
             if tenant in incumbents:
                 old = RandomForestClassificationModel.load(incumbents[tenant])
@@ -74,11 +75,12 @@ def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int
             else:
                 scored = scored.withColumn("p_old", F.lit(None).cast("double"))
             importances = F.array(*[F.lit(v) for v in models.importance_array(model)])
-            scored.select("tenant_id", "build_id", "p", "p_old", F.col("label").alias("y"),
-                          importances.alias("importances")).write.mode("append").parquet(predicted_path)
+            # a folder per tenant: fits finish at the same time and must not share a committer
+            scored.select("build_id", "p", "p_old", F.col("label").alias("y"), importances.alias("importances")
+                          ).write.parquet(f"{predicted_path}/tenant_id={tenant}")
         except Exception as error:  # recorded, never stops the others
-            spark.createDataFrame([(tenant, str(error)[:500])], "tenant_id string, reason string").write.mode(
-                "append").parquet(failures_path)
+            spark.createDataFrame([(str(error)[:500],)], "reason string").write.parquet(
+                f"{failures_path}/tenant_id={tenant}")
 
     tenants = (r.tenant_id for r in spark.read.parquet(report_path).filter("eligible").select("tenant_id").toLocalIterator())
     with ThreadPoolExecutor(pool) as threads:

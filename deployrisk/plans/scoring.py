@@ -43,7 +43,7 @@ MEDIANS_SQL = """
         FROM ranked WHERE r <= 50 GROUP BY tenant_id)"""
 
 
-@TOPIC.query("score_fleet", duck.sql("""WITH """ + MEDIANS_SQL + """,
+FLEET_SQL = """WITH """ + MEDIANS_SQL + """,
     hist AS (SELECT build_id, row_number() OVER (PARTITION BY tenant_id, actor ORDER BY timestamp, build_id) - 1 AS server_exp FROM builds),
     f AS (SELECT b.tenant_id, b.build_id,
         coalesce(b.diff_size, CAST(round_even(coalesce(diff_size_median, 105), 0) AS INTEGER)) AS diff_size,
@@ -52,7 +52,7 @@ MEDIANS_SQL = """
         coalesce(b.recent_failure_rate, recent_failure_rate_median, 0.261::DOUBLE) AS recent_failure_rate,
         coalesce(b.test_pass_rate, test_pass_rate_median, 0.819::DOUBLE) AS test_pass_rate,
         coalesce(b.is_hotfix, CAST(round_even(coalesce(is_hotfix_median, 0), 0) AS INTEGER)) AS is_hotfix,
-        CASE WHEN server_exp > 0 THEN server_exp ELSE 27 END AS deployer_exp,
+        EXP AS deployer_exp,
         coalesce(b.days_since_deploy, days_since_deploy_median, 2.7::DOUBLE) AS days_since_deploy,
         CASE WHEN b.diff_size IS NULL THEN 1 ELSE 0 END + CASE WHEN b.files_changed IS NULL THEN 1 ELSE 0 END
           + CASE WHEN b.recent_failure_rate IS NULL THEN 1 ELSE 0 END + CASE WHEN b.test_pass_rate IS NULL THEN 1 ELSE 0 END
@@ -75,7 +75,15 @@ MEDIANS_SQL = """
           + CASE WHEN is_hotfix = 1 AND hour_of_day >= 16 THEN 0.06::DOUBLE ELSE 0 END
           + CASE WHEN recent_failure_rate > 0.15::DOUBLE AND test_pass_rate < 0.80::DOUBLE THEN 0.06::DOUBLE ELSE 0 END
           + CASE WHEN diff_size > 300 AND test_pass_rate < 0.85::DOUBLE THEN 0.06::DOUBLE ELSE 0 END), 0) AS INTEGER) AS score
-      FROM f LEFT JOIN tenants USING (tenant_id))
+      FROM f LEFT JOIN tenants USING (tenant_id))"""
+
+
+def fleet_sql(experience: str) -> str:
+    """The scoring path in SQL with the given expression for deployer experience."""
+    return FLEET_SQL.replace("EXP AS", f"{experience} AS")
+
+
+@TOPIC.query("score_fleet", duck.sql(fleet_sql("CASE WHEN server_exp > 0 THEN server_exp ELSE 27 END") + """
     SELECT tenant_id, count(*) AS builds, sum(CASE WHEN score > red THEN 1 ELSE 0 END)::BIGINT AS blocked,
            sum(guesses)::BIGINT AS guessed_features, sum(score)::BIGINT AS score_sum, max(score) AS score_max
     FROM s GROUP BY tenant_id""", "builds", "tenants"))

@@ -34,9 +34,12 @@ def build_epoch(date: str, order: str) -> Column:
     return F.unix_timestamp(F.col(date).cast("timestamp")) + build_hour(order) * 3600
 
 
-def build_heads(spark: SparkSession, sf: str) -> DataFrame:
-    """Identity, time and label of every build; no line items are read."""
-    orders = table(spark, sf, "orders")
+def build_heads(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
+    """Identity, time and label of every build; no line items are read.
+
+    ``orders`` may be a stream of the same table.
+    """
+    orders = table(spark, sf, "orders") if orders is None else orders
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     priority = F.col("o_orderpriority")
     return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
@@ -118,7 +121,7 @@ def event_epoch() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
 
 
-def ci_runs(spark: SparkSession, sf: str) -> DataFrame:
+def ci_runs(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
     """One CI run per event; the job is the user."""
     kind, platform = F.col("event_type"), F.col("user_id") % 3
     status = (
@@ -128,7 +131,7 @@ def ci_runs(spark: SparkSession, sf: str) -> DataFrame:
               .when(kind == "purchase", "ABORTED").otherwise("SUCCESS"))
         .otherwise(F.when(kind == "error", "FAILED").when(kind == "signup", "ERROR")
                    .when(kind == "purchase", "STOPPED").otherwise("SUCCESSFUL")))
-    return events(spark, sf).select(
+    return (events(spark, sf) if source is None else source).select(
         F.concat(F.lit("job"), F.col("user_id")).alias("job"),
         F.when(platform == 0, "github").when(platform == 1, "jenkins").otherwise("bitbucket").alias("platform"),
         F.col("event_id").alias("run_id"),
@@ -138,9 +141,9 @@ def ci_runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def probes(spark: SparkSession, sf: str) -> DataFrame:
+def probes(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
     """Health probes; a deploy is a user and day, early probes form its baseline."""
-    return events(spark, sf).select(
+    return (events(spark, sf) if source is None else source).select(
         F.concat(F.col("user_id"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd")).alias("deploy_id"),
         F.col("event_id").alias("probe_id"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -152,9 +155,9 @@ def probes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def label_events(spark: SparkSession, sf: str) -> DataFrame:
+def label_events(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
     kind = F.col("event_type")
-    return events(spark, sf).select(
+    return (events(spark, sf) if source is None else source).select(
         F.concat(F.lit("u"), F.col("user_id"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("build_id"),
         F.col("event_id").alias("seq"),
         event_epoch().cast("long").alias("event_ts"),
@@ -165,8 +168,8 @@ def label_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def access_log(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(
+def access_log(spark: SparkSession, sf: str, source: DataFrame | None = None) -> DataFrame:
+    return (events(spark, sf) if source is None else source).select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("api-"), F.col("user_id")).alias("api_key"),
         F.concat(F.lit("10.0.0."), F.col("user_id") % 250, F.lit(", 172.16.0.1")).alias("forwarded_for"),
