@@ -145,40 +145,68 @@ def value_texts() -> dict[str, Column]:
 
 # --- reasons ------------------------------------------------------------------
 
-def top_reasons(importances: Column, imputed: Column, sources: Column | None = None, count: int = 3) -> Column:
-    """The heaviest features with their texts.
+def rank_features(importances: Column, count: int = 3) -> Column:
+    """The heaviest features of a model: array of (place, importance).
 
-    ``importances`` is an array in contract order. It is rounded to three places
-    before ranking and equal ones keep contract order. A filled value says so.
+    ``importances`` is an array in contract order. It is rounded to three places before
+    ranking and equal ones keep contract order. Ranking is a property of the model, so it
+    is done on the model table, before the join with builds.
+    """
+    entries = F.transform(importances, lambda v, i: F.struct(
+        (-F.round(v, 3)).alias("order_by"), i.alias("place")))
+    return F.transform(F.slice(F.array_sort(entries), 1, count), lambda e: F.struct(
+        e["place"].alias("place"), (-e["order_by"]).alias("importance")))
+
+
+def top_reasons(ranked: Column, imputed: Column, sources: Column | None = None) -> Column:
+    """Reasons for a score from :func:`rank_features`; a filled value says so.
+
+    Only the texts of the ranked features are built for a row.
     """
     texts = value_texts()
-    entries = []
-    for i, f in enumerate(K.FEATURES):
-        guessed = F.array_contains(imputed, f)
+
+    def pick(place: Column, values: Sequence[Column]) -> Column:
+        chosen = F.when(place == 0, values[0])
+        for i, v in enumerate(values[1:], 1):
+            chosen = chosen.when(place == i, v)
+        return chosen
+
+    def reason(entry: Column) -> Column:
+        place = entry["place"]
+        name = F.get(F.array(*[F.lit(f) for f in K.FEATURES]), place)
+        guessed = F.array_contains(imputed, name)
         source = F.when(guessed, "imputed").otherwise("provided")
         if sources is not None:
-            source = F.coalesce(F.element_at(sources, f), source)
-        entries.append(F.struct(
-            (-F.round(F.element_at(importances, i + 1), 3)).alias("order_by"),
-            F.lit(i).alias("place"),
-            F.lit(f).alias("feature"),
-            F.lit(K.DISPLAY_LABELS[f]).alias("label"),
-            F.round(F.element_at(importances, i + 1), 3).alias("importance"),
-            F.col(f).cast("double").alias("value"),
-            F.concat(texts[f], F.when(guessed, " — estimated").otherwise("")).alias("value_str"),
-            guessed.alias("imputed"),
-            source.alias("source")))
-    ranked = F.slice(F.array_sort(F.array(*entries)), 1, count)
-    return F.transform(ranked, lambda r: r.dropFields("order_by", "place"))
+            source = F.coalesce(F.element_at(sources, name), source)
+        return F.struct(
+            name.alias("feature"),
+            F.get(F.array(*[F.lit(K.DISPLAY_LABELS[f]) for f in K.FEATURES]), place).alias("label"),
+            entry["importance"].alias("importance"),
+            pick(place, [F.col(f).cast("double") for f in K.FEATURES]).alias("value"),
+            F.concat(pick(place, [texts[f] for f in K.FEATURES]),
+                     F.when(guessed, " — estimated").otherwise("")).alias("value_str"),
+            guessed.alias("imputed"), source.alias("source"))
+
+    return F.transform(ranked, reason)
 
 
 # --- parsing helpers ----------------------------------------------------------
 
+NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def number(text: Column) -> Column:
+    """Finite number in a trimmed text, else null.
+
+    The pattern comes first: a failed ``try_cast`` builds an exception per row.
+    """
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+
+
 def clean_count(raw: Column) -> Column:
     """Text to a whole non-negative count; empty, NaN, infinite and junk become null."""
-    number = F.trim(raw).try_cast("double")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
-    return F.when(finite, F.greatest(F.lit(0), number.try_cast("int")))
+    value = number(F.trim(raw))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), value.try_cast("int")))
 
 
 def epoch_seconds(value: Column) -> Column:
@@ -188,7 +216,7 @@ def epoch_seconds(value: Column) -> Column:
     zoned = F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2")
     stamped = F.when(zoned.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?[+-]\d\d:\d\d$"),
                      F.unix_micros(zoned.try_cast("timestamp")) / F.lit(1e6))
-    return F.coalesce(text.try_cast("double"), stamped)
+    return F.coalesce(number(text), stamped)
 
 
 def hotfix_flag(branch: Column, words: Sequence[str] = tuple(K.HOTFIX_WORDS)) -> Column:

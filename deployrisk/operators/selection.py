@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
@@ -36,6 +36,12 @@ def tail_split(builds: DataFrame, share: float = K.HOLDOUT_SHARE) -> DataFrame:
     return placed.withColumn("held_out", F.col("pos") >= cut).drop("pos")
 
 
+def shuffle_number(id_column: str, seed: int) -> Column:
+    """A repeatable 60-bit number per id, the same on any engine with md5."""
+    digest = F.md5(F.concat_ws("-", F.col(id_column).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def stratified_split(rows: DataFrame, keys: Sequence[str], id_column: str,
                      share: float = K.HOLDOUT_SHARE, seed: int = 42) -> DataFrame:
     """Random hold-out keeping the class ratio exact.
@@ -43,14 +49,14 @@ def stratified_split(rows: DataFrame, keys: Sequence[str], id_column: str,
     Rows are ranked by a seeded hash within each class. The top bits of the hash cut a
     class into even slices, so a class with most of the rows is ranked by many tasks.
     """
-    hashed = rows.withColumn("_hash", F.xxhash64(F.col(id_column), F.lit(seed)))
-    placed = with_position(hashed, keys, ["_hash", id_column], F.shiftright("_hash", 52))
+    hashed = rows.withColumn("_hash", shuffle_number(id_column, seed))
+    placed = with_position(hashed, keys, ["_hash", id_column], F.shiftright("_hash", 48))
     return placed.withColumn("held_out", F.col("pos") < F.bround(F.col("n") * share, 0)).drop("_hash", "pos", "n")
 
 
 def folds(rows: DataFrame, id_column: str, k: int = 5, seed: int = 42) -> DataFrame:
     """A fold number per row from a seeded hash."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(k)).cast("int"))
+    return rows.withColumn("fold", (shuffle_number(id_column, seed) % k).cast("int"))
 
 
 def recent_ten(builds: DataFrame) -> DataFrame:

@@ -72,13 +72,13 @@ def nonempty_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def labelled(df: DataFrame) -> DataFrame:
     """Rows whose label reads as 0 or 1, whatever type it was stored in."""
-    number = F.col("label").cast("string").try_cast("double")
+    number = S.number(F.trim(F.col("label").cast("string")))
     return df.filter(number.isin(0.0, 1.0)).withColumn("label", number.cast("int"))
 
 
 def recent_window(df: DataFrame, as_of: Column, days: int = K.TRAIN_WINDOW_DAYS) -> DataFrame:
     """Rows not older than ``days``; an unreadable time counts as zero."""
-    ts = F.coalesce(F.col("timestamp").cast("string").try_cast("double"), F.lit(0.0)).cast("long")
+    ts = F.coalesce(S.number(F.trim(F.col("timestamp").cast("string"))), F.lit(0.0)).cast("long")
     return df.filter(ts >= as_of - days * 86400)
 
 

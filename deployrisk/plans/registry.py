@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +45,7 @@ class Topic:
 
 
 def _topics() -> list[Topic]:
-    return [importlib.import_module(f"deployrisk.plans.{name}").TOPIC for name in TOPICS
-            if importlib.util.find_spec(f"deployrisk.plans.{name}")]
+    return [importlib.import_module(f"deployrisk.plans.{name}").TOPIC for name in TOPICS]
 
 
 def queries() -> dict[str, Query]:

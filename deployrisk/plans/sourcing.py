@@ -16,7 +16,10 @@ from deployrisk.sources import ci, git, reports
 TOPIC = Topic()
 
 STORED = ["tenant_id", "build_id", "timestamp", *K.FEATURES, "label"]
-NUMBER = F.substring("build_id", 2, 20).cast("long")
+
+
+def number():
+    return F.substring("build_id", 2, 20).cast("long")
 
 
 def stored_builds(spark, sf):
@@ -28,7 +31,7 @@ def written_json(spark, sf, rows=None):
     rows = stored_builds(spark, sf) if rows is None else rows
     path = sinks.new_table(spark, "builds-json")
     text = F.to_json(F.struct(*STORED))
-    rows.select(F.when(NUMBER % 50 == 0, F.substring(text, 1, 25)).otherwise(text).alias("value")).write.text(path)
+    rows.select(F.when(number() % 50 == 0, F.substring(text, 1, 25)).otherwise(text).alias("value")).write.text(path)
     return path
 
 

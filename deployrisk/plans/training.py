@@ -8,7 +8,7 @@ from deployrisk import contract as K
 from deployrisk import sinks
 from deployrisk.operators import balance, joins, models, selection, training
 from deployrisk.operators.impute import impute_training
-from deployrisk.plans import views
+from deployrisk.plans import duck, views
 from deployrisk.plans.filters import AS_OF
 from deployrisk.plans.registry import Topic
 from deployrisk.session import materialize
@@ -48,12 +48,38 @@ def ml_forest_real(spark, sf):
     return models.predict(model, test.withColumn("label", labelled)).select("commit_id", "project", "label", "p")
 
 
-@TOPIC.query("ml_smote")
+TRAIN_SQL = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, build_id DESC) AS r,
+        count(*) OVER (PARTITION BY tenant_id) AS n FROM builds WHERE label >= 0),
+    m AS (SELECT tenant_id, """ + ", ".join(f"quantile_cont(CAST({f} AS DOUBLE), 0.5) AS {f}_m" for f in K.FEATURES) + """ FROM d GROUP BY tenant_id),
+    t AS (SELECT tenant_id, build_id, label, """ + ", ".join(
+    f"coalesce(CAST({f} AS DOUBLE), " + (f"round_even(coalesce({f}_m, {K.TRAINING_MEDIANS[f]}::DOUBLE), 0)" if f in K.INT_FEATURES
+                                        else f"coalesce({f}_m, {K.TRAINING_MEDIANS[f]}::DOUBLE)") + f") AS {f}"
+    for f in K.FEATURES) + """ FROM d JOIN m USING (tenant_id) WHERE r > greatest(1, round_even(n * 0.2::DOUBLE, 0))),
+    c AS (SELECT tenant_id, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM t GROUP BY tenant_id)"""
+
+
+@TOPIC.query("ml_smote", duck.sql(TRAIN_SQL + """
+    SELECT tenant_id, label, CASE WHEN n1 >= 6 AND least(n1, n0) > least(5, n1 - 1) THEN greatest(n1, n0)
+        WHEN label = 1 THEN n1 ELSE n0 END AS rows FROM c, (VALUES (0), (1)) AS l(label)""", "builds"))
 def ml_smote(spark, sf):
     """Rows per tenant and class after balancing."""
     train = labelled_rows(spark, sf).filter("NOT held_out")
     return balance.balance(train, ["tenant_id"], "build_id").groupBy("tenant_id", "label").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("diff_size").alias("mean_diff"))
+        F.count(F.lit(1)).alias("rows"))
+
+
+@TOPIC.query("ml_smote_neighbours", duck.sql(TRAIN_SQL + """,
+    v AS (SELECT tenant_id, min(build_id) AS vid, """ + ", ".join(K.FEATURES) + " FROM t WHERE label = 1 GROUP BY ALL)" + """
+    SELECT tenant_id, vid, distance2, k AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY tenant_id, vid ORDER BY distance2) AS k FROM (
+        SELECT a.tenant_id, a.vid, """ + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in K.FEATURES) + """ AS distance2
+        FROM v a JOIN v b ON a.tenant_id = b.tenant_id AND a.vid <> b.vid)) WHERE k <= 5""", "builds"))
+def ml_smote_neighbours(spark, sf):
+    """The five nearest other risky builds of each risky training build."""
+    risky = labelled_rows(spark, sf).filter("NOT held_out AND label = 1")
+    vectors = risky.groupBy("tenant_id", *K.FEATURES).agg(F.min("build_id").alias("vid"))
+    return balance.nearest(vectors, ["tenant_id"], balance.NEIGHBOURS).select(
+        "tenant_id", "vid", "distance2", F.col("rank").cast("long").alias("rank"))
 
 
 @TOPIC.query("ml_calibrate")

@@ -51,15 +51,21 @@ def top_recent10(spark, sf):
         "tenant_id", "build_id", "timestamp", F.col("rank").cast("long").alias("rank"))
 
 
-@TOPIC.query("split_stratified", duck.sql("""
-    SELECT label, count(*) AS rows, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT) AS held_out FROM heads WHERE label >= 0 GROUP BY label""", "heads"))
+DIGEST = "substr(md5(build_id || '-42'), 1, 15)"
+
+
+@TOPIC.query("split_stratified", duck.sql(f"""
+    SELECT label, build_id, row_number() OVER (PARTITION BY label ORDER BY {DIGEST}, build_id)
+        <= round_even(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE, 0) AS held_out FROM heads WHERE label >= 0""", "heads"))
 def split_stratified(spark, sf):
-    parts = selection.stratified_split(views.build_heads(spark, sf).filter("label >= 0"), ["label"], "build_id")
-    return parts.groupBy("label").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.col("held_out").cast("long")).alias("held_out"))
+    return selection.stratified_split(views.build_heads(spark, sf).filter("label >= 0"), ["label"], "build_id").select(
+        "label", "build_id", "held_out")
 
 
-@TOPIC.query("split_kfold")
+@TOPIC.query("split_kfold", duck.sql(f"""
+    SELECT count(*) AS folds, avg(precision) AS cv_precision, stddev_pop(precision) AS cv_std FROM (
+      SELECT CAST('0x' || {DIGEST} AS BIGINT) % 5 AS fold, sum(CASE WHEN p > 0.44::DOUBLE AND label = 1 THEN 1 ELSE 0 END)
+          / CAST(sum(CASE WHEN p > 0.44::DOUBLE THEN 1 ELSE 0 END) AS DOUBLE) AS precision FROM scored WHERE label >= 0 GROUP BY 1)""", "scored"))
 def split_kfold(spark, sf):
     """Precision of the rule at its own threshold on each of five folds, with mean and spread."""
     from deployrisk.operators import metrics
@@ -102,8 +108,9 @@ def top_reasons(spark, sf):
     raw = views.builds(spark, sf)
     imputed = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in K.FEATURES]))
     from deployrisk.operators.scoring import fill_fixed
-    rows = fill_fixed(raw.withColumn("imputed", imputed)).join(importances(spark, sf), "tenant_id")
-    found = rows.select("build_id", S.top_reasons(F.col("importances"), F.col("imputed")).alias("reasons"))
+    models = importances(spark, sf).select("tenant_id", S.rank_features(F.col("importances")).alias("ranked"))
+    rows = fill_fixed(raw.withColumn("imputed", imputed)).join(models, "tenant_id")
+    found = rows.select("build_id", S.top_reasons(F.col("ranked"), F.col("imputed")).alias("reasons"))
     return found.select(
         "build_id", F.array_join("reasons.feature", ",").alias("features"),
         F.array_join("reasons.label", ",").alias("labels"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deployrisk.functions.scalars import number
+
 # report locations, directories to leave out, files per build (fixed values)
 GLOBS = [
     "**/junit*.xml",
@@ -66,27 +68,28 @@ def suite_counts(df: DataFrame, xml: str) -> DataFrame:
     tags = F.regexp_extract_all(text, F.lit(r"<((?:[\w.-]+:)?[A-Za-z][\w.-]*(?:\s[^<>]*)?)/?>"), F.lit(1))
     rows = df.withColumn("_ok", checked["_corrupt_record"].isNull()).withColumn("_tags", tags)
 
-    def kind(tag: Column) -> Column:
-        return F.lower(F.regexp_extract(tag, r"^(?:[\w.-]+:)?([\w.-]+)", 1))
-
-    def number(tag: Column, *names: str) -> Column:
-        found = [F.nullif(F.regexp_extract(tag, rf"\s{n}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
-                 .try_cast("double").try_cast("int") for n in names]
-        return F.coalesce(*found, F.lit(0))
-
-    def counts(tag: Column) -> Column:
-        return F.struct(number(tag, "tests").alias("tests"), number(tag, "failures").alias("failures"),
-                        number(tag, "errors").alias("errors"),
-                        number(tag, "skipped", "skip", "disabled").alias("skipped"))
-
-    root = F.get("_tags", F.lit(0))
-    suites = F.transform(F.filter(F.slice("_tags", 2, 2147483646), lambda t: kind(t) == "testsuite"), counts)
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("tests", "failures", "errors", "skipped")])
-    summed = F.aggregate(suites, zero, lambda a, s: F.struct(*[
-        (a[c] + s[c]).alias(c) for c in ("tests", "failures", "errors", "skipped")]))
-    own = counts(root)
-    picked = (F.when(~F.col("_ok") | root.isNull(), F.lit(None))
-              .when(kind(root) == "testsuite", own)
-              .when((kind(root) == "testsuites") & (own["tests"] > 0), own)
-              .when((kind(root) == "testsuites") & (summed["tests"] > 0), summed))
-    return rows.withColumn("_c", picked).select(*df.columns, "_c.*")
+    def value(tag: Column, name: str) -> Column:
+        return number(F.trim(F.regexp_extract(tag, rf"\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1))).try_cast("int")
+
+    def read(tag: Column) -> Column:
+        skipped = F.coalesce(value(tag, "skipped"), value(tag, "skip"), value(tag, "disabled"), F.lit(0))
+        return F.struct(
+            F.lower(F.regexp_extract(tag, r"^(?:[\w.-]+:)?([\w.-]+)", 1)).alias("kind"),
+            F.coalesce(value(tag, "tests"), F.lit(0)).alias("tests"),
+            F.coalesce(value(tag, "failures"), F.lit(0)).alias("failures"),
+            F.coalesce(value(tag, "errors"), F.lit(0)).alias("errors"), skipped.alias("skipped"))
+
+    # suites only: a report's many test cases are dropped by the first look at the tag
+    is_suite = lambda t: t.rlike(r"^(?:[\w.-]+:)?(?i:testsuites?)(?:\s|/|$)")
+    root_is_suite = is_suite(F.get("_tags", F.lit(0)))
+    parsed = rows.withColumn("_all", F.when(F.col("_ok") & root_is_suite, F.transform(F.filter("_tags", is_suite), read)))
+    names = ["tests", "failures", "errors", "skipped"]
+    zero = F.struct(*[F.lit(0).alias(c) for c in names])
+    below = F.filter(F.slice("_all", 2, 2147483646), lambda s: s["kind"] == "testsuite")
+    summed = F.aggregate(below, zero, lambda a, s: F.struct(*[(a[c] + s[c]).alias(c) for c in names]))
+    root = F.get("_all", F.lit(0))
+    own = F.struct(*[root[c].alias(c) for c in names])
+    picked = parsed.withColumn("_c", F.when(root.isNull(), F.lit(None)).when(
+        (root["kind"] == "testsuite") | (root["tests"] > 0), own).otherwise(summed))
+    kept = F.when((root["kind"] == "testsuite") | (F.col("_c.tests") > 0), F.col("_c"))
+    return picked.select(*df.columns, "_all", kept.alias("_c")).select(*df.columns, "_c.*")
