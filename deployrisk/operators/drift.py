@@ -76,12 +76,17 @@ def drifted(builds: DataFrame, run: int = K.DRIFT_RUN, limit: float = K.DRIFT_P_
             .withColumn("drifted", F.col("p_value") < limit).drop("_h"))
 
 
-def verdicts(builds: DataFrame, run: int = K.DRIFT_RUN, needed: int = K.DRIFT_MIN_FEATURES) -> DataFrame:
-    """drifted / stable / skipped per tenant; ``demo`` is left out."""
+def verdicts(builds: DataFrame, run: int = K.DRIFT_RUN, needed: int = K.DRIFT_MIN_FEATURES,
+             heads: DataFrame | None = None) -> DataFrame:
+    """drifted / stable / skipped per tenant; ``demo`` is left out.
+
+    ``heads`` may give the full list of builds when ``builds`` only has the newest ones.
+    """
     real = builds.filter(F.col("tenant_id") != "demo")
     flagged = drifted(real, run).groupBy("tenant_id").agg(
         F.sum(F.col("drifted").cast("long")).alias("drifted_features"))
-    sizes = real.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("builds"))
+    every = real if heads is None else heads.filter(F.col("tenant_id") != "demo")
+    sizes = every.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("builds"))
     found = F.coalesce("drifted_features", F.lit(0).cast("long"))
     return sizes.join(flagged, "tenant_id", "left").select(
         "tenant_id", "builds", found.alias("drifted_features"),
@@ -92,10 +97,10 @@ def verdict(builds: Column, found: Column, run: int = K.DRIFT_RUN, needed: int =
     return F.when(builds < 2 * run, "skipped").when(found >= needed, "drifted").otherwise("stable")
 
 
-def reports(builds: DataFrame, run: int = K.DRIFT_RUN) -> DataFrame:
+def reports(builds: DataFrame, run: int = K.DRIFT_RUN, heads: DataFrame | None = None) -> DataFrame:
     """Rows for the drift report table: one per tenant with its drifted features as text."""
     named = drifted(builds.filter(F.col("tenant_id") != "demo"), run).filter("drifted")
     # ten features at most per tenant
     listed = named.groupBy("tenant_id").agg(F.array_sort(F.collect_list(
         F.struct("feature", "p_value", "statistic"))).alias("features"))
-    return verdicts(builds, run).join(listed, "tenant_id", "left")
+    return verdicts(builds, run, heads=heads).join(listed, "tenant_id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
+from deployrisk.session import scratch_path
 
 # forest settings (fixed values)
 TREES = 100
@@ -94,18 +96,28 @@ def importance_rows(importances: DataFrame, array: str = "importances") -> DataF
         *rest, "place", F.get(names, F.col("place")).alias("feature"), "importance")
 
 
-def predict_by_version(models: dict[str, RandomForestClassificationModel], builds: DataFrame) -> DataFrame:
-    """Score each build with the model named in ``version``; unknown versions use ``base``."""
+def predict_by_version(models: dict[str, RandomForestClassificationModel], builds: DataFrame, pool: int = 8) -> DataFrame:
+    """Score each build with the model named in ``version``; unknown versions use ``base``.
+
+    Builds are written once by version, so each model reads its own rows only however
+    many models there are. Models run from a bounded pool of driver threads.
+    """
+    spark = builds.sparkSession
     known = [v for v in models if v != "base"]
-    parts = []
-    for version, model in models.items():
-        rows = builds.filter(F.col("version") == version) if version != "base" else builds.filter(
-            ~F.col("version").isin(*known) | F.col("version").isNull() if known else F.lit(True))
-        parts.append(predict(model, rows))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    named = builds.withColumn("_use", F.when(F.col("version").isin(*known), F.col("version")).otherwise("base")
+                              if known else F.lit("base"))
+    rows_path, out = scratch_path(spark, "by-version"), scratch_path(spark, "scored-by-version")
+    named.hint("rebalance", "_use").write.partitionBy("_use").parquet(rows_path)
+    rows = spark.read.schema(named.schema).parquet(rows_path)
+
+    def one(item: tuple[str, RandomForestClassificationModel]) -> None:
+        version, model = item
+        predict(model, rows.filter(F.col("_use") == version)).drop("_use").write.parquet(f"{out}/_use={version}")
+
+    with ThreadPoolExecutor(pool) as threads:
+        list(threads.map(one, models.items()))
+    schema = builds.withColumn("p", F.lit(0.0)).schema
+    return spark.read.schema(schema).option("basePath", out).parquet(out).select(*builds.columns, "p")
 
 
 def scenarios(spark) -> DataFrame:

@@ -207,7 +207,7 @@ DRIFT_SQL = "WITH RECURSIVE " + KS_SQL + ", " + PATHS_SQL + """,
 
 
 def drift_input(spark, sf):
-    return views.builds(spark, sf).filter(F.col("tenant_id") != "demo")
+    return views.recent_builds(spark, sf, 2 * K.DRIFT_RUN).filter(F.col("tenant_id") != "demo")
 
 
 @TOPIC.query("drift_ks", duck.sql("WITH " + KS_SQL + """
@@ -225,4 +225,4 @@ def drift_pvalue(spark, sf):
 @TOPIC.query("drift_verdict", duck.sql(DRIFT_SQL + """
     SELECT tenant_id, builds, drifted_features, verdict FROM verdicts""", "builds"))
 def drift_verdict(spark, sf):
-    return drift.verdicts(views.builds(spark, sf))
+    return drift.verdicts(views.recent_builds(spark, sf, 2 * K.DRIFT_RUN), heads=views.build_heads(spark, sf))

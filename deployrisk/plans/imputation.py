@@ -15,7 +15,7 @@ TOPIC = Topic()
 
 @TOPIC.query("imp_tenant_median", duck.sql("WITH " + MEDIANS_SQL + " SELECT * FROM medians", "builds"))
 def imp_tenant_median(spark, sf):
-    return impute.tenant_medians(views.builds(spark, sf))
+    return impute.tenant_medians(views.recent_builds(spark, sf, K.MEDIAN_HISTORY))
 
 
 def _serving(f: str) -> str:
@@ -36,7 +36,7 @@ def _serving(f: str) -> str:
     FROM builds b LEFT JOIN medians USING (tenant_id)""", "builds"))
 def imp_serving(spark, sf):
     rows = views.builds(spark, sf)
-    medians = impute.tenant_medians(rows)
+    medians = impute.tenant_medians(views.recent_builds(spark, sf, K.MEDIAN_HISTORY))
     # pending builds lost their hour, so the clock has to fill it
     sent = rows.withColumn("hour_of_day", F.when(F.col("label") >= 0, F.col("hour_of_day")))
     filled = impute.impute_serving(sent, medians, F.lit(9), F.lit(3))
@@ -48,7 +48,7 @@ def imp_serving(spark, sf):
 @TOPIC.query("join_medians", duck.sql("WITH " + MEDIANS_SQL + """
     SELECT build_id, diff_size_median, test_pass_rate_median FROM builds LEFT JOIN medians USING (tenant_id)""", "builds"))
 def join_medians(spark, sf):
-    medians = impute.tenant_medians(views.builds(spark, sf)).select(
+    medians = impute.tenant_medians(views.recent_builds(spark, sf, K.MEDIAN_HISTORY)).select(
         "tenant_id", "diff_size_median", "test_pass_rate_median")
     return views.build_heads(spark, sf).join(medians, "tenant_id", "left").select(
         "build_id", "diff_size_median", "test_pass_rate_median")

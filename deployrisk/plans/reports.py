@@ -100,5 +100,5 @@ from deployrisk.plans.evaluation import DRIFT_SQL  # noqa: E402
 @TOPIC.query("agg_drift_summary", duck.sql(DRIFT_SQL + """
     SELECT verdict AS outcome, '' AS reason, count(*) AS tenants FROM verdicts GROUP BY verdict""", "builds"))
 def agg_drift_summary(spark, sf):
-    found = drift.verdicts(views.builds(spark, sf))
+    found = drift.verdicts(views.recent_builds(spark, sf, 2 * K.DRIFT_RUN), heads=views.build_heads(spark, sf))
     return reports.outcome_summary(found.select(F.col("verdict").alias("outcome"), F.lit("").alias("reason")))

@@ -28,7 +28,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 def score_all(spark: SparkSession, sf: str) -> DataFrame:
     """The whole request path in batch: history, medians, fill, score, tenant verdict."""
     heads = scoring.with_actor_history(views.build_heads(spark, sf))
-    medians = impute.tenant_medians(views.builds(spark, sf))
+    medians = impute.tenant_medians(views.recent_builds(spark, sf, K.MEDIAN_HISTORY))
     rows = views.builds(spark, sf, heads, "server_exp").withColumn(
         "deployer_exp", F.when(F.col("server_exp") > 0, F.col("server_exp").cast("int")))
     filled = impute.impute_serving(rows, medians, F.col("hour_of_day"), F.col("day_of_week"))

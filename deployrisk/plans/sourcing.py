@@ -256,7 +256,8 @@ def sink_build_append(spark, sf):
     SELECT tenant_id, count(*) AS builds FROM heads WHERE tenant_id <> 'demo' GROUP BY tenant_id""", "heads"))
 def sink_drift_flag(spark, sf):
     path = sinks.new_table(spark, "drift-reports")
-    sinks.append_rows(drift.reports(views.builds(spark, sf)), path)
+    sinks.append_rows(drift.reports(
+        views.recent_builds(spark, sf, 2 * K.DRIFT_RUN), heads=views.build_heads(spark, sf)), path)
     return spark.read.parquet(path).select("tenant_id", "builds")
 
 

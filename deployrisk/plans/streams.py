@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from deployrisk import contract as K
 from deployrisk.functions import scalars as S
 from deployrisk.operators import health, impute, scoring
 from deployrisk.plans import duck, views
@@ -41,7 +42,7 @@ def st_score_stream(spark, sf):
     """Arriving orders scored with static settings and medians, appended."""
     orders = jobs.file_stream(spark, f"{sf}/orders.parquet", jobs.ORDERS)
     arriving = views.builds(spark, sf, views.build_heads(spark, sf, orders))
-    medians = impute.tenant_medians(views.builds(spark, sf))
+    medians = impute.tenant_medians(views.recent_builds(spark, sf, K.MEDIAN_HISTORY))
     filled = impute.impute_serving(arriving, medians, F.col("hour_of_day"), F.col("day_of_week"))
     settled = scoring.with_settings(filled, views.tenants(spark, sf))
     scored = scoring.score_rows(settled, S.rule_risk(), F.col("threshold_yellow"), F.col("threshold_red"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deployrisk.operators.ordered import newest
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -66,10 +68,13 @@ def build_heads(spark: SparkSession, sf: str, orders: DataFrame | None = None) -
     )
 
 
-def order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Change and test measurements per order."""
+def order_lines(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
+    """Change and test measurements per order, of all orders or those in ``orders``."""
     n = F.count(F.lit(1))
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+    items = table(spark, sf, "lineitem")
+    if orders is not None:
+        items = items.join(orders.select(F.col("order_key").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return items.groupBy("l_orderkey").agg(
         F.sum("l_quantity").cast("int").alias("diff_size"),
         n.cast("int").alias("files_changed"),
         F.round(F.sum((F.col("l_returnflag") == "A").cast("int")) / n, 4).alias("recent_failure_rate"),
@@ -79,13 +84,14 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def builds(spark: SparkSession, sf: str, heads: DataFrame | None = None, *extra: str) -> DataFrame:
+def builds(spark: SparkSession, sf: str, heads: DataFrame | None = None, *extra: str,
+           lines: DataFrame | None = None) -> DataFrame:
     """Build rows as clients send them. Orders without lines have real nulls.
 
     ``heads`` may carry further columns, kept when named in ``extra``.
     """
     heads = build_heads(spark, sf) if heads is None else heads
-    lines = order_lines(spark, sf)
+    lines = order_lines(spark, sf) if lines is None else lines
     return heads.join(lines, heads.order_key == lines.l_orderkey, "left").select(
         "tenant_id", "build_id", "timestamp",
         "diff_size", "files_changed", "hour_of_day", "day_of_week",
@@ -98,6 +104,12 @@ def builds(spark: SparkSession, sf: str, heads: DataFrame | None = None, *extra:
     )
 
 
+def recent_builds(spark: SparkSession, sf: str, count: int) -> DataFrame:
+    """The newest builds per tenant; only their lines are summed."""
+    heads = newest(build_heads(spark, sf), ["tenant_id"], ["timestamp", "build_id"], count, "_rank").drop("_rank")
+    return builds(spark, sf, heads, lines=order_lines(spark, sf, heads))
+
+
 def tenants(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n_nationkey")
     return table(spark, sf, "nation").select(
