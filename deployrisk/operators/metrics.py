@@ -117,14 +117,36 @@ def plain(df: DataFrame, keys: Sequence[str], flagged: Column) -> DataFrame:
                     F.col("fn").alias("missed"))
 
 
-def evaluate(df: DataFrame, keys: Sequence[str], threshold: float = BLOCK) -> DataFrame:
-    """All headline metrics, one row per key."""
+def evaluate(df: DataFrame, keys: Sequence[str], threshold: float = BLOCK, bins: int = 10) -> DataFrame:
+    """All headline metrics, one row per key.
+
+    Everything follows from the counts per distinct score, so the rows are read once for
+    those and the metrics need no join among themselves.
+    """
     keys = list(keys)
-    out = mcc(confusion(df, keys, F.col("p") > threshold)).select(*keys, "mcc")
-    for part in (auc_roc(df, keys), auc_pr(df, keys), block_quality(df, keys, threshold),
-                 brier(df, keys), calibration_error(df, keys)):
-        out = out.join(part, keys)
-    return out
+    pos, neg, p = F.col("_pos"), F.col("_neg"), F.col("p")
+    rows, blocked = pos + neg, p > threshold
+    hits = F.col("pos_total") - F.col("pos_before")
+    flagged = hits + F.col("neg_total") - F.col("neg_before")
+    binned = score_steps(df, keys).withColumn(
+        "_bin", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(p * bins))))
+    per_bin = binned.groupBy(*keys, "_bin").agg(
+        F.sum(F.when(blocked, pos).otherwise(0)).alias("tp"), F.sum(F.when(blocked, neg).otherwise(0)).alias("fp"),
+        F.sum(F.when(blocked, 0).otherwise(pos)).alias("fn"), F.sum(F.when(blocked, 0).otherwise(neg)).alias("tn"),
+        F.sum(pos * (F.col("neg_before") + neg / 2)).alias("_wins"), F.sum(pos * hits / flagged).alias("_gained"),
+        F.sum(pos * (1 - p) * (1 - p) + neg * p * p).alias("_squares"),
+        F.sum(rows).alias("_rows"), (F.sum(rows * p) - F.sum(pos)).alias("_gap"),
+        F.max("pos_total").alias("_p"), F.max("neg_total").alias("_n"))
+    total = per_bin.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "_wins", "_gained", "_squares", "_rows")],
+        F.sum(F.abs("_gap")).alias("_gaps"), F.max("_p").alias("_p"), F.max("_n").alias("_n"))
+    pairs = F.col("_p") * F.col("_n")
+    return prf(mcc(total)).select(
+        *keys, "mcc", F.when(pairs == 0, 0.5).otherwise(F.col("_wins") / pairs).alias("auc_roc"),
+        ratio(F.col("_gained"), F.col("_p")).alias("auc_pr"),
+        F.col("precision").alias("precision_at_block"), F.col("recall").alias("recall_at_block"),
+        ((F.col("tp") + F.col("fp")) / F.col("_rows")).alias("blocked_share"),
+        (F.col("_squares") / F.col("_rows")).alias("brier"), (F.col("_gaps") / F.col("_rows")).alias("ece"))
 
 
 # --- promotion gates ----------------------------------------------------------

@@ -68,21 +68,26 @@ def suite_counts(df: DataFrame, xml: str) -> DataFrame:
     tags = F.regexp_extract_all(text, F.lit(r"<((?:[\w.-]+:)?[A-Za-z][\w.-]*(?:\s[^<>]*)?)/?>"), F.lit(1))
     rows = df.withColumn("_ok", checked["_corrupt_record"].isNull()).withColumn("_tags", tags)
 
-    def value(tag: Column, name: str) -> Column:
-        return number(F.trim(F.regexp_extract(tag, rf"\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1))).try_cast("int")
+    pattern = r"\s([\w:.-]+)\s*=\s*[\"']([^\"']*)[\"']"
+
+    def open_tag(tag: Column) -> Column:
+        names, values = (F.regexp_extract_all(tag, F.lit(pattern), F.lit(g)) for g in (1, 2))
+        return F.struct(F.lower(F.regexp_extract(tag, r"^(?:[\w.-]+:)?([\w.-]+)", 1)).alias("kind"),
+                        F.map_from_arrays(names, values).alias("attributes"))
 
     def read(tag: Column) -> Column:
-        skipped = F.coalesce(value(tag, "skipped"), value(tag, "skip"), value(tag, "disabled"), F.lit(0))
-        return F.struct(
-            F.lower(F.regexp_extract(tag, r"^(?:[\w.-]+:)?([\w.-]+)", 1)).alias("kind"),
-            F.coalesce(value(tag, "tests"), F.lit(0)).alias("tests"),
-            F.coalesce(value(tag, "failures"), F.lit(0)).alias("failures"),
-            F.coalesce(value(tag, "errors"), F.lit(0)).alias("errors"), skipped.alias("skipped"))
+        def value(*names: str) -> Column:
+            found = [number(F.trim(F.element_at(tag["attributes"], n))).try_cast("int") for n in names]
+            return F.coalesce(*found, F.lit(0))
+
+        return F.struct(tag["kind"].alias("kind"), value("tests").alias("tests"), value("failures").alias("failures"),
+                        value("errors").alias("errors"), value("skipped", "skip", "disabled").alias("skipped"))
 
     # suites only: a report's many test cases are dropped by the first look at the tag
     is_suite = lambda t: t.rlike(r"^(?:[\w.-]+:)?(?i:testsuites?)(?:\s|/|$)")
     root_is_suite = is_suite(F.get("_tags", F.lit(0)))
-    parsed = rows.withColumn("_all", F.when(F.col("_ok") & root_is_suite, F.transform(F.filter("_tags", is_suite), read)))
+    parsed = rows.withColumn("_all", F.when(F.col("_ok") & root_is_suite, F.transform(
+        F.transform(F.filter("_tags", is_suite), open_tag), read)))
     names = ["tests", "failures", "errors", "skipped"]
     zero = F.struct(*[F.lit(0).alias(c) for c in names])
     below = F.filter(F.slice("_all", 2, 2147483646), lambda s: s["kind"] == "testsuite")
