@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # colours, icons and notes per verdict (fixed values)
 COLOURS = {"SAFE": "#2eb886", "WARNING": "#f2c744", "BLOCKED": "#e01e5a"}
 ICONS = {"SAFE": ":white_check_mark:", "WARNING": ":warning:", "BLOCKED": ":no_entry:"}
+TITLE = "Deploy risk"
 PHASE_NOTES = {
     "tenant": "Personalised model (trained on your builds)",
     "base": "Base model (personalising as your builds accumulate)",
@@ -20,11 +21,11 @@ def score_bar(score: Column) -> Column:
 
 
 def score_payload(job: Column, number: Column, score: Column, verdict: Column, phase: Column, reasons: Column,
-                  yellow: Column, red: Column) -> Column:
+                  yellow: Column, red: Column, title: str = TITLE) -> Column:
     """JSON message for one scored build. ``reasons`` is an array of (label, value_str)."""
     colour = F.when(verdict == "SAFE", COLOURS["SAFE"]).when(verdict == "WARNING", COLOURS["WARNING"]).otherwise(COLOURS["BLOCKED"])
     icon = F.when(verdict == "SAFE", ICONS["SAFE"]).when(verdict == "WARNING", ICONS["WARNING"]).otherwise(ICONS["BLOCKED"])
-    header = F.concat(icon, F.lit("  *Deploy Gate — "), verdict, F.lit("*"), F.when(
+    header = F.concat(icon, F.lit(f"  *{title} — "), verdict, F.lit("*"), F.when(
         verdict == "BLOCKED", "  _(add `DEPLOY_FORCE=true` to override)_").otherwise(""))
     numbered = F.transform(F.slice(reasons, 1, 3), lambda r, i: F.concat(
         F.lit("\n  "), (i + 1).cast("string"), F.lit(". *"), r["label"], F.lit("* — "), r["value_str"]))
@@ -54,23 +55,24 @@ def score_payload(job: Column, number: Column, score: Column, verdict: Column, p
         colour.alias("color"), blocks.alias("blocks"))).alias("attachments")))
 
 
-def retrain_text(tenant: Column, passed: Column, precision: Column, auc: Column, size: Column, failed_checks: Column) -> Column:
+def retrain_text(tenant: Column, passed: Column, precision: Column, auc: Column, size: Column, failed_checks: Column,
+                 title: str = TITLE) -> Column:
     good = F.concat(
-        F.lit(":white_check_mark: *Deploy Gate — Model Updated*\nTenant `"), tenant,
+        F.lit(f":white_check_mark: *{title} — Model Updated*\nTenant `"), tenant,
         F.lit("` has a new personalised model.\nPrecision: *"), F.format_string("%.1f", precision * 100),
         F.lit("%*  |  AUC-ROC: *"), F.format_string("%.3f", auc), F.lit("*  |  Trained on *"), size.cast("string"), F.lit("* builds"))
     bad = F.concat(
-        F.lit(":warning: *Deploy Gate — Retrain Failed*\nTenant `"), tenant,
+        F.lit(f":warning: *{title} — Retrain Failed*\nTenant `"), tenant,
         F.lit("` — keeping old model.\nFailed checks: "), F.array_join(failed_checks, ", "))
     return F.when(passed, good).otherwise(bad)
 
 
-def drift_text(tenant: Column, features: Column) -> Column:
+def drift_text(tenant: Column, features: Column, title: str = TITLE) -> Column:
     """``features`` is an array of (feature, p_value)."""
     lines = F.transform(features, lambda f: F.concat(
         F.lit("  • "), f["feature"], F.lit(" (p="), F.format_string("%.4f", f["p_value"]), F.lit(")")))
     return F.concat(
-        F.lit(":chart_with_upwards_trend: *Deploy Gate — Feature Drift Detected*\nTenant `"), tenant,
+        F.lit(f":chart_with_upwards_trend: *{title} — Feature Drift Detected*\nTenant `"), tenant,
         F.lit("` — build patterns have shifted.\nDrifted features:\n"), F.array_join(lines, "\n"),
         F.lit("\n_Model will be force-retrained tonight at 2am._"))
 

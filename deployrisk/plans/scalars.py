@@ -167,7 +167,7 @@ def fn_class_weight(spark, sf):
 
 
 @TOPIC.query("fn_alert_payload", duck.sql(f"""
-    SELECT build_id, v.verdict, CASE v.verdict WHEN 'SAFE' THEN ':white_check_mark:' WHEN 'WARNING' THEN ':warning:' ELSE ':no_entry:' END || '  *Deploy Gate — ' || v.verdict || '*'
+    SELECT build_id, v.verdict, CASE v.verdict WHEN 'SAFE' THEN ':white_check_mark:' WHEN 'WARNING' THEN ':warning:' ELSE ':no_entry:' END || '  *Deploy risk — ' || v.verdict || '*'
           || CASE WHEN v.verdict = 'BLOCKED' THEN '  _(add `DEPLOY_FORCE=true` to override)_' ELSE '' END AS header,
         '*Risk Score*' || chr(10) || '`[' || repeat('█', score // 5) || repeat('░', 20 - score // 5) || ']`  *' || score || '/100*' AS score_text,
         'Thresholds: green <' || y || '  |  yellow ' || y || '-' || r || '  |  red >' || r AS limits
