@@ -43,23 +43,26 @@ def running_sums(
     Rows must be distinct on (keys, order) for the result to be deterministic.
     """
     keys = list(keys)
-    cut = df.withColumn("_slice", slice_)
-    earlier = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
+    # join columns that are never null, so rows with an unknown key or time stay in
+    parts = [f"_key{i}" for i in range(len(keys))]
+    cut = df.withColumns({
+        **{p: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for p, k in zip(parts, keys)},
+        "_slice": F.coalesce(slice_.cast("long"), F.lit(-(1 << 63)))})
+    earlier = Window.partitionBy(*parts, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
     inside = cut.select(
         "*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_in_{s}") for c, s in values.items()])
-    slices = cut.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_s_{s}") for c, s in values.items()])
-    by_key = Window.partitionBy(*keys)
+    slices = cut.groupBy(*parts, "_slice").agg(*[F.sum(c).alias(f"_s_{s}") for c, s in values.items()])
+    by_key = Window.partitionBy(*parts)
     before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        *keys, "_slice",
+        *parts, "_slice",
         *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in values.values()],
         *[F.sum(f"_s_{s}").over(by_key).alias(f"{s}_total") for s in values.values()])
-    joined = inside.join(offsets, [*keys, "_slice"])
-    out = joined.select(
-        "*", *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in values.values()])
-    hidden = ["_slice"] + [f"_in_{s}" for s in values.values()] + [f"_off_{s}" for s in values.values()]
-    return out.drop(*hidden)
+    joined = inside.join(offsets, [*parts, "_slice"])
+    return joined.select(
+        *df.columns, *[F.col(f"{s}_total") for s in values.values()],
+        *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in values.values()])
 
 
 def with_position(

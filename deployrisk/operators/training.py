@@ -52,7 +52,7 @@ def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int
     rows = spark.read.schema(prepared.schema).parquet(rows_path)
     train_path = sinks.new_table(spark, "training-balanced")
     balanced = balance.balance(rows.filter("NOT held_out"), ["tenant_id"], "build_id")
-    balanced.write.partitionBy("tenant_id").parquet(train_path)
+    balanced.hint("rebalance", "tenant_id").write.partitionBy("tenant_id").parquet(train_path)
     report_path = sinks.new_table(spark, "eligibility")
     report.write.parquet(report_path)
 

@@ -73,6 +73,13 @@ def test_quantiles_with_hot_key(spark):
         assert got[row.k] == pytest.approx(row.m)
 
 
+def test_unknown_keys_and_times_stay_in(spark):
+    rows = [("a", 5, 1), ("a", None, 2), (None, 7, 3), (None, None, 4), (None, 3600 * 9, 5), ("", 1, 6)]
+    df = spark.createDataFrame(rows, "k string, t long, id int")
+    got = {r.id: (r.pos, r.n) for r in with_position(df, ["k"], ["t", "id"]).collect()}
+    assert got == {1: (1, 2), 2: (0, 2), 3: (1, 3), 4: (0, 3), 5: (2, 3), 6: (0, 1)}
+
+
 def test_newest_keeps_few_rows_before_the_shuffle(spark):
     plan = newest(skewed(spark), ["k"], ["t", "id"], 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
