@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deployrisk.session import materialize
+
 #: Words are runs of anything but space and the control characters 9 to 13; ``bytes.split()`` cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -70,3 +72,19 @@ def window_hashes(words: np.ndarray, size: int, seed: int) -> np.ndarray:
 
 def stable_order(*keys: str) -> list[Column]:
     return [F.col(k).asc_nulls_first() for k in keys]
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder, read back.
+
+    The table outlives any executor, so the shuffles behind it are given back as soon as it stands
+    instead of filling the disks until the driver next collects its garbage.
+    """
+    conf = frame.sparkSession.conf
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(frame, name)
+    finally:
+        conf.set(key, before)

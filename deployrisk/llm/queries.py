@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import simhash
+from deployrisk.llm import simhash, substrings
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=2, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+runs AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13),
+keyed AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS s FROM runs),
+firsts AS (SELECT s, min(doc_id) AS f FROM keyed GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 13)) AS i FROM keyed JOIN firsts USING (s) WHERE f < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+marked AS (SELECT words.doc_id, word, words.i, gone.i IS NULL AS stays FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i),
+sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT stays) AS n_removed,
+                coalesce(string_agg(word, ' ' ORDER BY i) FILTER (stays), '') AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id
+"""
+
+
+@query("op2_substring_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=13, seed=5)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))

@@ -27,8 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deployrisk.llm.common import slices, texts_of
-from deployrisk.session import materialize
+from deployrisk.llm.common import slices, texts_of, written
 
 #: First bit and width of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -219,16 +218,16 @@ def links(classes: DataFrame, most: int = 2) -> DataFrame:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) of every node with an edge; the label is the smallest node it reaches."""
-    both = materialize(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))), f"{name}-edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), name)
+    both = written(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))), f"{name}-edges")
+    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), name)
     while True:
         heard = (both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("near")).agg(F.min("label").alias("heard")))
-        heard = materialize(heard, f"{name}-heard")
+        heard = written(heard, f"{name}-heard")
         first = labels.join(heard, labels.node == heard.near).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        first = materialize(first, f"{name}-first")
+        first = written(first, f"{name}-first")
         target = first.select(F.col("node").alias("at"), F.col("label").alias("further"))
         jumped = first.join(target, first.label == target.at).select("node", "old", F.least("label", "further").alias("label"))
-        jumped = materialize(jumped, name)
+        jumped = written(jumped, name)
         labels = jumped.select("node", "label")
         if jumped.filter("label <> old").isEmpty():
             return labels
@@ -236,11 +235,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) of every row; links join fingerprints at most ``most`` bits apart."""
-    found = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = materialize(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
+    found = written(fingerprints(docs, shingle, seed), "fingerprints")
+    classes = written(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
     labels = components(links(classes, most))
     named = classes.join(labels, classes.rep == labels.node, "left").select(
         "fp", F.coalesce("label", "rep").alias("component"))
-    named = materialize(named, "fingerprint-components").withColumnRenamed("fp", "of")
+    named = written(named, "fingerprint-components").withColumnRenamed("fp", "of")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
     return found.join(named, found.fp == named.of, "left").select("doc_id", "fp", component.alias("component_id"))
