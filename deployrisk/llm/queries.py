@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import simhash, substrings
+from deployrisk.llm import simhash, sptokens, substrings, transducer
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +50,18 @@ FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=13, seed=5)
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the checksum of the text decoded from them."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = sptokens.decode(sptokens.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+                          F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"), "parity")
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
