@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import simhash, sptokens, substrings, transducer
+from deployrisk.llm import packing, simhash, sptokens, substrings, tokenstore, transducer
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op3_token_store")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written, found again by key and read back."""
+    documents, path = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    folder = tokenstore.new_folder(spark)
+    listed = tokenstore.write(documents, path, folder, end_id=2)
+    found = tokenstore.look_up(listed.select("doc_id", "number"), folder)
+    back = tokenstore.read(found, folder, path)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
