@@ -56,7 +56,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the checksum of the text decoded from them."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = sptokens.decode(sptokens.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = sptokens.round_trip(table(spark, sf_dir, "documents"), path)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
                           F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"), "parity")
 
