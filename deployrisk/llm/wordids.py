@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import sys
 from array import array
 
@@ -21,6 +22,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: White space as Python sees it, which takes in all that the patterns of the tokenizers call so.
+_MARKS = string.punctuation.replace("'", "")
 _BEFORE_SPACE = re.compile(r"\s ")
 _WORDS_DROPPED = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _LETTERS_CHANGED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -66,23 +68,34 @@ class WordIds(dict):
         """Ids of a word with nothing before it."""
         found = self.heads.get(text)
         if found is None:
-            found = self.whole(text)
-            if len(self.heads) < self.most // 10:
+            found = self.letters(text, "") if self.is_letters(text) else self.whole(text)
+            if len(self.heads) < self.most // 8:
                 self.heads[text] = found
         return found
 
+    @staticmethod
+    def is_letters(text: str) -> bool:
+        """Letters that every version of Unicode knows, each of one lower-case letter."""
+        return text.isalpha() and (text.isascii() or max(text) < "ɐ" and "İ" not in text)
+
+    def letters(self, text: str, before: str) -> bytes:
+        if self.kind == "spaces dropped":
+            text = text.lower()
+        shown = text if text.isascii() else "".join(map(_SHOWN.__getitem__, text.encode()))
+        return self.pack([t.id for t in self.model.tokenize(_SHOWN[32] + shown if before else shown)])
+
     def __missing__(self, word: str | bytes) -> bytes:
         text = word if isinstance(word, str) else word.decode()
-        core = text.rstrip(".,")
-        if not core.isalpha() or not (core.isascii() or max(core) < "ɐ" and "İ" not in core):
-            value = self.whole(self.before + text)
-        elif len(core) < len(text):
-            value = self[core if word is text else core.encode()] + self.head(text[len(core):])
+        core = text.rstrip(_MARKS)
+        if self.is_letters(core):  # then marks are a token of their own, as no contraction begins with one
+            if len(core) < len(text):
+                value = self[core if word is text else core.encode()] + self.head(text[len(core):])
+            else:
+                value = self.letters(core, self.before)
+        elif self.before and "\n" in text and (lines := text.split("\n")) == text.split():
+            value = self.head("\n").join([self[lines[0]], *map(self.head, lines[1:])])  # a single line end stands alone
         else:
-            if not self.before:
-                core = core.lower()
-            shown = core if core.isascii() else "".join(map(_SHOWN.__getitem__, core.encode()))
-            value = self.pack([t.id for t in self.model.tokenize(_SHOWN[32] + shown if self.before else shown)])
+            value = self.whole(self.before + text)
         if len(self) < self.most:
             self[word] = value
         return value

@@ -20,7 +20,7 @@ ALPHABET = " ab e \n\tthinß中üé́😀\0<|endoftext|>0ÀxZ.,'s'reİͅΣẞ\x8
 def test_remembered_words_change_nothing(path, kind, most):
     rng = random.Random(1)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(50))) for _ in range(4000)]
-    texts += ["a <|endoftext|> b", "x<|startoftext|>y", "don't DON'T I'll", "foo,. bar, <|endoftext|>.", "¹²½ ªº café, CAFÉ. é,", "", " ", "a ", " a"]
+    texts += ["a <|endoftext|> b", "x<|startoftext|>y", "don't DON'T I'll", "foo,. bar, <|endoftext|>.", "a.\nB c,\nd\n", "a\n\nb", "x%%%\ny### z|", "\na", "a\n", "it's' 's'", "¹²½ ªº café, CAFÉ. é,", "", " ", "a ", " a"]
     words = WordIds(path, most=most)
     assert words.kind == kind
     library = Tokenizer.from_file(path)
