@@ -88,3 +88,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
         return materialize(frame, name)
     finally:
         conf.set(key, before)
+
+
+def settled(rows: DataFrame, kept: list[str], computed: list[str]) -> DataFrame:
+    """The columns with ``computed`` ones behind a generator.
+
+    A filter on them is then not rewritten in terms of what they are made of, where an array that was built once
+    a row would be built again for every element of another.
+    """
+    return rows.select(*kept, F.inline(F.array(F.struct(*computed))))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import packing, simhash, sptokens, substrings, tokenstore, transducer
+from deployrisk.llm import lines, packing, quality, simhash, sptokens, substrings, tokenstore, transducer
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, text IS NULL AS missing FROM documents),
+every AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+worded AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+runs AS (SELECT doc_id, j, line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w AS s FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+ranked AS (SELECT doc_id, j, row_number() OVER (PARTITION BY s ORDER BY doc_id, j) AS nth FROM runs WHERE s IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, j + unnest(range(0, 3)) AS j FROM ranked WHERE nth > 1),
+dropped AS (SELECT doc_id, i FROM worded JOIN gone USING (doc_id, j)),
+kept AS (SELECT every.doc_id, coalesce(string_agg(line, chr(10) ORDER BY every.i) FILTER (dropped.i IS NULL), '') AS t, count(dropped.i) AS n_removed
+         FROM every LEFT JOIN dropped ON every.doc_id = dropped.doc_id AND every.i = dropped.i GROUP BY every.doc_id),
+counts AS (SELECT doc_id, count(*) AS n_lines FROM worded GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN NOT missing THEN sha256(t) END AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN counts ON d.doc_id = counts.doc_id
+"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.remove_lines(table(spark, sf_dir, "documents"), size=3)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
