@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import lines, packing, quality, simhash, sptokens, substrings, tokenstore, transducer
+from deployrisk.llm import lines, packing, pii, quality, simhash, sptokens, substrings, tokenstore, transducer
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,14 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN counts ON d.doc_id = c
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.remove_lines(table(spark, sf_dir, "documents"), size=3)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    counts = [F.size(F.filter(spans, lambda s: s.kind == F.lit("email"))), F.size(F.filter(spans, lambda s: s.kind == F.lit("ip"))),
+              F.size(F.filter(spans, lambda s: s.kind == F.lit("card"))), F.size(F.filter(spans, lambda s: s.kind == F.lit("phone")))]
+    base = F.filter(spans, lambda s: s.kind.isin(*pii.BASE))
+    return found.select("doc_id", *(c.cast("long").alias(f"n_{k}") for c, k in zip(counts, pii.BASE, strict=True)),
+                        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
