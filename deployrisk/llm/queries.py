@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import lines, packing, pii, quality, simhash, sptokens, substrings, tokenstore, transducer
+from deployrisk.llm import lines, neighbours, packing, pii, quality, simhash, sptokens, substrings, tokenstore, transducer
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(spans, lambda s: s.kind.isin(*pii.BASE))
     return found.select("doc_id", *(c.cast("long").alias(f"n_{k}") for c, k in zip(counts, pii.BASE, strict=True)),
                         F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+@query("op9_one_bit_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each vector whose id is divisible by 50, among all other vectors."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, nearest=5)
