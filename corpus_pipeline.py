@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays; rows without an id stay."""
     found = simhash.near_duplicates(docs, shingle=3, most=2, seed=42)
     first = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct(), "group-firsts")
-    rows = docs.join(first, F.col("doc_id") == F.col("__first"), "left")
+    rows = docs.join(first.hint("merge"), F.col("doc_id") == F.col("__first"), "left")
     return rows.filter("__first is not null or doc_id is null").select(*docs.columns)
 
 

@@ -50,7 +50,8 @@ def remove_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     starts = written(repeated_starts(keyed.filter("doc_id is not null and text is not null"), size), "line-starts")
     starts = starts.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("starts").alias("__starts"))
     rows = docs.select(*own).withColumn("__of", F.xxhash64("text"))
-    rows = rows.join(starts, (F.col("doc_id") == F.col("__id")) & (F.col("__of") == F.col("__tag")), "left")
+    # as the starts grow with the documents, both sides are always dealt by key, whatever their size
+    rows = rows.join(starts.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__of") == F.col("__tag")), "left")
     rows = rows.withColumn("__lines", F.coalesce(_lines(F.col("text").cast("string")), F.array().cast("array<string>")))
     every = lambda column: F.sequence(F.lit(0), F.size(column) - 1)
     worded = F.when(F.size("__lines") > 0, F.filter(every("__lines"), lambda i: F.get("__lines", i).rlike(WORD))).otherwise(F.array().cast("array<int>"))
