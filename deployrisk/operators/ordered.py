@@ -115,9 +115,12 @@ def exact_quantiles(
     value: str,
     quantiles: Mapping[str, float],
     count_as: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, nulls ignored.
 
+    ``weight`` names how often a row's value occurred, for values already counted.
+
     ``percentile`` keeps every distinct value of a key in one task's memory. Here the
     values are first counted (map-side), then placed with :func:`running_sums` and
     only the one or two values a quantile falls on are kept.
@@ -125,7 +128,7 @@ def exact_quantiles(
     keys = list(keys)
     usable = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counts = usable.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     placed = running_sums(counts, keys, value_slice("_v"), ["_v"], {"_c": "_n"})
     last = F.col("_n_total") - 1
 

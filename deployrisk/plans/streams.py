@@ -10,6 +10,7 @@ from deployrisk.operators import health, impute, scoring
 from deployrisk.plans import duck, views
 from deployrisk.plans.registry import Topic
 from deployrisk.plans.scoring import fleet_sql
+from deployrisk.session import materialize
 from deployrisk.streaming import jobs
 
 TOPIC = Topic()
@@ -19,30 +20,26 @@ def event_stream(spark, sf):
     return jobs.file_stream(spark, f"{sf}/events.parquet", jobs.EVENTS)
 
 
-CLOSED_DAY = "date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 30 SECOND"
-
-
 @TOPIC.query("st_label_state", duck.sql("""
-    WITH r AS (SELECT l.*, row_number() OVER (PARTITION BY l.build_id ORDER BY l.observed DESC, l.event_ts DESC, l.seq DESC) AS k
-        FROM label_events l JOIN events e ON e.event_id = l.seq WHERE """ + CLOSED_DAY + """)
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY observed DESC, event_ts DESC, seq DESC) AS k FROM label_events)
     SELECT build_id, label, label_source, sample_weight, observed FROM r WHERE k = 1""", "label_events"))
 def st_label_state(spark, sf):
-    source = event_stream(spark, sf)
-    events = views.label_events(spark, sf, source.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn(
-        "ts", F.timestamp_seconds("event_ts"))
-    closed = jobs.drain(jobs.closed_labels(events, "30 seconds", "1 day"), "label-state")
-    best = F.max_by(F.struct("label", "label_source", "sample_weight", "observed"), F.struct("observed", "event_ts", "seq"))
-    return closed.groupBy("build_id").agg(best.alias("b")).select("build_id", "b.*")
+    events = views.label_events(spark, sf, event_stream(spark, sf))
+    return jobs.merge_labels(jobs.drain_partials(events, jobs.label_partials, "label-state")).drop("event_ts", "seq")
 
 
 @TOPIC.query("st_score_stream", duck.sql(fleet_sql("27") + """
     SELECT build_id, tenant_id, score, CASE WHEN score <= coalesce(threshold_yellow, 40) THEN 'SAFE' WHEN score <= red THEN 'WARNING' ELSE 'BLOCKED' END AS verdict
     FROM s LEFT JOIN tenants USING (tenant_id)""", "builds", "tenants"))
 def st_score_stream(spark, sf):
-    """Arriving orders scored with static settings and medians, appended."""
+    """Arriving orders scored with static settings and medians, appended.
+
+    Lines and medians are written once, so that a micro-batch only joins them.
+    """
     orders = jobs.file_stream(spark, f"{sf}/orders.parquet", jobs.ORDERS)
-    arriving = views.builds(spark, sf, views.build_heads(spark, sf, orders))
-    medians = impute.tenant_medians(views.recent_builds(spark, sf, K.MEDIAN_HISTORY))
+    lines = materialize(views.order_lines(spark, sf), "order-lines")
+    arriving = views.builds(spark, sf, views.build_heads(spark, sf, orders), lines=lines)
+    medians = materialize(impute.tenant_medians(views.recent_builds(spark, sf, K.MEDIAN_HISTORY)), "medians")
     filled = impute.impute_serving(arriving, medians, F.col("hour_of_day"), F.col("day_of_week"))
     settled = scoring.with_settings(filled, views.tenants(spark, sf))
     scored = scoring.score_rows(settled, S.rule_risk(), F.col("threshold_yellow"), F.col("threshold_red"))
@@ -56,7 +53,7 @@ OK_SQL = "coalesce(status >= 200 AND status < 400, false)"
     WITH b AS (SELECT deploy_id, quantile_cont(latency_ms, 0.5) AS baseline_p50 FROM probes WHERE phase = 'baseline' AND {OK_SQL} GROUP BY deploy_id),
     w AS (SELECT deploy_id, count(*) AS total, count(*) FILTER (WHERE NOT {OK_SQL}) AS errors,
         quantile_cont(latency_ms, 0.5) FILTER (WHERE {OK_SQL}) AS p50, quantile_cont(latency_ms, 0.95) FILTER (WHERE {OK_SQL}) AS p95
-      FROM probes WHERE {CLOSED_DAY} GROUP BY deploy_id)
+      FROM probes GROUP BY deploy_id)
     SELECT deploy_id, total, errors, coalesce(p50, 0) AS latency_p50, coalesce(p95, 0) AS latency_p95, baseline_p50,
         CASE WHEN errors / CAST(total AS DOUBLE) > 0.2::DOUBLE OR coalesce(baseline_p50 > 0 AND p50 > 2 * baseline_p50, false) THEN 'DEGRADED' ELSE 'HEALTHY' END AS verdict
     FROM w LEFT JOIN b USING (deploy_id)""", "probes"))
@@ -64,19 +61,19 @@ def st_health_window(spark, sf):
     """A window per deploy and day (the sample events are sparse)."""
     baselines = health.baseline(health.with_ok(views.probes(spark, sf)).filter("phase = 'baseline'"))
     probes = views.probes(spark, sf, event_stream(spark, sf))
-    reports = jobs.health_windows(probes, baselines, window="1 day")
-    return jobs.drain(reports, "health").select(
+    parts = jobs.drain_partials(probes, lambda batch: jobs.health_partials(batch, "1 day"), "health")
+    return jobs.merge_health(parts, baselines).select(
         "deploy_id", "total", "errors", "latency_p50", "latency_p95", "baseline_p50", "verdict")
 
 
 @TOPIC.query("st_rate_limit", duck.sql("""
     SELECT 'k:' || substr(sha256(api_key), 1, 32) AS limiter_key, CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, count(*) AS requests
-    FROM access_log WHERE """ + CLOSED_DAY + """ GROUP BY ALL HAVING count(*) > 4""", "access_log"))
+    FROM access_log GROUP BY ALL HAVING count(*) > 4""", "access_log"))
 def st_rate_limit(spark, sf):
     """Day windows with a limit of four, as the sample log is sparse; the default is 120 a minute."""
     log = views.access_log(spark, sf, event_stream(spark, sf))
-    over = jobs.over_limit(log, jobs.limiter_key(), window="1 day", limit=4)
-    return jobs.drain(over, "over-limit").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    parts = jobs.drain_partials(log, lambda batch: jobs.request_partials(batch, jobs.limiter_key(), "1 day"), "over-limit")
+    return jobs.merge_over_limit(parts, 4).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @TOPIC.query("rate_limit_batch", duck.sql("""
@@ -87,23 +84,18 @@ def rate_limit_batch(spark, sf):
     return over.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@TOPIC.query("st_actor_count", duck.sql("""
-    SELECT tenant_id, actor, count(*) AS builds FROM heads
-    WHERE date_trunc('day', to_timestamp(timestamp) AT TIME ZONE 'UTC') + INTERVAL 1 DAY <= (SELECT to_timestamp(max(timestamp)) AT TIME ZONE 'UTC' FROM heads)
-    GROUP BY ALL""", "heads"))
+@TOPIC.query("st_actor_count", duck.sql("SELECT tenant_id, actor, count(*) AS builds FROM heads GROUP BY ALL", "heads"))
 def st_actor_count(spark, sf):
     orders = jobs.file_stream(spark, f"{sf}/orders.parquet", jobs.ORDERS)
-    heads = views.build_heads(spark, sf, orders).withColumn("ts", F.timestamp_seconds("timestamp"))
-    parts = jobs.drain(jobs.actor_increments(heads, "0 seconds", "1 day"), "actor-builds")
-    return parts.groupBy("tenant_id", "actor").agg(F.sum("builds").alias("builds"))
+    return jobs.merge_actors(jobs.drain_partials(views.build_heads(spark, sf, orders), jobs.actor_partials, "actor-builds"))
 
 
 @TOPIC.query("st_access_metrics", duck.sql("""
     SELECT endpoint, status, CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, count(*) AS requests, sum(seconds) AS seconds,
         count(*) FILTER (WHERE seconds <= 0.1::DOUBLE) AS le_0_1, count(*) FILTER (WHERE seconds <= 1.0::DOUBLE) AS le_1_0
-    FROM access_log WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 SECOND GROUP BY ALL""", "access_log"))
+    FROM access_log GROUP BY ALL""", "access_log"))
 def st_access_metrics(spark, sf):
     log = views.access_log(spark, sf, event_stream(spark, sf))
-    return jobs.drain(jobs.access_metrics(log), "access").select(
+    return jobs.merge_access(jobs.drain_partials(log, jobs.access_partials, "access")).select(
         "endpoint", "status", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests",
         "seconds", "le_0_1", "le_1_0")

@@ -1,12 +1,15 @@
 """Structured Streaming jobs: scoring, labels, health windows, limits and counters.
 
-Every job only appends. Running values (a label, a counter) are emitted as one partial
-result per closed window that later rows can be merged with, so nothing is rewritten and
-a restarted job continues from its checkpoint without repeating output.
+Rows are never dropped for being late, and no window has to close. Every micro-batch is
+reduced to partial results (a winning label, counts, counts per latency) in a folder named
+by the batch, so a restarted job writes the same folder again. Partial results are merged
+when they are read, in any order: labels by rank, counts by addition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +17,7 @@ from pyspark.sql import types as T
 from deployrisk import contract as K
 from deployrisk.functions import labels as L
 from deployrisk.functions import scalars as S
-from deployrisk.operators import health
+from deployrisk.operators import health, ordered
 from deployrisk.session import scratch_path
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -44,56 +47,98 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def closed_labels(events: DataFrame, delay: str, window: str) -> DataFrame:
-    """The winning label event per build and closed window.
+def drain_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Write ``partial`` of every micro-batch and read all of them back, still unmerged."""
+    spark = stream.sparkSession
+    out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{out}/batch_id=-1")  # readable without any batch
+    return spark.read.schema(schema).parquet(out).select(*schema.names)
 
-    ``events`` has ``ts``, ``build_id``, ``label``, ``raw_source`` and ``seq``.
-    """
-    rank = F.struct("observed", "event_ts", "seq")
-    fields = F.struct("label", "label_source", "sample_weight", "observed", "event_ts", "seq")
-    described = (events.withColumn("label_source", L.normalise(F.col("raw_source")))
-                 .withColumn("sample_weight", L.weight(F.col("raw_source")))
-                 .withColumn("observed", L.observed(F.col("raw_source"))))
-    return (described.withWatermark("ts", delay).groupBy(F.window("ts", window), "build_id")
-            .agg(F.max_by(fields, rank).alias("best")).select("build_id", F.col("window.end").alias("closed"), "best.*"))
 
+LABEL_FIELDS = ("label", "label_source", "sample_weight", "observed", "event_ts", "seq")
 
-def health_windows(probes: DataFrame, baselines: DataFrame, delay: str = "30 seconds",
-                   window: str = f"{health.WINDOW_SECONDS} seconds") -> DataFrame:
-    """A health report per deploy and closed watch window.
 
-    The window's exact percentile keeps its latencies in state, so windows stay short.
+def _best_label(events: DataFrame) -> DataFrame:
+    best = F.max_by(F.struct(*LABEL_FIELDS), F.struct("observed", "event_ts", "seq"))
+    return events.groupBy("build_id").agg(best.alias("best")).select("build_id", "best.*")
+
+
+def label_partials(events: DataFrame) -> DataFrame:
+    """The winning label event per build in a batch.
+
+    ``events`` has ``build_id``, ``label``, ``raw_source``, ``event_ts`` and ``seq``.
     """
-    ok = health.probe_ok(F.col("status"))
-    counted = (probes.withWatermark("ts", delay).groupBy(F.window("ts", window), "deploy_id").agg(
-        F.count(F.lit(1)).alias("total"), F.sum((~ok).cast("long")).alias("errors"),
-        F.percentile(F.when(ok, F.col("latency_ms")), F.lit(0.5)).alias("p50"),
-        F.percentile(F.when(ok, F.col("latency_ms")), F.lit(0.95)).alias("p95")))
-    joined = counted.join(baselines, "deploy_id", "left").withColumn("window_start", F.col("window.start")).drop("window")
-    return health.judge(joined)
+    return _best_label(events.withColumn("label_source", L.normalise(F.col("raw_source")))
+                       .withColumn("sample_weight", L.weight(F.col("raw_source")))
+                       .withColumn("observed", L.observed(F.col("raw_source"))))
+
+
+def merge_labels(parts: DataFrame) -> DataFrame:
+    return _best_label(parts)
+
+
+def window_start(ts: str, window: str) -> Column:
+    return F.window(ts, window)["start"]
 
 
-def over_limit(log: DataFrame, key: Column, delay: str = "30 seconds", window: str = "1 minute",
-               limit: int = K.RATE_LIMIT_PER_MINUTE) -> DataFrame:
+def health_partials(probes: DataFrame, window: str = f"{health.WINDOW_SECONDS} seconds") -> DataFrame:
+    """How often each latency was measured per deploy, watch window and success."""
+    return (health.with_ok(probes).groupBy("deploy_id", window_start("ts", window).alias("window_start"), "ok", "latency_ms")
+            .agg(F.count(F.lit(1)).alias("probes")))
+
+
+def merge_health(parts: DataFrame, baselines: DataFrame) -> DataFrame:
+    """A health report per deploy and watch window; percentiles come from the counts."""
+    keys = ["deploy_id", "window_start"]
+    counted = parts.groupBy(*keys).agg(F.sum("probes").alias("total"), F.sum(F.when(~F.col("ok"), F.col("probes")).otherwise(0)).alias("errors"))
+    latency = ordered.exact_quantiles(parts.filter("ok"), keys, "latency_ms", {"p50": 0.5, "p95": 0.95}, weight="probes")
+    return health.judge(counted.join(latency, keys, "left").join(baselines, "deploy_id", "left"))
+
+
+def request_partials(log: DataFrame, key: Column, window: str = "1 minute") -> DataFrame:
+    return (log.groupBy(key.alias("limiter_key"), window_start("ts", window).alias("window_start"))
+            .agg(F.count(F.lit(1)).alias("requests")))
+
+
+def merge_over_limit(parts: DataFrame, limit: int = K.RATE_LIMIT_PER_MINUTE) -> DataFrame:
     """Keys with more requests than allowed in a fixed window."""
-    return (log.withWatermark("ts", delay).groupBy(F.window("ts", window), key.alias("limiter_key"))
-            .agg(F.count(F.lit(1)).alias("requests")).filter(F.col("requests") > limit)
-            .select("limiter_key", F.col("window.start").alias("window_start"), "requests"))
+    return parts.groupBy("limiter_key", "window_start").agg(F.sum("requests").alias("requests")).filter(F.col("requests") > limit)
+
+
+def over_limit(log: DataFrame, key: Column, window: str = "1 minute", limit: int = K.RATE_LIMIT_PER_MINUTE) -> DataFrame:
+    """The same for a log that is complete."""
+    return merge_over_limit(request_partials(log, key, window), limit)
+
+
+def actor_partials(builds: DataFrame) -> DataFrame:
+    return builds.groupBy("tenant_id", "actor").agg(F.count(F.lit(1)).alias("builds"))
+
+
+def merge_actors(parts: DataFrame) -> DataFrame:
+    """Builds per tenant and actor."""
+    return parts.groupBy("tenant_id", "actor").agg(F.sum("builds").alias("builds"))
+
+
+LATENCY_COUNTS = ["le_" + str(b).replace(".", "_") for b in K.LATENCY_BOUNDS]
+ACCESS_KEYS = ["endpoint", "status", "window_start"]
 
 
-def actor_increments(builds: DataFrame, delay: str, window: str) -> DataFrame:
-    """Builds per tenant and actor in each closed window; their sum is the counter."""
-    return (builds.withWatermark("ts", delay).groupBy(F.window("ts", window), "tenant_id", "actor")
-            .agg(F.count(F.lit(1)).alias("builds"))
-            .select("tenant_id", "actor", F.col("window.start").alias("window_start"), "builds"))
+def access_partials(log: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Request counts and latency buckets per endpoint, status and window."""
+    counts = [F.count(F.when(F.col("seconds") <= b, 1)).alias(n) for b, n in zip(K.LATENCY_BOUNDS, LATENCY_COUNTS, strict=True)]
+    return log.groupBy("endpoint", "status", window_start("ts", window).alias("window_start")).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum("seconds").alias("seconds"), *counts)
 
 
-def access_metrics(log: DataFrame, delay: str = "30 seconds", window: str = "1 hour") -> DataFrame:
-    """Request counts and latency buckets per endpoint, status and closed window."""
-    return (log.withWatermark("ts", delay).groupBy(F.window("ts", window), "endpoint", "status").agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("seconds").alias("seconds"),
-        *[F.count(F.when(F.col("seconds") <= b, 1)).alias("le_" + str(b).replace(".", "_")) for b in K.LATENCY_BOUNDS])
-        .withColumn("window_start", F.col("window.start")).drop("window"))
+def merge_access(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*ACCESS_KEYS).agg(*[F.sum(c).alias(c) for c in ("requests", "seconds", *LATENCY_COUNTS)])
 
 
 def limiter_key() -> Column:
