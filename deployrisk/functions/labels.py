@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from deployrisk import contract as K
 from deployrisk.functions.scalars import lookup
+from deployrisk.functions.text import strip
 
 
 def normalise(source: Column) -> Column:
     """Canonical source name; unknown names pass through, empty means manual."""
-    name = F.lower(F.trim(F.coalesce(source, F.lit(""))))
+    name = F.lower(strip(F.coalesce(source, F.lit(""))))
     return F.when(name == "", K.DEFAULT_LABEL_SOURCE).otherwise(
         F.coalesce(lookup(K.LABEL_ALIASES, name), name))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
+from deployrisk.functions.text import strip
 
 
 def lookup(values: Mapping[str, object], key: Column) -> Column:
@@ -113,8 +114,16 @@ def _percent(value: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Fractional number as text with up to four decimals, at least one."""
-    return F.regexp_replace(F.format_string("%.4f", value), r"(\.\d+?)0+$", "$1")
+    """A fractional number in its shortest form: at least one decimal, an exponent below 0.0001 and from 1e16 on."""
+    size, plain = F.abs(value), value.cast("string")
+    digits = plain.cast("decimal(38, 18)").cast("string")
+    written = F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", ".0")
+    short = F.regexp_replace(plain, r"\.0E", "E")
+    power = F.regexp_extract(short, r"E-?(\d+)$", 1)
+    exponent = F.concat(F.regexp_extract(short, "^[^E]+", 0), F.lit("e"), F.when(short.contains("E-"), "-").otherwise("+"),
+                        F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+    return (F.when(plain.isNull() | (value == 0) | ((size >= 1e-3) & (size < 1e7)) | F.isnan(value), plain)
+            .when((size < 1e-4) | (size >= 1e16), exponent).otherwise(written))
 
 
 def value_texts() -> dict[str, Column]:
@@ -205,13 +214,13 @@ def number(text: Column) -> Column:
 
 def clean_count(raw: Column) -> Column:
     """Text to a whole non-negative count; empty, NaN, infinite and junk become null."""
-    value = number(F.trim(raw))
+    value = number(strip(raw))
     return F.when(value.isNotNull(), F.greatest(F.lit(0), value.try_cast("int")))
 
 
 def epoch_seconds(value: Column) -> Column:
     """ISO-8601 or numeric text to epoch seconds, null when neither."""
-    text = F.trim(value)
+    text = strip(value)
     zoned = F.regexp_replace(text, r"Z$", "+00:00")
     zoned = F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2")
     stamped = F.when(zoned.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?[+-]\d\d:\d\d$"),
@@ -236,7 +245,7 @@ def limiter_key(api_key: Column, forwarded_for: Column, path: Column | None = No
                 ops_paths: Sequence[str] = ()) -> Column:
     """Rate-limit identity: hashed key, else the first forwarded address."""
     by_key = F.concat(F.lit("k:"), F.substring(F.sha2(api_key, 256), 1, 32))
-    by_ip = F.concat(F.lit("ip:"), F.trim(F.element_at(F.split(F.coalesce(forwarded_for, F.lit("?")), ","), 1)))
+    by_ip = F.concat(F.lit("ip:"), strip(F.element_at(F.split(F.coalesce(forwarded_for, F.lit("?")), ","), 1)))
     chosen = F.when(F.length(F.coalesce(api_key, F.lit(""))) > 0, by_key).otherwise(by_ip)
     if path is not None and ops_paths:
         chosen = F.when(path.isin(*ops_paths), F.lit("ops")).otherwise(chosen)

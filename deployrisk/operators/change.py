@@ -56,10 +56,13 @@ def is_comment(stripped: Column) -> Column:
 
 
 def diff_files(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """One row per file of each diff: path, added and removed lines, hunks."""
+    """One row per file of each diff: path, added and removed lines, hunks.
+
+    A change without files has one row of nulls, so that it is not lost.
+    """
     unix = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), LINE_BREAKS, "\n")
     chunks = F.slice(F.split(unix, r"(?md)^diff --git"), 2, 2147483646)
-    files = df.select(*keys, F.posexplode(chunks).alias("file_no", "_chunk"))
+    files = df.select(*keys, F.posexplode_outer(chunks).alias("file_no", "_chunk"))
     lines = F.split("_chunk", "\n", -1)
     cut = files.select(*keys, "file_no", lines.alias("_lines"))
     head = F.concat(F.lit("diff --git"), F.get("_lines", F.lit(0)))
@@ -129,17 +132,18 @@ def line_measures(files: DataFrame) -> DataFrame:
 def structure(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Structural features per change from measured and classified files."""
     comments, code = F.sum("comment_lines"), F.sum("code_lines")
+    none = lambda value: F.coalesce(value, F.lit(0))  # noqa: E731  a change without files has zeros
     return files.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum("complexity").alias("added_complexity"),
-        F.max("nesting").alias("max_nesting_depth"),
-        F.sum("decls_added").alias("decls_added"),
-        F.sum("decls_removed").alias("decls_removed"),
-        F.sum(F.size("hunks")).alias("hunk_count"),
-        F.coalesce(F.max(F.array_max(F.transform("hunks", lambda h: h["length"]))), F.lit(0)).alias("max_hunk_size"),
-        F.round(comments / F.greatest(F.lit(1), comments + code), 4).alias("comment_ratio"),
-        F.round(F.avg(F.col("is_test").cast("int")), 4).alias("test_file_ratio"),
-        F.round(F.avg(F.col("is_config").cast("int")), 4).alias("config_file_ratio"),
-        F.countDistinct("language").alias("languages_touched"),
+        F.count("file_no").alias("files"),
+        none(F.sum("complexity")).alias("added_complexity"),
+        none(F.max("nesting")).alias("max_nesting_depth"),
+        none(F.sum("decls_added")).alias("decls_added"),
+        none(F.sum("decls_removed")).alias("decls_removed"),
+        none(F.sum(F.size("hunks"))).alias("hunk_count"),
+        none(F.max(F.array_max(F.transform("hunks", lambda h: h["length"])))).alias("max_hunk_size"),
+        none(F.round(comments / F.greatest(F.lit(1), comments + code), 4)).alias("comment_ratio"),
+        none(F.round(F.avg(F.col("is_test").cast("int")), 4)).alias("test_file_ratio"),
+        none(F.round(F.avg(F.when(F.col("file_no").isNotNull(), F.col("is_config").cast("int"))), 4)).alias("config_file_ratio"),
+        F.countDistinct(F.when(F.col("file_no").isNotNull(), F.col("language"))).alias("languages_touched"),
         # a fixed list of languages bounds this set
-        F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("file_no").isNotNull(), F.col("language")))), ",").alias("languages"))

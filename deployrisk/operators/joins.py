@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
+from deployrisk.functions.text import strip
 
 
 def authenticate(requests: DataFrame, tenants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by the hash of the trimmed key; ``demo`` needs no key."""
-    keyed = requests.withColumn("_hash", F.sha2(F.trim("api_key"), 256)).withColumn(
+    keyed = requests.withColumn("_hash", F.sha2(strip("api_key"), 256)).withColumn(
         "_given", (F.length(F.coalesce("tenant_id", F.lit(""))) > 0) & (F.length(F.coalesce("api_key", F.lit(""))) > 0))
     known = tenants.select("tenant_id", F.col("api_key_hash").alias("_stored"))
     checked = keyed.join(known, "tenant_id", "left").withColumn(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,13 +79,16 @@ def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int
             scored.select("build_id", "p", "p_old", F.col("label").alias("y"), importances.alias("importances")
                           ).write.parquet(f"{predicted_path}/tenant_id={tenant}")
         except Exception as error:  # recorded, never stops the others
-            spark.createDataFrame([(str(error)[:500],)], "reason string").write.parquet(
+            spark.createDataFrame([(str(error),)], "reason string").write.parquet(
                 f"{failures_path}/tenant_id={tenant}")
 
     tenants = (r.tenant_id for r in spark.read.parquet(report_path).filter("eligible").select("tenant_id").toLocalIterator())
     with ThreadPoolExecutor(pool) as threads:
-        for _ in threads.map(one, tenants):
-            pass
+        running: set[Future] = set()
+        for tenant in tenants:  # names come in as threads free up
+            if len(running) >= 2 * pool:
+                running = wait(running, return_when=FIRST_COMPLETED).not_done
+            running.add(threads.submit(one, tenant))
     return {"report": report_path, "models": models_root, "predictions": predicted_path,
             "failures": failures_path, "rows": rows_path}
 

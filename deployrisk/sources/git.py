@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deployrisk.functions.text import strip
+
 
 def numstat_text_counts(df: DataFrame, text: str) -> DataFrame:
     """Churn and file count from a numstat text, computed inside the row.
@@ -26,14 +28,14 @@ def numstat_text_counts(df: DataFrame, text: str) -> DataFrame:
 
 def diffstat_numbers(text: Column) -> Column:
     """The whole-number words of a diff-stat line."""
-    words = F.split(F.trim(F.regexp_replace(text, ",", "")), r"\s+")
+    words = F.split(strip(F.regexp_replace(text, ",", "")), r"\s+")
     return F.transform(F.filter(words, lambda w: w.rlike(r"^\d+$")), lambda w: w.cast("int"))
 
 
 def diffstat_churn(text: Column, files_hint: Column) -> Column:
     """Insertions plus deletions, at least 1; twenty lines per file when unreadable."""
     numbers = diffstat_numbers(text)
-    total = F.aggregate(F.slice(numbers, 2, 1000), F.lit(0), lambda a, b: a + b)
+    total = F.aggregate(F.slice(numbers, 2, 2147483646), F.lit(0), lambda a, b: a + b)
     return F.when(F.size(numbers) >= 2, F.greatest(F.lit(1), total)).otherwise(
         F.greatest(F.lit(1), files_hint * 20))
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deployrisk.functions.scalars import number
+from deployrisk.functions.text import strip
 
-# report locations, directories to leave out, files per build (fixed values)
+# report locations and directories to leave out (fixed values)
 GLOBS = [
     "**/junit*.xml",
     "**/TEST-*.xml",
@@ -22,7 +23,6 @@ GLOBS = [
 ]
 SKIPPED = ["node_modules", ".venv", "venv", ".git", "site-packages",
            ".tox", "dist", "build/tmp", ".mypy_cache", ".pytest_cache"]
-MAX_FILES = 200
 
 
 def glob_pattern(globs: Sequence[str] = GLOBS) -> str:
@@ -36,11 +36,11 @@ def glob_pattern(globs: Sequence[str] = GLOBS) -> str:
 
 
 def discover(spark: SparkSession, root: str, build: Column, globs: Sequence[str] = GLOBS,
-             max_files: int = MAX_FILES) -> DataFrame:
+             max_files: int | None = None) -> DataFrame:
     """Report files below ``root``: build, path, modification time and text.
 
-    ``build`` reads the build's name from ``path``. Only listings are ranked; the file
-    bodies are read after the newest ``max_files`` per build are known.
+    ``build`` reads the build's name from ``path``. All files are taken in one pass; a
+    number in ``max_files`` keeps a build's newest ones, ranked on listings alone.
     """
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.xml").load(root))
@@ -48,6 +48,8 @@ def discover(spark: SparkSession, root: str, build: Column, globs: Sequence[str]
     kept = found.withColumn("_below", below).filter(F.col("_below").rlike(glob_pattern(globs)))
     for word in SKIPPED:
         kept = kept.filter(~F.col("_below").contains(word))
+    if max_files is None:
+        return kept.select(build.alias("build"), "path", "modificationTime", F.col("content").cast("string").alias("xml"))
     listing = kept.select(build.alias("build"), "path", "modificationTime")
     newest = Window.partitionBy("build").orderBy(F.col("modificationTime").desc(), "path")
     chosen = listing.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= max_files).drop("_r")
@@ -65,29 +67,35 @@ def suite_counts(df: DataFrame, xml: str) -> DataFrame:
     # PERMISSIVE keeps the job alive; the corrupt-record field is filled for broken text
     checked = F.from_xml(F.col(xml), "struct<_corrupt_record:string,_any:string>",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    tags = F.regexp_extract_all(text, F.lit(r"<((?:[\w.-]+:)?[A-Za-z][\w.-]*(?:\s[^<>]*)?)/?>"), F.lit(1))
-    rows = df.withColumn("_ok", checked["_corrupt_record"].isNull()).withColumn("_tags", tags)
-
-    pattern = r"\s([\w:.-]+)\s*=\s*[\"']([^\"']*)[\"']"
+    # suites only, up to the ">" that is not inside quotes
+    quoted = r"\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"
+    suite = r"<((?:[\w.-]+:)?(?i:testsuites?)(?:" + quoted + r")*)\s*/?>"
+    rows = df.withColumn("_ok", checked["_corrupt_record"].isNull()).withColumn("_tags", F.regexp_extract_all(text, F.lit(suite), F.lit(1)))
+    pattern = r"\s([\w:.-]+)\s*=\s*(\"[^\"]*\"|'[^']*')"
+
+    def plain(value: Column) -> Column:
+        """A quoted number with its character references resolved."""
+        inner = F.substring(value, F.lit(2), F.length(value) - 2)
+        resolved = inner
+        for digit in "0123456789.":
+            resolved = F.regexp_replace(resolved, f"&#(?:0*{ord(digit)}|[xX]0*{ord(digit):x});", digit)
+        return F.when(inner.contains("&"), resolved).otherwise(inner)
 
     def open_tag(tag: Column) -> Column:
         names, values = (F.regexp_extract_all(tag, F.lit(pattern), F.lit(g)) for g in (1, 2))
         return F.struct(F.lower(F.regexp_extract(tag, r"^(?:[\w.-]+:)?([\w.-]+)", 1)).alias("kind"),
-                        F.map_from_arrays(names, values).alias("attributes"))
+                        F.map_from_arrays(names, F.transform(values, plain)).alias("attributes"))
 
     def read(tag: Column) -> Column:
         def value(*names: str) -> Column:
-            found = [number(F.trim(F.element_at(tag["attributes"], n))).try_cast("int") for n in names]
+            found = [number(strip(F.element_at(tag["attributes"], n))).try_cast("int") for n in names]
             return F.coalesce(*found, F.lit(0))
 
         return F.struct(tag["kind"].alias("kind"), value("tests").alias("tests"), value("failures").alias("failures"),
                         value("errors").alias("errors"), value("skipped", "skip", "disabled").alias("skipped"))
 
-    # suites only: a report's many test cases are dropped by the first look at the tag
-    is_suite = lambda t: t.rlike(r"^(?:[\w.-]+:)?(?i:testsuites?)(?:\s|/|$)")
-    root_is_suite = is_suite(F.get("_tags", F.lit(0)))
-    parsed = rows.withColumn("_all", F.when(F.col("_ok") & root_is_suite, F.transform(
-        F.transform(F.filter("_tags", is_suite), open_tag), read)))
+    root_is_suite = text.rlike(r"^\s*<(?:[\w.-]+:)?(?i:testsuites?)(?:[\s/>])")
+    parsed = rows.withColumn("_all", F.when(F.col("_ok") & root_is_suite, F.transform(F.transform("_tags", open_tag), read)))
     names = ["tests", "failures", "errors", "skipped"]
     zero = F.struct(*[F.lit(0).alias(c) for c in names])
     below = F.filter(F.slice("_all", 2, 2147483646), lambda s: s["kind"] == "testsuite")
