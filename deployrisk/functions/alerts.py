@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # colours, icons and notes per verdict (fixed values)
 COLOURS = {"SAFE": "#2eb886", "WARNING": "#f2c744", "BLOCKED": "#e01e5a"}
 ICONS = {"SAFE": ":white_check_mark:", "WARNING": ":warning:", "BLOCKED": ":no_entry:"}
+UNKNOWN_COLOUR, UNKNOWN_ICON = "#cccccc", ":question:"
 TITLE = "Deploy risk"
 PHASE_NOTES = {
     "tenant": "Personalised model (trained on your builds)",
@@ -20,11 +21,17 @@ def score_bar(score: Column) -> Column:
     return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(20) - filled))
 
 
+def _by_verdict(verdict: Column, values: dict[str, str], other: str) -> Column:
+    found = F.when(F.lit(False), F.lit(other))
+    for name, value in values.items():
+        found = found.when(verdict == name, F.lit(value))
+    return found.otherwise(F.lit(other))
+
+
 def score_payload(job: Column, number: Column, score: Column, verdict: Column, phase: Column, reasons: Column,
                   yellow: Column, red: Column, title: str = TITLE) -> Column:
     """JSON message for one scored build. ``reasons`` is an array of (label, value_str)."""
-    colour = F.when(verdict == "SAFE", COLOURS["SAFE"]).when(verdict == "WARNING", COLOURS["WARNING"]).otherwise(COLOURS["BLOCKED"])
-    icon = F.when(verdict == "SAFE", ICONS["SAFE"]).when(verdict == "WARNING", ICONS["WARNING"]).otherwise(ICONS["BLOCKED"])
+    colour, icon = _by_verdict(verdict, COLOURS, UNKNOWN_COLOUR), _by_verdict(verdict, ICONS, UNKNOWN_ICON)
     header = F.concat(icon, F.lit(f"  *{title} — "), verdict, F.lit("*"), F.when(
         verdict == "BLOCKED", "  _(add `DEPLOY_FORCE=true` to override)_").otherwise(""))
     numbered = F.transform(F.slice(reasons, 1, 3), lambda r, i: F.concat(

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deployrisk import contract as K
 from deployrisk.functions.text import strip
@@ -241,6 +242,26 @@ def redact_map(m: Column) -> Column:
     return F.transform_values(m, lambda k, v: F.when(sensitive_key(k), F.lit("[REDACTED]")).otherwise(v))
 
 
+def redact(value: Column, kind: T.DataType) -> Column:
+    """Values under credential-looking names replaced at every depth of maps, lists and structs.
+
+    What a sensitive map key or field names becomes the mark if it is text and null otherwise, as a
+    column keeps its type.
+    """
+    def mark(inner: T.DataType) -> Column:
+        return F.lit("[REDACTED]") if isinstance(inner, T.StringType) else F.lit(None).cast(inner)
+
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, v: F.when(sensitive_key(k), mark(kind.valueType)).otherwise(redact(v, kind.valueType)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: redact(v, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [(mark(f.dataType) if any(w in f.name.lower() for w in K.CREDENTIAL_WORDS) else redact(value[f.name], f.dataType)).alias(f.name)
+                  for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def limiter_key(api_key: Column, forwarded_for: Column, path: Column | None = None,
                 ops_paths: Sequence[str] = ()) -> Column:
     """Rate-limit identity: hashed key, else the first forwarded address."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
+from deployrisk.functions import alerts
 from deployrisk.operators import drift, metrics
 from deployrisk.plans import duck, views
 from deployrisk.plans.registry import Topic
@@ -226,3 +227,16 @@ def drift_pvalue(spark, sf):
     SELECT tenant_id, builds, drifted_features, verdict FROM verdicts""", "builds"))
 def drift_verdict(spark, sf):
     return drift.verdicts(views.recent_builds(spark, sf, 2 * K.DRIFT_RUN), heads=views.build_heads(spark, sf))
+
+
+@TOPIC.query("alert_drift", duck.sql(DRIFT_SQL + """
+    SELECT tenant_id, ':chart_with_upwards_trend: *Deploy risk — Feature Drift Detected*' || chr(10) || 'Tenant `' || tenant_id
+        || '` — build patterns have shifted.' || chr(10) || 'Drifted features:' AS head, drifted_features AS lines
+    FROM verdicts WHERE verdict = 'drifted'""", "builds"))
+def alert_drift(spark, sf):
+    """A message for each drifted tenant: its first lines, and how many features it lists."""
+    found = drift.reports(views.recent_builds(spark, sf, 2 * K.DRIFT_RUN), heads=views.build_heads(spark, sf)).filter("verdict = 'drifted'")
+    text = alerts.drift_text(F.col("tenant_id"), F.col("features"))
+    made = found.select("tenant_id", "drifted_features", text.alias("text"))
+    listed = F.size(F.filter(F.split("text", "\n"), lambda line: line.startswith("  • "))).cast("long")
+    return made.select("tenant_id", F.substring_index("text", "\n", 3).alias("head"), listed.alias("lines"))

@@ -189,12 +189,18 @@ def dq_median_drift(spark, sf):
 
 @TOPIC.query("redact", """
     SELECT event_id, '[REDACTED]' AS "API_Key", event_type AS endpoint, '[REDACTED]' AS slack_webhook_url,
-        '[REDACTED]' AS nested_token, props AS nested_props FROM events""")
+        '[REDACTED]' AS nested_token, props AS nested_props, '[REDACTED]' AS listed_password, event_type AS listed_kind FROM events""")
 def redact(spark, sf):
+    """A log entry with maps inside a list inside a struct."""
     flat = F.create_map(F.lit("API_Key"), F.concat(F.lit("k"), F.col("user_id")), F.lit("endpoint"), F.col("event_type"),
                         F.lit("slack_webhook_url"), F.lit("https://hooks.example"))
     nested = F.create_map(F.lit("session-token"), F.col("user_id").cast("string"), F.lit("props"), F.col("props"))
-    clean = views.events(spark, sf).select("event_id", S.redact_map(flat).alias("m"), S.redact_map(nested).alias("inner"))
-    return clean.select("event_id", F.col("m")["API_Key"].alias("API_Key"), F.col("m")["endpoint"].alias("endpoint"),
-                        F.col("m")["slack_webhook_url"].alias("slack_webhook_url"),
-                        F.col("inner")["session-token"].alias("nested_token"), F.col("inner")["props"].alias("nested_props"))
+    entry = F.struct(flat.alias("head"), nested.alias("body"), F.array(F.struct(
+        F.create_map(F.lit("deep"), F.struct(F.lit("x").alias("password"), F.col("event_type").alias("kind"))).alias("inner"))).alias("list"))
+    made = views.events(spark, sf).select("event_id", entry.alias("entry"))
+    clean = made.select("event_id", S.redact(F.col("entry"), made.schema["entry"].dataType).alias("e"))
+    inner = F.col("e.list")[0]["inner"]["deep"]
+    return clean.select(
+        "event_id", F.col("e.head")["API_Key"].alias("API_Key"), F.col("e.head")["endpoint"].alias("endpoint"),
+        F.col("e.head")["slack_webhook_url"].alias("slack_webhook_url"), F.col("e.body")["session-token"].alias("nested_token"),
+        F.col("e.body")["props"].alias("nested_props"), inner["password"].alias("listed_password"), inner["kind"].alias("listed_kind"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from deployrisk import sinks
+from deployrisk.functions import alerts
 from deployrisk.operators import health
 from deployrisk.plans import duck, views
 from deployrisk.plans.registry import Topic
@@ -79,3 +81,13 @@ def hw_label(spark, sf):
     reports = evaluated(spark, sf).withColumn("build_id", F.when(
         F.col("total") % 5 != 0, F.concat(F.lit("b-"), F.col("deploy_id"))))
     return health.to_label_events(reports)
+
+
+@TOPIC.query("alert_health", duck.sql(EVAL_SQL + """
+    SELECT deploy_id, ':rotating_light: *Deploy DEGRADED*' || chr(10) || reasons AS text FROM e WHERE verdict = 'DEGRADED'""", "probes"))
+def alert_health(spark, sf):
+    """A message for each degraded deploy, appended to the alert table."""
+    path = sinks.new_table(spark, "health-alerts")
+    bad = evaluated(spark, sf).filter("verdict = 'DEGRADED'")
+    sinks.append_rows(bad.select("deploy_id", alerts.health_text(F.col("reasons")).alias("text")), path)
+    return spark.read.schema("deploy_id string, text string").parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
-from deployrisk.operators import drift, reports
+from deployrisk.operators import drift, reports, training
 from deployrisk.plans import duck, scoring, views
 from deployrisk.plans.registry import Topic
 
@@ -78,20 +78,19 @@ def agg_latency_hist(spark, sf):
     return reports.latency_histogram(views.access_log(spark, sf))
 
 
-@TOPIC.query("agg_retrain_summary", duck.sql("""
-    SELECT CASE WHEN labelled < 200 THEN 'skipped' WHEN risky < 0.48::DOUBLE THEN 'failed' ELSE 'retrained' END AS outcome,
-           CASE WHEN labelled < 200 THEN 'only ' || labelled || ' labelled builds' WHEN risky < 0.48::DOUBLE THEN 'validation failed' ELSE '' END AS reason,
-           count(*) AS tenants
-    FROM (SELECT tenant_id, count(*) AS labelled, avg(label) AS risky FROM heads WHERE label >= 0 AND tenant_id <> 'demo' GROUP BY tenant_id)
+@TOPIC.query("agg_retrain_summary", duck.sql(f"""
+    SELECT CASE WHEN labelled < {K.MIN_BUILDS} THEN 'skipped' ELSE 'trained' END AS outcome,
+           CASE WHEN labelled < {K.MIN_BUILDS} THEN 'only ' || labelled || ' labelled builds' ELSE '' END AS reason, count(*) AS tenants
+    FROM (SELECT tenant_id, count(*) AS labelled FROM heads WHERE label >= 0 AND tenant_id <> 'demo' GROUP BY tenant_id)
     GROUP BY ALL""", "heads"))
 def agg_retrain_summary(spark, sf):
-    per = views.build_heads(spark, sf).filter("label >= 0 AND tenant_id <> 'demo'").groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("labelled"), F.avg("label").alias("risky"))
-    few, weak = F.col("labelled") < K.MIN_BUILDS, F.col("risky") < 0.48
-    return reports.outcome_summary(per.select(
-        F.when(few, "skipped").when(weak, "failed").otherwise("retrained").alias("outcome"),
-        F.when(few, F.concat(F.lit("only "), F.col("labelled").cast("string"), F.lit(" labelled builds")))
-        .when(weak, "validation failed").otherwise("").alias("reason")))
+    """Outcomes of a nightly run; promoted and rejected fits count as trained, as which is which depends on the forest."""
+    from deployrisk.plans.training import nightly
+    paths, gated = nightly(spark, sf)
+    found = training.outcomes(spark, paths, gated)
+    skipped = F.col("outcome") == "skipped"
+    return reports.outcome_summary(found.select(
+        F.when(skipped, "skipped").otherwise("trained").alias("outcome"), F.when(skipped, F.col("reason")).otherwise("").alias("reason")))
 
 
 from deployrisk.plans.evaluation import DRIFT_SQL  # noqa: E402

@@ -8,6 +8,7 @@ from deployrisk import contract as K
 from deployrisk import sinks
 from deployrisk.operators import drift
 from deployrisk.plans import duck, views
+from deployrisk.plans.evaluation import DRIFT_SQL
 from deployrisk.plans.registry import Topic
 from deployrisk.plans.scoring import scored
 from deployrisk.sources import builds as B
@@ -257,13 +258,15 @@ def sink_build_append(spark, sf):
         F.sum((F.col("label") == -1).cast("long")).alias("pending"), F.max("label_source").alias("label_source"))
 
 
-@TOPIC.query("sink_drift_flag", duck.sql("""
-    SELECT tenant_id, count(*) AS builds FROM heads WHERE tenant_id <> 'demo' GROUP BY tenant_id""", "heads"))
+@TOPIC.query("sink_drift_flag", duck.sql(DRIFT_SQL + """
+    SELECT tenant_id, builds, drifted_features, verdict, coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM d
+        WHERE d.tenant_id = verdicts.tenant_id AND drifted), '') AS features FROM verdicts""", "builds"))
 def sink_drift_flag(spark, sf):
     path = sinks.new_table(spark, "drift-reports")
     sinks.append_rows(drift.reports(
         views.recent_builds(spark, sf, 2 * K.DRIFT_RUN), heads=views.build_heads(spark, sf)), path)
-    return spark.read.parquet(path).select("tenant_id", "builds")
+    names = F.transform(F.coalesce("features", F.array().cast("array<struct<feature:string,p_value:double,statistic:double>>")), lambda f: f["feature"])
+    return spark.read.parquet(path).select("tenant_id", "builds", "drifted_features", "verdict", F.array_join(names, ",").alias("features"))
 
 
 @TOPIC.query("sink_alert_rows", duck.sql("""
