@@ -64,11 +64,10 @@ def ci_features_v1(runs: DataFrame, keys: Sequence[str] = ("job",),
     Failure rate over all of the last ten runs (only plain failures count), days since
     the last success ever, and delta against the mean of up to nineteen earlier runs.
     """
-    recent = over_preceding(runs, keys, order, 10, {
-        "_fails": F.avg((F.col("status").isin("failure", "FAILURE", "FAILED")).cast("double"))}).drop("pos")
+    failed = F.col("status").isin("failure", "FAILURE", "FAILED").cast("double")
     usable = F.when(F.col("duration_secs") > 0, F.col("duration_secs"))
-    longer = over_preceding(recent, keys, order, 19, {
-        "_mean": F.avg(usable), "_rows": F.count(F.lit(1))}).drop("pos")
+    longer = over_preceding(runs, keys, order, 19, {
+        "_fails": (10, F.avg(failed)), "_mean": F.avg(usable), "_rows": F.count(F.lit(1))}).drop("pos")
     now = F.col("duration_secs")
     delta = F.when((F.col("_rows") >= 2) & (now > 0) & (F.col("_mean") > 0),
                    F.round((now - F.col("_mean")) / F.col("_mean"), 3)).otherwise(F.lit(0.0))

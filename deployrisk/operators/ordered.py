@@ -87,12 +87,14 @@ def over_preceding(
     keys: Sequence[str],
     order: Sequence[str],
     rows: int,
-    aggregates: Mapping[str, Column],
+    aggregates: Mapping[str, Column | tuple[int, Column]],
     slice_: Column | None = None,
     chunk: int = 20000,
 ) -> DataFrame:
     """Aggregates over the ``rows`` rows before each row of its key, itself excluded.
 
+    An aggregate given with a number looks back over that many rows only.
+
     Each key is cut into chunks of ``chunk`` consecutive rows. The last ``rows`` rows
     of a chunk are also sent to the next chunk, so every frame is whole and no task
     sorts more than ``chunk + rows`` rows of one key.
@@ -104,8 +106,9 @@ def over_preceding(
     spread = (placed.withColumn("_home", home)
               .withColumn("_chunk", F.explode(
                   F.when(carries, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home")))))
-    frame = Window.partitionBy(*keys, "_chunk").orderBy("pos").rowsBetween(-rows, -1)
-    out = spread.select("*", *[a.over(frame).alias(name) for name, a in aggregates.items()])
+    ordered = Window.partitionBy(*keys, "_chunk").orderBy("pos")
+    sized = {name: a if isinstance(a, tuple) else (rows, a) for name, a in aggregates.items()}
+    out = spread.select("*", *[a.over(ordered.rowsBetween(-n, -1)).alias(name) for name, (n, a) in sized.items()])
     return out.filter(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home", "n")
 
 

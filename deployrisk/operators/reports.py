@@ -59,12 +59,19 @@ def segment_risk(builds: DataFrame) -> DataFrame:
 
 
 def feature_stats(df: DataFrame, features: Sequence[str] = K.FEATURES) -> DataFrame:
-    """count, mean, std, min, quartiles and max of every feature."""
-    long = unpivot_features(df, [], features)
-    basic = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = exact_quantiles(long, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    """count, mean, std, min, quartiles and max of every feature.
+
+    Values are counted once; everything else follows from the counts of distinct values.
+    """
+    counts = unpivot_features(df, [], features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    total, value = F.sum(known), F.col("value")
+    mean = F.sum(value * F.col("n")) / total
+    square = F.sum(value * value * F.col("n"))
+    spread = F.when(total > 1, F.sqrt(F.greatest(F.lit(0.0), (square - total * mean * mean) / (total - 1))))
+    basic = counts.groupBy("feature").agg(
+        F.coalesce(total, F.lit(0).cast("long")).alias("count"), mean.alias("mean"), spread.alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = exact_quantiles(counts, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, weight="n")
     return basic.join(quartiles, "feature", "left")
 
 

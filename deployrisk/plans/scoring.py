@@ -10,6 +10,7 @@ from deployrisk.functions import scalars as S
 from deployrisk.operators import impute, scoring
 from deployrisk.plans import duck, views
 from deployrisk.plans.registry import Topic
+from deployrisk.session import materialize
 
 TOPIC = Topic()
 
@@ -26,10 +27,13 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole request path in batch: history, medians, fill, score, tenant verdict."""
-    heads = scoring.with_actor_history(views.build_heads(spark, sf))
-    medians = impute.tenant_medians(views.recent_builds(spark, sf, K.MEDIAN_HISTORY))
-    rows = views.builds(spark, sf, heads, "server_exp").withColumn(
+    """The whole request path in batch: history, medians, fill, score, tenant verdict.
+
+    Builds are put together once and written; history, medians and scores read that table.
+    """
+    base = materialize(views.builds(spark, sf), "score-base")
+    medians = impute.tenant_medians(base)
+    rows = scoring.with_actor_history(base).withColumn(
         "deployer_exp", F.when(F.col("server_exp") > 0, F.col("server_exp").cast("int")))
     filled = impute.impute_serving(rows, medians, F.col("hour_of_day"), F.col("day_of_week"))
     settled = scoring.with_settings(filled, views.tenants(spark, sf))
