@@ -37,9 +37,12 @@ def fit_tenant(train: DataFrame, trees: int = models.TREES) -> RandomForestClass
 
 
 def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int = K.TRAIN_WINDOW_DAYS,
-                trees: int = models.TREES, incumbents: dict[str, str] | None = None, pool: int = POOL) -> dict[str, str]:
+                trees: int = models.TREES, incumbents: DataFrame | None = None, pool: int = POOL) -> dict[str, str]:
     """Train, gate and register every eligible tenant.
 
+    ``incumbents`` (tenant_id, path) names the models that new ones are held against, as
+    :func:`live_models` reads them from the registry.
+
     All preparation runs for all tenants at once and is written by tenant, so a fit reads
     its own tenant only. Fits are Spark jobs started from a bounded pool of driver
     threads; one that fails is recorded and the others go on. The gate is one aggregate
@@ -59,17 +62,16 @@ def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int
     models_root = sinks.new_table(spark, "models")
     predicted_path = sinks.new_table(spark, "predictions")
     failures_path = sinks.new_table(spark, "failures")
-    incumbents = incumbents or {}
 
-    def one(tenant: str) -> None:
+    def one(tenant: str, incumbent: str | None) -> None:
         try:
             train = spark.read.schema(balanced.schema).parquet(train_path).filter(F.col("tenant_id") == tenant)
             model = fit_tenant(train, trees)
             model.save(f"{models_root}/{tenant}/{version}")
             held = rows.filter(F.col("held_out") & (F.col("tenant_id") == tenant))
             scored = models.predict(model, held)
-            if tenant in incumbents:
-                old = RandomForestClassificationModel.load(incumbents[tenant])
+            if incumbent:
+                old = RandomForestClassificationModel.load(incumbent)
                 scored = models.predict(old, scored.withColumnRenamed("p", "p_new")).withColumnRenamed(
                     "p", "p_old").withColumnRenamed("p_new", "p")
             else:
@@ -82,15 +84,18 @@ def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int
             spark.createDataFrame([(str(error),)], "reason string").write.parquet(
                 f"{failures_path}/tenant_id={tenant}")
 
-    tenants = (r.tenant_id for r in spark.read.parquet(report_path).filter("eligible").select("tenant_id").toLocalIterator())
+    chosen = spark.read.parquet(report_path).filter("eligible").select("tenant_id")
+    if incumbents is None:
+        incumbents = spark.createDataFrame([], "tenant_id string, path string")
+    tenants = chosen.join(incumbents.select("tenant_id", "path"), "tenant_id", "left").toLocalIterator()
     with ThreadPoolExecutor(pool) as threads:
         running: set[Future] = set()
         for tenant in tenants:  # names come in as threads free up
             if len(running) >= 2 * pool:
                 running = wait(running, return_when=FIRST_COMPLETED).not_done
-            running.add(threads.submit(one, tenant))
+            running.add(threads.submit(one, tenant["tenant_id"], tenant["path"]))
     return {"report": report_path, "models": models_root, "predictions": predicted_path,
-            "failures": failures_path, "rows": rows_path}
+            "failures": failures_path, "rows": rows_path, "version": version}
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -111,10 +116,20 @@ def gate_all(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return metrics.gate(summary.join(sizes, "tenant_id"))
 
 
-def registry_rows(gated: DataFrame, version: str, trained_at: Column) -> DataFrame:
+def model_path(paths: dict[str, str]) -> Column:
+    """Where a run saved the model of ``tenant_id``."""
+    return F.concat(F.lit(paths["models"] + "/"), F.col("tenant_id"), F.lit("/" + paths["version"]))
+
+
+def live_models(registry: DataFrame) -> DataFrame:
+    """(tenant_id, path) of each tenant's newest promoted model."""
+    return registry.filter("promoted").groupBy("tenant_id").agg(F.max_by("path", F.struct("trained_at", "version")).alias("path"))
+
+
+def registry_rows(gated: DataFrame, paths: dict[str, str], trained_at: Column) -> DataFrame:
     """Rows for the append-only model registry; the live model is the newest promoted one."""
     return gated.select(
-        "tenant_id", F.lit(version).alias("version"), trained_at.alias("trained_at"), F.lit("tenant").alias("phase"),
+        "tenant_id", model_path(paths).alias("path"), F.lit(paths["version"]).alias("version"), trained_at.alias("trained_at"), F.lit("tenant").alias("phase"),
         "precision", "recall", "auc_roc", "dataset_size", F.array(*[F.lit(f) for f in K.FEATURES]).alias("feature_columns"),
         F.col("passed").alias("promoted"))
 

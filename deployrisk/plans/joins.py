@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from deployrisk import contract as K
 from deployrisk.operators import health, joins, labelling, scoring
 from deployrisk.plans import duck, views
+from deployrisk.plans.filters import AS_OF
 from deployrisk.plans.registry import Topic
 
 TOPIC = Topic()
@@ -91,18 +93,20 @@ def join_baseline(spark, sf):
         "probe_id", "deploy_id", "latency_ms", "baseline_p50")
 
 
-@TOPIC.query("join_incumbent", duck.sql("""
-    SELECT tenant_id, count(*) AS rows, sum(CASE WHEN p > 0.5::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS flagged_new,
-        sum(CASE WHEN 1 - test_pass_rate > 0.5::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS flagged_old
-    FROM scored WHERE label IN (0, 1) GROUP BY tenant_id""", "scored"))
+@TOPIC.query("join_incumbent", duck.sql(f"""
+    WITH c AS (SELECT tenant_id, count(*) AS n, count(*) FILTER (WHERE timestamp >= {AS_OF} - 3650::BIGINT * 86400) AS u
+        FROM builds WHERE label >= 0 AND tenant_id <> 'demo' GROUP BY tenant_id)
+    SELECT tenant_id, greatest(1, round_even(u * 0.2::DOUBLE, 0))::BIGINT AS rows, true AS both_scored FROM c WHERE n >= {K.MIN_BUILDS} AND u >= {K.MIN_BUILDS}""", "builds"))
 def join_incumbent(spark, sf):
-    from deployrisk.plans.scoring import scored
-    rows = scored(spark, sf).filter(F.col("label").isin(0, 1))
-    old = rows.select("tenant_id", "build_id", (1 - F.col("test_pass_rate")).alias("p"))
-    both = joins.against_incumbent(rows.select("tenant_id", "build_id", "p"), old, ["tenant_id", "build_id"])
-    return both.groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum((F.col("p") > 0.5).cast("long")).alias("flagged_new"),
-        F.sum((F.col("p_old") > 0.5).cast("long")).alias("flagged_old"))
+    """Held-out rows of each trained tenant under last night's model and under tonight's."""
+    from deployrisk.operators import training
+    from deployrisk.plans.training import nightly
+    first, _ = nightly(spark, sf)
+    old = spark.read.parquet(first["report"]).filter("eligible").select("tenant_id", training.model_path(first).alias("path"))
+    second, _ = nightly(spark, sf, "v2", old)
+    both = training.read_or_empty(spark, second["predictions"], training.PREDICTIONS)
+    scored = F.coalesce(F.col("p").between(0, 1) & F.col("p_old").between(0, 1), F.lit(False))
+    return both.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(scored).alias("both_scored"))
 
 
 @TOPIC.query("join_followup", duck.sql("""

@@ -172,9 +172,10 @@ def ml_scenarios(spark, sf):
     return checked.select("name", "expect", (F.col("score").between(0, 100) & F.col("ok").isNotNull()).alias("in_range"))
 
 
-def nightly(spark, sf):
+def nightly(spark, sf, version="v1", incumbents=None):
+    """A run over all labelled builds: the given orders spread over seven years, so 90 days hold too few."""
     builds = views.builds(spark, sf)
-    paths = training.retrain_all(builds, F.lit(AS_OF), "v1", window_days=3650)
+    paths = training.retrain_all(builds, F.lit(AS_OF), version, window_days=3650, incumbents=incumbents)
     return paths, training.gate_all(spark, paths)
 
 
@@ -191,17 +192,26 @@ def ml_retrain_all(spark, sf):
     return found.select("tenant_id", trained.alias("trained"), F.when(trained, "").otherwise(F.col("reason")).alias("skip_reason"))
 
 
-@TOPIC.query("sink_model_promote", "SELECT CASE WHEN n_nationkey = 0 THEN 'demo' ELSE 't' || lpad(n_nationkey::VARCHAR, 2, '0') END AS tenant_id, true AS consistent FROM nation")
+@TOPIC.query("sink_model_promote", "SELECT CASE WHEN n_nationkey = 0 THEN 'demo' ELSE 't' || lpad(n_nationkey::VARCHAR, 2, '0') END AS tenant_id, true AS consistent, true AS held_against FROM nation")
 def sink_model_promote(spark, sf):
-    """Registry rows of a run over all labelled builds, and the tenants' phase they lead to.
+    """Two nights: the second holds its models against what the first one promoted.
 
-    A tenant is in its own phase exactly if the registry promoted a model of it.
+    A tenant is in its own phase exactly if the registry promoted a model of it, and has an
+    incumbent's precision in the second night exactly if it was promoted in the first.
     """
-    paths, gated = nightly(spark, sf)
     registry = sinks.new_table(spark, "registry")
-    sinks.append_rows(training.registry_rows(gated, "v1", F.lit(AS_OF).cast("long")), registry)
+    first, gated = nightly(spark, sf)
+    sinks.append_rows(training.registry_rows(gated, first, F.lit(AS_OF).cast("long")), registry)
+    live = materialize(training.live_models(spark.read.parquet(registry)), "live-models")
+    second, gated = nightly(spark, sf, "v2", live)
+    gated = materialize(gated, "gated")
+    sinks.append_rows(training.registry_rows(gated, second, F.lit(AS_OF + 86400).cast("long")), registry)
     rows = spark.read.parquet(registry)
-    live = rows.filter("promoted").select(F.col("tenant_id").alias("t")).distinct()
+    promoted = rows.filter("promoted").select(F.col("tenant_id").alias("t")).distinct()
+    old = gated.select(F.col("tenant_id").alias("g"), F.col("old_precision").isNotNull().alias("compared"))
     meta = joins.tenant_meta(views.tenants(spark, sf), rows)
-    return meta.join(live, meta.tenant_id == live.t, "left").select(
-        "tenant_id", ((F.col("model_phase") == "tenant") == F.col("t").isNotNull()).alias("consistent"))
+    joined = (meta.join(promoted, meta.tenant_id == promoted.t, "left").join(old, meta.tenant_id == old.g, "left")
+              .join(live.select(F.col("tenant_id").alias("l")), F.col("l") == meta.tenant_id, "left"))
+    return joined.select(
+        "tenant_id", ((F.col("model_phase") == "tenant") == F.col("t").isNotNull()).alias("consistent"),
+        (F.coalesce("compared", F.lit(False)) == F.col("l").isNotNull()).alias("held_against"))

@@ -130,7 +130,7 @@ def test_one_night(spark):
     assert gated.count() == 1 and row.tenant_id == "big" and row.passed and row.test_rows == 80
     outcome = {r.tenant_id: (r.outcome, r.reason) for r in training.outcomes(spark, paths, gated).collect()}
     assert outcome == {"big": ("retrained", ""), "small": ("skipped", "only 10 labelled builds")}
-    live = training.registry_rows(gated, "v1", F.lit(AS_OF)).filter("promoted")
+    live = training.registry_rows(gated, paths, F.lit(AS_OF)).filter("promoted")
     assert live.first().feature_columns == K.FEATURES
 
 
