@@ -84,9 +84,9 @@ def agg_latency_hist(spark, sf):
     FROM (SELECT tenant_id, count(*) AS labelled FROM heads WHERE label >= 0 AND tenant_id <> 'demo' GROUP BY tenant_id)
     GROUP BY ALL""", "heads"))
 def agg_retrain_summary(spark, sf):
-    """Outcomes of a nightly run; promoted and rejected fits count as trained, as which is which depends on the forest."""
+    """Outcomes of a nightly run with ten trees a model; promoted and rejected fits count as trained, as which is which depends on the forest."""
     from deployrisk.plans.training import nightly
-    paths, gated = nightly(spark, sf)
+    paths, gated = nightly(spark, sf, trees=10)
     found = training.outcomes(spark, paths, gated)
     skipped = F.col("outcome") == "skipped"
     return reports.outcome_summary(found.select(

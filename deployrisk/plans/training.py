@@ -172,10 +172,10 @@ def ml_scenarios(spark, sf):
     return checked.select("name", "expect", (F.col("score").between(0, 100) & F.col("ok").isNotNull()).alias("in_range"))
 
 
-def nightly(spark, sf, version="v1", incumbents=None):
+def nightly(spark, sf, version="v1", incumbents=None, trees=models.TREES):
     """A run over all labelled builds: the given orders spread over seven years, so 90 days hold too few."""
     builds = views.builds(spark, sf)
-    paths = training.retrain_all(builds, F.lit(AS_OF), version, window_days=3650, incumbents=incumbents)
+    paths = training.retrain_all(builds, F.lit(AS_OF), version, window_days=3650, trees=trees, incumbents=incumbents)
     return paths, training.gate_all(spark, paths)
 
 
