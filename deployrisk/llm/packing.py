@@ -184,7 +184,8 @@ def place(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     firsts = written(firsts, "piece-firsts")
-    numbered = rows.join(firsts, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
+    # both grow with the pieces, so neither is sent whole to every task
+    numbered = rows.join(firsts.hint("merge"), (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
     kept = [c for c in rows.columns if c not in ("part", "nth")]
 
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
