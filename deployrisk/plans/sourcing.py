@@ -163,7 +163,8 @@ def src_bitbucket(spark, sf):
 @TOPIC.query("src_numstat", """
     SELECT l_orderkey AS change_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier, CAST(l_quantity AS BIGINT) + l_partkey % 40 AS churn, 2::BIGINT AS files FROM lineitem""")
 def src_numstat(spark, sf):
-    lines = views.table(spark, sf, "lineitem").select(
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    lines = views.spread(views.table(spark, sf, "lineitem").select(*columns)).select(
         F.col("l_orderkey").alias("change_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supplier"),
         F.concat(F.lit("warning: LF\n"), F.col("l_quantity").cast("int"), F.lit("\t"), F.col("l_partkey") % 40,
@@ -203,7 +204,8 @@ def src_junit_counts(spark, sf):
            .when(kind == 6, F.concat(F.lit('<a:testsuites xmlns:a="urn:x"><a:testsuite skipped="&#x33;" tests=" '), q, F.lit(' " failures="'), f,
                                      F.lit('"><system-out>a &gt; b</system-out></a:testsuite></a:testsuites>')))
            .otherwise(F.concat(F.lit('<testsuite tests="'), q, F.lit('"><broken'))))
-    rows = views.table(spark, sf, "lineitem").select(
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    rows = views.spread(views.table(spark, sf, "lineitem").select(*columns)).select(
         F.col("l_orderkey").alias("build"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supplier"), xml.alias("xml"))
     return reports.suite_counts(rows, "xml").drop("xml", "errors").withColumn(
