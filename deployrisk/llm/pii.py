@@ -83,7 +83,7 @@ def confirmed(kind: str, match: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """The rows with ``spans``: (start, end, rank, kind, score), by start and kind."""
+    """The rows with ``spans``: (start, rank, end, kind, score), by start and kind."""
     own = [c for c in docs.columns if c != "spans"]
     none = F.array().cast("array<string>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -128,7 +128,7 @@ def _spans(kind: Kind, rank: int, matches: Column, ends: Column, text: Column) -
         if kind.words:
             before = F.lower(F.substring(text, F.greatest(F.lit(1), p.start - NEAR + 1), F.least(F.lit(NEAR), p.start)))
             score = score + F.when(before.rlike(kind.words), kind.gain).otherwise(0.0)
-        return F.struct(p.start.alias("start"), p.end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), score.cast("double").alias("score"))
+        return F.struct(p.start.alias("start"), F.lit(rank).alias("rank"), p.end.alias("end"), F.lit(kind.name).alias("kind"), score.cast("double").alias("score"))
 
     found = F.transform(good, scored)
     return found if kind.base else F.filter(found, lambda s: s.score >= ENOUGH)

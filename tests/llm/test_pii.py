@@ -43,6 +43,8 @@ def test_base_spans_against_plain_patterns(spark):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(1500)]
     texts += ["a@b.c-x%y@d.e", "4539 1488 0343 6467", "4539-1488-0343-6467 and 4539148803436467", "1.2.3.4.5", "256.1.1.1 0001.255.0.9", "+1 (873) 555-9509",
               None, "", "9" * 3000, "1 " * 20000, "a@b.cc " * 700, "x" * 30000, "é😀 q@w.de", "+" * 50 + "12", "1.1.1.1" * 40]
+    # two kinds with one start
+    texts += ["+14155550100@sms.example.com", "10.0.0.1@host.example", "4539148803436467@mail.com"]
     got = spans_of(spark, texts)
     for i, t in enumerate(texts):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in got[i] if s.kind in PLAIN] == plain_base(t), t and t[:80]
