@@ -139,17 +139,27 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
 
+def _reach(ends: Column) -> Column:
+    """For each place the largest end before it, 0 at first: whole blocks before, then the own block up to there."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / BLOCK).cast("int"))
+    tops = F.transform(blocks, lambda b: F.array_max(F.slice(ends, b * BLOCK + 1, F.lit(BLOCK))))
+    before = F.transform(tops, lambda _, b: F.coalesce(F.array_max(F.slice(tops, F.lit(1), b)), F.lit(0)))
+    inside = lambda b, i: F.array_max(F.slice(ends, b * BLOCK + 1, i))
+    reach = F.flatten(F.transform(before, lambda base, b: F.transform(
+        F.slice(ends, b * BLOCK + 1, F.lit(BLOCK)), lambda _, i: F.greatest(base, inside(b, i)))))
+    return F.when(F.size(ends) > 0, reach).otherwise(F.array().cast("array<int>"))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows with each span replaced by its kind in brackets; of overlapping spans the first is named."""
+    """The rows with each union of overlapping spans replaced by the kind of its first span in brackets."""
     own = docs.columns
-    rows = find(docs)
-    spans = F.col("spans")
-    clear = F.filter(spans, lambda s, i: ~F.exists(F.slice(spans, F.lit(1), i), lambda e: e.end > s.start))
-    rows = rows.withColumn("__clear", clear)
-    clear, text = F.col("__clear"), F.col("text").cast("string")
-    parts = F.transform(clear, lambda s, i: F.concat(
-        F.substring(text, F.coalesce(F.get(clear, i - 1).end, F.lit(0)) + 1, s.start - F.coalesce(F.get(clear, i - 1).end, F.lit(0))),
-        F.lit("["), F.upper(s.kind), F.lit("]")))
-    tail = F.substring(text, F.element_at(clear, -1).end + 1, F.char_length(text))
-    made = rows.withColumn("text", F.when(F.size(clear) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text")))
+    rows = find(docs).withColumn("__ends", F.transform("spans", lambda s: s.end))
+    rows = rows.withColumn("__reach", _reach(F.col("__ends")))
+    # a union starts where no earlier span reaches past, and ends where the spans before the next one reach
+    firsts = F.filter(F.zip_with("spans", "__reach", lambda s, r: F.struct(s.start.alias("start"), s.kind.alias("kind"), r.alias("before"))), lambda s: s.before <= s.start)
+    rows = rows.withColumn("__firsts", firsts)
+    firsts, last, text = F.col("__firsts"), F.array_max("__ends"), F.col("text").cast("string")
+    parts = F.transform(firsts, lambda s: F.concat(F.substring(text, s.before + 1, s.start - s.before), F.lit("["), F.upper(s.kind), F.lit("]")))
+    tail = F.substring(text, last + 1, F.char_length(text))
+    made = rows.withColumn("text", F.when(F.size(firsts) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text")))
     return settled(made, [c for c in own if c != "text"], ["text"]).select(*own)
