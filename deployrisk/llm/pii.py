@@ -6,7 +6,8 @@ mod-97 check, access keys, and hex secrets and social security numbers, which co
 names them. All of it is array expressions inside the row.
 
 Patterns start where a run of their characters starts or where the last match ended, and their loops keep
-what they took, so that long runs cost no more than their length. Places count code points, ends exclusive;
+what they took, so that long runs cost no more than their length. As an account number may be followed by words
+that look like more of it, every end that it can have is tested. Places count code points, ends exclusive;
 they follow from the lengths of the matches and of what lies between them, added up in blocks.
 
 Defined results: null texts have no spans and stay null.
@@ -35,6 +36,8 @@ class Kind:
     score: float = 1.0
     words: str = ""
     gain: float = 0.0
+    #: The pattern matches only the head; its group, ahead of the match, holds all that can follow.
+    ahead: bool = False
 
 
 KINDS = [
@@ -42,12 +45,18 @@ KINDS = [
     Kind("ip", r"[0-9]\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", base=True),
     Kind("card", "[0-9][ -]?[0-9]", r"[0-9](?:[\x20-]?+[0-9])++", base=True),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", base=True),
-    Kind("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", score=0.5, words="iban|account|konto|compte|cuenta", gain=0.2),
+    Kind("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))", score=0.5, words="iban|account|konto|compte|cuenta", gain=0.2, ahead=True),
     Kind("key", "AKIA", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", score=0.9),
     Kind("secret", "[0-9a-f]{32}", r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])", score=0.3, words="token|secret|api.?key|passw", gain=0.4),
     Kind("ssn", "[0-9]{3}-[0-9]{2}-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", score=0.3, words="ssn|social security", gain=0.4),
 ]
 BASE = [k.name for k in KINDS if k.base]
+#: Characters of an account number by its country.
+LENGTHS = {code: int(n) for n, codes in {
+    "15": "NO", "16": "BE", "18": "DK FI FK FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV",
+    "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST",
+    "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HN HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE",
+    "31": "MT SC", "32": "LC", "33": "RU"}.items() for code in codes.split()}
 
 
 def _digits(match: Column) -> Column:
@@ -69,6 +78,19 @@ def mod97(account: Column) -> Column:
     return F.aggregate(codes, F.lit(0), lambda a, c: F.when(c < 58, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97)) == 1
 
 
+def account(head: Column, rest: Column) -> Column:
+    """The account number that starts with the head, or null.
+
+    It can end with any word of the rest. Of the ends that mod-97 confirms, the one at the length of the head's
+    country is taken, or else the last.
+    """
+    words = F.split(rest, " ")
+    ends = F.transform(words, lambda _, i: F.concat(head, F.array_join(F.slice(words, F.lit(1), i + 1), " ")))
+    good = F.filter(ends, lambda e: e.rlike(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}$") & mod97(e))
+    length = F.create_map(*(F.lit(x) for pair in LENGTHS.items() for x in pair))[F.substring(head, 1, 2)]
+    return F.coalesce(F.get(F.filter(good, lambda e: F.char_length(F.replace(e, F.lit(" "), F.lit(""))) == length), F.lit(0)), F.get(good, F.size(good) - 1))
+
+
 def confirmed(kind: str, match: Column) -> Column:
     if kind == "ip":
         return match.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$")
@@ -78,7 +100,7 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.char_length(_digits(match)).between(9, 15)
     if kind == "iban":
-        return mod97(match)
+        return match.isNotNull()  # account() has tested it
     return F.lit(True)
 
 
@@ -89,6 +111,7 @@ def find(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     col = lambda part, kind: F.col(f"__{part}_{kind.name}")
     rows = docs.withColumns({f"__match_{k.name}": F.when(text.rlike(k.guard), F.regexp_extract_all(text, F.lit(k.pattern), 0)).otherwise(none) for k in KINDS})
+    rows = rows.withColumns({f"__rest_{k.name}": F.when(F.size(col("match", k)) > 0, F.regexp_extract_all(text, F.lit(k.pattern), 1)).otherwise(none) for k in KINDS if k.ahead})
     # what lies before each match, and up to its end
     rows = rows.withColumns({f"__step_{k.name}": F.when(F.size(col("match", k)) > 0, F.zip_with(
         F.slice(F.split(text, k.pattern), 1, F.size(col("match", k))), col("match", k), lambda gap, m: F.char_length(gap) + F.char_length(m)))
@@ -98,7 +121,7 @@ def find(docs: DataFrame) -> DataFrame:
     blocks = lambda steps: F.sequence(zero, F.floor((F.size(steps) - 1) / BLOCK).cast("int"))
     rows = rows.withColumns({f"__sum_{k.name}": _block_sums(col("step", k), blocks, total) for k in KINDS})
     rows = rows.withColumns({f"__end_{k.name}": _ends(col("step", k), col("sum", k), total) for k in KINDS})
-    rows = rows.withColumns({f"__span_{k.name}": _spans(k, rank, col("match", k), col("end", k), text) for rank, k in enumerate(KINDS)})
+    rows = rows.withColumns({f"__span_{k.name}": _spans(k, rank, _placed(col("match", k), col("end", k), col("rest", k) if k.ahead else None), text) for rank, k in enumerate(KINDS)})
     spans = F.sort_array(F.flatten(F.array(*(col("span", k) for k in KINDS)))).alias("spans")
     return settled(rows.select(*own, spans), own, ["spans"])
 
@@ -117,8 +140,16 @@ def _ends(steps: Column, sums: Column, total) -> Column:
         F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)), lambda _, i: base + inside(b * BLOCK + i))))
 
 
-def _spans(kind: Kind, rank: int, matches: Column, ends: Column, text: Column) -> Column:
+def _placed(matches: Column, ends: Column, rests: Column | None) -> Column:
+    """(m, start, end) of each match, or of the account number that it is the head of."""
     placed = F.zip_with(matches, ends, lambda m, e: F.struct(m.alias("m"), (e - F.char_length(m)).alias("start"), e.alias("end")))
+    if rests is None:
+        return placed
+    whole = F.zip_with(placed, rests, lambda p, r: F.struct(account(p.m, r).alias("m"), p.start.alias("start")))
+    return F.transform(whole, lambda p: F.struct(p.m.alias("m"), p.start.alias("start"), (p.start + F.char_length(p.m)).alias("end")))
+
+
+def _spans(kind: Kind, rank: int, placed: Column, text: Column) -> Column:
     good = F.filter(placed, lambda p: confirmed(kind.name, p.m))
 
     def scored(p: Column) -> Column:

@@ -68,6 +68,15 @@ def test_redaction(spark):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+def test_accounts_before_and_after_words(spark):
+    number, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN {number} BIC COBADEFFXXX", f"IBAN {number} Please pay", f"IBAN {number} EUR 50", f"{spaced} EUR 50", f"REF AB12 IBAN {number} 7", f"é {number} {spaced} X",
+             f"{number}a", f"{number}A", f"{number[:-1]} 1 EUR", f"a{number}", "NO93 8601 1117 947 OG MER", "MT84MALT011000012345MTLCAST001S EUR", f"AB12 CDEF " * 3000 + number + " X"]
+    got = spans_of(spark, texts)
+    found = [[texts[i][s.start:s.end] for s in got[i] if s.kind == "iban"] for i in range(len(texts))]
+    assert found == [[number], [number], [number], [spaced], [number], [number, spaced], [], [], [], [], ["NO93 8601 1117 947"], ["MT84MALT011000012345MTLCAST001S"], [number]]
+
+
 def plain_redaction(text, spans):
     """Every character that a span covers goes; each run of overlapping spans leaves the first one's kind."""
     out, at = "", 0
