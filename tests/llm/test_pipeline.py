@@ -1,9 +1,13 @@
 """The pipeline, stage by stage, against the plain versions that the operators' own tests use."""
 
+import zlib
 from collections import defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from .test_pii import plain_base
@@ -70,6 +74,16 @@ def test_packing(stages):
     assert used <= least * 1.02 + 1
 
 
+def test_token_ids_are_written(stages):
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = defaultdict(list)
+    for r in sorted(stages[5], key=lambda r: r.start):
+        assert (len(r.ids), zlib.crc32(r.ids)) == (4 * r.length, r.ids_crc32)
+        pieces[r.doc_id].append(r.ids)
+    for i, t in texts(stages[4]).items():
+        assert np.frombuffer(b"".join(pieces[i]), "<u4").tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+
+
 def test_run_gives_the_same_pieces(spark, sf, stages):
     key = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, sf).collect())) == sorted(map(key, stages[5]))
