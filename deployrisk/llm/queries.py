@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import lines, neighbours, packing, pii, quality, simhash, sptokens, substrings, tokenstore, transducer
+from deployrisk.llm import lines, neighbours, packing, pii, quality, simhash, sptokens, substrings, tokenstore, transducer, urls
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of each vector whose id is divisible by 50, among all other vectors."""
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, nearest=5)
+
+
+#: Rules and host labels of the filter (fixed values).
+URL_RULES = [urls.Rule("org", "/", "allow"), urls.Rule("example.org", "/es/", "block"), urls.Rule("example.org", "/en/1", "block"),
+             urls.Rule("com", "/fr/", "allow"), urls.Rule("com", "/de/", "block")]
+BAD_LABELS = ["casino-win", "cheap-pills", "spam-farm", "adult-x", "free-bets", "ads-track"]
+
+OP11_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+parts AS (SELECT page_id, url, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's') AS asked FROM p),
+forms AS (SELECT *, CASE WHEN regexp_replace(regexp_replace(host, '^.*@', '', 's'), '(:80|:443)?\z', '') <> '' THEN
+                 regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), '(:80|:443)?\z', ''), '^www\.', '') || '/'
+                 || regexp_replace(regexp_replace(regexp_replace(path, '/index\.html?\z', '/'), '/+\z', ''), '^/+', '')
+                 || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(asked, '&'),
+                        lambda x: x <> '' AND NOT regexp_full_match(x, '(utm_.*|ref|fbclid|gclid)(=.*)?', 's'))), '&'), ''), '') END AS form FROM parts),
+listed AS (SELECT DISTINCT form FROM forms WHERE list_has_any(string_split(host, '.'), ['LABELS'])),
+ruled AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM forms)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN form IS NOT NULL AND form IN (SELECT form FROM listed WHERE form IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+""".replace("LABELS", "', '".join(BAD_LABELS))
+
+
+@query("op11_url_filter", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules first; the list holds the addresses of pages on hosts with a bad label."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, urls.with_host_label(pages, BAD_LABELS), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
