@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import lines, neighbours, packing, pii, quality, simhash, sptokens, substrings, tokenstore, transducer, urls
+from deployrisk.llm import lines, neighbours, packing, periods, pii, quality, simhash, sptokens, substrings, tokenstore, transducer, urls
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = urls.judge(pages, urls.with_host_label(pages, BAD_LABELS), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 12 words, with repeats planted in one text of ten."""
+    found = periods.find(table(spark, sf_dir, "documents"), least=12, plant=True)
+    return found.select("doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli",
+                        F.sha2(F.col("runs").cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
