@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deployrisk.llm import lines, neighbours, packing, periods, pii, quality, simhash, sptokens, substrings, tokenstore, transducer, urls
+from deployrisk.llm import (lines, neighbours, packing, periods, pii, quality, simhash, spelling, sptokens, substrings, tokenstore,
+                            transducer, urls)
 from deployrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +168,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periods.find(table(spark, sf_dir, "documents"), least=12, plant=True)
     return found.select("doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli",
                         F.sha2(F.col("runs").cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six letters and five occurrences or more, with their forms and roots."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), least_letters=6, least_count=5, slip_every=199)
+    return spelling.forms(words, times=5)
