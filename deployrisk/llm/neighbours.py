@@ -1,9 +1,10 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Unit vectors are turned by a random rotation and each coordinate keeps its sign, packed into bytes, with one
-scalar: how well the signs point along the vector. From these, a cosine with a query is estimated, and the
-scalar bounds the estimate's error (``spread`` standard deviations). Vectors whose upper bound reaches the
-lower bound of the best found so far are reranked with the original components in double precision.
+Unit vectors are turned by a random rotation and each coordinate keeps its sign, packed into words, with one
+scalar: how well the signs point along the vector. A query keeps four bits of each turned coordinate, one packed
+plane for each bit, so its product with a code is four ANDs and bit counts a word. From it a cosine is estimated, and
+the scalar bounds the estimate's error (``spread`` standard deviations). Vectors are reranked with the original
+components in double precision, by falling upper bound, until that is below the last of the best exact cosines.
 
 Equal vectors are one class that keeps as many of its smallest ids as an answer can show, so a vector that
 is repeated thousands of times is compared once. Classes are dealt into groups of about ``group_rows``; the
@@ -27,26 +28,55 @@ from pyspark.sql import functions as F
 from deployrisk.llm.common import written
 
 
+LEAST_GROUP = 2048
+
+
 def rotation(size: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
     return q * np.sign(np.diag(r))
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits in 64-bit words, filled up with zeros."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs of the turned unit vectors, and their cosines with the vectors themselves."""
     units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     turned = units @ turn.T
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
+    return _words(turned > 0), np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
+
+
+def planes(queries: np.ndarray, turn: np.ndarray, bits: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Turned unit queries in steps of a few bits: (a packed plane for each bit, lowest value, step, sum, what rounding took)."""
+    turned = queries / np.linalg.norm(queries, axis=1, keepdims=True) @ turn.T
+    low = turned.min(axis=1, keepdims=True)
+    step = np.maximum(turned.max(axis=1, keepdims=True) - low, 1e-12) / ((1 << bits) - 1)
+    levels = np.rint((turned - low) / step).astype(np.uint8)
+    rounded = low + step * levels
+    packed = np.stack([_words(levels >> j & 1) for j in range(bits)], axis=1)
+    return packed, low, step, rounded.sum(axis=1, keepdims=True), np.linalg.norm(turned - rounded, axis=1, keepdims=True)
 
 
-def bounds(codes: np.ndarray, along: np.ndarray, queries: np.ndarray, turn: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the cosines of each query (row) with each coded vector (column)."""
+def upper_bounds(codes: np.ndarray, along: np.ndarray, queries: np.ndarray, turn: np.ndarray, spread: float, block: int = 1 << 13) -> np.ndarray:
+    """Upper bounds of the cosines of each query (row) with each coded vector (column), from AND and bit counts."""
     size = turn.shape[0]
-    signs = (np.unpackbits(codes, axis=1, count=size).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(size))
-    units = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    estimate = (units @ turn.T).astype(np.float32) @ signs.T / along.astype(np.float32)
-    error = spread * np.sqrt(np.maximum(1 - along ** 2, 0)) / along / np.sqrt(max(size - 1, 1))
-    return estimate - error, estimate + error
+    packed, low, step, total, lost = planes(queries, turn)
+    bounds = np.empty((len(queries), len(codes)), np.float32)
+    for at in range(0, len(codes), block):
+        own = codes[at:at + block]
+        met = np.zeros((len(queries), len(own)), np.uint32)
+        for j in range(packed.shape[1]):
+            for w in range(own.shape[1]):
+                met += np.bitwise_count(packed[:, j, w, None] & own[None, :, w]).astype(np.uint32) << np.uint32(j)
+        ones = np.bitwise_count(own).sum(axis=1, dtype=np.int64)[None]
+        scale = np.sqrt(size) * along[None, at:at + block]
+        estimate = (2 * (low * ones + step * met) - total) / scale
+        error = np.sqrt(np.maximum(1 - along[None, at:at + block] ** 2, 0) * size / max(size - 1, 1) + lost ** 2) / scale
+        bounds[:, at:at + block] = estimate + spread * error
+    return bounds
 
 
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -54,18 +84,38 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return vectors @ query / (np.linalg.norm(vectors, axis=1) * np.linalg.norm(query))
 
 
-def best(codes, along, vectors, reps, queries, turn, spread, most) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the ids and cosines of its ``most`` nearest vectors in this group."""
+def reranked(upper: np.ndarray, query: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, cosines) of the vectors looked at: by falling bound, until it is below the ``most``-th exact cosine."""
+    first = np.argpartition(-upper, min(8 * most, len(upper)) - 1)[:8 * most]
+    looked, scores = [first], [cosines(query, vectors[first])]
+    if len(first) == len(upper):
+        return first, scores[0]
+    top = np.partition(scores[0], -most)[-most:]
+    kth = top[0]
+    rest = np.flatnonzero(upper >= kth)
+    rest = rest[~np.isin(rest, first, assume_unique=True)]
+    rest = rest[np.argsort(-upper[rest], kind="stable")]
+    for at in range(0, len(rest), 128):
+        part = rest[at:at + 128]
+        part = part[upper[part] >= kth]
+        if not len(part):
+            break
+        looked.append(part)
+        scores.append(cosines(query, vectors[part]))
+        top = np.partition(np.concatenate([top, scores[-1]]), -most)[-most:]
+        kth = top[0]
+    return np.concatenate(looked), np.concatenate(scores)
+
+
+def best(codes, along, vectors, reps, queries, turn, spread, most) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each query the ids and cosines of its ``most`` nearest vectors in this group, and how many were reranked."""
     for at in range(0, len(queries), 64):
         part = queries[at:at + 64]
-        lower, upper = bounds(codes, along, part, turn, spread)
-        kth = max(0, lower.shape[1] - most)
-        reach = np.partition(lower, kth, axis=1)[:, kth]
+        upper = upper_bounds(codes, along, part, turn, spread)
         for i, query in enumerate(part):
-            near = np.flatnonzero(upper[i] >= reach[i])
-            scores = cosines(query, vectors[near])
+            near, scores = reranked(upper[i], query, vectors, most)
             order = np.lexsort((reps[near], -scores))[:most]
-            yield at + i, reps[near][order], scores[order]
+            yield at + i, reps[near][order], scores[order], len(near)
 
 
 def usable(vector: Column) -> Column:
@@ -73,7 +123,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries: Column, nearest: int = 5, seed: int = 17, spread: float = 2.5, group_rows: int = 1 << 16) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, nearest: int = 5, seed: int = 17, spread: float = 2.0, group_rows: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``nearest`` of each row that ``queries`` picks, among all other rows.
 
     ``vectors`` has vec_id and embedding.
@@ -93,7 +143,9 @@ def search(vectors: DataFrame, queries: Column, nearest: int = 5, seed: int = 17
                       .select(F.get("ids", 0).alias("rep"), "embedding", "ids"), "vector-classes")
     asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("like"))
     asked = written(asked.join(classes, F.col("like") == F.col("embedding")).select("query_id", F.col("rep").alias("of")), "asked")
-    groups = max(1, -(-classes.count() // group_rows))
+    there = classes.count()
+    # a group for each core while the groups are not too small to be worth their own copy of the queries
+    groups = max(1, -(-there // group_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, there // LEAST_GROUP))
 
     # each group's vectors first, then every query
     held = classes.select(F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), "rep", "embedding")
@@ -124,10 +176,10 @@ def search(vectors: DataFrame, queries: Column, nearest: int = 5, seed: int = 17
                     continue
                 found = list(best(*coded, matrix, turn, spread, most))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(reps[[i for i, _, _ in found]], [len(r) for _, r, _ in found])),
-                     pa.array(np.concatenate([r for _, r, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["q", "rep", "score"])
+                    [pa.array(np.repeat(reps[[f[0] for f in found]], [len(f[1]) for f in found])),
+                     pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["q", "rep", "score"])
 
-    together = held.unionByName(sent).repartition("group").sortWithinPartitions("group", "kind", "rep")
+    together = held.unionByName(sent).repartition(2 * groups, "group").sortWithinPartitions("group", "kind", "rep")
     pairs = written(together.mapInArrow(compare, "q long, rep long, score double"), "near-classes")
     top = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     pairs = pairs.withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= most)

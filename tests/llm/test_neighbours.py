@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,9 +41,41 @@ def test_bounds_hold():
     turn = neighbours.rotation(48, 3)
     assert np.allclose(turn @ turn.T, np.eye(48))
     codes, along = neighbours.encode(vectors, turn)
-    lower, upper = neighbours.bounds(codes, along, queries, turn, 2.5)
+    assert codes.dtype == np.uint64 and codes.shape == (2000, 1)
     true = np.array([neighbours.cosines(q, vectors) for q in queries])
-    assert ((lower <= true) & (true <= upper)).mean() > 0.98
+    upper = neighbours.upper_bounds(codes, along, queries, turn, 2.5)
+    assert (true <= upper).mean() > 0.99
+    assert (upper - true).mean() < 0.4
+    middle = neighbours.upper_bounds(codes, along, queries, turn, 0.0)
+    assert abs((middle - true).mean()) < 0.01
+
+
+def test_estimate_is_the_product_with_the_code():
+    rng = np.random.default_rng(4)
+    vectors, queries = rng.standard_normal((300, 100)), rng.standard_normal((7, 100))
+    turn = neighbours.rotation(100, 3)
+    codes, along = neighbours.encode(vectors, turn)
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    signs = np.sign(units @ turn.T) / 10
+    packed, low, step, total, lost = neighbours.planes(queries, turn)
+    turned = queries / np.linalg.norm(queries, axis=1, keepdims=True) @ turn.T
+    rounded = low + step * np.rint((turned - low) / step)
+    want = rounded @ signs.T / (units @ turn.T * signs).sum(axis=1)
+    assert np.allclose(neighbours.upper_bounds(codes, along, queries, turn, 0.0, block=64), want, atol=1e-5)
+
+
+def test_few_vectors_are_reranked():
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").sort_by("vec_id").column("embedding").drop_null().to_pylist()
+    vectors = np.array(rows)
+    turn = neighbours.rotation(vectors.shape[1], 17)
+    codes, along = neighbours.encode(vectors, turn)
+    queries = vectors[::50]
+    looked = hits = 0
+    for i, near, scores, count in neighbours.best(codes, along, vectors, np.arange(len(vectors)), queries, turn, 2.0, 6):
+        looked += count
+        hits += len(set(near) & set(np.argsort(-neighbours.cosines(queries[i], vectors), kind="stable")[:6].tolist()))
+    assert looked < 0.18 * len(vectors) * len(queries)
+    assert hits >= 0.98 * 6 * len(queries)
 
 
 @pytest.mark.parametrize("group_rows", [1 << 16, 100])
