@@ -10,8 +10,9 @@ when first reached, and forgotten together when there are too many.
 
 Where a space follows another character no piece goes on, so the state is the same whatever came before.
 A chunk of text is then a map of states: a head that still depends on the state it is entered in, a count,
-and the state it leaves. Maps compose, so chunks of a long text are counted independently and combined by
-a prefix scan. Whole words are remembered with their counts.
+and the state it leaves. A head is read from the start state; entered in another state, it is read again only until
+both ways meet. So maps compose in a few steps, also in long texts without spaces: chunks are counted
+independently and combined pairwise, as in a prefix scan. Whole words are remembered with their counts.
 
 Defined results: null and empty texts have no tokens. Models need BPE pieces and no normalisation tables.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,18 +47,38 @@ class State(dict):
 
 @dataclass(frozen=True)
 class StateMap:
-    """What a chunk does to a state: run ``head`` from it; if the chunk has a ``tail``, leave in ``exit`` with ``count`` more."""
+    """What a piece of text does to a state.
 
-    head: str
+    ``head`` (in chunks) still depends on the state it is entered in: from the start state it gains ``gained`` tokens and is
+    left in ``left``. If the text has a ``tail``, that gains ``count`` more and is left in ``exit``, whatever came before.
+    """
+
+    head: tuple[str, ...]
+    gained: int
+    left: State
     tail: bool = False
     count: int = 0
     exit: State | None = None
 
-    def then(self, other: StateMap) -> StateMap:
-        if not self.tail:
-            return StateMap(self.head + other.head, other.tail, other.count, other.exit)
-        count, state = run(self.exit, other.head)
-        return StateMap(self.head, True, self.count + count + other.count, other.exit if other.tail else state)
+    def entered(self, state: State, start: State) -> tuple[int, State]:
+        """Tokens gained in the head from ``state``, and where that leads.
+
+        Both ways of reading the head are followed only until they meet, mostly within a few characters.
+        """
+        other, more = start, 0
+        for char in chain.from_iterable(self.head):
+            if state is other or state.active == other.active:
+                return self.gained + more, self.left
+            state, a = state[char]
+            other, b = other[char]
+            more += a - b
+        return self.gained + more, state
+
+    def then(self, other: StateMap, start: State) -> StateMap:
+        gained, state = other.entered(self.exit if self.tail else self.left, start)
+        if self.tail:
+            return StateMap(self.head, self.gained, self.left, True, self.count + gained + other.count, other.exit if other.tail else state)
+        return StateMap(self.head + other.head, self.gained + gained, state, other.tail, other.count, other.exit)
 
 
 def run(state: State, text: str) -> tuple[int, State]:
@@ -67,13 +89,11 @@ def run(state: State, text: str) -> tuple[int, State]:
     return count, state
 
 
-def scan(maps: list[StateMap]) -> list[StateMap]:
-    """Inclusive prefix compositions, by doubling."""
-    maps, step = list(maps), 1
-    while step < len(maps):
-        maps = maps[:step] + [a.then(b) for a, b in zip(maps[:-step], maps[step:], strict=True)]
-        step *= 2
-    return maps
+def composed(maps: list[StateMap], start: State) -> StateMap:
+    """All maps in order, by halves: the rising half of a prefix scan, as only its last element is wanted."""
+    while len(maps) > 1:
+        maps = [a.then(b, start) for a, b in zip(maps[::2], maps[1::2])] + maps[len(maps) & ~1:]
+    return maps[0]
 
 
 class Transducer:
@@ -154,11 +174,11 @@ class Transducer:
         """The map of a chunk; ``words`` has the counts of whole words behind one space."""
         edge = re.search("[^ ] ", chunk)
         if edge is None:
-            return StateMap(chunk)
+            return StateMap((chunk,), *run(self.start, chunk))
         head, tail = chunk[:edge.start() + 1], chunk[edge.start() + 1:]
         *whole, last = re.findall(" +[^ ]*", tail)
         count, state = run(self.start, last)
-        return StateMap(head, True, count + sum(words[w[1:]] for w in whole), state)
+        return StateMap((head,), *run(self.start, head), True, count + sum(words[w[1:]] for w in whole), state)
 
     def count(self, text: str, words: WordCounts, chunk: int = 1 << 16) -> int:
         text = text.replace(spmodel.SPACE, " ")
@@ -174,9 +194,13 @@ class Transducer:
             if "  " not in text:
                 return sum(map(words.__getitem__, text[1:].split(" ")))
             return sum(words[w[1:]] for w in re.findall(" +[^ ]*", text))
-        maps = [self.chunk_map(text[i:i + chunk], words) for i in range(0, len(text), chunk)]
-        whole = scan([StateMap("", True, 0, self.start), *maps])[-1]
-        return whole.count
+        maps = []
+        for i in range(0, len(text), chunk):
+            if len(self.states) > self.most_states:
+                self.reset()
+            maps.append(self.chunk_map(text[i:i + chunk], words))
+        whole = composed(maps, self.start)
+        return whole.gained + whole.count
 
 
 class WordCounts(dict):
@@ -187,7 +211,7 @@ class WordCounts(dict):
 
     def __missing__(self, word: str) -> int:
         count, _ = run(self.machine.start, " " + word)
-        if len(self) < self.most:
+        if len(self) < self.most and len(word) <= 64:
             self[word] = count
         return count
 

@@ -76,10 +76,31 @@ def test_counts_equal_the_library(reference, texts):
     assert [machine.count(t, words, chunk=7) for t in texts[:3000]] == want[:3000]
 
 
+def test_long_texts_without_spaces(reference):
+    rng = random.Random(7)
+    machine, words = transducer.compiled(PATH)
+    han = "的一是不了在人有我他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生会自着去"
+    for text in ("".join(rng.choice(han) for _ in range(1_000_000)), "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)),
+                 "a" * 200_001, "ab" * 100_001, "".join(rng.choice(han) for _ in range(300_000)) + " tail " * 30_000):
+        assert machine.count(text, words) == len(reference.encode(text))
+    assert not any(len(w) > 64 for w in words)
+
+
+def test_heads_of_chunks_depend_on_where_they_are_entered(reference):
+    machine, words = transducer.compiled(PATH)
+    rng = random.Random(8)
+    for letters in ("a", "ab", "the", "的一a", "=-"):
+        for chunk in (1, 2, 3, 5, 64):
+            text = "".join(rng.choice(letters) for _ in range(500))
+            assert machine.count(text, words, chunk=chunk) == len(reference.encode(text))
+
+
 def test_forgetting_states_changes_nothing(reference, texts):
     machine = transducer.Transducer(spmodel.read_model(PATH), most_states=50)
     words = transducer.WordCounts(machine, most=20)
-    assert [machine.count(t, words) for t in texts[:300]] == [len(x) for x in reference.encode(texts[:300])]
+    want = [len(x) for x in reference.encode(texts[:300])]
+    assert [machine.count(t, words) for t in texts[:300]] == want
+    assert [machine.count(t, words, chunk=3) for t in texts[:300]] == want
 
 
 def test_unequal_rows(spark):
