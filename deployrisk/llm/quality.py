@@ -1,13 +1,19 @@
 """Quality rules learned as a decision list.
 
 Statistics of each text are Spark expressions over its words and lines. A bounded sample of labelled
-documents is reduced to counts of statistics in bins, and sequential covering on these counts grows rules
-against poor documents: conditions ``statistic > threshold`` or ``<= threshold`` are added while they gain
-information (on two thirds of the sample), pruned from the end while that helps on the last third, and kept if
-they are precise there; covered rows leave, and the next rule is grown. The list becomes one conditional
-expression that Spark evaluates on every document. Thresholds lie halfway between values met.
-
-The sample has about ``sample_rows`` labelled documents, chosen by a hash of their ids; everything else
+documents that pass the base rule is reduced to counts of statistics in bins, and sequential covering on these
+counts grows rules against poor documents: conditions ``statistic > threshold`` or ``<= threshold`` are added while
+they gain information on two thirds of the sample, and cut back from the end to what separates best on the last
+third. Each third takes its turn as the last one, so that few labels are enough.
+
+A rule is judged on the third that it was not grown on. It stands unless a binomial test (level ``doubt``, 0.05)
+finds its share of poor documents below ``precision`` (0.98), and if another one (0.01) finds that share above that
+of all documents there; both allow for the number of rows. If no beginning of it stands, it is grown anew
+from another statistic. Of the rules that stand the one of the highest lower bound of precision is taken, covered rows
+leave, and the next one is grown, up to ``most_rules`` (8). The list becomes one conditional expression that
+Spark evaluates on every document. Thresholds lie halfway between values met.
+
+The sample has about ``sample_rows`` (20,000) labelled documents, chosen by a hash of their ids; everything else
 covers all rows.
 
 Defined results: null and blank texts have no words and fail the base rule; without labels of both kinds
@@ -35,6 +41,7 @@ FEATURES = {
     "digits": "n_digits / greatest(word_chars, 1)",
 }
 BINS = 32
+THIRDS = 3
 
 
 def _only(text: Column, kept: str) -> Column:
@@ -113,14 +120,19 @@ def _totals(groups: list[Group]) -> tuple[int, int]:
     return sum(g[1] for g in groups), sum(g[2] for g in groups)
 
 
-def grow(groups: list[Group], features: int) -> list[tuple[int, bool, int]]:
-    """Add the condition of highest information gain until no good document is covered or nothing is gained."""
+def grow(groups: list[Group], features: int, passed: frozenset[int] = frozenset()) -> list[tuple[int, bool, int]]:
+    """Add the condition of highest information gain until no good document is covered or nothing is gained.
+
+    The first condition is on none of the ``passed`` features.
+    """
     tests: list[tuple[int, bool, int]] = []
     poor, good = _totals(groups)
     while poor and good:
         best, chosen = 1e-9, None
         before = math.log2(poor / (poor + good))
         for f in range(features):
+            if not tests and f in passed:
+                continue
             by_bin = [[0, 0] for _ in range(BINS + 1)]
             for bins, p, g in groups:
                 by_bin[bins[f]][0] += p
@@ -140,51 +152,83 @@ def grow(groups: list[Group], features: int) -> list[tuple[int, bool, int]]:
     return tests
 
 
-def prune(tests: list[tuple[int, bool, int]], groups: list[Group]) -> list[tuple[int, bool, int]]:
-    """The beginning of the rule that separates best on rows it was not grown on."""
-    def worth(size: int) -> float:
-        poor, good = _totals(_covered(groups, tests[:size]))
-        return (poor - good) / (poor + good) if poor + good else -1.0
-    return tests[:max(range(1, len(tests) + 1), key=lambda size: (worth(size), -size))] if tests else []
-
-
-def cover(growing: list[Group], pruning: list[Group], features: int, most_rules: int, precision: float, least: int) -> list[list[tuple[int, bool, int]]]:
+def _at_least(hits: int, rows: int, share: float) -> float:
+    """Chance of so many hits or more among so many rows."""
+    if hits <= 0:
+        return 1.0
+    if not 0 < share < 1:
+        return float(share >= 1)
+    log = math.lgamma(rows + 1)
+    terms = (math.exp(log - math.lgamma(k + 1) - math.lgamma(rows - k + 1) + k * math.log(share) + (rows - k) * math.log1p(-share)) for k in range(hits, rows + 1))
+    return min(1.0, math.fsum(terms))
+
+
+def _lower_bound(hits: int, rows: int, z: float = 1.64) -> float:
+    """Wilson's lower bound of a share."""
+    share = hits / rows
+    return (share + z * z / (2 * rows) - z * math.sqrt(share * (1 - share) / rows + z * z / (4 * rows * rows))) / (1 + z * z / rows)
+
+
+def stands(poor: int, good: int, share: float, precision: float, doubt: float) -> bool:
+    """Whether a rule that covers so many may be used, where ``share`` of all documents are poor."""
+    return poor > 0 and 1 - _at_least(poor + 1, poor + good, precision) >= doubt and _at_least(poor, poor + good, share) <= 0.01
+
+
+def candidate(growing: list[Group], pruning: list[Group], features: int, precision: float, doubt: float) -> tuple[float, list[tuple[int, bool, int]]] | None:
+    """The lower bound of precision and the conditions of a rule that stands on rows it was not grown on."""
+    poor, good = _totals(pruning)
+    if not poor or not good:
+        return None
+    share, passed = poor / (poor + good), frozenset()
+    while tests := grow(growing, features, passed):
+        found = []
+        for size in range(1, len(tests) + 1):
+            p, g = _totals(_covered(pruning, tests[:size]))
+            if stands(p, g, share, precision, doubt):
+                found.append((_lower_bound(p, p + g), -size))
+        if found:
+            bound, size = max(found)
+            return bound, tests[:-size]
+        passed |= {tests[0][0]}
+    return None
+
+
+def cover(parts: list[list[Group]], features: int, most_rules: int, precision: float, doubt: float) -> list[list[tuple[int, bool, int]]]:
     """Rules against poor documents, in order."""
     rules: list[list[tuple[int, bool, int]]] = []
     while len(rules) < most_rules:
-        tests = prune(grow(growing, features), pruning)
-        if not tests:
-            break
-        poor, good = _totals(_covered(pruning, tests))
-        if poor < least or poor < precision * (poor + good):
+        found = [candidate([g for j, other in enumerate(parts) if j != i for g in other], part, features, precision, doubt) for i, part in enumerate(parts)]
+        found = [f for f in found if f]
+        if not found:
             break
+        tests = max(found, key=lambda f: (f[0], -len(f[1])))[1]
         rules.append(tests)
-        growing, pruning = ([g for g in groups if not _covered([g], tests)] for groups in (growing, pruning))
+        parts = [[g for g in part if not _covered([g], tests)] for part in parts]
     return rules
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_rules: int = 8, precision: float = 0.98, least: int = 5) -> list[Rule]:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_rules: int = 8, precision: float = 0.98, doubt: float = 0.05) -> list[Rule]:
     """The decision list; ``sample_rows`` bounds what is looked at and brought to the driver."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("quality"))
     there = labels.count()
     part = 1 << 30
     chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(part)) < int(part * min(1.0, sample_rows / max(1, there))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = statistics(texts.join(F.broadcast(written(chosen, "label-sample")), F.col("doc_id") == F.col("id")))
-    values = written(sample.select("quality", (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("pruning"),
+    sample = statistics(texts.join(F.broadcast(written(chosen, "label-sample")), F.col("doc_id") == F.col("id"))).filter(~base_failed())
+    values = written(sample.select("quality", F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(THIRDS)).cast("int").alias("part"),
                                    *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items())), "label-statistics")
     steps = [i / (4 * BINS) for i in range(4 * BINS + 1)]
     met = values.agg(*(F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES)).first()
     cuts = {f: _halfway(met[f] or []) for f in FEATURES}
     bins = [_bin(f, cuts[f]).alias(f) for f in FEATURES]
-    counts = values.groupBy("pruning", *bins).agg(F.count_if(F.col("quality") == 0).alias("poor"), F.count_if(F.col("quality") != 0).alias("good"))
-    groups: dict[bool, list[Group]] = {True: [], False: []}
+    counts = values.groupBy("part", *bins).agg(F.count_if(F.col("quality") == 0).alias("poor"), F.count_if(F.col("quality") != 0).alias("good"))
+    parts: list[list[Group]] = [[] for _ in range(THIRDS)]
     for r in counts.collect():  # at most as many rows as the sample has
-        groups[r["pruning"]].append((tuple(r[f] for f in FEATURES), r["poor"], r["good"]))
+        parts[r["part"]].append((tuple(r[f] for f in FEATURES), r["poor"], r["good"]))
     names = list(FEATURES)
-    for own in groups.values():
+    for own in parts:
         own.sort()
-    rules = cover(groups[False], groups[True], len(names), most_rules, precision, least)
+    rules = cover(parts, len(names), most_rules, precision, doubt)
     return [[Condition(names[f], above, cuts[names[f]][cut]) for f, above, cut in tests] for tests in rules
             if all(cut < len(cuts[names[f]]) for f, _, cut in tests)]
 

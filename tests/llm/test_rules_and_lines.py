@@ -44,12 +44,61 @@ def test_covering_finds_the_rule():
             poor = bins[0] > 12 and bins[2] <= 7
             out.append((bins, int(poor), int(not poor)))
         return out
-    rules = quality.cover(groups(3000), groups(1500), 3, 5, 0.9, 5)
+    rules = quality.cover([groups(1500) for _ in range(3)], 3, 5, 0.9, 0.05)
     fresh = groups(2000)
     caught = [any(quality._covered([g], r) for r in rules) for g in fresh]
     assert sum(c == bool(g[1]) for c, g in zip(caught, fresh)) > 1950
 
 
+def test_a_good_row_does_not_end_the_list():
+    """One good row among those of the first rule, and a second rule that needs another statistic."""
+    part = [((9, 0), 1, 0)] * 11 + [((9, 0), 0, 1)] + [((0, 9), 1, 0)] * 8 + [((0, 0), 0, 1)] * 100
+    rules = quality.cover([list(part) for _ in range(3)], 2, 8, 0.98, 0.05)
+    assert sorted({t[0][0] for t in rules}) == [0, 1]
+    rng = random.Random(6)
+    noise = [[((rng.randrange(10), rng.randrange(7)), poor, 1 - poor) for poor in rng.choices([0, 1], [9, 1], k=700)] for _ in range(3)]
+    assert quality.cover(noise, 2, 8, 0.98, 0.05) == []
+
+
+def test_binomial_bounds():
+    assert quality._at_least(3, 5, 0.5) == pytest.approx(0.5)
+    assert quality._at_least(0, 5, 0.5) == 1.0 and quality._at_least(6, 5, 0.5) == 0.0
+    assert quality.stands(11, 1, 0.08, 0.98, 0.05) and not quality.stands(11, 3, 0.08, 0.98, 0.05)
+    assert quality.stands(2, 0, 0.08, 0.98, 0.05) and not quality.stands(1, 0, 0.08, 0.98, 0.05)
+    assert not quality.stands(20_000, 1_000, 0.08, 0.98, 0.05)
+
+
+PLAIN_FEATURES = {
+    "symbols": lambda t, w: sum(c in "#*$%&|<>" for c in t) / max(1, sum(map(len, w))),
+    "repeats": lambda t, w: plain_statistics(t)[4] / max(1, len(w)),
+    "equal_lines": lambda t, w: plain_statistics(t)[3] / max(1, sum(bool(SPACES.sub("", x)) for x in t.split("\n"))),
+    "word_length": lambda t, w: sum(map(len, w)) / max(1, len(w)),
+    "capitals": lambda t, w: sum(c.isupper() for c in t) / max(1, sum(map(len, w))),
+    "marks": lambda t, w: sum(c in "!?" for c in t) / max(1, len(w)),
+    "digits": lambda t, w: sum(c in "0123456789" for c in t) / max(1, sum(map(len, w))),
+}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_learned_list_against_plain_python(spark, folder):
+    """Few labels are enough for a rule, and ``kept`` is the list applied to plain statistics."""
+    sf = f"/root/testdata/{folder}"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality.learn(docs, labels)
+    assert rules
+    poor = {r.doc_id for r in labels.filter("quality = 0").collect()}
+    got = {r.doc_id: r.kept for r in quality.judge(docs, labels).select("doc_id", "kept").collect()}
+    caught = 0
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        text = text or ""
+        words = [w for w in SPACES.split(text) if w]
+        failed = len(words) < 50 or 100 * plain_statistics(text)[4] > 50 * len(words)
+        rejected = any(all((PLAIN_FEATURES[c.feature](text, words) > c.threshold) == c.above for c in rule) for rule in rules)
+        assert got[doc_id] == (not failed and not rejected)
+        caught += doc_id in poor and not failed and rejected
+    assert caught >= 5
+
+
 def test_no_labels(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
