@@ -32,16 +32,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines in three-line windows seen before go; every document stays, if need be without text."""
-    return _measured(lines.remove_lines(docs, size=3), docs)
+    """Lines in three-line windows seen before go, and with them documents of which no line with a word is left."""
+    left = lines.remove_lines(docs, size=3)
+    return _measured(left.filter("n_removed = 0 OR n_removed < n_lines"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays; rows without an id stay."""
+    """Of each group of near duplicates the document of the smallest id stays, once; rows without an id stay."""
     found = simhash.near_duplicates(docs, shingle=3, most=2, seed=42)
-    first = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct(), "group-firsts")
-    rows = docs.join(first.hint("merge"), F.col("doc_id") == F.col("__first"), "left")
-    return rows.filter("__first is not null or doc_id is null").select(*docs.columns)
+    first = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg(F.count(F.lit(1)).alias("__rows"))
+    first = written(first, "group-firsts")
+    rows = docs.join(first.hint("merge"), F.col("doc_id") == F.col("__first"), "left").filter("__first is not null or doc_id is null")
+    if first.filter("__rows > 1").isEmpty():
+        return rows.select(*docs.columns)
+    # of rows that repeat an id and text one stays
+    rows = written(rows, "group-rows")
+    repeated = F.coalesce(F.col("__rows"), F.lit(1)) > 1
+    return rows.filter(~repeated).unionByName(rows.filter(repeated).dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
