@@ -1,46 +1,168 @@
 """Oversampling the rarer class with synthetic rows between near neighbours.
 
-The neighbour search is exact without comparing all rows of a tenant. Rows are projected
-on one unit direction, and a projection never makes two points look further apart than
-they are. Each point first takes its neighbours along the projection as a bound on how
-far its true neighbours can be; only points inside that band are then compared. Bands
-become ranges of row numbers, so the work is an equi-join on even blocks of rows.
+The neighbour search is exact without comparing all rows of a tenant. Distinct vectors are cut into tiles of at most
+``TILE`` by their places along the two features that vary most: slabs along one, tiles along the other. Within a tile
+a tree of boxes, halved along the widest side down to ``LEAF`` vectors, is searched by rising distance of
+the boxes until the next one is farther than the k-th neighbour found. Only vectors whose k-th neighbour is
+farther than the border of another slab's and tile's box are searched there too, within that distance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
-from deployrisk.operators.ordered import running_sums, value_slice, with_position
+from deployrisk.operators.ordered import value_slice, with_position
 from deployrisk.session import materialize
 
 NEIGHBOURS = 5
 LEAST_RISKY = 6
-BLOCK = 64          # rows per block of the neighbour join
+TILE = 4096         # vectors searched together
+LEAF = 4            # vectors in a box at the end of the tree
+QUERIES = 50_000    # vectors of other tiles searched in one copy of a tile
 BATCH = 1000        # synthetic rows made per exploded element
 
 
-def _distance(a: str, b: str, features: Sequence[str]) -> Column:
-    total = F.lit(0.0)
-    for f in features:
-        gap = F.col(f"{a}.{f}") - F.col(f"{b}.{f}")
-        total = total + gap * gap
-    return total
+# --- search within a tile ------------------------------------------------------
+
+def leaves(points: np.ndarray) -> list[np.ndarray]:
+    """Places of the points in each box of the tree."""
+    found, waiting = [], [np.arange(len(points))]
+    while waiting:
+        own = waiting.pop()
+        if len(own) <= LEAF:
+            found.append(own)
+            continue
+        sides = np.ptp(points[own], axis=0)
+        own = own[np.argsort(points[own, np.argmax(sides)], kind="stable")]
+        waiting += [own[:len(own) // 2], own[len(own) // 2:]]
+    return found
 
 
-def projection(features: Sequence[str]) -> Column:
-    """Unit-length mix of the features: equal weights."""
-    weight = 1.0 / len(features) ** 0.5
-    total = F.lit(0.0)
-    for f in features:
-        total = total + F.col(f) * F.lit(weight)
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances along the last axis, added up feature by feature."""
+    total = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1])
+    for f in range(a.shape[-1]):
+        gap = a[..., f] - b[..., f]
+        total += gap * gap
     return total
 
 
+def tile_neighbours(points: np.ndarray, queries: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ``k`` nearest points of each query, not farther than ``bound`` (squared): (places or -1, squares, pairs compared).
+
+    ``own`` is the place of the query itself among the points, or -1. Of equally near points earlier ones come first.
+    """
+    boxes = leaves(points)
+    width = max(map(len, boxes))
+    member = np.array([[*b, *[-1] * (width - len(b))] for b in boxes])
+    low, high = (np.array([edge(points[b], axis=0) for b in boxes]) for edge in (np.min, np.max))
+    places, squares, pairs = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf), 0
+    step = max(1, (1 << 20) // len(boxes))
+    for start in range(0, len(queries), step):
+        part = slice(start, start + step)
+        q = queries[part]
+        away = _squares(np.clip(q[:, None], low[None], high[None]), q[:, None])
+        order = np.argsort(away, axis=1, kind="stable")
+        near, far = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
+        active = np.arange(len(q))
+        for turn in range(len(boxes)):
+            box = order[active, turn]
+            # boxes lie no nearer than this one from here on
+            there = away[active, box] <= np.minimum(far[active, -1], bound[part][active])
+            active, box = active[there], box[there]
+            if not len(active):
+                break
+            other = member[box]
+            square = _squares(q[active, None], points[other])
+            usable = (other >= 0) & (other != own[part][active, None]) & (square <= bound[part][active, None])
+            pairs += int((other >= 0).sum())
+            names = np.concatenate([near[active], np.where(usable, other, -1)], axis=1)
+            sizes = np.concatenate([far[active], np.where(usable, square, np.inf)], axis=1)
+            best = np.lexsort((names, sizes), axis=1)[:, :k]
+            near[active], far[active] = np.take_along_axis(names, best, 1), np.take_along_axis(sizes, best, 1)
+        near[np.isinf(far)] = -1
+        places[part], squares[part] = near, far
+    return places, squares, pairs
+
+
+def _matrix(batch: pa.Table, column: str) -> np.ndarray:
+    values = batch.column(column).combine_chunks()
+    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
+
+def _listed(vids: pa.Array, ids: pa.Array, places: np.ndarray, squares: np.ndarray) -> pa.Table:
+    """(vid, other, distance2) of all neighbours found."""
+    row, column = np.nonzero(places >= 0)
+    return pa.table({"vid": ids.take(pa.array(row)), "other": vids.take(pa.array(places[row, column])), "distance2": pa.array(squares[row, column])})
+
+
+def _in_tile(k: int) -> Callable[[pa.Table], pa.Table]:
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vid")
+        points, vids = _matrix(table, "at"), table.column("vid").combine_chunks()
+        places, squares, _ = tile_neighbours(points, points, np.arange(len(points)), np.full(len(points), np.inf), k)
+        found = _listed(vids, vids, places, squares)
+        keys = {c: table.column(c)[0] for c in table.column_names if c not in ("vid", "at")}
+        return pa.table({**{c: pa.array([v.as_py()] * found.num_rows, table.schema.field(c).type) for c, v in keys.items()},
+                         **{c: found.column(c) for c in found.column_names}})
+    return search
+
+
+def _in_other_tile(k: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def search(held: pa.Table, asked: pa.Table) -> pa.Table:
+        keys = {c: asked.column(c)[0] if asked.num_rows else None for c in names}
+        if not held.num_rows or not asked.num_rows:
+            found = pa.table({"vid": pa.array([], pa.string()), "other": pa.array([], pa.string()), "distance2": pa.array([], pa.float64())})
+        else:
+            held = held.sort_by("vid")
+            places, squares, _ = tile_neighbours(_matrix(held, "at"), _matrix(asked, "at"), np.full(asked.num_rows, -1),
+                                                 asked.column("bound").to_numpy(), k)
+            found = _listed(held.column("vid").combine_chunks(), asked.column("vid").combine_chunks(), places, squares)
+        return pa.table({**{c: pa.array([v.as_py() if v is not None else None] * found.num_rows, (asked if asked.num_rows else held).schema.field(c).type)
+                            for c, v in keys.items()}, **{c: found.column(c) for c in found.column_names}})
+    return search
+
+
+# --- tiles ---------------------------------------------------------------------
+
+def tiled(points: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """keys, vid, ``at`` (array of the features), slab and tile."""
+    keys = list(keys)
+    rows = points.select(*keys, "vid", F.array(*[F.col(f).cast("double") for f in features]).alias("at"))
+    spread = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.reverse(F.sort_array(F.array(*[
+        F.struct(F.coalesce(F.var_samp(F.col(f).cast("double")), F.lit(0.0)).alias("v"), F.lit(i).alias("f")) for i, f in enumerate(features)]))).alias("by"))
+    rows = rows.join(spread, keys)
+    small = rows.filter(F.col("n") <= TILE).select(*keys, "vid", "at", F.lit(0).cast("long").alias("slab"), F.lit(0).cast("long").alias("tile"))
+    large = rows.filter(F.col("n") > TILE).withColumns({
+        "_x": F.get("at", F.get("by", F.lit(0)).f), "_y": F.get("at", F.get("by", F.lit(1 if len(features) > 1 else 0)).f),
+        "_slabs": F.ceil(F.sqrt(F.col("n") / TILE))}).drop("by", "n")
+    placed = with_position(large, keys, ["_x", "vid"], value_slice("_x"))
+    slabs = placed.withColumn("slab", F.floor(F.col("pos") * F.col("_slabs") / F.col("n"))).drop("pos", "n")
+    placed = with_position(slabs, [*keys, "slab"], ["_y", "vid"], value_slice("_y"))
+    tiles = placed.withColumn("tile", F.floor(F.col("pos") * F.ceil(F.col("n") / TILE) / F.col("n")))
+    return small.unionByName(tiles.select(*keys, "vid", "at", "slab", "tile"))
+
+
+def _box_distance(at: Column, low: Column, high: Column) -> Column:
+    """Squared distance of a point to a box."""
+    gaps = F.zip_with(F.zip_with(low, at, lambda a, b: F.greatest(a - b, F.lit(0.0))), F.zip_with(at, high, lambda a, b: F.greatest(a - b, F.lit(0.0))),
+                      lambda a, b: a * a + b * b)
+    return F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b)
+
+
+def _boxes(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """low and high corner of the points of each group."""
+    return rows.groupBy(*keys).agg(F.array(*[F.min(F.get("at", F.lit(i))) for i in range(size)]).alias("low"),
+                                   F.array(*[F.max(F.get("at", F.lit(i))) for i in range(size)]).alias("high"), F.count(F.lit(1)).alias("held"))
+
+
 def nearest(points: DataFrame, keys: Sequence[str], k: int, features: Sequence[str] = K.FEATURES) -> DataFrame:
     """The ``k`` nearest other points of each point within its key, exact.
 
@@ -48,54 +170,44 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, features: Sequence[s
     keys, ``vid``, ``other`` (struct of vid, features and remaining columns), ``distance2``
     (squared) and ``rank``.
     """
-    keys = list(keys)
-    line = points.withColumn("_v", projection(features))
-    # read five times below, so it is written once
-    placed = materialize(with_position(line, keys, ["_v", "vid"], value_slice("_v")).withColumn(
-        "_block", F.floor(F.col("pos") / BLOCK)), "neighbour-points")
-    body = F.struct(*[c for c in placed.columns if c not in keys])
-
-    # bound: k-th smallest distance to the 2k points next to it along the line
-    halo = placed.withColumn("_home", F.floor(F.col("pos") / 4096))
-    near_end = F.col("pos") % 4096
-    spread = halo.withColumn("_chunk", F.explode(F.array_compact(F.array(
-        F.col("_home"), F.when(near_end < k, F.col("_home") - 1), F.when(near_end >= 4096 - k, F.col("_home") + 1)))))
-    along = Window.partitionBy(*keys, "_chunk").orderBy("pos")
-    vector = F.struct(*[F.col(f).alias(f) for f in features])
-    sided = spread.withColumn("_me", vector)
-    for i in range(1, k + 1):
-        sided = (sided.withColumn(f"_a{i}", F.lag("_me", i).over(along))
-                 .withColumn(f"_b{i}", F.lead("_me", i).over(along)))
-    gaps = F.array_compact(F.array(*[
-        F.when(F.col(c).isNotNull(), _distance("_me", c, features))
-        for i in range(1, k + 1) for c in (f"_a{i}", f"_b{i}")]))
-    sized = F.array_sort(gaps)
-    # a little slack covers rounding in the projection
-    bound = F.sqrt(F.get(sized, F.least(F.size(sized), F.lit(k)) - 1)) * (1 + 1e-9) + 1e-9
-    bounded = sided.filter(F.col("_chunk") == F.col("_home")).select(
-        *keys, "vid", "_v", "n", bound.alias("_r")).filter(F.col("_r").isNotNull())
-
-    # band ends to row numbers, by counting points before them
-    ends = bounded.select(*keys, "vid", "n", F.explode(F.array(
-        F.struct((F.col("_v") - F.col("_r")).alias("_x"), F.lit(0).alias("_kind")),
-        F.struct((F.col("_v") + F.col("_r")).alias("_x"), F.lit(2).alias("_kind")))).alias("_e"))
-    marks = placed.select(*keys, "vid", "n", F.col("_v").alias("_x"), F.lit(1).alias("_kind"), F.lit(1).cast("long").alias("_one"))
-    marks = marks.unionByName(ends.select(*keys, "vid", "n", "_e._x", "_e._kind", F.lit(0).cast("long").alias("_one")))
-    counted = running_sums(marks, keys, value_slice("_x"), ["_x", "_kind", "vid"], {"_one": "_p"})
-    bands = counted.filter(F.col("_kind") != 1).groupBy(*keys, "vid").agg(
-        F.max(F.when(F.col("_kind") == 0, F.col("_p_before"))).alias("_lo"),
-        F.max(F.when(F.col("_kind") == 2, F.col("_p_before"))).alias("_hi"))
-
-    here = placed.select(*keys, F.col("vid"), vector.alias("_me"))
-    queries = bands.join(here, [*keys, "vid"]).select(
-        *keys, "vid", "_me", F.explode(F.sequence(
-            F.floor(F.col("_lo") / BLOCK), F.floor((F.col("_hi") - 1) / BLOCK))).alias("_block"))
-    targets = placed.select(*keys, "_block", body.alias("other"))
-    pairs = queries.join(targets, [*keys, "_block"]).filter(F.col("vid") != F.col("other.vid"))
-    far = pairs.withColumn("distance2", _distance("_me", "other", features))
-    best = Window.partitionBy(*keys, "vid").orderBy("distance2", "other.vid")
-    return far.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
-        *keys, "vid", "other", "distance2", "rank")
+    keys, size = list(keys), len(features)
+    points = materialize(points, "neighbour-points")
+    placed = materialize(tiled(points, keys, features), "neighbour-tiles")
+    schemas = {f.name: f.dataType.simpleString() for f in placed.schema}
+    spot = [*keys, "slab", "tile"]
+    schema = ", ".join(f"{c} {schemas[c]}" for c in [*spot, "vid"]) + ", other string, distance2 double"
+    inside = materialize(placed.groupBy(*spot).applyInArrow(_in_tile(k), schema), "neighbours-inside")
+
+    # how far each point's k-th neighbour is, and the boxes that are nearer
+    tiles = _boxes(placed, spot, size)
+    many = tiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tiles")).filter("_tiles > 1").select(*keys)
+    tiles = materialize(tiles.join(many, keys, "left_semi"), "neighbour-boxes")
+    reach = inside.groupBy(*keys, "vid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance2")).otherwise(float("inf")).alias("bound"))
+    asking = placed.join(many, keys, "left_semi").join(reach, [*keys, "vid"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    asking = asking.withColumnsRenamed({"slab": "_slab", "tile": "_tile"})
+    slabs = tiles.groupBy(*keys, "slab").agg(
+        F.array(*[F.min(F.get("low", F.lit(i))) for i in range(size)]).alias("low"), F.array(*[F.max(F.get("high", F.lit(i))) for i in range(size)]).alias("high"))
+    listed = slabs.groupBy(*keys).agg(F.collect_list(F.struct("slab", "low", "high")).alias("_boxes"))       # a square root of the tiles
+    near = asking.join(listed, keys).withColumn("slab", F.explode(F.transform(F.filter(
+        "_boxes", lambda b: _box_distance(F.col("at"), b.low, b.high) <= F.col("bound")), lambda b: b.slab))).drop("_boxes")
+    listed = tiles.groupBy(*keys, "slab").agg(F.collect_list(F.struct("tile", "low", "high")).alias("_boxes"))
+    near = near.join(listed, [*keys, "slab"]).withColumn("tile", F.explode(F.transform(F.filter(
+        "_boxes", lambda b: _box_distance(F.col("at"), b.low, b.high) <= F.col("bound")), lambda b: b.tile))).drop("_boxes")
+    near = materialize(near.filter("NOT (slab = _slab AND tile = _tile)").select(*spot, "vid", "at", "bound"), "neighbour-queries")
+
+    # a tile that many ask is copied, and each copy answers some of them
+    copies = near.groupBy(*spot).agg((F.floor(F.count(F.lit(1)) / QUERIES) + 1).alias("_copies"))
+    asked = near.join(copies, spot).withColumn("copy", F.pmod(F.xxhash64("vid"), F.col("_copies"))).drop("_copies")
+    held = placed.join(copies, spot).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
+    parts = [*spot, "copy"]
+    outside = held.groupBy(*parts).cogroup(asked.groupBy(*parts)).applyInArrow(_in_other_tile(k, spot), schema)
+
+    best = Window.partitionBy(*keys, "vid").orderBy("distance2", "other")
+    found = inside.unionByName(outside).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    body = F.struct(*[c for c in points.columns if c not in keys])
+    others = points.select(*keys, F.col("vid").alias("_other"), body.alias("_body"))
+    found = found.withColumnRenamed("other", "_other").join(others, [*keys, "_other"])
+    return found.select(*keys, "vid", F.col("_body").alias("other"), "distance2", "rank")
 
 
 def _unit(*parts: Column) -> Column:

@@ -90,7 +90,10 @@ def test_shifted_builds_drift(spark):
     assert got["moved"] == "drifted" and got["few"] == "skipped"
 
 
-def test_neighbours_equal_brute_force(spark):
+@pytest.mark.parametrize("tile,copies", [(4096, 50_000), (16, 20)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, tile, copies):
+    monkeypatch.setattr(balance, "TILE", tile)
+    monkeypatch.setattr(balance, "QUERIES", copies)
     rng = np.random.default_rng(4)
     points = rng.normal(0, 1, (400, 10)) * rng.uniform(0.1, 50, 10)
     points[:, 0] = np.round(points[:, 0])
@@ -105,6 +108,24 @@ def test_neighbours_equal_brute_force(spark):
         np.testing.assert_allclose([d for _, d in sorted(got[f"v{i:04d}"])], want, rtol=1e-9)
 
 
+def test_few_boxes_are_searched():
+    rng = np.random.default_rng(6)
+    compared = {}
+    for n in (400, 4000):
+        points = np.round(rng.normal(0, 1, (n, 3)), 1) * [50, 5, 1]
+        points = np.unique(points, axis=0)
+        near, far, pairs = balance.tile_neighbours(points, points, np.arange(len(points)), np.full(len(points), np.inf), 5)
+        compared[n] = pairs / len(points)
+        for i in rng.integers(0, len(points), 60):
+            squares = np.sum((points - points[i]) ** 2, axis=1)
+            squares[i] = np.inf
+            want = np.lexsort((np.arange(len(points)), np.round(squares, 9)))[:5]
+            np.testing.assert_allclose(far[i], squares[want], rtol=1e-9)
+    assert compared[4000] < 40 and compared[4000] < 1.7 * compared[400]
+    one = balance.tile_neighbours(points[:1], points[:1], np.array([0]), np.array([np.inf]), 5)
+    assert (one[0] == -1).all() and np.isinf(one[1]).all()
+
+
 def test_oversampling_reaches_parity_inside_the_class(spark):
     train = history(spark, 300, risky=lambda i: i % 10 == 0)
     made = balance.oversample(train, ["tenant_id"], "build_id")
