@@ -10,7 +10,8 @@ An edit lies in the second half of a word or in its first half, which is the sec
 behind the first half, at the node that the word itself passes there, and a pair found forwards is left
 out backwards. The frontier then starts among the rarer nodes instead of crossing the crowded root for every word.
 
-Nodes are named by 128-bit hashes of their prefixes. A node through which very many words pass is written several
+Nodes are named by 64-bit hashes of their prefixes; two that fell together would share their edges, and each pair is
+checked letter by letter at the end. A node through which very many words pass is written several
 times, and its states are dealt over these copies. Everything is dealt by node or by word; counts are added up
 in each task before they are dealt.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deployrisk.llm.common import slices, written
@@ -91,7 +92,7 @@ def prefixes(words: DataFrame) -> DataFrame:
         rows: list[tuple] = []
 
         def made() -> pa.RecordBatch:
-            types = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.bool_()]
+            types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["side", "id", "depth", "node", "next", "start"])
             rows.clear()
@@ -101,42 +102,41 @@ def prefixes(words: DataFrame) -> DataFrame:
             for own, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist(), strict=True):
                 for side, spelled in ((0, word), (1, word[::-1])):
                     start, first = _start(len(word), side), _start(len(word) - 1, side)
-                    state = xxhash.xxh3_128(f"{side}{spelled[:first]}")
+                    state = xxhash.xxh3_64(f"{side}{spelled[:first]}")
                     for depth in range(first, len(word) + 1):
                         after = spelled[depth:depth + 1]
-                        rows.append((side, own, depth, state.digest(), after or None, depth == start))
+                        rows.append((side, own, depth, state.intdigest() - (1 << 63), after or None, depth == start))
                         state.update(after)
                         if len(rows) >= 50_000:
                             yield made()
         yield made()
 
-    return words.select("id", "word").mapInArrow(spell, "side int, id string, depth int, node binary, next string, start boolean")
+    return words.select("id", "word").mapInArrow(spell, "side int, id string, depth int, node long, next string, start boolean")
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the edges of each node in a list, written once for each copy; the first states of all words)."""
+    """(the edges of each node, written once for each of its copies; the first states of all words)."""
     # long words are named by a hash, or each of their prefixes would carry all of them
     words = written(words.select("word", F.when(F.char_length("word") <= 64, F.col("word")).otherwise(F.concat(F.lit("\0"), F.sha2("word", 256))).alias("id")), "trie-words")
     passed = written(prefixes(words), "word-prefixes")
     nodes = passed.groupBy("node").agg(
         F.min("next").alias("least"), F.max("next").alias("most"), F.max(F.col("next").isNull()).alias("ends"), F.max("start").alias("starts"),
-        F.count(F.lit(1)).alias("words"))
+        F.count(F.lit(1)).alias("words"), F.array_join(F.collect_set("next"), "").alias("letters"))
     kept = nodes.filter("ends OR starts OR least <> most").select(
-        F.col("node").alias("kept"), (F.floor(F.col("words") / CROWD) + 1).cast("int").alias("copies"))
-    stops = passed.join(written(kept, "trie-nodes"), F.col("node") == F.col("kept")).select("side", "id", "depth", "node", "copies", "next", "start")
+        F.col("node").alias("kept"), (F.floor(F.col("words") / CROWD) + 1).cast("int").alias("copies"), "letters")
+    stops = passed.join(written(kept, "trie-nodes"), F.col("node") == F.col("kept")).select("side", "id", "depth", "node", "copies", "letters", "next", "start")
     named = written(stops.join(words.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of"), "trie-stops")
     along = Window.partitionBy("side", "id").orderBy("depth")
     spelled = F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word"))
     steps = named.withColumns({"from": F.lag("node").over(along), "at": F.lag("depth").over(along), "from_copies": F.lag("copies").over(along)})
     steps = steps.filter("at is not null").select(
-        "from", "from_copies", "node", "copies", F.substring(spelled, F.col("at") + 1, F.col("depth") - F.col("at")).alias("label"),
-        F.when(F.col("next").isNull(), F.col("word")).alias("word"))
+        "from", "from_copies", "node", "copies", "letters", F.substring(spelled, F.col("at") + 1, F.col("depth") - F.col("at")).alias("label"),
+        F.when(F.col("next").isNull(), F.col("word")).alias("end"))
     # one row an edge; the word that ends there comes from the row of that word alone
-    edges = steps.groupBy("from", "node").agg(F.first("label").alias("label"), F.max("word").alias("word"), F.first("copies").alias("copies"),
-                                              F.first("from_copies").alias("from_copies"))
-    # as many edges as there are letters, at most
-    lists = edges.groupBy("from").agg(F.collect_list(F.struct("label", "node", "copies", "word")).alias("edges"), F.first("from_copies").alias("from_copies"))
-    table = lists.select(F.col("from"), F.explode(F.sequence(F.lit(0), F.col("from_copies") - 1)).alias("edge_copy"), "edges")
+    edges = steps.groupBy("from", "node").agg(
+        *(F.first(c).alias(c) for c in ("label", "copies", "letters", "from_copies")), F.max("end").alias("end"))
+    table = edges.select(F.col("from"), F.explode(F.sequence(F.lit(0), F.col("from_copies") - 1)).alias("edge_copy"), F.left("label", F.lit(1)).alias("letter"),
+                         "label", F.col("node").alias("to"), F.col("copies").alias("to_copies"), "letters", "end")
     first = named.filter("start").select(
         "side", "word", F.col("depth").alias("position"), "node", F.pmod(F.hash("word"), F.col("copies")).alias("copy"), F.lit(0).alias("edits"))
     return written(table, "trie-edges"), written(first, "first-states")
@@ -144,51 +144,53 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- the walk -----------------------------------------------------------------------------------
 
-def _agree(a: str, b: str) -> int:
-    """Letters at the beginning that two texts share."""
-    size = min(len(a), len(b))
-    if a[:size] == b[:size]:
-        return size
-    low, high = 0, size - 1      # a[:low] agrees, a[:high + 1] does not
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
-    return low
-
-
-def followed(rest: str, label: str, edits: int) -> Iterator[tuple[int, int]]:
-    """(letters of ``rest`` used, edits) after a label, with an edit at most where the two first differ."""
-    if rest.startswith(label):
-        yield len(label), edits
-        return
-    if edits:
-        return
-    m, size = _agree(rest, label), len(label)
-    if len(rest) > m and rest.startswith(label[m + 1:], m + 1):
-        yield size, 1                                               # one replaced
-    if rest.startswith(label[m + 1:], m):
-        yield size - 1, 1                                           # one more in the label
-    if len(rest) > m and rest.startswith(label[m:], m + 1):
-        yield size + 1, 1                                           # one more in the word
-
-
-def _step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """States behind each edge, and neighbours (``near``) where a word ends."""
-    names = ["side", "word", "position", "node", "copy", "edits", "near"]
-    types = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
-    for batch in batches:
-        rows = []
-        for side, word, position, edits, edges in zip(*(batch.column(c).to_pylist() for c in ("side", "word", "position", "edits", "edges")), strict=True):
-            rest = (word[::-1] if side else word)[position:]
-            for edge in edges:
-                for used, made in followed(rest, edge["label"], edits):
-                    rows.append((side, word, position + used, edge["node"], zlib.crc32(word.encode()) % edge["copies"], made, None))
-                    end, left = edge["word"], len(rest) - used
-                    if end is not None and left == 1 - made:        # an edit made and nothing left, or the last letter is one too many
-                        if side == 0 or _agree(word, end) < len(word) // 2:
-                            rows.append((side, word, None, None, None, None, end))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+def _after(text: Column, letters: Column | int) -> Column:
+    """The text without its first letters."""
+    return F.substring(text, F.lit(letters) + 1 if isinstance(letters, int) else letters + 1, F.lit((1 << 31) - 1))
+
+
+def _followed(states: DataFrame) -> DataFrame:
+    """States without an edit behind an edge: none yet if its label agrees with ``rest``, else one where the two first differ."""
+    rest, label, m = F.col("rest"), F.col("label"), F.col("m")
+    size, there = F.char_length("label"), F.char_length("rest")
+    # -1 where they agree; behind an equal first letter, every place that it could be is tried
+    places = F.when(F.startswith(rest, label), F.array(F.lit(-1))).when(F.left(rest, F.lit(1)) != F.col("letter"), F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(1), F.greatest(F.least(size - 1, there), F.lit(1))))
+    differ = (F.left(rest, m) == F.left(label, m)) & (F.substring(rest, m + 1, F.lit(1)) != F.substring(label, m + 1, F.lit(1)))
+    states = states.withColumn("m", F.explode(places)).filter((m <= 0) | differ)
+    more = (m >= 0) & (there > m)
+    ways = F.explode(F.array(
+        F.when(m < 0, size * 2),
+        F.when(more & F.startswith(_after(rest, m + 1), _after(label, m + 1)), size * 2 + 1),                  # a letter replaced
+        F.when((m >= 0) & F.startswith(_after(rest, m), _after(label, m + 1)), size * 2 - 1),                  # one more in the label
+        F.when(more & F.startswith(_after(rest, m + 1), _after(label, m)), size * 2 + 3)))                     # one more in the word
+    states = states.withColumn("way", ways).filter("way is not null")
+    return states.withColumns({"used": F.floor(F.col("way") / 2).cast("int"), "made": F.col("way") % 2})
+
+
+def _level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """The states one edge further, and the word that such a state has become (``near``)."""
+    spelled = F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word"))
+    states = frontier.withColumn("rest", _after(spelled, F.col("position")))
+    edges = edges.hint("shuffle_hash")      # saves sorting the states; a share of the edges is small wherever states are many
+    here = (F.col("node") == F.col("from")) & (F.col("copy") == F.col("edge_copy"))
+    columns = ["side", "word", "position", "rest", "to", "to_copies", "letters", "end", "used", "made"]
+    plain = _followed(states.filter("edits = 0").join(edges, here)).select(*columns)
+    edited = states.filter("edits = 1").withColumn("first", F.left("rest", F.lit(1)))
+    edited = edited.join(edges, here & (F.col("first") == F.col("letter")) & F.startswith("rest", "label"))
+    edited = edited.withColumns({"used": F.char_length("label"), "made": F.lit(1)}).select(*columns)
+    found = plain.unionByName(edited)
+    left = F.char_length("rest") - F.col("used")
+    half = F.floor(F.char_length("word") / 2).cast("int")
+    # an edit made and nothing left, or none and the last letter is one too many
+    near = (left == 1 - F.col("made")) & ((F.col("side") == 0) | (F.left("word", half) != F.left("end", half)))
+    # a letter that no edge begins with leads nowhere once an edit is made
+    goes_on = F.when(F.col("made") == 0, F.col("letters") != "").otherwise(
+        (left > 0) & F.contains("letters", F.substring("rest", F.col("used") + 1, F.lit(1))))
+    return found.select(
+        "side", "word", (F.col("position") + F.col("used")).alias("position"), F.when(goes_on, F.col("to")).alias("node"),
+        F.pmod(F.hash("word"), F.col("to_copies")).alias("copy"), F.col("made").alias("edits"), F.when(near, F.col("end")).alias("near")
+    ).filter("node is not null or near is not null")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -197,20 +199,12 @@ def neighbours(words: DataFrame) -> DataFrame:
     Words of fewer than three letters take no part: halves of two words an edit apart could both be empty.
     """
     edges, frontier = trie(words.select("word").filter(F.char_length("word") >= 3).distinct())
-    levels = []
+    every = words.select("word", F.col("word").alias("near")).limit(0)
     while not frontier.isEmpty():
-        joined = frontier.join(edges, (F.col("node") == F.col("from")) & (F.col("copy") == F.col("edge_copy")))
-        found = joined.select("side", "word", "position", "edits", "edges").mapInArrow(
-            _step, "side int, word string, position int, node binary, copy int, edits int, near string")
-        found = written(found, "trie-level")
-        levels.append(found.filter("near is not null").select("word", "near"))
-        frontier = found.filter("near is null").drop("near")
-    if not levels:
-        return words.select("word", F.col("word").alias("near")).limit(0)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    return every
+        found = written(_level(frontier, edges), "trie-level")
+        every = every.unionByName(found.filter("near is not null").select("word", "near"))
+        frontier = found.filter("node is not null").drop("near")
+    return every.filter(F.levenshtein("word", "near", 1) == 1)
 
 
 # ---- forms --------------------------------------------------------------------------------------
