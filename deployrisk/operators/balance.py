@@ -215,21 +215,28 @@ def _unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def oversample(train: DataFrame, keys: Sequence[str], id_column: str, seed: int = 42,
-               features: Sequence[str] = K.FEATURES) -> DataFrame:
-    """Synthetic rows (keys, label, features) that bring the rarer class to parity.
+def plan_of(train: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What each key that can be balanced needs: its rarer label, how many rows it has and lacks, and the neighbours used.
 
-    Keys with fewer than six risky rows, or too few rare rows for the neighbours asked
-    for, get none. Repeated vectors are searched once and count as their own neighbours.
+    Keys with fewer than six risky rows, or too few rare rows for the neighbours asked for, are left out.
     """
-    keys = list(keys)
     sizes = train.groupBy(*keys).agg(
         F.sum((F.col("label") == 1).cast("long")).alias("_n1"), F.sum((F.col("label") == 0).cast("long")).alias("_n0"))
     plan = sizes.select(
         *keys, F.when(F.col("_n1") <= F.col("_n0"), 1).otherwise(0).alias("label"),
         F.least("_n1", "_n0").alias("_rare"), F.abs(F.col("_n1") - F.col("_n0")).alias("_need"),
         F.least(F.lit(NEIGHBOURS), F.col("_n1") - 1).cast("int").alias("_k"), "_n1")
-    plan = plan.filter((F.col("_n1") >= LEAST_RISKY) & (F.col("_rare") > F.col("_k")) & (F.col("_need") > 0))
+    return plan.filter((F.col("_n1") >= LEAST_RISKY) & (F.col("_rare") > F.col("_k")))
+
+
+def oversample(train: DataFrame, keys: Sequence[str], id_column: str, seed: int = 42,
+               features: Sequence[str] = K.FEATURES) -> DataFrame:
+    """Synthetic rows (keys, label, features) that bring the rarer class to parity.
+
+    Keys without a plan get none. Repeated vectors are searched once and count as their own neighbours.
+    """
+    keys = list(keys)
+    plan = plan_of(train, keys).filter("_need > 0")
 
     rare = train.join(plan, [*keys, "label"]).withColumn("_h", F.xxhash64(F.col(id_column), F.lit(seed)))
     ranked = with_position(rare, keys, ["_h", id_column], F.shiftright("_h", 52))
@@ -268,7 +275,17 @@ def oversample(train: DataFrame, keys: Sequence[str], id_column: str, seed: int
 
 
 def balance(train: DataFrame, keys: Sequence[str], id_column: str, features: Sequence[str] = K.FEATURES) -> DataFrame:
-    """Training rows plus their synthetic ones; only the columns a fit needs."""
+    """Training rows plus their synthetic ones: keys, label, id, features and ``sample_weight``.
+
+    Rows keep the weight they came with (1 without one) where their key could not be balanced. Balancing voids the
+    weights, so all rows of a balanced key weigh 1.
+    """
+    keys = list(keys)
+    own = F.coalesce(F.col("sample_weight").cast("double"), F.lit(1.0)) if "sample_weight" in train.columns else F.lit(1.0)
     kept = materialize(train.select(
-        *keys, "label", id_column, *[F.col(f).cast("double").alias(f) for f in features]), "train-rows")
-    return kept.unionByName(oversample(kept, keys, id_column, features=features))
+        *keys, "label", id_column, *[F.col(f).cast("double").alias(f) for f in features], own.alias("_own")), "train-rows")
+    balanced = plan_of(kept, keys).select(*keys, F.lit(True).alias("_balanced"))
+    weighed = kept.join(balanced, keys, "left").select(
+        *keys, "label", id_column, *features, F.when(F.col("_balanced"), 1.0).otherwise(F.col("_own")).alias("sample_weight"))
+    made = oversample(kept, keys, id_column, features=features)
+    return weighed.unionByName(made.withColumn("sample_weight", F.lit(1.0)))

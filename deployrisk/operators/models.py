@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
+from deployrisk.operators import forests
 from deployrisk.session import scratch_path
 
 # forest settings (fixed values)
@@ -96,31 +96,24 @@ def importance_rows(importances: DataFrame, array: str = "importances") -> DataF
         *rest, "place", F.get(names, F.col("place")).alias("feature"), "importance")
 
 
-def predict_by_version(models: dict[str, RandomForestClassificationModel], builds: DataFrame, pool: int = 8) -> DataFrame:
-    """Score each build with the model named in ``version``; unknown versions use ``base``.
+def trees_of(model: RandomForestClassificationModel, spark: SparkSession) -> DataFrame:
+    """A forest fitted by MLlib as a table of trees."""
+    path = scratch_path(spark, "forest")
+    model.save(path)
+    return forests.from_saved(spark.read.parquet(f"{path}/data"))
 
-    Builds are written once by version, so each model reads its own rows only however
-    many models there are. Models run from a bounded pool of driver threads.
-    """
-    spark = builds.sparkSession
-    known = [v for v in models if v != "base"]
-    named = builds.withColumn("_use", F.when(F.col("version").isin(*known), F.col("version")).otherwise("base")
-                              if known else F.lit("base"))
-    rows_path, out = scratch_path(spark, "by-version"), scratch_path(spark, "scored-by-version")
-    named.hint("rebalance", "_use").write.partitionBy("_use").parquet(rows_path)
-    rows = spark.read.schema(named.schema).parquet(rows_path)
 
-    def one(item: tuple[str, RandomForestClassificationModel]) -> None:
-        version, model = item
-        predict(model, rows.filter(F.col("_use") == version)).drop("_use").write.parquet(f"{out}/_use={version}")
+def predict_by_version(trees: DataFrame, builds: DataFrame) -> DataFrame:
+    """Score each build with the forest named in ``version``; builds of unknown versions use ``base``.
 
-    with ThreadPoolExecutor(pool) as threads:
-        list(threads.map(one, models.items()))
-    schema = builds.withColumn("p", F.lit(0.0)).schema
-    return spark.read.schema(schema).option("basePath", out).parquet(out).select(*builds.columns, "p")
+    ``trees`` holds all forests with their ``version``; builds meet them by a join on it, in blocks.
+    """
+    known = trees.select(F.col("version").alias("_use")).distinct()
+    named = builds.join(known, builds.version == known._use, "left").withColumn("_use", F.coalesce("_use", F.lit("base")))
+    return forests.predict(trees.withColumnRenamed("version", "_use"), named, ["_use"], "build_id").select(*builds.columns, "p")
 
 
-def scenarios(spark) -> DataFrame:
+def scenarios(spark: SparkSession) -> DataFrame:
     """Four fixed builds with the band their score must land in (fixed values)."""
     rows = [
         ("friday_evening_large", "high", 847, 12, 17, 4, 0.4, 0.85, 0, 10, 3.0, 0.1),

@@ -1,135 +1,101 @@
-"""Nightly training of every eligible tenant: prepare once, fit, gate, promote."""
+"""Nightly training of every eligible tenant: prepare once, fit all forests together, gate, promote.
+
+Models are rows: a forest is its trees in a table, and scoring meets them by a join. No step runs once per tenant.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
 from deployrisk import sinks
-from deployrisk.operators import balance, metrics, models, selection, validation
+from deployrisk.operators import balance, forests, metrics, models, selection, validation
 from deployrisk.operators.impute import impute_training
-
-POOL = 8  # fits in flight at once
+from deployrisk.session import materialize
 
 
 def prepare(builds: DataFrame, as_of: Column, window_days: int = K.TRAIN_WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
     """(rows of eligible tenants, eligibility report).
 
-    Rows are labelled, recent, filled from their tenant's medians and marked ``held_out``.
+    Rows are labelled, recent, filled from their tenant's medians and marked ``held_out``; they keep their
+    ``sample_weight``, 1 where they have none.
     """
     marked = validation.labelled(builds)
     recent = validation.recent_window(marked, as_of, window_days)
     counts = marked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("labelled"))
     usable = recent.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("usable"))
     report = validation.eligibility(counts, usable)
+    own = F.coalesce(F.col("sample_weight").cast("double"), F.lit(1.0)) if "sample_weight" in builds.columns else F.lit(1.0)
     chosen = recent.join(report.filter("eligible").select("tenant_id"), "tenant_id", "left_semi")
-    split = selection.tail_split(chosen.select("tenant_id", "build_id", "timestamp", "label", *K.FEATURES))
+    split = selection.tail_split(chosen.select("tenant_id", "build_id", "timestamp", "label", own.alias("sample_weight"), *K.FEATURES))
     return impute_training(split), report
 
 
-def fit_tenant(train: DataFrame, trees: int = models.TREES) -> RandomForestClassificationModel:
-    return models.fit_forest(models.balanced_weights(train), trees)
+def fit_keys(train: DataFrame, keys: Sequence[str], trees: int = models.TREES) -> DataFrame:
+    """A forest for each key: trees of rows whose classes weigh the same, times their own weight if they have one."""
+    own = ["sample_weight"] if "sample_weight" in train.columns else []
+    rows = materialize(train.select(*keys, "build_id", "label", *own, *K.FEATURES), "forest-rows")
+    rows = models.balanced_weights(rows, keys, F.col("sample_weight") if own else None)
+    growth = forests.Growth(models.DEPTH, models.LEAF_ROWS, models.SEED)
+    return forests.fit(rows.select(*keys, "build_id", "label", "weight", *K.FEATURES), keys, "build_id", trees, growth)
 
 
 def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int = K.TRAIN_WINDOW_DAYS,
-                trees: int = models.TREES, incumbents: DataFrame | None = None, pool: int = POOL) -> dict[str, str]:
+                trees: int = models.TREES, incumbents: DataFrame | None = None) -> dict[str, str]:
     """Train, gate and register every eligible tenant.
 
-    ``incumbents`` (tenant_id, path) names the models that new ones are held against, as
-    :func:`live_models` reads them from the registry.
+    ``incumbents`` holds the trees (tenant_id and arrays) of the models that new ones are held against, as
+    :func:`live_trees` reads them.
 
-    All preparation runs for all tenants at once and is written by tenant, so a fit reads
-    its own tenant only. Fits are Spark jobs started from a bounded pool of driver
-    threads; one that fails is recorded and the others go on. The gate is one aggregate
-    over all tenants' held-out predictions. Returns the paths of the tables written.
+    Everything runs for all tenants at once: preparation, balancing, the growth of all forests, and both models'
+    probabilities on the held-out rows. Returns the paths of the tables written.
     """
     spark = builds.sparkSession
+    paths = {name: sinks.new_table(spark, name) for name in ("report", "rows", "models", "predictions")} | {"version": version}
     prepared, report = prepare(builds, as_of, window_days)
-    rows_path = sinks.new_table(spark, "training-rows")
-    prepared.hint("rebalance", "tenant_id", "held_out").write.partitionBy("held_out", "tenant_id").parquet(rows_path)
-    rows = spark.read.schema(prepared.schema).parquet(rows_path)
-    train_path = sinks.new_table(spark, "training-balanced")
+    report.write.parquet(paths["report"])
+    prepared.hint("rebalance").write.partitionBy("held_out").parquet(paths["rows"])
+    rows = spark.read.schema(prepared.schema).parquet(paths["rows"])
     balanced = balance.balance(rows.filter("NOT held_out"), ["tenant_id"], "build_id")
-    balanced.hint("rebalance", "tenant_id").write.partitionBy("tenant_id").parquet(train_path)
-    report_path = sinks.new_table(spark, "eligibility")
-    report.write.parquet(report_path)
-
-    models_root = sinks.new_table(spark, "models")
-    predicted_path = sinks.new_table(spark, "predictions")
-    failures_path = sinks.new_table(spark, "failures")
-
-    def one(tenant: str, incumbent: str | None) -> None:
-        try:
-            train = spark.read.schema(balanced.schema).parquet(train_path).filter(F.col("tenant_id") == tenant)
-            model = fit_tenant(train, trees)
-            model.save(f"{models_root}/{tenant}/{version}")
-            held = rows.filter(F.col("held_out") & (F.col("tenant_id") == tenant))
-            scored = models.predict(model, held)
-            if incumbent:
-                old = RandomForestClassificationModel.load(incumbent)
-                scored = models.predict(old, scored.withColumnRenamed("p", "p_new")).withColumnRenamed(
-                    "p", "p_old").withColumnRenamed("p_new", "p")
-            else:
-                scored = scored.withColumn("p_old", F.lit(None).cast("double"))
-            importances = F.array(*[F.lit(v) for v in models.importance_array(model)])
-            # a folder per tenant: fits finish at the same time and must not share a committer
-            scored.select("build_id", "p", "p_old", F.col("label").alias("y"), importances.alias("importances")
-                          ).write.parquet(f"{predicted_path}/tenant_id={tenant}")
-        except Exception as error:  # recorded, never stops the others
-            spark.createDataFrame([(str(error),)], "reason string").write.parquet(
-                f"{failures_path}/tenant_id={tenant}")
-
-    chosen = spark.read.parquet(report_path).filter("eligible").select("tenant_id")
+    grown = fit_keys(balanced, ["tenant_id"], trees)
+    grown.withColumn("version", F.lit(version)).write.parquet(paths["models"])
+    fresh = spark.read.parquet(paths["models"])
+    held = rows.filter("held_out").select("tenant_id", "build_id", F.col("label").alias("y"), *K.FEATURES)
+    scored = materialize(forests.predict(fresh, held, ["tenant_id"], "build_id"), "held-out-scores")
     if incumbents is None:
-        incumbents = spark.createDataFrame([], "tenant_id string, path string")
-    tenants = chosen.join(incumbents.select("tenant_id", "path"), "tenant_id", "left").toLocalIterator()
-    with ThreadPoolExecutor(pool) as threads:
-        running: set[Future] = set()
-        for tenant in tenants:  # names come in as threads free up
-            if len(running) >= 2 * pool:
-                running = wait(running, return_when=FIRST_COMPLETED).not_done
-            running.add(threads.submit(one, tenant["tenant_id"], tenant["path"]))
-    return {"report": report_path, "models": models_root, "predictions": predicted_path,
-            "failures": failures_path, "rows": rows_path, "version": version}
-
-
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``, empty when no one wrote to it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-PREDICTIONS = "tenant_id string, build_id string, p double, p_old double, y int, importances array<double>"
+        both = scored.withColumn("p_old", F.lit(None).cast("double"))
+    else:
+        old = forests.predict(incumbents, held, ["tenant_id"], "build_id", as_="p_old").select("tenant_id", "build_id", "p_old")
+        both = scored.join(old, ["tenant_id", "build_id"], "left")
+    both.select("tenant_id", "build_id", "p", "p_old", "y").write.parquet(paths["predictions"])
+    return paths
 
 
 def gate_all(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Held-out quality, checks and the promotion decision per trained tenant."""
-    predictions = read_or_empty(spark, paths["predictions"], PREDICTIONS)
-    summary = metrics.held_out_summary(predictions, ["tenant_id"], old=True)
+    summary = metrics.held_out_summary(spark.read.parquet(paths["predictions"]), ["tenant_id"], old=True)
     sizes = spark.read.parquet(paths["report"]).select("tenant_id", F.col("usable").alias("dataset_size"))
     return metrics.gate(summary.join(sizes, "tenant_id"))
 
 
-def model_path(paths: dict[str, str]) -> Column:
-    """Where a run saved the model of ``tenant_id``."""
-    return F.concat(F.lit(paths["models"] + "/"), F.col("tenant_id"), F.lit("/" + paths["version"]))
+def live_models(registry: DataFrame) -> DataFrame:
+    """(tenant_id, path, version) of each tenant's newest promoted model."""
+    newest = F.max_by(F.struct("path", "version"), F.struct("trained_at", "version"))
+    return registry.filter("promoted").groupBy("tenant_id").agg(newest.alias("_m")).select("tenant_id", "_m.*")
 
 
-def live_models(registry: DataFrame) -> DataFrame:
-    """(tenant_id, path) of each tenant's newest promoted model."""
-    return registry.filter("promoted").groupBy("tenant_id").agg(F.max_by("path", F.struct("trained_at", "version")).alias("path"))
+def live_trees(registry: DataFrame, trees: DataFrame) -> DataFrame:
+    """The trees of each tenant's live model; ``trees`` holds those of all versions."""
+    return trees.join(live_models(registry).select("tenant_id", "version"), ["tenant_id", "version"], "left_semi")
 
 
 def registry_rows(gated: DataFrame, paths: dict[str, str], trained_at: Column) -> DataFrame:
     """Rows for the append-only model registry; the live model is the newest promoted one."""
     return gated.select(
-        "tenant_id", model_path(paths).alias("path"), F.lit(paths["version"]).alias("version"), trained_at.alias("trained_at"), F.lit("tenant").alias("phase"),
+        "tenant_id", F.lit(paths["models"]).alias("path"), F.lit(paths["version"]).alias("version"), trained_at.alias("trained_at"), F.lit("tenant").alias("phase"),
         "precision", "recall", "auc_roc", "dataset_size", F.array(*[F.lit(f) for f in K.FEATURES]).alias("feature_columns"),
         F.col("passed").alias("promoted"))
 
@@ -137,13 +103,11 @@ def registry_rows(gated: DataFrame, paths: dict[str, str], trained_at: Column) -
 def outcomes(spark: SparkSession, paths: dict[str, str], gated: DataFrame) -> DataFrame:
     """retrained / skipped / failed with a reason, one row per tenant; ``demo`` left out."""
     report = spark.read.parquet(paths["report"]).filter("tenant_id <> 'demo'")
-    failed = read_or_empty(spark, paths["failures"], "tenant_id string, reason string").select(
-        "tenant_id", F.col("reason").alias("_error"))
-    joined = report.join(gated.select("tenant_id", "passed"), "tenant_id", "left").join(failed, "tenant_id", "left")
+    joined = report.join(gated.select("tenant_id", "passed"), "tenant_id", "left")
     return joined.select(
         "tenant_id",
         F.when(~F.col("eligible"), "skipped").when(F.col("passed"), "retrained").otherwise("failed").alias("outcome"),
-        F.when(~F.col("eligible"), F.col("reason")).when(F.col("_error").isNotNull(), F.col("_error"))
+        F.when(~F.col("eligible"), F.col("reason")).when(F.col("passed").isNull(), "no model")
         .when(~F.col("passed"), "validation failed").otherwise("").alias("reason"))
 
 

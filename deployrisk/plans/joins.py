@@ -98,16 +98,11 @@ def join_baseline(spark, sf):
         FROM builds WHERE label >= 0 AND tenant_id <> 'demo' GROUP BY tenant_id)
     SELECT tenant_id, greatest(1, round_even(u * 0.2::DOUBLE, 0))::BIGINT AS rows, true AS both_scored FROM c WHERE n >= {K.MIN_BUILDS} AND u >= {K.MIN_BUILDS}""", "builds"))
 def join_incumbent(spark, sf):
-    """Held-out rows of each trained tenant under last night's model and under tonight's.
-
-    Ten trees a model, as the join is what this shows.
-    """
-    from deployrisk.operators import training
+    """Held-out rows of each trained tenant under last night's model and under tonight's."""
     from deployrisk.plans.training import nightly
-    first, _ = nightly(spark, sf, trees=10)
-    old = spark.read.parquet(first["report"]).filter("eligible").select("tenant_id", training.model_path(first).alias("path"))
-    second, _ = nightly(spark, sf, "v2", old, trees=10)
-    both = training.read_or_empty(spark, second["predictions"], training.PREDICTIONS)
+    first, _ = nightly(spark, sf)
+    second, _ = nightly(spark, sf, "v2", spark.read.parquet(first["models"]))
+    both = spark.read.parquet(second["predictions"])
     scored = F.coalesce(F.col("p").between(0, 1) & F.col("p_old").between(0, 1), F.lit(False))
     return both.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(scored).alias("both_scored"))
 

@@ -150,10 +150,10 @@ def ml_predict_batch(spark, sf):
     train = materialize(labelled_rows(spark, sf), "labelled").filter("NOT held_out")
     live = views.tenants(spark, sf).filter("model_phase = 'tenant'").select(
         "tenant_id", F.concat("tenant_id", F.lit("-v1")).alias("version"))
-    fits = {"base": models.fit_forest(train)}
-    for row in live.collect():  # a model each, as many as there are live ones
-        fits[row.version] = models.fit_forest(train.filter(F.col("tenant_id") == row.tenant_id))
-    scored = models.predict_by_version(fits, joins.model_for_tenant(rows, live))
+    own = training.fit_keys(train.join(live, "tenant_id"), ["version"])
+    base = models.trees_of(models.fit_forest(train), spark).withColumn("version", F.lit("base"))
+    trees = materialize(own.unionByName(base), "live-trees")
+    scored = models.predict_by_version(trees, joins.model_for_tenant(rows, live))
     return scored.select("tenant_id", "build_id", "version", "model_phase", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("in_range"))
 
 
@@ -203,7 +203,8 @@ def sink_model_promote(spark, sf):
     first, gated = nightly(spark, sf)
     sinks.append_rows(training.registry_rows(gated, first, F.lit(AS_OF).cast("long")), registry)
     live = materialize(training.live_models(spark.read.parquet(registry)), "live-models")
-    second, gated = nightly(spark, sf, "v2", live)
+    incumbents = training.live_trees(spark.read.parquet(registry), spark.read.parquet(first["models"]))
+    second, gated = nightly(spark, sf, "v2", materialize(incumbents, "incumbents"))
     gated = materialize(gated, "gated")
     sinks.append_rows(training.registry_rows(gated, second, F.lit(AS_OF + 86400).cast("long")), registry)
     rows = spark.read.parquet(registry)

@@ -155,6 +155,45 @@ def test_one_night(spark):
     assert live.first().feature_columns == K.FEATURES
 
 
+def test_sample_weights_reach_the_fit(spark):
+    """Weights stay where a tenant is too small to balance, and are void where it was balanced."""
+    weight = F.when(F.col("build_id").substr(6, 1) == "0", 0.4).when(F.col("build_id").substr(6, 1) == "1", F.lit(None)).otherwise(0.9)
+    train = history(spark, 60, "few", risky=lambda i: i % 20 == 0).unionByName(history(spark, 60, "many")).withColumn("sample_weight", weight)
+    rows = balance.balance(train, ["tenant_id"], "build_id").collect()
+    few = {r.build_id: r.sample_weight for r in rows if r.tenant_id == "few"}
+    assert set(few.values()) == {0.4, 0.9, 1.0} and few["b00010"] == 0.4 and few["b00011"] == 1.0
+    many = [r.sample_weight for r in rows if r.tenant_id == "many"]
+    assert len(many) == 80 and set(many) == {1.0}
+    small = history(spark, 40, "few", risky=lambda i: i % 10 == 0).withColumn("sample_weight", F.when(F.col("label") == 1, 0.5).otherwise(1.0))
+    root = training.fit_keys(small, ["tenant_id"], 200).select(F.get("p", F.lit(0)).alias("p")).agg(F.avg("p")).first()[0]
+    assert root == pytest.approx(1 / 3, abs=0.03)      # classes weigh the same before the rows' own weights
+
+
+def test_two_nights_against_each_other(spark):
+    builds = history(spark, 300, "a").unionByName(history(spark, 200, "b"))
+    first = training.retrain_all(builds, F.lit(AS_OF), "v1", trees=5)
+    trees = spark.read.parquet(first["models"])
+    registry = training.registry_rows(training.gate_all(spark, first), first, F.lit(AS_OF))
+    live = training.live_trees(registry, trees.unionByName(trees.withColumn("version", F.lit("v0"))))
+    assert live.count() == 10 and {r.version for r in live.collect()} == {"v1"}
+    second = training.retrain_all(builds, F.lit(AS_OF), "v2", trees=5, incumbents=live)
+    both = spark.read.parquet(second["predictions"]).collect()
+    assert len(both) == 100 and all(r.p == r.p_old for r in both)      # the same rows and draws
+    gated = training.gate_all(spark, second).collect()
+    assert all(r.old_precision == r.precision and r.ok_not_regressing for r in gated)
+
+
+def test_versions_score_their_own_builds(spark):
+    train = history(spark, 200, "a").unionByName(history(spark, 200, "b", risky=lambda i: i % 2 == 0))
+    trees = training.fit_keys(train, ["tenant_id"], 5).withColumnRenamed("tenant_id", "version")
+    trees = trees.unionByName(trees.filter("version = 'a'").withColumn("version", F.lit("base")))
+    builds = history(spark, 30, "a").withColumn("version", F.when(F.col("hour_of_day") == 3, "b").otherwise("unknown"))
+    got = {r.build_id: r for r in models.predict_by_version(trees, builds).collect()}
+    assert len(got) == 30 and set(got["b00000"].asDict()) == {*builds.columns, "p"}
+    own = {r.build_id: r.p for r in models.forests.predict(trees.filter("version = 'base'").withColumn("version", F.lit("x")), builds.withColumn("version", F.lit("x")), ["version"], "build_id").collect()}
+    assert all(r.p == own[i] for i, r in got.items() if r.version == "unknown")
+
+
 def test_scenarios_under_the_rule(spark):
     from deployrisk.functions.scalars import rule_risk
     got = {r.name: r.ok for r in models.scenario_check(models.scenarios(spark).withColumn("p", rule_risk())).collect()}
