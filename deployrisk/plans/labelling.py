@@ -27,9 +27,12 @@ def lbl_status(spark, sf):
     return labelling.status(labelling.described(views.label_events(spark, sf))).select("build_id", "seq", "status", "note")
 
 
-@TOPIC.query("st_assumed_ok", duck.sql("""
+ASSUMED_SQL = """
     SELECT tenant_id, build_id, 0 AS label, 'assumed_ok' AS label_source, 0.4::DOUBLE AS sample_weight FROM heads
-    WHERE timestamp <= 996624000 - 30 * 86400 AND build_id NOT IN (SELECT 'b' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') FROM lineitem)""", "heads"))
+    WHERE timestamp <= 996624000 - 30 * 86400 AND build_id NOT IN (SELECT 'b' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') FROM lineitem)"""
+
+
+@TOPIC.query("st_assumed_ok", duck.sql(ASSUMED_SQL, "heads"))
 def st_assumed_ok(spark, sf):
     heads = views.build_heads(spark, sf)
     events = views.table(spark, sf, "lineitem").select(views.build_id_of("l_orderkey").alias("build_id"))

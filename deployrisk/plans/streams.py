@@ -8,6 +8,7 @@ from deployrisk import contract as K
 from deployrisk.functions import scalars as S
 from deployrisk.operators import health, impute, scoring
 from deployrisk.plans import duck, views
+from deployrisk.plans.labelling import ASSUMED_SQL
 from deployrisk.plans.registry import Topic
 from deployrisk.plans.scoring import fleet_sql
 from deployrisk.session import materialize
@@ -25,7 +26,7 @@ def event_stream(spark, sf):
     SELECT build_id, label, label_source, sample_weight, observed FROM r WHERE k = 1""", "label_events"))
 def st_label_state(spark, sf):
     events = views.label_events(spark, sf, event_stream(spark, sf))
-    return jobs.merge_labels(jobs.drain_partials(events, jobs.label_partials, "label-state")).drop("event_ts", "seq")
+    return jobs.merge_labels(jobs.drain_partials(events, jobs.label_partials, jobs.merge_labels, "label-state")).drop("event_ts", "seq")
 
 
 @TOPIC.query("st_score_stream", duck.sql(fleet_sql("27") + """
@@ -61,7 +62,7 @@ def st_health_window(spark, sf):
     """A window per deploy and day (the sample events are sparse)."""
     baselines = health.baseline(health.with_ok(views.probes(spark, sf)).filter("phase = 'baseline'"))
     probes = views.probes(spark, sf, event_stream(spark, sf))
-    parts = jobs.drain_partials(probes, lambda batch: jobs.health_partials(batch, "1 day"), "health")
+    parts = jobs.drain_partials(probes, lambda batch: jobs.health_partials(batch, "1 day"), jobs.merge_probes, "health")
     return jobs.merge_health(parts, baselines).select(
         "deploy_id", "total", "errors", "latency_p50", "latency_p95", "baseline_p50", "verdict")
 
@@ -72,7 +73,7 @@ def st_health_window(spark, sf):
 def st_rate_limit(spark, sf):
     """Day windows with a limit of four, as the sample log is sparse; the default is 120 a minute."""
     log = views.access_log(spark, sf, event_stream(spark, sf))
-    parts = jobs.drain_partials(log, lambda batch: jobs.request_partials(batch, jobs.limiter_key(), "1 day"), "over-limit")
+    parts = jobs.drain_partials(log, lambda batch: jobs.request_partials(batch, jobs.limiter_key(), "1 day"), jobs.merge_requests, "over-limit")
     return jobs.merge_over_limit(parts, 4).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -87,7 +88,7 @@ def rate_limit_batch(spark, sf):
 @TOPIC.query("st_actor_count", duck.sql("SELECT tenant_id, actor, count(*) AS builds FROM heads GROUP BY ALL", "heads"))
 def st_actor_count(spark, sf):
     orders = jobs.file_stream(spark, f"{sf}/orders.parquet", jobs.ORDERS)
-    return jobs.merge_actors(jobs.drain_partials(views.build_heads(spark, sf, orders), jobs.actor_partials, "actor-builds"))
+    return jobs.merge_actors(jobs.drain_partials(views.build_heads(spark, sf, orders), jobs.actor_partials, jobs.merge_actors, "actor-builds"))
 
 
 @TOPIC.query("st_access_metrics", duck.sql("""
@@ -96,6 +97,19 @@ def st_actor_count(spark, sf):
     FROM access_log GROUP BY ALL""", "access_log"))
 def st_access_metrics(spark, sf):
     log = views.access_log(spark, sf, event_stream(spark, sf))
-    return jobs.merge_access(jobs.drain_partials(log, jobs.access_partials, "access")).select(
+    return jobs.merge_access(jobs.drain_partials(log, jobs.access_partials, jobs.merge_access, "access")).select(
         "endpoint", "status", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests",
         "seconds", "le_0_1", "le_1_0")
+
+
+ITEMS = "l_orderkey bigint"
+
+
+@TOPIC.query("st_assumed_ok_stream", duck.sql(ASSUMED_SQL, "heads"))
+def st_assumed_ok_stream(spark, sf):
+    """Arriving orders and lines: an order is assumed fine once it is 30 days old and no line ever came."""
+    builds = views.build_heads(spark, sf, jobs.file_stream(spark, f"{sf}/orders.parquet", jobs.ORDERS)).select("build_id", "tenant_id", "timestamp")
+    lines = jobs.file_stream(spark, f"{sf}/lineitem.parquet", ITEMS).select(
+        views.build_id_of("l_orderkey").alias("build_id"), F.lit(None).cast("string").alias("tenant_id"), F.lit(None).cast("long").alias("timestamp"))
+    parts = jobs.drain_partials(builds.unionByName(lines), jobs.quiet_partials, jobs.merge_quiet, "quiet-builds")
+    return jobs.assumed_ok(parts, F.lit(996624000))

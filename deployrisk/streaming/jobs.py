@@ -2,13 +2,15 @@
 
 Rows are never dropped for being late, and no window has to close. Every micro-batch is
 reduced to partial results (a winning label, counts, counts per latency) in a folder named
-by the batch, so a restarted job writes the same folder again. Partial results are merged
-when they are read, in any order: labels by rank, counts by addition.
+by the batch, so a restarted job writes the same folder again. Partial results merge in any
+order: labels by rank, counts by addition. Every ``FAN_IN`` folders of batches are merged into one,
+as many of those into a larger one, and so on, so a read meets a number of folders that grows with the
+logarithm of the batches. Which folders are merged follows from the batch number alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,19 +49,91 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Write ``partial`` of every micro-batch and read all of them back, still unmerged."""
+FAN_IN = 4
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple[object, object]:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def spans(spark: SparkSession, out: str) -> list[tuple[int, int]]:
+    """First and last batch of each finished folder."""
+    files, path = _file_system(spark, out)
+    if not files.exists(path):
+        return []
+    found = []
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("batches=") and _file_system(spark, f"{out}/{name}/_SUCCESS")[0].exists(_file_system(spark, f"{out}/{name}/_SUCCESS")[1]):
+            first, last = name.removeprefix("batches=").split("-")
+            found.append((int(first), int(last)))
+    return sorted(found)
+
+
+def live_spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those that lie in no other one."""
+    return [s for s in found if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in found)]
+
+
+def _folder(out: str, first: int, last: int) -> str:
+    return f"{out}/batches={first}-{last}"
+
+
+def _compact(spark: SparkSession, out: str, schema: T.StructType, merge: Callable[[DataFrame], DataFrame], batch_id: int) -> None:
+    """Merge what batch ``batch_id`` completes.
+
+    Parts of an earlier merge are deleted only now, after that batch was committed: a batch that is run
+    again still finds what it merges.
+    """
+    size, done = FAN_IN, batch_id + 1
+    found = spans(spark, out)
+    for first, last in found:
+        if any(o != (first, last) and o[0] <= first and last <= o[1] and o[1] < batch_id for o in found):
+            files, path = _file_system(spark, _folder(out, first, last))
+            files.delete(path, True)
+    while done % size == 0:
+        start, step = done - size, size // FAN_IN
+        parts = [p for p in spans(spark, out) if p[0] >= start and p[1] - p[0] + 1 == step]
+        if parts:
+            rows = spark.read.schema(schema).parquet(*(_folder(out, *p) for p in parts))
+            merge(rows).select(*schema.names).write.mode("overwrite").parquet(_folder(out, start, batch_id))
+        size *= FAN_IN
+
+
+def fold(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Fold everything available into the partial results at ``out``; called again, it goes on from ``checkpoint``.
+
+    ``merge`` makes partial results of partial results.
+    """
     spark = stream.sparkSession
-    out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
     schema = partial(spark.createDataFrame([], stream.schema)).schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partial(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        partial(batch).write.mode("overwrite").parquet(_folder(out, batch_id, batch_id))
+        _compact(batch.sparkSession, out, schema, merge, batch_id)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def folded(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The partial results at ``out``, still unmerged."""
+    live = live_spans(spans(spark, out))
+    return spark.read.schema(schema).parquet(*(_folder(out, *s) for s in live)) if live else spark.createDataFrame([], schema)
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{out}/batch_id=-1")  # readable without any batch
-    return spark.read.schema(schema).parquet(out).select(*schema.names)
+
+def drain_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Process everything available and read the partial results back, still unmerged."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    fold(stream, partial, merge, out, scratch_path(spark, f"{name}-checkpoint"))
+    return folded(spark, out, partial(spark.createDataFrame([], stream.schema)).schema)
+
+
+def summed(parts: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Counts of the same keys added up."""
+    keys = [c for c in parts.columns if c not in values]
+    return parts.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
 LABEL_FIELDS = ("label", "label_source", "sample_weight", "observed", "event_ts", "seq")
@@ -94,6 +168,14 @@ def health_partials(probes: DataFrame, window: str = f"{health.WINDOW_SECONDS} s
             .agg(F.count(F.lit(1)).alias("probes")))
 
 
+def merge_probes(parts: DataFrame) -> DataFrame:
+    return summed(parts, ["probes"])
+
+
+def merge_requests(parts: DataFrame) -> DataFrame:
+    return summed(parts, ["requests"])
+
+
 def merge_health(parts: DataFrame, baselines: DataFrame) -> DataFrame:
     """A health report per deploy and watch window; percentiles come from the counts."""
     keys = ["deploy_id", "window_start"]
@@ -126,6 +208,27 @@ def merge_actors(parts: DataFrame) -> DataFrame:
     return parts.groupBy("tenant_id", "actor").agg(F.sum("builds").alias("builds"))
 
 
+def quiet_partials(rows: DataFrame) -> DataFrame:
+    """What a batch tells of each build: when it was made, and whether anyone labelled it.
+
+    ``rows`` mixes builds (tenant_id, timestamp) and label events (neither), by build_id.
+    """
+    return rows.groupBy("build_id").agg(F.max("tenant_id").alias("tenant_id"), F.min("timestamp").alias("timestamp"), F.max(F.col("timestamp").isNull()).alias("labelled"))
+
+
+def merge_quiet(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("build_id").agg(F.max("tenant_id").alias("tenant_id"), F.min("timestamp").alias("timestamp"), F.max("labelled").alias("labelled"))
+
+
+def assumed_ok(parts: DataFrame, as_of: Column, quiet_days: int = 30) -> DataFrame:
+    """Builds whose quiet period ended by ``as_of`` without any label, in whatever order builds and labels came.
+
+    A label that comes after the period still takes the build out: the period ends when it is asked for, not once.
+    """
+    due = merge_quiet(parts).filter((F.col("timestamp") <= as_of - quiet_days * 86400) & ~F.col("labelled"))
+    return due.select("tenant_id", "build_id", F.lit(0).alias("label"), F.lit("assumed_ok").alias("label_source"), L.weight(F.lit("assumed_ok")).alias("sample_weight"))
+
+
 LATENCY_COUNTS = ["le_" + str(b).replace(".", "_") for b in K.LATENCY_BOUNDS]
 ACCESS_KEYS = ["endpoint", "status", "window_start"]
 
