@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
-from deployrisk.operators.ordered import exact_quantiles, newest
+from deployrisk.operators.ordered import exact_quantiles, newest, over_preceding
 
 
 def whole(feature: str, value: Column) -> Column:
@@ -39,12 +39,39 @@ def tenant_medians(builds: DataFrame) -> DataFrame:
         for f in K.FEATURES])
 
 
+def medians_before(builds: DataFrame) -> DataFrame:
+    """Every build with the medians over its tenant's builds before it, as many as serving looks back on.
+
+    Too few usable values give null.
+    """
+    order, own = ["timestamp", "build_id"], builds.columns
+    looked = {}
+    for f in K.FEATURES:
+        looked[f"_{f}_n"] = F.count(f)
+        looked[f"_{f}_m"] = F.percentile(F.col(f).cast("double"), 0.5)
+    found = over_preceding(builds, ["tenant_id"], order, K.MEDIAN_HISTORY, looked)
+    return found.select(*own, *[F.when(F.col(f"_{f}_n") >= K.MEDIAN_MIN_ROWS, F.col(f"_{f}_m")).alias(f"{f}_median") for f in K.FEATURES])
+
+
+def impute_as_of(builds: DataFrame, model_medians: DataFrame, hour: Column, weekday: Column) -> DataFrame:
+    """:func:`impute_serving` with what was known when each build came, then with the medians of the tenant's model.
+
+    ``model_medians`` has tenant_id and ``<feature>_median`` columns of the rows that the live model was trained on.
+    """
+    fallback = model_medians.select("tenant_id", *[F.col(f"{f}_median").alias(f"_{f}_model") for f in K.FEATURES])
+    rows = medians_before(builds).join(fallback, "tenant_id", "left")
+    return _filled(rows, builds.columns, hour, weekday, {f: F.coalesce(f"_{f}_model", F.lit(K.TRAINING_MEDIANS[f])) for f in K.FEATURES})
+
+
 def impute_serving(builds: DataFrame, medians: DataFrame, hour: Column, weekday: Column) -> DataFrame:
     """Given value, else clock, else tenant median, else fixed median.
 
     Adds ``imputed`` (names, contract order) and ``sources`` (name -> source).
     """
-    joined = builds.join(medians, "tenant_id", "left")
+    return _filled(builds.join(medians, "tenant_id", "left"), builds.columns, hour, weekday, {f: F.lit(m) for f, m in K.TRAINING_MEDIANS.items()})
+
+
+def _filled(joined: DataFrame, columns: Sequence[str], hour: Column, weekday: Column, last: Mapping[str, Column]) -> DataFrame:
     clock = {"hour_of_day": hour, "day_of_week": weekday}
     filled, sources = {}, {}
     for f in K.FEATURES:
@@ -54,14 +81,14 @@ def impute_serving(builds: DataFrame, medians: DataFrame, hour: Column, weekday:
             sources[f] = F.when(given.isNotNull(), "provided").otherwise("clock")
             continue
         median = F.col(f"{f}_median")
-        guess = whole(f, F.coalesce(median, F.lit(K.TRAINING_MEDIANS[f])))
+        guess = whole(f, F.coalesce(median, last[f]))
         filled[f] = F.coalesce(given, guess)
         sources[f] = (F.when(given.isNotNull(), "provided").when(median.isNotNull(), "tenant_median")
                       .otherwise("training_median"))
     imputed = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in K.FEATURES]))
     source_map = F.map_from_arrays(F.array(*[F.lit(f) for f in K.FEATURES]),
                                    F.array(*[sources[f] for f in K.FEATURES]))
-    rest = [c for c in builds.columns if c not in K.FEATURES]
+    rest = [c for c in columns if c not in K.FEATURES]
     return joined.select(*rest, *[filled[f].alias(f) for f in K.FEATURES],
                          imputed.alias("imputed"), source_map.alias("sources"))
 

@@ -9,6 +9,7 @@ from deployrisk.operators import history, impute
 from deployrisk.plans import duck, views
 from deployrisk.plans.registry import Topic
 from deployrisk.plans.scoring import MEDIANS_SQL
+from deployrisk.session import materialize
 
 TOPIC = Topic()
 
@@ -45,6 +46,28 @@ def imp_serving(spark, sf):
                          F.col("sources")["test_pass_rate"].alias("pass_rate_source"))
 
 
+def _as_of(f: str) -> str:
+    guess = f"coalesce(CASE WHEN {f}_n >= {K.MEDIAN_MIN_ROWS} THEN {f}_before END, {f}_model, {K.TRAINING_MEDIANS[f]}::DOUBLE)"
+    if f in K.INT_FEATURES:
+        guess = f"CAST(round_even({guess}, 0) AS INTEGER)"
+    return f"coalesce({f}, {guess}) AS {f}"
+
+
+@TOPIC.query("imp_serving_as_of", duck.sql("WITH w AS (SELECT *, " + ", ".join(
+    f"quantile_cont(CAST({f} AS DOUBLE), 0.5) OVER before AS {f}_before, count({f}) OVER before AS {f}_n" for f in K.FEATURES) + f"""
+        FROM builds WINDOW before AS (PARTITION BY tenant_id ORDER BY timestamp, build_id ROWS BETWEEN {K.MEDIAN_HISTORY} PRECEDING AND 1 PRECEDING)),
+    m AS (SELECT tenant_id, """ + ", ".join(f"quantile_cont(CAST({f} AS DOUBLE), 0.5) AS {f}_model" for f in K.FEATURES) + """ FROM builds WHERE label >= 0 GROUP BY tenant_id)
+    SELECT build_id, """ + ", ".join(_as_of(f) for f in K.FEATURES) + f""",
+        CASE WHEN test_pass_rate IS NOT NULL THEN 'provided' WHEN test_pass_rate_n >= {K.MEDIAN_MIN_ROWS} THEN 'tenant_median' ELSE 'training_median' END AS pass_rate_source
+    FROM w LEFT JOIN m USING (tenant_id)""", "builds"))
+def imp_serving_as_of(spark, sf):
+    """Every build filled with the medians of the builds before it, then of the rows its tenant's model learns from."""
+    rows = materialize(views.builds(spark, sf).select("tenant_id", "build_id", "timestamp", "label", *K.FEATURES), "builds")
+    learned = impute.column_medians(rows.filter("label >= 0"), ["tenant_id"])
+    filled = impute.impute_as_of(rows, learned, F.lit(9), F.lit(3))
+    return filled.select("build_id", *K.FEATURES, F.col("sources")["test_pass_rate"].alias("pass_rate_source"))
+
+
 @TOPIC.query("join_medians", duck.sql("WITH " + MEDIANS_SQL + """
     SELECT build_id, diff_size_median, test_pass_rate_median FROM builds LEFT JOIN medians USING (tenant_id)""", "builds"))
 def join_medians(spark, sf):

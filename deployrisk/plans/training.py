@@ -3,12 +3,15 @@ which rows are scored by which model, that chances are chances, and that ranking
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
 from deployrisk import sinks
-from deployrisk.operators import balance, joins, models, selection, training
+from deployrisk.functions import scalars as S
+from deployrisk.operators import balance, calibration, forests, joins, metrics, models, selection, training
 from deployrisk.operators.impute import impute_training
+from deployrisk.operators.ordered import newest
 from deployrisk.plans import duck, views
 from deployrisk.plans.filters import AS_OF
 from deployrisk.plans.registry import Topic
@@ -100,12 +103,13 @@ def ml_smote_neighbours(spark, sf):
 
 @TOPIC.query("ml_calibrate", duck.sql(HELD_OUT_SQL, "builds"))
 def ml_calibrate(spark, sf):
-    """The scale is fitted on held-out rows that the forest has not seen: the older half of them."""
+    """A scale for each tenant, fitted on held-out rows that the forest has not seen: the older half of the tenant's."""
     model, _, test = fitted(spark, sf)
     scored = materialize(models.predict(model, test), "held-out-scores")
-    older = F.col("timestamp") < scored.agg(F.percentile_approx("timestamp", 0.5)).first()[0]
-    scale = models.fit_calibration(scored.filter(older))
-    return chances(models.calibrate(scale, scored), ["tenant_id", "label"], "p", "p_raw")
+    middle = scored.groupBy("tenant_id").agg(F.percentile_approx("timestamp", 0.5).alias("middle"))
+    older = scored.join(middle, "tenant_id").filter(F.col("timestamp") < F.col("middle"))
+    scale = calibration.isotonic(older, ["tenant_id"])
+    return chances(calibration.calibrate(scale, scored, ["tenant_id"]), ["tenant_id", "label"], "p", "p_raw")
 
 
 @TOPIC.query("ml_compare", duck.sql("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, build_id DESC) AS r,
@@ -138,6 +142,63 @@ def ml_importance(spark, sf):
     return models.importance_rows(used).select("feature", "place", F.lit(whole).alias("sums_to_one"))
 
 
+def tenant_forests(spark, sf):
+    """(trees of each tenant's forest, the decided builds)."""
+    rows = materialize(labelled_rows(spark, sf), "labelled")
+    return materialize(training.fit_keys(rows.filter("NOT held_out"), ["tenant_id"]), "tenant-forests"), rows
+
+
+@TOPIC.query("ml_forest_tenants", duck.sql(TRAIN_SQL + """
+    SELECT tenant_id, 100 AS trees, count(*) AS rows, count(DISTINCT label) = 2 AS learned FROM t GROUP BY tenant_id""", "builds"))
+def ml_forest_tenants(spark, sf):
+    """A forest for each tenant, and whether it ranks the rows it learned from: AUC of 0.65 at least where there are both labels."""
+    trees, rows = tenant_forests(spark, sf)
+    scored = forests.predict(trees, rows.filter("NOT held_out"), ["tenant_id"], "build_id").withColumn("y", F.col("label"))
+    ranked = metrics.auc_roc(scored, ["tenant_id"]).withColumnRenamed("tenant_id", "ranked_id")
+    grown = trees.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("trees"))
+    counted = scored.groupBy(F.col("tenant_id").alias("counted_id")).agg(F.count(F.lit(1)).alias("rows"))
+    joined = grown.join(ranked, F.col("tenant_id") == F.col("ranked_id")).join(counted, F.col("tenant_id") == F.col("counted_id"))
+    return joined.select("tenant_id", F.col("trees").cast("int").alias("trees"), "rows", (F.col("auc_roc") >= 0.65).alias("learned"))
+
+
+@TOPIC.query("top_importance_forest", duck.sql("""
+    SELECT tenant_id, k::BIGINT AS rank, true AS falling, true AS sums_to_one FROM (SELECT DISTINCT tenant_id FROM builds WHERE label >= 0), range(1, 6) AS r(k)""", "builds"))
+def top_importance_forest(spark, sf):
+    """The five features that a tenant's forest gained most from."""
+    trees, _ = tenant_forests(spark, sf)
+    found = forests.importances(trees, ["tenant_id"])
+    whole = F.abs(F.aggregate("importances", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-6
+    rows = models.importance_rows(found.withColumn("sums_to_one", whole))
+    ranked = newest(rows.withColumn("_first", -F.col("place")), ["tenant_id"], ["importance", "_first"], 5)
+    next_ = F.lead("importance").over(Window.partitionBy("tenant_id").orderBy("rank"))
+    return ranked.withColumn("falling", F.coalesce(F.col("importance") >= next_, F.lit(True))).select(
+        "tenant_id", F.col("rank").cast("long").alias("rank"), "falling", "sums_to_one")
+
+
+@TOPIC.query("top_reasons_forest", duck.sql("SELECT build_id, 3 AS reasons, true AS distinct_features, true AS weights_fall FROM builds WHERE label >= 0", "builds"))
+def top_reasons_forest(spark, sf):
+    """The three reasons of each decided build, by the importances of its tenant's forest."""
+    trees, rows = tenant_forests(spark, sf)
+    ranked = forests.importances(trees, ["tenant_id"]).select("tenant_id", S.rank_features(F.col("importances")).alias("ranked"))
+    told = rows.join(ranked, "tenant_id").select("build_id", S.top_reasons(F.col("ranked"), F.array().cast("array<string>")).alias("reasons"))
+    weight = F.col("reasons.importance")
+    return told.select("build_id", F.size("reasons").alias("reasons"), (F.size(F.array_distinct("reasons.feature")) == 3).alias("distinct_features"),
+                       (weight == F.reverse(F.sort_array(weight))).alias("weights_fall"))
+
+
+@TOPIC.query("split_kfold_forest", duck.sql("SELECT 5::BIGINT AS folds, count(*) AS rows, true AS in_range FROM builds WHERE label >= 0", "builds"))
+def split_kfold_forest(spark, sf):
+    """Five forests grown together, each without one fold, and the mean and spread of their precision on it."""
+    rows = materialize(selection.folds(labelled_rows(spark, sf), "build_id"), "folded")
+    others = rows.withColumn("fold", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(4)), F.array("fold"))))
+    trees = materialize(training.fit_keys(others, ["fold"]), "fold-forests")
+    scored = forests.predict(trees, rows, ["fold"], "build_id").withColumn("y", F.col("label"))
+    per_fold = metrics.prf(metrics.confusion(scored, ["fold"], F.col("p") > 0.5))
+    spread = per_fold.agg(F.count(F.lit(1)).alias("folds"), F.sum(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("rows"),
+                          F.avg("precision").alias("cv_precision"), F.stddev_pop("precision").alias("cv_std"))
+    return spread.select("folds", "rows", (F.col("cv_precision").between(0, 1) & F.col("cv_std").between(0, 0.5)).alias("in_range"))
+
+
 BATCH_SQL = """SELECT tenant_id, build_id, CASE WHEN model_phase = 'tenant' THEN tenant_id || '-v1' ELSE 'base' END AS version,
         model_phase, true AS in_range FROM builds JOIN tenants USING (tenant_id)"""
 

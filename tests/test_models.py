@@ -240,3 +240,41 @@ def test_diff_and_structure(spark):
 def test_paths(spark, path, language, test, config):
     row = change.classify(spark.createDataFrame([(path,)], "path string")).first()
     assert (row.language, row.is_test, row.is_config) == (language, test, config)
+
+
+def plain_isotonic(p, y):
+    """Pool adjacent violators over the distinct probabilities, and the straight line between their ends."""
+    at = np.unique(p)
+    blocks = [[x, x, y[p == x].sum(), (p == x).sum()] for x in at]
+    i = 0
+    while i + 1 < len(blocks):
+        a, b = blocks[i], blocks[i + 1]
+        if a[2] / a[3] >= b[2] / b[3]:
+            blocks[i:i + 2] = [[a[0], b[1], a[2] + b[2], a[3] + b[3]]]
+            i = max(i - 1, 0)
+        else:
+            i += 1
+    xs = [x for b in blocks for x in ([b[0], b[1]] if b[0] < b[1] else [b[0]])]
+    ys = [b[2] / b[3] for b in blocks for _ in range(2 if b[0] < b[1] else 1)]
+    return xs, ys
+
+
+@pytest.mark.parametrize("slices", [256, 7])
+def test_isotonic_scales_per_tenant(spark, monkeypatch, slices):
+    from deployrisk.operators import calibration
+    monkeypatch.setattr(calibration, "SLICES", slices)
+    rng = np.random.default_rng(5)
+    data = {t: (np.round(rng.random(n), 2 if t == "a" else 5), n) for t, n in (("a", 500), ("b", 300), ("c", 1))}
+    data = {t: (p, (rng.random(n) < p ** 2).astype(int)) for t, (p, n) in data.items()}
+    data["d"] = (np.array([0.2, 0.5, 1.0, 0.0]), np.array([1, 1, 0, 0]))
+    rows = [(t, float(a), int(b)) for t, (p, y) in data.items() for a, b in zip(p, y)]
+    scored = spark.createDataFrame(rows + [("none", None, 1)], "tenant_id string, p double, label int")
+    scale = calibration.isotonic(scored.filter("tenant_id <> 'c'"), ["tenant_id"])
+    want = {t: plain_isotonic(*data[t]) for t in ("a", "b", "d")}
+    got = {r.tenant_id: (r["at"], r.share) for r in scale.collect()}
+    assert set(got) == set(want)
+    for t, (xs, ys) in want.items():
+        assert got[t][0] == [float(x) for x in xs]
+        np.testing.assert_allclose(got[t][1], ys)
+    for r in calibration.calibrate(scale, scored, ["tenant_id"]).collect():
+        assert r.p == (pytest.approx(float(np.interp(r.p_raw, *want[r.tenant_id]))) if r.tenant_id in want else r.p_raw)
