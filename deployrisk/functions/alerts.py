@@ -1,4 +1,7 @@
-"""Alert texts and payloads as column expressions; posting them is left to a notifier."""
+"""Alert texts and payloads as column expressions; posting them is left to a notifier.
+
+The words of all messages below are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -128,7 +128,7 @@ def number_text(value: Column) -> Column:
 
 
 def value_texts() -> dict[str, Column]:
-    """Human text per feature column."""
+    """Human text per feature column; its words and limits are fixed values."""
     diff, hour, day = F.col("diff_size"), F.col("hour_of_day"), F.col("day_of_week")
     rate, delta = _percent(F.col("recent_failure_rate")), _percent(F.col("build_time_delta"))
     hour12 = F.when(hour == 0, 12).when(hour <= 12, hour).otherwise(hour - 12)

@@ -176,6 +176,12 @@ def _passed(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.withColumns({f"ok_{name}": c for name, c in checks.items()}).withColumn("passed", every)
 
 
+def failed_checks(gated: DataFrame) -> Column:
+    """Names of the checks that a gated row did not pass, in the gate's order."""
+    names = [c.removeprefix("ok_") for c in gated.columns if c.startswith("ok_")]
+    return F.array_compact(F.array(*[F.when(~F.col(f"ok_{n}"), F.lit(n)) for n in names]))
+
+
 def gate(summary: DataFrame) -> DataFrame:
     """Promotion gate; reads ``dataset_size`` besides the held-out summary."""
     return _passed(summary, {

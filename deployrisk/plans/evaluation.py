@@ -157,6 +157,22 @@ def ml_gate(spark, sf):
         "ok_not_regressing", "passed")
 
 
+@TOPIC.query("alert_retrain", duck.sql(GATE_SQL + """,
+    k AS (SELECT *, array_to_string(list_filter([CASE WHEN dataset_size < 200 THEN 'dataset_size' END, CASE WHEN test_rows < 40 THEN 'test_rows' END,
+        CASE WHEN test_risky < 5 THEN 'test_risky' END, CASE WHEN precision < precision_required THEN 'precision' END,
+        CASE WHEN auc_roc < 0.70::DOUBLE THEN 'auc_roc' END, CASE WHEN base_rate < 0.05::DOUBLE THEN 'risky_ratio' END,
+        CASE WHEN precision < old_precision - 0.05::DOUBLE THEN 'not_regressing' END], lambda x: x IS NOT NULL), ', ') AS failed FROM g)
+    SELECT tenant_id, CASE WHEN failed = '' THEN ':white_check_mark: *Deploy risk — Model Updated*' || chr(10) || 'Tenant `' || tenant_id
+            || '` has a new personalised model.' || chr(10) || 'Precision: *' || printf('%.1f', round(precision * 100, 1)) || '%*  |  AUC-ROC: *'
+            || printf('%.3f', round(auc_roc, 3)) || '*  |  Trained on *' || dataset_size || '* builds'
+        ELSE ':warning: *Deploy risk — Retrain Failed*' || chr(10) || 'Tenant `' || tenant_id || '` — keeping old model.' || chr(10) || 'Failed checks: ' || failed END AS message FROM k""", "predictions"))
+def alert_retrain(spark, sf):
+    """The message about each tenant's retraining."""
+    gated = metrics.gate(gate_rows(spark, sf))
+    text = alerts.retrain_text(F.col("tenant_id"), F.col("passed"), F.col("precision"), F.col("auc_roc"), F.col("dataset_size"), metrics.failed_checks(gated))
+    return gated.select("tenant_id", text.alias("message"))
+
+
 @TOPIC.query("ml_gate_v1", duck.sql(GATE_SQL + """
     SELECT tenant_id, precision, auc_roc, base_rate,
         dataset_size >= 80 AND precision >= 0.75::DOUBLE AND auc_roc >= 0.70::DOUBLE AND base_rate >= 0.05::DOUBLE AS passed FROM g""", "predictions"))
