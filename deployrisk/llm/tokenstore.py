@@ -1,6 +1,7 @@
 """Token ids as binary shards with a keyed index.
 
-Shards: documents are spread over shards by ranges of their ids and each task writes one file, the raw
+Shards: documents are spread over shards by ranges of their ids, and of a hash of their texts where very many rows
+share an id, and each task writes one file, the raw
 little-endian ids of its documents in ascending order, 16 bits each where the vocabulary allows, else 32.
 A file is written under the name of the task's attempt and renamed when complete, so a lost or repeated
 task leaves one whole file.
@@ -12,7 +13,7 @@ document's shard, place and length. A look-up hashes the key, reads one slot, an
 so unknown keys are told apart.
 
 Defined results: null texts hold the end id alone; a null id comes first and is a key of its own; rows with
-equal ids are told apart by their number (0, 1, ...) in the order of their texts.
+equal ids are told apart by their number (0, 1, ...) in the order of a hash of their texts.
 """
 
 from __future__ import annotations
@@ -123,9 +124,10 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, shard_bytes: int
                     ["shard", "doc_id", "number", "at", "n_tokens"])
         files.move(name, f"{root}/shards/{shard:06d}.ids")
 
-    ranged = rows.repartitionByRange(max(1, -(-total // shard_bytes)), F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order, "text")
     listed = written(ranged.mapInArrow(encode, "shard long, doc_id long, number long, at long, n_tokens long"), "token-rows")
+    listed = _numbered_on(listed)
 
     # one row a shard: where each begins among all ids
     sums = listed.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
@@ -137,6 +139,24 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, shard_bytes: int
     return placed
 
 
+def _numbered_on(listed: DataFrame) -> DataFrame:
+    """The rows with their numbers going on from shard to shard, for ids that more than one shard holds.
+
+    Such an id ends one shard and begins the next, so there are fewer of them than shards.
+    """
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    ends = listed.groupBy("shard").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    shared = ends.select("shard", F.explode(F.array_distinct(F.array("low", "high"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    shared = written(shared.filter("n > 1").select(F.col("key.doc_id").alias("shared")), "shared-ids")
+    if shared.isEmpty():
+        return listed
+    sizes = listed.join(shared, F.col("doc_id").eqNullSafe(F.col("shared"))).groupBy("shard", "shared").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shared").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(sizes.select(F.col("shard").alias("of"), "shared", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "shared-offsets")
+    joined = listed.join(offsets, (F.col("shard") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("shared")), "left")
+    return joined.select("shard", "doc_id", (F.col("number") + F.coalesce("offset", F.lit(0))).alias("number"), "at", "n_tokens")
+
+
 def _hashed(keys: DataFrame, buckets: int) -> DataFrame:
     return keys.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "number"), F.lit(buckets)))
 

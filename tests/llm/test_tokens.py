@@ -58,6 +58,21 @@ def test_store_round_trip(spark, tmp_path):
     assert not any(want.values())
 
 
+def test_rows_of_one_id_fill_several_shards(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "one two") for i in range(40)] + [(20, " ".join(rng.choices(["the", "of", "Zeit"], k=120))) for _ in range(150)] + [(None, f"no id {i} " * 40) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    listed = tokenstore.write(docs, BYTES, str(tmp_path / "a"), end_id=2, shard_bytes=4000, bucket_keys=50).collect()
+    shards = {i: len({r.shard for r in listed if r.doc_id == i}) for i in (20, None)}
+    assert shards[20] > 3 and shards[None] > 2
+    for i, n in ((20, 151), (None, 60), (3, 1)):
+        own = sorted((r for r in listed if r.doc_id == i), key=lambda r: r.start)
+        assert [r.number for r in own] == list(range(n))
+    keys = spark.createDataFrame([(20, 150), (20, 151), (None, 59), (7, 0)], "doc_id long, number long")
+    back = tokenstore.read(tokenstore.look_up(keys, str(tmp_path / "a")), str(tmp_path / "a"), BYTES).collect()
+    assert sorted((r.doc_id or -1, r.number) for r in back) == [(-1, 59), (7, 0), (20, 150)]
+
+
 def check_packing(rows, texts, capacity):
     """rows: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)"""
     library = Tokenizer.from_file(WORDS)
