@@ -34,6 +34,16 @@ def test_ids_equal_the_library(reference, texts):
     assert codec.decode([np.frombuffer(i, np.int32) for i in ids]) == [reference.decode(x) for x in reference.encode(texts)]
 
 
+def test_whole_texts_are_compared(reference, texts, monkeypatch):
+    monkeypatch.setattr(sptokens, "CHECKED", 1)
+    own = sptokens.Codec(PATH, threads=2)
+    ids, same = own.encode(texts[:1500])
+    assert all(same)
+    assert own.decode([np.frombuffer(x, np.int32) for x in ids]) == [reference.decode(reference.encode(t)) for t in texts[:1500]]
+    own.words["the"] = own.words["a"]       # a wrong entry is seen in whole texts
+    assert own.encode(["on the way"])[1] == [False]
+
+
 def test_forgetting_words_changes_nothing(reference, texts):
     codec = sptokens.Codec(PATH, most=10)
     for at in range(0, 300, 50):
