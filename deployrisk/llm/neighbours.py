@@ -179,7 +179,7 @@ def search(vectors: DataFrame, queries: Column, nearest: int = 5, seed: int = 17
                     [pa.array(np.repeat(reps[[f[0] for f in found]], [len(f[1]) for f in found])),
                      pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["q", "rep", "score"])
 
-    together = held.unionByName(sent).repartition(2 * groups, "group").sortWithinPartitions("group", "kind", "rep")
+    together = held.unionByName(sent).repartitionByRange(groups, "group").sortWithinPartitions("group", "kind", "rep")
     pairs = written(together.mapInArrow(compare, "q long, rep long, score double"), "near-classes")
     top = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     pairs = pairs.withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= most)
