@@ -3,8 +3,8 @@
 Values are cut at quantiles into at most ``BINS`` bins, rows are packed into blocks of at most ``BLOCK`` rows of a key,
 and a tree grows a level at a time from counts of its open nodes by feature and bin. A key of one block is
 grown where the block lies, some trees a task. The counts of a key with more blocks are summed by Spark over
-(key, tree, node, feature, bin) for each level, so no task ever holds such a key. Both ways use the same functions, and
-grow the same trees. The number of Spark jobs does not depend on the number of keys.
+(key, tree, group of nodes) for each level, ``SUMMED`` blocks at a time, so no task ever holds such a key. Both ways use
+the same functions, and grow the same trees. The number of Spark jobs does not depend on the number of keys.
 
 Draws are hashes of the row's id, the tree and the node: a rerun on other machines grows the same forest.
 
@@ -22,13 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from deployrisk import contract as K
 from deployrisk.session import materialize
 
 BINS = 32
 BLOCK = 100_000     # rows of a key handled together
+SCORED = 20_000     # rows scored together
 TREE_GROUP = 10     # trees grown or walked in one task
+NODE_GROUP = 16     # nodes whose counts are summed together
+SUMMED = 64         # blocks whose counts are summed together
 FEATURES_TRIED = 4  # the root of ten features, rounded up
 
 ARRAYS = "node array<int>, feature array<int>, threshold array<double>, p array<double>, gain array<double>, weight array<double>"
@@ -110,18 +114,24 @@ def placed(bins: np.ndarray, tree: Tree, level: int) -> np.ndarray:
 
 
 def counts(block: Block, tree: int, nodes: np.ndarray, at: np.ndarray, growth: Growth) -> np.ndarray:
-    """[node, tried feature, bin, (weight of fine rows, weight of risky rows, rows)] of the open nodes."""
+    """[node, tried feature, bin, (weight of fine rows, weight of risky rows, rows)] of the open nodes.
+
+    Nodes of the last level are never split, so they are counted with one feature and bin.
+    """
     drawn = draws(block.ids, tree, growth.seed)
     used = np.flatnonzero((at > 0) & (drawn > 0))
     slot = np.searchsorted(nodes, at[used])
     known = (slot < len(nodes)) & (nodes[np.minimum(slot, len(nodes) - 1)] == at[used])
     used, slot = used[known], slot[known]
+    weight, risky = block.weight[used] * drawn[used], block.label[used] == 1
+    if nodes[0] >= 1 << growth.depth:
+        sums = [np.bincount(slot, w, len(nodes)) for w in (np.where(risky, 0.0, weight), np.where(risky, weight, 0.0), drawn[used])]
+        return np.stack(sums, axis=-1).reshape(len(nodes), 1, 1, 3)
     features = tried(nodes, tree, block.bins.shape[1], growth.seed)
     width = features.shape[1]
     own = block.bins[used[:, None], features[slot]]
     key = ((slot[:, None] * width + np.arange(width)) * BINS + own).ravel()
     size = len(nodes) * width * BINS
-    weight, risky = block.weight[used] * drawn[used], block.label[used] == 1
     sums = [np.bincount(key, np.repeat(np.where(risky == r, weight, 0.0), width), size) for r in (False, True)]
     sums.append(np.bincount(key, np.repeat(drawn[used].astype(float), width), size))
     return np.stack(sums, axis=-1).reshape(len(nodes), width, BINS, 3)
@@ -132,6 +142,8 @@ def split(found: np.ndarray, nodes: np.ndarray, tree: int, features: int, level:
     total = found[:, 0].sum(axis=1)
     weight = total[:, 0] + total[:, 1]
     p = np.divide(total[:, 1], weight, out=np.zeros(len(nodes)), where=weight > 0)
+    if level == growth.depth:
+        return Tree(nodes, np.full(len(nodes), -1), np.zeros(len(nodes), np.int64), p, np.zeros(len(nodes)), weight)
 
     def impurity(fine: np.ndarray, risky: np.ndarray) -> np.ndarray:
         """Gini impurity times weight."""
@@ -145,7 +157,7 @@ def split(found: np.ndarray, nodes: np.ndarray, tree: int, features: int, level:
     gain = np.where(allowed, gain, -1.0).reshape(len(nodes), -1)
     best = gain.argmax(axis=1)
     most = gain[np.arange(len(nodes)), best]
-    splits = (most > 1e-9 * np.maximum(weight, 1e-300)) & (level < growth.depth)
+    splits = most > 1e-9 * np.maximum(weight, 1e-300)
     which, cut = np.divmod(best, BINS - 1)
     feature = tried(nodes, tree, features, growth.seed)[np.arange(len(nodes)), which]
     return Tree(nodes, np.where(splits, feature, -1), np.where(splits, cut, 0), p, np.where(splits, most, 0.0), weight)
@@ -270,79 +282,97 @@ def fit(rows: DataFrame, keys: Sequence[str], id_column: str, trees: int, growth
                 yield _arrays(made, own)
 
     single = _groups(blocks.filter("blocks = 1"), trees).repartition(4 * work, *keys, "group").mapInArrow(whole, schema)
-    if blocks.filter("blocks > 1").isEmpty():
+    large = blocks.filter("blocks > 1")
+    many, most = large.agg(F.count(F.lit(1)), F.max("blocks")).first()
+    if not many:
         return single
-    return single.unionByName(_by_levels(materialize(_groups(blocks.filter("blocks > 1"), trees), "forest-large"), keys, trees, growth, width))
+    return single.unionByName(_by_levels(large, keys, trees, growth, width, many, most))
 
 
-def _read_trees(row: dict) -> dict[int, Tree]:
+def _read_trees(table: pa.Table) -> dict[int, Tree]:
     return {t["tree"]: Tree(*(np.array(t[c], k) for c, k in (("node", np.int64), ("feature", np.int64), ("threshold", np.int64), ("p", float), ("gain", float), ("weight", float))))
-            for t in row["grown"] or []}
-
-
-def _by_levels(blocks: DataFrame, keys: list[str], trees: int, growth: Growth, width: int) -> DataFrame:
-    """Forests of keys with several blocks: the counts of a level are summed over the blocks."""
-    key_schema, spot = _key_schema(blocks, keys), [*keys, "group"]
-    grown: DataFrame | None = None      # keys, group, tree and arrays, cuts as bins
-
-    def count(level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, row in enumerate(batch.to_pylist()):
-                    block, known = Block.read(row, width), _read_trees(row)
-                    for t in range(row["group"] * TREE_GROUP, min(trees, (row["group"] + 1) * TREE_GROUP)):
-                        tree = known.get(t, Tree.empty())
-                        nodes = tree.open(level)
-                        if not len(nodes):
-                            continue
-                        found = counts(block, t, nodes, placed(block.bins, tree, level), growth)
-                        node, feature, bin_ = np.nonzero(found[..., 2])
-                        sums = found[node, feature, bin_]
-                        own = batch.slice(i, 1)
-                        columns = [pa.chunked_array([own.column(own.schema.get_field_index(k))]).combine_chunks().take(pa.array(np.zeros(len(node), int))) for k in keys]
-                        yield pa.RecordBatch.from_arrays(
-                            [*columns, pa.array(np.full(len(node), row["group"]), pa.int32()), pa.array(np.full(len(node), t), pa.int32()), pa.array(nodes[node], pa.int32()),
-                             pa.array(feature, pa.int32()), pa.array(bin_, pa.int32()), *(pa.array(sums[:, j]) for j in range(3))],
-                            [*keys, "group", "tree", "node", "place", "bin", "fine", "risky", "rows"])
+            for t in table.to_pylist()}
+
+
+def _by_levels(blocks: DataFrame, keys: list[str], trees: int, growth: Growth, width: int, many: int, most: int) -> DataFrame:
+    """Forests of keys with several blocks: the counts of a level are summed over the blocks.
+
+    There are ``many`` blocks, and ``most`` of one key. A block meets all trees of its key in one task, or in
+    several where the blocks are fewer than the tasks.
+    """
+    key_schema, spark = _key_schema(blocks, keys), blocks.sparkSession
+    work = max(spark.sparkContext.defaultParallelism, 1)
+    groups = min(-(-trees // TREE_GROUP), max(1, -(-2 * work // many)))
+    per = -(-trees // groups)
+    spot = [*keys, "block", "group"]
+    # a few blocks a task, however few bytes they are
+    tasks = max(2 * work, -(-many * groups // 4))
+    held = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    places = materialize(held.select(*spot), "forest-places")
+    names = [*keys, "tree", "part", "block", "nodes", "counts"]
+    partial_schema = f"{key_schema}tree int, part int, block long, nodes array<int>, counts binary"
+    tree_schema = f"{key_schema}tree int, {ARRAYS}"
+    pieces = [*keys, "tree", "part"]
+    # cuts as bins
+    state = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(tree_schema).fields])
+
+    def table_of(own: pa.Table, rows: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.Table:
+        columns = [pa.array([own.column(k)[0].as_py()] * len(rows), own.schema.field(k).type) for k in keys]
+        tree, part, block, nodes, found = zip(*rows, strict=True) if rows else ((),) * 5
+        return pa.table([*columns, pa.array(tree, pa.int32()), pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array([n.tolist() for n in nodes], pa.list_(pa.int32())),
+                         pa.array([f.tobytes() for f in found], pa.binary())], names)
+
+    def count(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def work(own: pa.Table, known: pa.Table) -> pa.Table:
+            made, forest = [], _read_trees(known)
+            for row in own.to_pylist():
+                block = Block.read(row, width)
+                for t in range(row["group"] * per, min(trees, (row["group"] + 1) * per)):
+                    tree = forest.get(t, Tree.empty())
+                    nodes = tree.open(level)
+                    if not len(nodes):
+                        continue
+                    found = counts(block, t, nodes, placed(block.bins, tree, level), growth)
+                    made += [(t, i // NODE_GROUP, row["block"], nodes[i:i + NODE_GROUP], found[i:i + NODE_GROUP]) for i in range(0, len(nodes), NODE_GROUP)]
+            return table_of(own, made)
+        return work
+
+    def summed(table: pa.Table, level: int) -> np.ndarray:
+        shape = (-1, 1, 1, 3) if level == growth.depth else (-1, min(width, FEATURES_TRIED), BINS, 3)
+        # blocks in order, so that a rerun adds up the same
+        return sum(np.frombuffer(c, float) for c in table.sort_by("block").column("counts").to_pylist()).reshape(shape)
+
+    def fold(level: int) -> Callable[[pa.Table], pa.Table]:
+        def work(table: pa.Table) -> pa.Table:
+            first = table.slice(0, 1).to_pylist()[0]
+            return table_of(table, [(first["tree"], first["part"], first["block"] // SUMMED, np.array(first["nodes"]), summed(table, level))])
         return work
 
     def best(level: int) -> Callable[[pa.Table], pa.Table]:
         def work(table: pa.Table) -> pa.Table:
-            t = table.column("tree")[0].as_py()
-            node = table.column("node").to_numpy()
-            nodes = np.unique(node)
-            found = np.zeros((len(nodes), min(width, FEATURES_TRIED), BINS, 3))
-            at = (np.searchsorted(nodes, node), table.column("place").to_numpy(), table.column("bin").to_numpy())
-            for j, c in enumerate(("fine", "risky", "rows")):
-                found[(*at, j)] = table.column(c).to_numpy()
-            made = _rows(split(found, nodes, t, width, level, growth), None)
+            first = table.slice(0, 1).to_pylist()[0]
+            made = _rows(split(summed(table, level), np.array(first["nodes"]), first["tree"], width, level, growth), None)
             own = table.slice(0, 1)
-            return pa.table([*(own.column(c) for c in [*keys, "group", "tree"]), *(pa.array([made[c]], pa.list_(pa.int32() if c in ("node", "feature") else pa.float64())) for c in made)],
-                            [*keys, "group", "tree", *made])
+            return pa.table([*(own.column(c) for c in [*keys, "tree"]), *(pa.array([made[c]], pa.list_(pa.int32() if c in ("node", "feature") else pa.float64())) for c in made)],
+                            [*keys, "tree", *made])
         return work
 
-    tree_schema = f"{key_schema}group int, tree int, {ARRAYS}"
     for level in range(growth.depth + 1):
-        if grown is None:
-            asked = blocks.withColumn("grown", F.lit(None).cast(f"array<struct<tree int, {ARRAYS}>>"))
-        else:
-            known = grown.groupBy(*spot).agg(F.collect_list(F.struct("tree", "node", "feature", "threshold", "p", "gain", "weight")).alias("grown"))
-            asked = blocks.join(known, spot)
-        partial = asked.mapInArrow(count(level), f"{key_schema}group int, tree int, node int, place int, bin int, fine double, risky double, rows double")
-        summed = partial.groupBy(*spot, "tree", "node", "place", "bin").agg(*[F.sum(c).alias(c) for c in ("fine", "risky", "rows")])
-        found = materialize(summed.groupBy(*spot, "tree").applyInArrow(best(level), tree_schema), "forest-level")
+        asked = held.repartition(tasks, *spot).groupBy(*spot)
+        sent = places.join(state.withColumn("group", F.floor(F.col("tree") / per).cast("int")), [*keys, "group"]).repartition(tasks, *spot).groupBy(*spot)
+        partial, left = asked.cogroup(sent).applyInArrow(count(level), partial_schema), most
+        while left > SUMMED:
+            partial, left = partial.groupBy(*pieces, F.floor(F.col("block") / SUMMED)).applyInArrow(fold(level), partial_schema), -(-left // SUMMED)
+        found = materialize(partial.repartition(tasks, *pieces).groupBy(*pieces).applyInArrow(best(level), tree_schema), "forest-level")
         if found.isEmpty():
             break
-        if grown is None:
-            grown = found
-        else:
-            both = grown.unionByName(found).groupBy(*spot, "tree").agg(*[
-                F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.get("node", F.lit(0)).alias("first"), F.col(c).alias("own")))), lambda x: x.own)).alias(c)
-                for c in ("node", "feature", "threshold", "p", "gain", "weight")])
-            grown = materialize(both, "forest-grown")
+        both = state.unionByName(found).groupBy(*keys, "tree").agg(*[
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.get("node", F.lit(0)).alias("first"), F.col(c).alias("own")))), lambda x: x.own)).alias(c)
+            for c in ("node", "feature", "threshold", "p", "gain", "weight")])
+        state = materialize(both, "forest-grown")
     # bins become values
-    cuts = blocks.filter("block = 0 AND group = 0").select(*keys, "cuts")
-    named = grown.join(cuts, keys)
+    cuts = blocks.filter("block = 0").select(*keys, "cuts")
+    named = state.join(cuts, keys)
     value = F.transform("threshold", lambda c, i: F.when(F.get("feature", i) >= 0, F.get(F.get("cuts", F.get("feature", i)), c.cast("int"))).otherwise(0.0))
     return named.select(*keys, "tree", "node", "feature", value.alias("threshold"), "p", "gain", "weight")
 
@@ -377,7 +407,8 @@ def predict(trees: DataFrame, rows: DataFrame, keys: Sequence[str], id_column: s
     """
     keys = list(keys)
     columns = rows.columns
-    sizes = rows.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("_blocks"))
+    # written, so that Spark knows how few they are and the rows stay where they lie
+    sizes = materialize(rows.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / min(BLOCK, SCORED)) + 1).alias("_blocks")), "scored-sizes")
     names = [f"_f{i}" for i in range(len(features))]
     dealt = rows.select(*columns, *[F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)]).join(sizes, keys)
     dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(id_column), F.col("_blocks"))).drop("_blocks")
@@ -392,7 +423,10 @@ def predict(trees: DataFrame, rows: DataFrame, keys: Sequence[str], id_column: s
 
     schema = rows.select(*columns).withColumn(as_, F.lit(0.0)).schema
     parts = [*keys, "_block"]
-    return dealt.groupBy(*parts).cogroup(sent.groupBy(*parts)).applyInArrow(score, schema)
+    # some blocks a task, however few bytes they are
+    blocks = sizes.agg(F.sum("_blocks")).first()[0] or 1
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-blocks // 8))
+    return dealt.repartition(tasks, *parts).groupBy(*parts).cogroup(sent.repartition(tasks, *parts).groupBy(*parts)).applyInArrow(score, schema)
 
 
 def nodes(trees: DataFrame, keys: Sequence[str]) -> DataFrame:

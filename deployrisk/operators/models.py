@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from deployrisk import contract as K
 from deployrisk.operators import forests
-from deployrisk.session import scratch_path
+from deployrisk.session import materialize, scratch_path
 
 # forest settings (fixed values)
 TREES = 100
@@ -44,6 +44,8 @@ def balanced_weights(df: DataFrame, keys: Sequence[str] = (), sample_weight: Col
             F.broadcast(totals.withColumn("_k", F.lit(0))), "_k").drop("_k")
     own = F.lit(1.0) if sample_weight is None else F.coalesce(sample_weight, F.lit(1.0))
     weights = weights.select(*keys, "label", (F.col("_n") / (2 * F.col("_nc"))).alias("class_weight"))
+    if keys:    # written, so that Spark knows how few they are and the rows stay where they lie
+        weights = materialize(weights, "class-weights")
     return df.join(weights, [*keys, "label"]).withColumn("weight", own * F.col("class_weight"))
 
 

@@ -34,13 +34,23 @@ def prepare(builds: DataFrame, as_of: Column, window_days: int = K.TRAIN_WINDOW_
     return impute_training(split), report
 
 
-def fit_keys(train: DataFrame, keys: Sequence[str], trees: int = models.TREES) -> DataFrame:
+def fit_keys(train: DataFrame, keys: Sequence[str], trees: int = models.TREES, id_column: str = "build_id") -> DataFrame:
     """A forest for each key: trees of rows whose classes weigh the same, times their own weight if they have one."""
     own = ["sample_weight"] if "sample_weight" in train.columns else []
-    rows = materialize(train.select(*keys, "build_id", "label", *own, *K.FEATURES), "forest-rows")
+    rows = materialize(train.select(*keys, id_column, "label", *own, *K.FEATURES), "forest-rows")
     rows = models.balanced_weights(rows, keys, F.col("sample_weight") if own else None)
     growth = forests.Growth(models.DEPTH, models.LEAF_ROWS, models.SEED)
-    return forests.fit(rows.select(*keys, "build_id", "label", "weight", *K.FEATURES), keys, "build_id", trees, growth)
+    return forests.fit(rows.select(*keys, id_column, "label", "weight", *K.FEATURES), keys, id_column, trees, growth)
+
+
+def fit_all(train: DataFrame, trees: int = models.TREES, id_column: str = "build_id") -> DataFrame:
+    """One forest over all rows, as the trees of the key ``forest``."""
+    return materialize(fit_keys(train.withColumn("forest", F.lit("all")), ["forest"], trees, id_column), "forest-of-all")
+
+
+def predict_all(grown: DataFrame, rows: DataFrame, id_column: str = "build_id") -> DataFrame:
+    """All rows with ``p`` from the forest over all rows."""
+    return forests.predict(grown, rows.withColumn("forest", F.lit("all")), ["forest"], id_column).drop("forest")
 
 
 def retrain_all(builds: DataFrame, as_of: Column, version: str, window_days: int = K.TRAIN_WINDOW_DAYS,

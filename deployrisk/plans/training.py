@@ -28,10 +28,10 @@ def labelled_rows(spark, sf):
 
 
 def fitted(spark, sf, trees=models.TREES):
-    """(forest over all tenants, training rows, held-out rows)."""
+    """(trees of the forest over all tenants, training rows, held-out rows)."""
     rows = materialize(labelled_rows(spark, sf), "labelled")
     train, test = rows.filter("NOT held_out"), rows.filter("held_out")
-    return models.fit_forest(train, trees), train, test
+    return training.fit_all(train, trees), train, test
 
 
 HELD_OUT_SQL = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, build_id DESC) AS r,
@@ -50,8 +50,8 @@ def chances(scored, keys, *values):
 
 @TOPIC.query("ml_forest", duck.sql(HELD_OUT_SQL, "builds"))
 def ml_forest(spark, sf):
-    model, _, test = fitted(spark, sf)
-    return chances(models.predict(model, test), ["tenant_id", "label"], "p")
+    trees, _, test = fitted(spark, sf)
+    return chances(training.predict_all(trees, test), ["tenant_id", "label"], "p")
 
 
 @TOPIC.query("ml_forest_real", duck.sql("""
@@ -63,8 +63,8 @@ def ml_forest_real(spark, sf):
     train, test = impute.impute_train_only(rows.filter("part = 'train'"), rows.filter("part = 'test'"))
     labelled = F.col("buggy").cast("int")
     train = materialize(train.withColumn("label", labelled), "commits-train")
-    model = models.fit_forest(train, models.TREES_REAL)
-    return chances(models.predict(model, test.withColumn("label", labelled)), ["project", "label"], "p")
+    trees = training.fit_all(train, models.TREES_REAL, "commit_id")
+    return chances(training.predict_all(trees, test.withColumn("label", labelled), "commit_id"), ["project", "label"], "p")
 
 
 TRAIN_SQL = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, build_id DESC) AS r,
@@ -104,8 +104,8 @@ def ml_smote_neighbours(spark, sf):
 @TOPIC.query("ml_calibrate", duck.sql(HELD_OUT_SQL, "builds"))
 def ml_calibrate(spark, sf):
     """A scale for each tenant, fitted on held-out rows that the forest has not seen: the older half of the tenant's."""
-    model, _, test = fitted(spark, sf)
-    scored = materialize(models.predict(model, test), "held-out-scores")
+    trees, _, test = fitted(spark, sf)
+    scored = materialize(training.predict_all(trees, test), "held-out-scores")
     middle = scored.groupBy("tenant_id").agg(F.percentile_approx("timestamp", 0.5).alias("middle"))
     older = scored.join(middle, "tenant_id").filter(F.col("timestamp") < F.col("middle"))
     scale = calibration.isotonic(older, ["tenant_id"])
@@ -119,12 +119,13 @@ def ml_calibrate(spark, sf):
 def ml_compare(spark, sf):
     """Raw, calibrated and rule probabilities on the same held-out rows."""
     from deployrisk.functions.scalars import rule_risk
-    model, train, test = fitted(spark, sf)
-    scale = models.fit_calibration(models.predict(model, train))
-    raw = materialize(models.predict(model, test).withColumn("y", F.col("label")), "held-out")
+    trees, train, test = fitted(spark, sf)
+    learned = training.predict_all(trees, train).select("label", "p", F.lit("all").alias("forest"))
+    scale = materialize(calibration.isotonic(learned, ["forest"]), "scale")
+    raw = materialize(training.predict_all(trees, test).withColumn("y", F.col("label")), "held-out")
     keep = ["build_id", "p", "y"]
     found = training.compare({
-        "raw": raw.select(*keep), "calibrated": models.calibrate(scale, raw).select(*keep),
+        "raw": raw.select(*keep), "calibrated": calibration.calibrate(scale, raw.withColumn("forest", F.lit("all")), ["forest"]).select(*keep),
         "rule": raw.withColumn("p", rule_risk()).select(*keep)})
     fine = F.lit(True)
     for name in ("auc_roc", "auc_pr", "brier", "ece"):
@@ -135,11 +136,10 @@ def ml_compare(spark, sf):
 @TOPIC.query("ml_importance", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i}, true)" for i, f in enumerate(K.FEATURES))
              + ") AS t(feature, place, sums_to_one)")
 def ml_importance(spark, sf):
-    model, train, _ = fitted(spark, sf)
-    shares = models.importance_array(model)
-    used = train.agg(F.count(F.lit(1)).alias("rows")).withColumn("importances", F.array(*[F.lit(v) for v in shares]))
-    whole = abs(sum(shares) - 1) < 1e-6 and min(shares) >= 0
-    return models.importance_rows(used).select("feature", "place", F.lit(whole).alias("sums_to_one"))
+    trees, _, _ = fitted(spark, sf)
+    shares = forests.importances(trees, ["forest"])
+    whole = (F.abs(F.aggregate("importances", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-6) & (F.array_min("importances") >= 0)
+    return models.importance_rows(shares.withColumn("sums_to_one", whole)).select("feature", "place", "sums_to_one")
 
 
 def tenant_forests(spark, sf):
@@ -211,9 +211,9 @@ def ml_predict_batch(spark, sf):
     train = materialize(labelled_rows(spark, sf), "labelled").filter("NOT held_out")
     live = views.tenants(spark, sf).filter("model_phase = 'tenant'").select(
         "tenant_id", F.concat("tenant_id", F.lit("-v1")).alias("version"))
-    own = training.fit_keys(train.join(live, "tenant_id"), ["version"])
-    base = models.trees_of(models.fit_forest(train), spark).withColumn("version", F.lit("base"))
-    trees = materialize(own.unionByName(base), "live-trees")
+    own = train.join(live, "tenant_id")
+    asked = own.unionByName(train.withColumn("version", F.lit("base")))
+    trees = materialize(training.fit_keys(asked, ["version"]), "live-trees")
     scored = models.predict_by_version(trees, joins.model_for_tenant(rows, live))
     return scored.select("tenant_id", "build_id", "version", "model_phase", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("in_range"))
 
@@ -228,8 +228,8 @@ def ml_scenarios(spark, sf):
     from deployrisk.functions.scalars import rule_label, rule_risk
     columns = ["tenant_id", "build_id", "timestamp", *K.FEATURES]
     rows = impute_training(views.builds(spark, sf).select(*columns)).withColumn("label", rule_label(rule_risk()))
-    model = models.fit_forest(materialize(rows, "rule-labelled"))
-    checked = models.scenario_check(models.predict(model, models.scenarios(spark)))
+    trees = training.fit_all(materialize(rows, "rule-labelled"))
+    checked = models.scenario_check(training.predict_all(trees, models.scenarios(spark), "name"))
     return checked.select("name", "expect", (F.col("score").between(0, 100) & F.col("ok").isNotNull()).alias("in_range"))
 
 

@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
-from deployrisk.operators import forests, models
+from deployrisk.operators import forests, models, training
 from deployrisk.session import scratch_path
 
 FEATURES = K.FEATURES
@@ -140,3 +140,28 @@ def test_importances(tables):
     found = {r.tenant_id: r.importances for r in forests.importances(forests.fit(train, ["tenant_id"], "build_id", 30), ["tenant_id"]).collect()}
     assert sum(found["a"]) == pytest.approx(1) and max(found["a"]) == found["a"][0] and found["a"][7] == 0
     assert found["one"] == [0.0] * 10
+
+
+def test_counts_are_summed_some_blocks_and_nodes_at_a_time(tables, monkeypatch):
+    train, _ = tables
+    whole = listed(forests.fit(train, ["tenant_id"], "build_id", 6))
+    for name, value in (("BLOCK", 90), ("SUMMED", 2), ("NODE_GROUP", 3)):
+        monkeypatch.setattr(forests, name, value)
+    cut = listed(forests.fit(train, ["tenant_id"], "build_id", 6))
+    assert set(cut) == set(whole)
+    for key, (node, feature, threshold, p, weight) in whole.items():
+        assert cut[key][:2] == (node, feature) and cut[key][2] == threshold
+        np.testing.assert_allclose(cut[key][3], p, atol=1e-12)
+
+
+def test_one_forest_over_all_rows_ranks_like_mllib(tables, monkeypatch):
+    train, test = tables
+    rows = train.drop("weight").filter("tenant_id <> 'one'")
+    monkeypatch.setattr(forests, "BLOCK", 300)      # of all tenants together, in several blocks
+    grown = training.fit_all(rows, 60)
+    assert grown.count() == 60 and grown.select("forest").distinct().count() == 1
+    found = training.predict_all(grown, test).select("label", "p").collect()
+    other = models.predict(models.fit_forest(rows, 60), test).select("label", "p").collect()
+    assert len(found) == test.count()
+    ours, mllib = (auc(np.array([r.p for r in part]), [r.label for r in part]) for part in (found, other))
+    assert ours > mllib - 0.03
