@@ -44,6 +44,13 @@ def test_whole_texts_are_compared(reference, texts, monkeypatch):
     assert own.encode(["on the way"])[1] == [False]
 
 
+def test_every_text_is_compared_whole(reference):
+    own = sptokens.Codec(PATH)
+    own.encode(["the a"])
+    own.words["the"] = own.words["a"]
+    assert own.encode([f"on the way {i}" for i in range(200)] + ["a way", ""])[1] == [False] * 200 + [True] * 2
+
+
 def test_forgetting_words_changes_nothing(reference, texts):
     codec = sptokens.Codec(PATH, most=10)
     for at in range(0, 300, 50):
