@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
-from deployrisk.operators.ordered import exact_quantiles, newest, over_preceding
+from deployrisk.operators.ordered import exact_quantiles, in_chunks, newest
 
 
 def whole(feature: str, value: Column) -> Column:
@@ -39,18 +41,44 @@ def tenant_medians(builds: DataFrame) -> DataFrame:
         for f in K.FEATURES])
 
 
+def median_before(values: np.ndarray, known: np.ndarray, rows: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The median of the known ones of the ``rows`` values before each value, and whether there are ``least`` of them."""
+    padded = np.concatenate([np.full(rows, np.nan), np.where(known, values, np.nan)])
+    seen = np.concatenate([[0], np.cumsum(known)])
+    count = seen[:-1] - seen[np.maximum(np.arange(len(values)) - rows, 0)]
+    found = np.full(len(values), np.nan)
+    enough = count >= least
+    at = np.flatnonzero(enough)
+    if len(at):
+        frames = np.sort(np.lib.stride_tricks.sliding_window_view(padded, rows)[at], axis=1)    # unknown ones come last
+        low, high = (np.take_along_axis(frames, place[:, None], 1)[:, 0] for place in ((count[at] - 1) // 2, count[at] // 2))
+        found[at] = np.where(low == high, low, 0.5 * low + 0.5 * high)
+    return found, enough
+
+
 def medians_before(builds: DataFrame) -> DataFrame:
     """Every build with the medians over its tenant's builds before it, as many as serving looks back on.
 
     Too few usable values give null.
     """
     order, own = ["timestamp", "build_id"], builds.columns
-    looked = {}
-    for f in K.FEATURES:
-        looked[f"_{f}_n"] = F.count(f)
-        looked[f"_{f}_m"] = F.percentile(F.col(f).cast("double"), 0.5)
-    found = over_preceding(builds, ["tenant_id"], order, K.MEDIAN_HISTORY, looked)
-    return found.select(*own, *[F.when(F.col(f"_{f}_n") >= K.MEDIAN_MIN_ROWS, F.col(f"_{f}_m")).alias(f"{f}_median") for f in K.FEATURES])
+    spread = in_chunks(builds, ["tenant_id"], order, K.MEDIAN_HISTORY)
+    rows = spread.select(*own, "_chunk", (F.col("_chunk") == F.col("_home")).alias("_own"), "pos", *[F.col(f).cast("double").alias(f"_{f}") for f in K.FEATURES])
+    names = [f"{f}_median" for f in K.FEATURES]
+
+    def medians(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        found = []
+        for f in K.FEATURES:
+            column = table.column(f"_{f}")
+            known = column.is_valid().to_numpy()
+            values, enough = median_before(column.fill_null(0.0).to_numpy(), known, K.MEDIAN_HISTORY, max(K.MEDIAN_MIN_ROWS, 1))
+            found.append(pa.array(values, pa.float64(), mask=~enough))
+        made = pa.table([*(table.column(c) for c in own), *found], [*own, *names])
+        return made.filter(table.column("_own"))
+
+    schema = builds.withColumns({n: F.lit(None).cast("double") for n in names}).schema
+    return rows.groupBy("tenant_id", "_chunk").applyInArrow(medians, schema)
 
 
 def impute_as_of(builds: DataFrame, model_medians: DataFrame, hour: Column, weekday: Column) -> DataFrame:

@@ -82,6 +82,20 @@ def with_position(
             .withColumnRenamed("_rows_total", "n").drop("_one"))
 
 
+def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, slice_: Column | None = None, chunk: int = 20000) -> DataFrame:
+    """Each key cut into chunks of ``chunk`` consecutive rows (``_chunk``), after the ``rows`` rows before it, whose ``_home`` is another chunk.
+
+    Rows keep their place in the key as ``pos``, and ``n``.
+    """
+    placed = with_position(df, keys, order, slice_)
+    home = F.floor(F.col("pos") / F.lit(chunk))
+    tail = (F.col("pos") % F.lit(chunk)) >= F.lit(chunk - rows)
+    carries = tail & (home < F.floor((F.col("n") - 1) / F.lit(chunk)))
+    return (placed.withColumn("_home", home)
+            .withColumn("_chunk", F.explode(
+                F.when(carries, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home")))))
+
+
 def over_preceding(
     df: DataFrame,
     keys: Sequence[str],
@@ -99,13 +113,7 @@ def over_preceding(
     of a chunk are also sent to the next chunk, so every frame is whole and no task
     sorts more than ``chunk + rows`` rows of one key.
     """
-    placed = with_position(df, keys, order, slice_)
-    home = F.floor(F.col("pos") / F.lit(chunk))
-    tail = (F.col("pos") % F.lit(chunk)) >= F.lit(chunk - rows)
-    carries = tail & (home < F.floor((F.col("n") - 1) / F.lit(chunk)))
-    spread = (placed.withColumn("_home", home)
-              .withColumn("_chunk", F.explode(
-                  F.when(carries, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home")))))
+    spread = in_chunks(df, keys, order, rows, slice_, chunk)
     ordered = Window.partitionBy(*keys, "_chunk").orderBy("pos")
     sized = {name: a if isinstance(a, tuple) else (rows, a) for name, a in aggregates.items()}
     out = spread.select("*", *[a.over(ordered.rowsBetween(-n, -1)).alias(name) for name, (n, a) in sized.items()])

@@ -140,3 +140,19 @@ def test_commit_mapping_and_leak_guard(spark):
     assert got["a1"].recent_failure_rate is None and got["b1"].recent_failure_rate is None
     assert got["a2"].recent_failure_rate == 1.0 and got["a3"].recent_failure_rate == 0.5
     assert all(r.test_pass_rate is None and r.build_time_delta is None for r in got.values())
+
+
+def test_median_before_against_plain_python():
+    import statistics
+
+    import numpy as np
+
+    from deployrisk.operators.impute import median_before
+    rng = np.random.default_rng(4)
+    values, known = np.round(rng.normal(0, 3, 300), 1), rng.random(300) < 0.6
+    found, enough = median_before(values, known, 50, 5)
+    for i in range(300):
+        before = [float(values[j]) for j in range(max(0, i - 50), i) if known[j]]
+        assert enough[i] == (len(before) >= 5)
+        assert not enough[i] or found[i] == pytest.approx(statistics.median(before))
+    assert not median_before(np.zeros(4), np.zeros(4, bool), 50, 1)[1].any()
