@@ -176,7 +176,10 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, features: Sequence[s
     schemas = {f.name: f.dataType.simpleString() for f in placed.schema}
     spot = [*keys, "slab", "tile"]
     schema = ", ".join(f"{c} {schemas[c]}" for c in [*spot, "vid"]) + ", other string, distance2 double"
-    inside = materialize(placed.groupBy(*spot).applyInArrow(_in_tile(k), schema), "neighbours-inside")
+    # the search takes long for its few bytes, so tiles are dealt to a number of tasks that grows with them
+    work = max(points.sparkSession.sparkContext.defaultParallelism, 1)
+    tasks = max(4 * work, -(-placed.select(*spot).distinct().count() // 8))
+    inside = materialize(placed.repartition(tasks, *spot).groupBy(*spot).applyInArrow(_in_tile(k), schema), "neighbours-inside")
 
     # how far each point's k-th neighbour is, and the boxes that are nearer
     tiles = _boxes(placed, spot, size)
@@ -200,7 +203,7 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, features: Sequence[s
     asked = near.join(copies, spot).withColumn("copy", F.pmod(F.xxhash64("vid"), F.col("_copies"))).drop("_copies")
     held = placed.join(copies, spot).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
     parts = [*spot, "copy"]
-    outside = held.groupBy(*parts).cogroup(asked.groupBy(*parts)).applyInArrow(_in_other_tile(k, spot), schema)
+    outside = held.repartition(tasks, *parts).groupBy(*parts).cogroup(asked.repartition(tasks, *parts).groupBy(*parts)).applyInArrow(_in_other_tile(k, spot), schema)
 
     best = Window.partitionBy(*keys, "vid").orderBy("distance2", "other")
     found = inside.unionByName(outside).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
