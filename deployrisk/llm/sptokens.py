@@ -7,9 +7,9 @@ the original, which for runs of markers means that the left part grows first; th
 
 If no piece holds a marker after another character, words are encoded apart and remembered; new ones of
 a batch go to the library together, which encodes them on ``threads`` threads: two, or as many as Spark gives a
-task (``spark.task.cpus``) if that is more. Each new word is also encoded
-by the sentencepiece library and compared, so ``parity`` says of every row whether all its words agree. Of one text in
-``CHECKED`` (by checksum) the ids of the whole text and the text decoded from them are held against that library too.
+task (``spark.task.cpus``) if that is more. They are sent in lines of many words: a word has its marker in front and nowhere
+else, so pieces that begin with a marker begin the words. The sentencepiece library encodes every whole text and decodes its
+ids, and ``parity`` says of every row whether both libraries give the same ids and the same text.
 
 Defined results: null and empty texts have no ids and decode to an empty text.
 """
@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,10 @@ def build(model: spmodel.Model) -> Tokenizer:
     return tokenizer
 
 
-CHECKED = 64    # texts compared in one call
+CHECKED = 1024  # texts compared in one call
+LINE = 2048     # new words sent in one line
+LONG = 64       # longer words (code points) are not remembered
+SPELLED = 1 << 18   # ids spelled at once
 
 
 @dataclass
@@ -76,15 +80,19 @@ class Codec:
     """One per model file and worker process."""
 
     path: str
-    most: int = 200_000
+    most: int = 600_000
     threads: int = 1
     words: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.model = spmodel.read_model(self.path)
         self.by_word = self.model.dummy_prefix and not (self.model.charsmap or self.model.squeeze_spaces or self.model.crosses_words())
-        self.spelled = [bytes([int(p[3:5], 16)]) if k == spmodel.BYTE else p.replace(SPACE, " ").encode() for p, _, k in self.model.pieces]
+        spelled = [bytes([int(p[3:5], 16)]) if k == spmodel.BYTE else p.replace(SPACE, " ").encode() for p, _, k in self.model.pieces]
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
+        self.sizes = np.array([len(x) for x in spelled], np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.marker = next((i for i, (p, _, _) in enumerate(self.model.pieces) if p == SPACE), None)
+        self.begins = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
 
     # decoding needs neither of these, so they are made when first used
 
@@ -92,6 +100,13 @@ class Codec:
     def tokenizer(self) -> Tokenizer:
         return build(self.model)
 
+    @cached_property
+    def liner(self) -> Tokenizer:
+        """The same model for words that have their markers, with spaces between them."""
+        out = Tokenizer(self.tokenizer.model)
+        out.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        return out
+
     @cached_property
     def reference(self) -> sentencepiece.SentencePieceProcessor:
         return sentencepiece.SentencePieceProcessor(model_file=self.path)
@@ -109,39 +124,72 @@ class Codec:
 
     def learn(self, new: list[str]) -> None:
         """Encode words not met before, in one call."""
+        if self.by_word:
+            new = self.learn_lines([w for w in new if not w.startswith(" ")]) + [w for w in new if w.startswith(" ")]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         if self.by_word and "" in new:  # a lone marker: the library puts none before an empty text
             ids[new.index("")] = [self.marker]
         for word, own in zip(new, ids, strict=True):
             self.words[word] = np.array(own, np.int32).tobytes()
 
+    def learn_lines(self, new: list[str]) -> list[str]:
+        """Encode words in lines; words of lines where the pieces with a marker are not as many as the words are given back."""
+        lines, left = [new[i:i + LINE] for i in range(0, len(new), LINE)], []
+        texts = [SPACE + f" {SPACE}".join(line) for line in lines]
+        for line, found in zip(lines, self.liner.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int32)
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) != len(line) or cuts[0] != 0:
+                left += line
+                continue
+            data, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+            self.words.update(zip(line, map(data.__getitem__, map(slice, ends, ends[1:])), strict=True))
+        return left
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Little-endian 32-bit ids of each text, and whether both libraries agree on it."""
+        return self.round_trip(texts)[:2]
+
+    def round_trip(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[str]]:
+        """What ``encode`` gives, and the texts decoded from these ids."""
         split = [self.split(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.words})
+        new = list(set(chain.from_iterable(split)).difference(self.words))
         self.learn(new)
         out = [b"".join(map(self.words.__getitem__, ws)) for ws in split]
-        same = []
-        for i in range(0, len(texts), CHECKED):
-            same += self.agree(texts[i:i + CHECKED], [np.frombuffer(x, np.int32) for x in out[i:i + CHECKED]])
-        if len(self.words) > self.most:
-            for word in new:  # frequent words came early and stay
+        full = len(self.words) > self.most
+        for word in new:  # frequent words came early and stay
+            if full or len(word) > LONG:
                 del self.words[word]
-        return out, same
+        ids, same = [np.frombuffer(x, np.int32) for x in out], []
+        back = self.decode(ids)
+        for i in range(0, len(texts), CHECKED):
+            same += self.agree(texts[i:i + CHECKED], ids[i:i + CHECKED], back[i:i + CHECKED])
+        return out, same, back
 
-    def agree(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+    def agree(self, texts: list[str], ids: list[np.ndarray], back: list[str]) -> list[bool]:
         """Whether the sentencepiece library gives the same ids for each whole text, and the same text for them."""
-        listed = [x.tolist() for x in ids]
-        wanted, spelled = self.reference.encode(texts, num_threads=self.threads), self.reference.decode(listed, num_threads=self.threads)
-        return [a == b and c == d for a, b, c, d in zip(wanted, listed, spelled, self.decode(ids), strict=True)]
+        wanted, spelled = self.reference.encode(texts, num_threads=self.threads, return_type="numpy"), self.reference.decode(ids, num_threads=1)
+        return [np.array_equal(a, b) and c == d for a, b, c, d in zip(wanted, ids, spelled, back, strict=True)]
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The pieces' bytes, one after the other."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.letters[at].tobytes()
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts; ids whose bytes are no UTF-8 (never the ids of a text) go through the library's decoder chain."""
+        if not ids:
+            return []
+        every = np.concatenate(ids)
+        data = b"".join([self.spell(every[i:i + SPELLED]) for i in range(0, len(every), SPELLED)])
+        ends = np.concatenate([[0], np.cumsum(self.sizes[every], dtype=np.int64)])[np.cumsum([0, *map(len, ids)])].tolist()
         out = []
-        for own in ids:
-            data = b"".join(map(self.spelled.__getitem__, own.tolist()))
+        for own, start, end in zip(ids, ends, ends[1:], strict=False):
             try:
-                text = data.decode()
+                text = data[start:end].decode()
                 out.append(text[1:] if self.model.dummy_prefix and text.startswith(" ") else text)
             except UnicodeDecodeError:
                 out.append(self.tokenizer.decode(own.tolist(), skip_special_tokens=False))
@@ -170,6 +218,13 @@ def _encoded(own: Codec, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], ["doc_id", "ids", "parity"])
 
 
+def _both(own: Codec, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 1 << 20):
+        ids, same, texts = own.round_trip([t or "" for t in batch.column("text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(same, pa.bool_()), pa.array(texts, pa.string())],
+                                         ["doc_id", "ids", "parity", "text"])
+
+
 def _decoded(own: Codec, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "ids", 1 << 20):
         texts = own.decode([np.frombuffer(x or b"", np.int32) for x in batch.column("ids").to_pylist()])
@@ -193,12 +248,7 @@ def decode(encoded: DataFrame, path: str, threads: int | None = None) -> DataFra
 
 
 def round_trip(docs: DataFrame, path: str, threads: int | None = None) -> DataFrame:
-    """Both, one after the other in the same worker, so that one copy of the model serves a task."""
+    """Both in the same worker, so that one copy of the model serves a task; the decoding compared is the one returned."""
     threads = threads or _threads(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-    def both(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, threads)
-        return _decoded(own, _encoded(own, batches))
-
-    return rows.mapInArrow(both, f"{_ENCODED}, text string")
+    return rows.mapInArrow(lambda batches: _both(codec(path, threads), batches), f"{_ENCODED}, text string")

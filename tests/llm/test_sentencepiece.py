@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -58,6 +59,29 @@ def test_forgetting_words_changes_nothing(reference, texts):
         assert [np.frombuffer(i, np.int32).tolist() for i in ids] == reference.encode(texts[at:at + 50])
 
 
+def test_a_round_trip_decodes_once_and_sends_words_in_lines(reference, texts, monkeypatch):
+    own, decoded, sent = sptokens.Codec(PATH, threads=2), [], []
+    decode, learn = own.decode, sptokens.Codec.learn_lines
+    monkeypatch.setattr(own, "decode", lambda ids: decoded.extend(map(len, ids)) or decode(ids))
+    monkeypatch.setattr(sptokens.Codec, "learn_lines", lambda self, new: sent.append(len(left := learn(self, new))) or left)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    got = pa.Table.from_batches(sptokens._both(own, [batch])).to_pydict()
+    wanted = reference.encode(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got["ids"]] == wanted
+    assert got["text"] == reference.decode(wanted) and all(got["parity"])
+    assert decoded == [len(x) for x in wanted]
+    assert sent and not any(sent)       # no word with one marker had to be sent alone
+    assert max(map(len, own.words)) <= sptokens.LONG
+
+
+def test_lines_that_do_not_add_up_are_sent_word_by_word():
+    own = sptokens.Codec(PATH)
+    assert own.learn_lines(["the", "a▁b"]) == ["the", "a▁b"] and not own.words     # three markers for two words
+    own.learn(["the", "  way", ""])
+    assert {w: np.frombuffer(x, np.int32).tolist() for w, x in own.words.items()} == {
+        w: own.tokenizer.encode(w, add_special_tokens=False).ids or [own.marker] for w in ("the", "  way", "")}
+
+
 def test_ids_of_no_text(reference):
     codec = sptokens.Codec(PATH)
     byte = next(i for i, (p, _, _) in enumerate(codec.model.pieces) if p == "<0xFF>")
