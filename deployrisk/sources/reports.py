@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,53 +56,74 @@ def discover(spark: SparkSession, root: str, build: Column, globs: Sequence[str]
     return chosen.join(found.select("path", F.col("content").cast("string").alias("xml")), "path")
 
 
+#: Attributes read from a suite's tag; of the last three the first that holds a number counts.
+COUNTS = {"tests": ["tests"], "failures": ["failures"], "errors": ["errors"], "skipped": ["skipped", "skip", "disabled"]}
+ATTRIBUTE = r"\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"
+# suites only, up to the ">" that is not inside quotes
+SUITE = r"<((?:[\w.-]+:)?(?i:testsuites?)(?:" + ATTRIBUTE + r")*)\s*/?>"
+
+
+def _resolved(tag: Column) -> Column:
+    """A tag whose references to digits and points are resolved; only quoted values hold references."""
+    out = F.regexp_replace(tag, "&#([xX]?)0+(?=[0-9a-fA-F])", "&#$1")
+    for digit in "0123456789.":
+        for form in (f"&#{ord(digit)};", f"&#x{ord(digit):x};", f"&#X{ord(digit):x};"):
+            out = F.replace(out, F.lit(form), F.lit(digit))
+    return F.when(tag.contains("&#"), out).otherwise(tag)
+
+
+def _kind(tag: Column) -> Column:
+    """A suite's name in small letters, without its prefix."""
+    plain = F.when(F.lower(F.substring(tag, 1, 10)) == "testsuites", "testsuites").otherwise("testsuite")
+    return F.when(tag.contains(":"), F.lower(F.regexp_extract(tag, r"^(?:[\w.-]+:)?([\w.-]+)", 1))).otherwise(plain)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The trimmed value of an attribute, or null. Values before it are passed as a whole, as they may look like attributes."""
+    found = F.regexp_extract(tag, rf"^[\w:.-]+(?:{ATTRIBUTE})*?\s+{name}\s*=\s*([\"'])((?s:.*?))\1", 2)
+    return F.when(tag.contains(name), strip(found))
+
+
+def _count(values: Callable[[str], Column], names: Sequence[str]) -> Column:
+    return F.coalesce(*[number(values(n)).try_cast("int") for n in names], F.lit(0))
+
+
 def suite_counts(df: DataFrame, xml: str) -> DataFrame:
     """tests, failures, errors, skipped per report; null when it cannot be read.
 
     A wrapper's own totals win when it has any tests, else all suites below it are summed.
     ``from_xml`` only decides whether the text is well formed: malformed reports give
-    nulls instead of failing the job.
+    nulls instead of failing the job. The root's tag is read first; the other tags are looked for
+    only below a wrapper without totals. Every step is a column of its own, or it would be
+    computed anew by each expression that uses it.
     """
-    text = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
+    raw = F.col(xml)
+    cleaned = F.regexp_replace(raw, r"(?s)<(?:!--.*?-->|!\[CDATA\[.*?\]\]>|\?.*?\?>|!DOCTYPE[^>]*>)", "")
+    rows = df.withColumn("_text", F.when(raw.contains("<!") | raw.contains("<?"), cleaned).otherwise(raw))
     # PERMISSIVE keeps the job alive; the corrupt-record field is filled for broken text
-    checked = F.from_xml(F.col(xml), "struct<_corrupt_record:string,_any:string>",
+    checked = F.from_xml(raw, "struct<_corrupt_record:string,_any:string>",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    # suites only, up to the ">" that is not inside quotes
-    quoted = r"\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"
-    suite = r"<((?:[\w.-]+:)?(?i:testsuites?)(?:" + quoted + r")*)\s*/?>"
-    rows = df.withColumn("_ok", checked["_corrupt_record"].isNull()).withColumn("_tags", F.regexp_extract_all(text, F.lit(suite), F.lit(1)))
-    pattern = r"\s([\w:.-]+)\s*=\s*(\"[^\"]*\"|'[^']*')"
-
-    def plain(value: Column) -> Column:
-        """A quoted number with its character references resolved."""
-        inner = F.substring(value, F.lit(2), F.length(value) - 2)
-        resolved = inner
-        for digit in "0123456789.":
-            resolved = F.regexp_replace(resolved, f"&#(?:0*{ord(digit)}|[xX]0*{ord(digit):x});", digit)
-        return F.when(inner.contains("&"), resolved).otherwise(inner)
-
-    def open_tag(tag: Column) -> Column:
-        names, values = (F.regexp_extract_all(tag, F.lit(pattern), F.lit(g)) for g in (1, 2))
-        return F.struct(F.lower(F.regexp_extract(tag, r"^(?:[\w.-]+:)?([\w.-]+)", 1)).alias("kind"),
-                        F.map_from_arrays(names, F.transform(values, plain)).alias("attributes"))
-
-    def read(tag: Column) -> Column:
-        def value(*names: str) -> Column:
-            found = [number(strip(F.element_at(tag["attributes"], n))).try_cast("int") for n in names]
-            return F.coalesce(*found, F.lit(0))
-
-        return F.struct(tag["kind"].alias("kind"), value("tests").alias("tests"), value("failures").alias("failures"),
-                        value("errors").alias("errors"), value("skipped", "skip", "disabled").alias("skipped"))
-
+    text = F.col("_text")
+    # most often the root's tag is whole in front, else the first whole one is taken
     root_is_suite = text.rlike(r"^\s*<(?:[\w.-]+:)?(?i:testsuites?)(?:[\s/>])")
-    parsed = rows.withColumn("_all", F.when(F.col("_ok") & root_is_suite, F.transform(F.transform("_tags", open_tag), read)))
-    names = ["tests", "failures", "errors", "skipped"]
-    zero = F.struct(*[F.lit(0).alias(c) for c in names])
-    below = F.filter(F.slice("_all", 2, 2147483646), lambda s: s["kind"] == "testsuite")
-    summed = F.aggregate(below, zero, lambda a, s: F.struct(*[(a[c] + s[c]).alias(c) for c in names]))
-    root = F.get("_all", F.lit(0))
-    own = F.struct(*[root[c].alias(c) for c in names])
-    picked = parsed.withColumn("_c", F.when(root.isNull(), F.lit(None)).when(
-        (root["kind"] == "testsuite") | (root["tests"] > 0), own).otherwise(summed))
-    kept = F.when((root["kind"] == "testsuite") | (F.col("_c.tests") > 0), F.col("_c"))
-    return picked.select(*df.columns, "_all", kept.alias("_c")).select(*df.columns, "_c.*")
+    first = F.when(F.col("_root") != "", F.col("_root")).when(root_is_suite, F.regexp_extract(text, SUITE, 1))
+    names = [n for alternatives in COUNTS.values() for n in alternatives]
+    read = (rows.withColumn("_root", F.when(checked["_corrupt_record"].isNull(), F.regexp_extract(text, r"^\s*" + SUITE, 1)))
+            .withColumn("_root", F.when(F.col("_root").isNotNull(), first)).withColumn("_root", _resolved(F.col("_root")))
+            .withColumns({"_kind": _kind(F.col("_root")), **{f"_raw_{n}": _attribute(F.col("_root"), n) for n in names}})
+            .withColumns({f"_{c}": _count(lambda n: F.col(f"_raw_{n}"), n) for c, n in COUNTS.items()}))
+
+    def texts(tag: Column) -> Column:
+        return F.struct(_kind(tag).alias("kind"), *[_attribute(tag, n).alias(n) for n in names])
+
+    def numbers(tag: Column) -> Column:
+        return F.struct(*[_count(lambda n: tag[n], n).alias(c) for c, n in COUNTS.items()])
+
+    below = F.transform(F.slice(F.regexp_extract_all(text, F.lit(SUITE), F.lit(1)), 2, 2147483646), _resolved)
+    suites = F.transform(F.filter(F.transform(below, texts), lambda s: s["kind"] == "testsuite"), numbers)
+    zero = F.struct(*[F.lit(0).alias(c) for c in COUNTS])
+    summed = F.aggregate(suites, zero, lambda a, s: F.struct(*[(a[c] + s[c]).alias(c) for c in COUNTS]))
+    own = (F.col("_kind") == "testsuite") | (F.col("_tests") > 0)
+    totals = read.withColumn("_sum", F.when((F.col("_root") != "") & ~own, summed))
+    return totals.select(*df.columns, *[F.when((F.col("_root") != "") & own, F.col(f"_{c}")).when(F.col("_sum.tests") > 0, F.col(f"_sum.{c}")).alias(c)
+                                        for c in COUNTS])

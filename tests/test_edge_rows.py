@@ -38,6 +38,20 @@ def test_long_diffstat(spark):
     assert one(spark, git.diffstat_churn(F.col("v"), F.lit(1)), line) == 3000
 
 
+def test_reports_are_cleaned_once_and_read_by_the_root_first(spark):
+    rows = [("<testsuite name=\" tests='9' \" tests=' 3 '/>", (3, 0, 0, 0)),
+            ("<?xml version='1.0'?>\n<t:TestSuites xmlns:t='u' tests='0'><t:testSuite skip='&#049;' skipped='x' tests='&#x034;'/></t:TestSuites>", (4, 0, 0, 1)),
+            ("<testsuites tests='2'><testsuite tests='7'/></testsuites>", (2, 0, 0, 0)),
+            ("<testsuites mytests='2'><testsuites tests='7'/></testsuites>", (None,) * 4),
+            ("<testsuites \u00e9='2'><testsuite tests='7' errors='1'/></testsuites>", (7, 0, 1, 0)),
+            ("<testsuite tests='3'", (None,) * 4), (None, (None,) * 4)]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i long, xml string")
+    read = reports.suite_counts(df, "xml")
+    assert [tuple(r)[2:] for r in sorted(read.collect())] == [w for _, w in rows]
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CDATA") == 1 and plan.count("from_xml") == 1
+
+
 @pytest.mark.parametrize("xml,want", [
     ('<testsuite name="a > b" tests="3" failures="1"/>', (3, 1, 0, 0)),
     ('<testsuite tests="&#51;" failures=\'&#x31;\'/>', (3, 1, 0, 0)),
