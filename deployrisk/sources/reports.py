@@ -65,10 +65,9 @@ SUITE = r"<((?:[\w.-]+:)?(?i:testsuites?)(?:" + ATTRIBUTE + r")*)\s*/?>"
 
 def _resolved(tag: Column) -> Column:
     """A tag whose references to digits and points are resolved; only quoted values hold references."""
-    out = F.regexp_replace(tag, "&#([xX]?)0+(?=[0-9a-fA-F])", "&#$1")
-    for digit in "0123456789.":
-        for form in (f"&#{ord(digit)};", f"&#x{ord(digit):x};", f"&#X{ord(digit):x};"):
-            out = F.replace(out, F.lit(form), F.lit(digit))
+    forms = [(form.format(ord(digit)), digit) for digit in "0123456789." for form in ("&#{};", "&#x{:x};", "&#X{:x};")]
+    listed = F.array(*[F.struct(F.lit(form).alias("form"), F.lit(digit).alias("digit")) for form, digit in forms])
+    out = F.aggregate(listed, F.regexp_replace(tag, "&#([xX]?)0+(?=[0-9a-fA-F])", "&#$1"), lambda a, r: F.replace(a, r["form"], r["digit"]))
     return F.when(tag.contains("&#"), out).otherwise(tag)
 
 
