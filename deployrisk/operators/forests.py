@@ -1,9 +1,10 @@
 """Random forests of many keys at once, kept as tables of trees.
 
 Values are cut at quantiles into at most ``BINS`` bins, rows are packed into blocks of at most ``BLOCK`` rows of a key,
-and a tree grows a level at a time from counts of its open nodes by feature and bin. A key of one block is
-grown where the block lies, some trees a task. The counts of a key with more blocks are summed by Spark over
-(key, tree, group of nodes) for each level, ``SUMMED`` blocks at a time, so no task ever holds such a key. Both ways use
+a row's bins in one number, and a tree grows a level at a time from counts of its open nodes by feature and bin. A key
+of at most ``HELD`` blocks is grown where its blocks meet, some trees a task, and its rows keep their places in a tree from level to
+level. The blocks of a larger key are dealt to bundles, and the counts of a level are summed by Spark over
+(key, tree, group of nodes), ``SUMMED`` bundles at a time, so no task ever holds such a key. Both ways use
 the same functions, and grow the same trees. The number of Spark jobs does not depend on the number of keys.
 
 Draws are hashes of the row's id, the tree and the node: a rerun on other machines grows the same forest.
@@ -15,7 +16,7 @@ trees there and walks whole blocks down each tree.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,15 +30,23 @@ from deployrisk.session import materialize
 
 BINS = 32
 BLOCK = 100_000     # rows of a key handled together
+HELD = 32           # blocks of a key that one task may hold
+STEP = 65_536       # rows taken down a tree together
 SCORED = 20_000     # rows scored together
-TREE_GROUP = 10     # trees grown or walked in one task
 NODE_GROUP = 16     # nodes whose counts are summed together
-SUMMED = 64         # blocks whose counts are summed together
+SUMMED = 64         # bundles of blocks whose counts are summed together
 FEATURES_TRIED = 4  # the root of ten features, rounded up
 
 ARRAYS = "node array<int>, feature array<int>, threshold array<double>, p array<double>, gain array<double>, weight array<double>"
 _POISSON = np.cumsum([0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.06131324019524039, 0.015328310048810098,
                       0.0030656620097620196, 0.0005109436682936699, 7.299195261338141e-05, 9.123994076672677e-06])
+#: The same for whole 64-bit numbers, of which 53 bits count; and how often a row is drawn by the first 16 bits, 255 where they don't decide.
+_LIMITS = np.array([int(np.ceil(p * 2.0 ** 53)) << 11 for p in _POISSON], np.uint64)
+_BY_FIRST = np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)
+_BY_FIRST = np.where(np.searchsorted(_LIMITS, _BY_FIRST, "right") == np.searchsorted(_LIMITS, _BY_FIRST + np.uint64((1 << 48) - 1), "right"),
+                     np.searchsorted(_LIMITS, _BY_FIRST, "right"), 255).astype(np.uint8)
+#: A bin takes five bits; a row's word holds its label, then the bins of so many features.
+BITS, WORD = 5, 12
 
 
 @dataclass(frozen=True)
@@ -51,15 +60,30 @@ class Growth:
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+    values = values.copy()
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        values ^= values >> np.uint64(shift)
+        if factor:
+            values *= np.uint64(factor)
+    return values
+
+
+def drawn(ids: np.ndarray, tree: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows drawn for the tree, and how often each: a Poisson number of mean one."""
+    unit = mixed(ids ^ mixed(np.array([seed * 1_000_003 + tree], np.uint64)))
+    times = _BY_FIRST.take((unit >> np.uint64(48)).view(np.int64))
+    close = np.flatnonzero(times == 255)
+    times[close] = np.searchsorted(_LIMITS, unit[close], "right")
+    rows = np.flatnonzero(times != 0)
+    return rows, times.take(rows)
 
 
 def draws(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """How often each row was drawn for the tree: a Poisson number of mean one."""
-    unit = (mixed(ids ^ mixed(np.array([seed * 1_000_003 + tree], np.uint64))) >> np.uint64(11)).astype(float) * 2.0 ** -53
-    return np.searchsorted(_POISSON, unit, "right")
+    """How often each row was drawn for the tree."""
+    times = np.zeros(len(ids), np.int64)
+    rows, times_drawn = drawn(ids, tree, seed)
+    times[rows] = times_drawn
+    return times
 
 
 def tried(nodes: np.ndarray, tree: int, features: int, seed: int) -> np.ndarray:
@@ -89,6 +113,9 @@ class Tree:
     def grown(self, other: Tree) -> Tree:
         return Tree(*(np.concatenate([getattr(self, f), getattr(other, f)]) for f in Tree.__dataclass_fields__))
 
+    def part(self, which: np.ndarray) -> Tree:
+        return Tree(*(getattr(self, f)[which] for f in Tree.__dataclass_fields__))
+
     def open(self, level: int) -> np.ndarray:
         """Numbers of the nodes to be counted at this level."""
         if not level:
@@ -97,54 +124,131 @@ class Tree:
         return np.sort(np.concatenate([split * 2, split * 2 + 1]))
 
 
-def placed(bins: np.ndarray, tree: Tree, level: int) -> np.ndarray:
-    """The node of each row at this level; 0 for rows that ended in a leaf."""
-    at = np.ones(len(bins), np.int64)
-    feature, cut = np.full(1 << max(level, 1), -1, np.int64), np.zeros(1 << max(level, 1), np.int64)
-    inner = tree.node < len(feature)
-    feature[tree.node[inner]], cut[tree.node[inner]] = tree.feature[inner], tree.cut[inner]
-    rows = np.arange(len(bins))
-    for _ in range(level):
-        own = feature[at]
-        at = np.where((at > 0) & (own >= 0), 2 * at + (bins[rows, np.maximum(own, 0)] > cut[at]), 0)
-        rows_left = at > 0
-        if not rows_left.any():
-            break
-    return at
+@dataclass
+class Level:
+    """The nodes of a level of a tree, for rows on their way down: places count from the level's first node."""
 
+    word: np.ndarray | None     # where a row has several words, the one that holds the feature
+    mask: np.ndarray
+    cut: np.ndarray             # shifted like the feature's bin
+    leaf: np.ndarray
+    leaves: bool
 
-def counts(block: Block, tree: int, nodes: np.ndarray, at: np.ndarray, growth: Growth) -> np.ndarray:
-    """[node, tried feature, bin, (weight of fine rows, weight of risky rows, rows)] of the open nodes.
+    @staticmethod
+    def of(tree: Tree, level: int, words: int) -> Level:
+        size = 1 << level
+        there = np.flatnonzero((tree.node >= size) & (tree.node < 2 * size) & (tree.feature >= 0))
+        place, (word, at) = tree.node[there] - size, np.divmod(tree.feature[there], WORD)
+        made = Level(np.zeros(size, np.int64) if words > 1 else None, np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size, bool), len(there) < size)
+        if words > 1:
+            made.word[place] = word
+        made.mask[place], made.cut[place], made.leaf[place] = (BINS - 1) << at * BITS + 1, tree.cut[there] << at * BITS + 1, False
+        return made
 
-    Nodes of the last level are never split, so they are counted with one feature and bin.
-    """
-    drawn = draws(block.ids, tree, growth.seed)
-    used = np.flatnonzero((at > 0) & (drawn > 0))
-    slot = np.searchsorted(nodes, at[used])
-    known = (slot < len(nodes)) & (nodes[np.minimum(slot, len(nodes) - 1)] == at[used])
-    used, slot = used[known], slot[known]
-    weight, risky = block.weight[used] * drawn[used], block.label[used] == 1
-    if nodes[0] >= 1 << growth.depth:
-        sums = [np.bincount(slot, w, len(nodes)) for w in (np.where(risky, 0.0, weight), np.where(risky, weight, 0.0), drawn[used])]
-        return np.stack(sums, axis=-1).reshape(len(nodes), 1, 1, 3)
-    features = tried(nodes, tree, block.bins.shape[1], growth.seed)
-    width = features.shape[1]
-    own = block.bins[used[:, None], features[slot]]
-    key = ((slot[:, None] * width + np.arange(width)) * BINS + own).ravel()
-    size = len(nodes) * width * BINS
-    sums = [np.bincount(key, np.repeat(np.where(risky == r, weight, 0.0), width), size) for r in (False, True)]
-    sums.append(np.bincount(key, np.repeat(drawn[used].astype(float), width), size))
-    return np.stack(sums, axis=-1).reshape(len(nodes), width, BINS, 3)
+
+def _picked(words: np.ndarray, which: np.ndarray | None) -> np.ndarray:
+    return words[0] if which is None else words[which, np.arange(words.shape[1])]
+
+
+@dataclass
+class Sample:
+    """Rows drawn for a tree, and the place of each in its level."""
+
+    words: np.ndarray           # [word, row]
+    times: np.ndarray
+    weight: np.ndarray | None   # of the drawn rows; None where the label decides it
+    at: np.ndarray
+
+    @staticmethod
+    def of(block: Packed, part: slice, tree: int, seed: int) -> Sample:
+        rows, times = drawn(block.ids[part], tree, seed)
+        weight = None if len(block.weight) == 2 else block.weight[part].take(rows) * times
+        return Sample(np.stack([w[part].take(rows) for w in block.words]), times.astype(float), weight, np.zeros(len(rows), np.int64))
+
+    def kept(self, rows: np.ndarray) -> Sample:
+        return Sample(self.words.take(rows, axis=1), self.times.take(rows), None if self.weight is None else self.weight.take(rows), self.at.take(rows))
+
+    def down(self, level: Level) -> Sample:
+        """The rows a level further down; those in leaves have arrived."""
+        going = np.flatnonzero(~level.leaf.take(self.at)) if level.leaves else self.at
+        sample = self if len(going) == len(self.at) else self.kept(going)
+        right = _picked(sample.words, None if level.word is None else level.word.take(sample.at)) & level.mask.take(sample.at)
+        sample.at = 2 * sample.at + (right > level.cut.take(sample.at))
+        return sample
+
+
+class Counts:
+    """Counts of the open nodes of a level of one tree, by tried feature, bin and label."""
+
+    def __init__(self, nodes: np.ndarray, tree: int, level: int, features: int, growth: Growth):
+        self.nodes, self.first, self.features = nodes, 1 << level, tried(nodes, tree, features, growth.seed)
+        self.slot = None
+        if len(nodes) < self.first:
+            self.slot = np.full(self.first, -1)
+            self.slot[nodes - self.first] = np.arange(len(nodes))
+        self.word, self.shift = np.divmod(self.features, WORD)
+        self.shift *= BITS
+        self.several = features > WORD
+        size = (self.features.shape[1], len(nodes) * BINS * 2)
+        self.rows, self.weight, self.by_label = np.zeros(size), None, None
+
+    def add(self, sample: Sample, by_label: np.ndarray) -> None:
+        """Counts rows, all of which are at open nodes. ``by_label`` has the weight of each label, if it decides."""
+        slot = sample.at if self.slot is None else self.slot.take(sample.at)
+        base = slot * (BINS * 2)
+        base += sample.words[0] & 1
+        weight = sample.weight
+        if weight is None:
+            known = by_label if self.by_label is None else np.where(np.isnan(self.by_label), by_label, self.by_label)
+            if self.weight is None and (np.isnan(by_label) | (known == by_label)).all():
+                self.by_label = known
+            else:
+                weight = by_label.take(sample.words[0] & 1) * sample.times
+        if weight is not None and self.weight is None:      # from here on weights differ among rows of a label
+            self.weight = self._weighed()
+        for tried_ in range(self.features.shape[1]):
+            word = _picked(sample.words, self.word[:, tried_].take(slot) if self.several else None)
+            key = word >> self.shift[:, tried_].take(slot)
+            key &= (BINS - 1) * 2
+            key += base
+            np.add.at(self.rows[tried_], key, sample.times)
+            if weight is not None:
+                np.add.at(self.weight[tried_], key, weight)
+
+    def _weighed(self) -> np.ndarray:
+        by_label = np.zeros(2) if self.by_label is None else np.nan_to_num(self.by_label)
+        return (self.rows.reshape(-1, 2) * by_label).reshape(self.rows.shape)
+
+    def found(self) -> np.ndarray:
+        """[node, tried feature, bin, (weight of fine rows, weight of risky rows, rows)]."""
+        shape = (self.features.shape[1], len(self.nodes), BINS, 2)
+        weight = (self._weighed() if self.weight is None else self.weight).reshape(shape)
+        return np.concatenate([weight, self.rows.reshape(shape).sum(axis=-1, keepdims=True)], axis=-1).swapaxes(0, 1)
+
+
+def counts(block: Block, tree: int, nodes: np.ndarray, at: np.ndarray, growth: Growth) -> np.ndarray:
+    """The counts of a block whose rows are at the given nodes of one level."""
+    packed, level = Packed.of(block), int(nodes[0]).bit_length() - 1
+    sample = Sample.of(packed, slice(None), tree, growth.seed)
+    sample.at = at.take(drawn(packed.ids, tree, growth.seed)[0]) - (1 << level)
+    made = Counts(nodes, tree, level, block.bins.shape[1], growth)
+    made.add(sample.kept(np.flatnonzero(np.isin(sample.at + (1 << level), nodes))), packed.weight[:2])
+    return made.found()
 
 
 def split(found: np.ndarray, nodes: np.ndarray, tree: int, features: int, level: int, growth: Growth) -> Tree:
-    """The nodes of a level with their best splits, from their counts."""
+    """The nodes of a level with their best splits, from their counts; those of the last level too, as leaves."""
     total = found[:, 0].sum(axis=1)
-    weight = total[:, 0] + total[:, 1]
-    p = np.divide(total[:, 1], weight, out=np.zeros(len(nodes)), where=weight > 0)
-    if level == growth.depth:
+
+    def leaves(nodes: np.ndarray, total: np.ndarray) -> Tree:
+        weight = total[:, 0] + total[:, 1]
+        p = np.divide(total[:, 1], weight, out=np.zeros(len(nodes)), where=weight > 0)
         return Tree(nodes, np.full(len(nodes), -1), np.zeros(len(nodes), np.int64), p, np.zeros(len(nodes)), weight)
 
+    own = leaves(nodes, total)
+    if level >= growth.depth:
+        return own
+
     def impurity(fine: np.ndarray, risky: np.ndarray) -> np.ndarray:
         """Gini impurity times weight."""
         both = fine + risky
@@ -156,38 +260,96 @@ def split(found: np.ndarray, nodes: np.ndarray, tree: int, features: int, level:
     allowed = (left[..., 2] >= growth.leaf_rows) & (right[..., 2] >= growth.leaf_rows)
     gain = np.where(allowed, gain, -1.0).reshape(len(nodes), -1)
     best = gain.argmax(axis=1)
-    most = gain[np.arange(len(nodes)), best]
-    splits = most > 1e-9 * np.maximum(weight, 1e-300)
+    every = np.arange(len(nodes))
+    most = gain[every, best]
+    splits = most > 1e-9 * np.maximum(own.weight, 1e-300)
     which, cut = np.divmod(best, BINS - 1)
-    feature = tried(nodes, tree, features, growth.seed)[np.arange(len(nodes)), which]
-    return Tree(nodes, np.where(splits, feature, -1), np.where(splits, cut, 0), p, np.where(splits, most, 0.0), weight)
+    feature = tried(nodes, tree, features, growth.seed)[every, which]
+    own = Tree(nodes, np.where(splits, feature, -1), np.where(splits, cut, 0), own.p, np.where(splits, most, 0.0), own.weight)
+    if level + 1 < growth.depth or not splits.any():
+        return own
+    sides = [part.reshape(len(nodes), -1, 3)[every, best][splits] for part in (left, right)]
+    return own.grown(leaves(np.concatenate([nodes[splits] * 2, nodes[splits] * 2 + 1]), np.maximum(np.concatenate(sides), 0.0)))
 
 
-def grow(block: Block, tree: int, growth: Growth) -> Tree:
-    """A whole tree from one block."""
+def grow_together(blocks: Sequence[Packed], tree: int, growth: Growth, features: int) -> Tree:
+    """A whole tree from the blocks of a key."""
+    samples = [(Sample.of(b, slice(i, i + STEP), tree, growth.seed), b.weight[:2]) for b in blocks for i in range(0, len(b.ids), STEP)]
     grown = Tree.empty()
-    for level in range(growth.depth + 1):
+    for level in range(max(growth.depth, 1)):
         nodes = grown.open(level)
         if not len(nodes):
             break
-        found = counts(block, tree, nodes, placed(block.bins, grown, level), growth)
-        grown = grown.grown(split(found, nodes, tree, block.bins.shape[1], level, growth))
+        if level:
+            above = Level.of(grown, level - 1, -(-features // WORD))
+            samples = [(sample.down(above), weight) for sample, weight in samples]
+        made = Counts(nodes, tree, level, features, growth)
+        for sample, weight in samples:
+            made.add(sample, weight)
+        grown = grown.grown(split(made.found(), nodes, tree, features, level, growth))
     return grown
 
 
+def grow(block: Block, tree: int, growth: Growth) -> Tree:
+    """A whole tree from one block."""
+    return grow_together([Packed.of(block)], tree, growth, block.bins.shape[1])
+
+
+def count_level(blocks: Sequence[Packed], tree: int, grown: Tree, level: int, growth: Growth, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The open nodes of a tree grown so far and their counts in the blocks."""
+    nodes = grown.open(level)
+    made = Counts(nodes, tree, level, features, growth)
+    above = [Level.of(grown, i, -(-features // WORD)) for i in range(level)]
+    for block in blocks if len(nodes) else ():
+        for i in range(0, len(block.ids), STEP):
+            sample = Sample.of(block, slice(i, i + STEP), tree, growth.seed)
+            for one in above:
+                sample = sample.down(one)
+            made.add(sample, block.weight[:2])
+    return nodes, made.found()
+
+
 # --- blocks --------------------------------------------------------------------
 
 @dataclass
 class Block:
+    """Rows of a key."""
+
     bins: np.ndarray
     label: np.ndarray
     weight: np.ndarray
     ids: np.ndarray
 
+
+@dataclass
+class Packed:
+    """Rows of a key in few bytes."""
+
+    words: list[np.ndarray]     # each row's label and bins
+    weight: np.ndarray          # of each row, or of the two labels where these decide it (NaN for one that no row has)
+    ids: np.ndarray
+
     @staticmethod
-    def read(row: dict, features: int) -> Block:
-        return Block(np.frombuffer(row["bins"], np.uint8).reshape(-1, features), np.frombuffer(row["labels"], np.uint8),
-                     np.frombuffer(row["weights"], "<f8"), np.frombuffer(row["ids"], "<u8"))
+    def of(block: Block) -> Packed:
+        words = []
+        for start in range(0, block.bins.shape[1], WORD):
+            word = (block.label == 1).astype(np.int64)
+            for i, own in enumerate(block.bins[:, start:start + WORD].T):
+                word |= own.astype(np.int64) << i * BITS + 1
+            words.append(word)
+        risky, by_label = block.label == 1, np.zeros(2)
+        for label in (0, 1):
+            own = block.weight[risky == label]
+            if len(own) and own.min() != own.max():
+                # one row more, so that two rows are not taken for two labels
+                return Packed(words, np.append(block.weight, 0.0).astype(float), block.ids)
+            by_label[label] = own[0] if len(own) else np.nan
+        return Packed(words, by_label, block.ids)
+
+    @staticmethod
+    def read(column: Callable[[str], pa.Scalar]) -> Packed:
+        ids = np.frombuffer(column("ids").as_buffer(), "<u8")
+        return Packed(list(np.frombuffer(column("words").as_buffer(), "<i8").reshape(-1, len(ids))) if len(ids) else [], np.frombuffer(column("weights").as_buffer(), "<f8"), ids)
 
 
 def cut_points(rows: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -204,14 +366,14 @@ def cut_points(rows: DataFrame, keys: Sequence[str], features: Sequence[str]) ->
 
 def _pack(keys: Sequence[str], features: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def pack(rows: pa.Table, cuts: pa.Table) -> pa.Table:
-        names = [*keys, "block", "blocks", "cuts", "bins", "labels", "weights", "ids"]
+        names = [*keys, "block", "blocks", "cuts", "words", "weights", "ids"]
         if not rows.num_rows or not cuts.num_rows:
-            types = [rows.schema.field(k).type for k in keys] + [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.float64()))] + [pa.binary()] * 4
+            types = [rows.schema.field(k).type for k in keys] + [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.float64()))] + [pa.binary()] * 3
             return pa.table([pa.array([], t) for t in types], names)
         thresholds = cuts.column("cuts")[0].as_py()
         bins = np.stack([np.searchsorted(np.array(t, float), rows.column(f).to_numpy().astype(float)) for f, t in zip(features, thresholds, strict=True)], axis=1)
-        parts = [bins.astype(np.uint8), rows.column("label").to_numpy().astype(np.uint8), rows.column("weight").to_numpy().astype("<f8"),
-                 rows.column("row_hash").to_numpy().astype("<i8")]
+        block = Packed.of(Block(bins.astype(np.uint8), rows.column("label").to_numpy(), rows.column("weight").to_numpy(), rows.column("row_hash").to_numpy()))
+        parts = [np.stack(block.words).astype("<i8"), block.weight.astype("<f8"), block.ids.astype("<i8")]
         first = cuts.slice(0, 1)
         return pa.table([*(first.column(k) for k in [*keys, "block", "blocks", "cuts"]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names)
     return pack
@@ -230,7 +392,7 @@ def blocks_of(rows: DataFrame, keys: Sequence[str], id_column: str, features: Se
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row_hash"), F.col("blocks"))).drop("blocks")
     spread = cuts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(*keys, "block", "blocks", "cuts")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", block long, blocks long, cuts array<array<double>>, bins binary, labels binary, weights binary, ids binary"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", block long, blocks long, cuts array<array<double>>, words binary, weights binary, ids binary"
     parts = [*keys, "block"]
     return dealt.groupBy(*parts).cogroup(spread.groupBy(*parts)).applyInArrow(_pack(keys, features), schema)
 
@@ -254,10 +416,9 @@ def _key_schema(frame: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"{k} {types[k]}, " for k in keys)
 
 
-def _groups(frame: DataFrame, trees: int) -> DataFrame:
-    """Each row once for each group of trees, which are dealt over the tasks."""
-    groups = -(-trees // TREE_GROUP)
-    return frame.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+def _blocks(table: pa.Table) -> list[Packed]:
+    """The blocks of a table in order."""
+    return [Packed.read(lambda name, i=i: table.column(name)[i]) for i in np.argsort(table.column("block").to_numpy())]
 
 
 def fit(rows: DataFrame, keys: Sequence[str], id_column: str, trees: int, growth: Growth = Growth(), features: Sequence[str] = K.FEATURES) -> DataFrame:
@@ -269,24 +430,25 @@ def fit(rows: DataFrame, keys: Sequence[str], id_column: str, trees: int, growth
     blocks = materialize(blocks_of(rows, keys, id_column, features, growth.seed), "forest-blocks")
     schema = _key_schema(blocks, keys) + "tree int, " + ARRAYS
     width = len(features)
-    # as many tasks as the cluster has cores, however few bytes the blocks are
-    work = max(spark.sparkContext.defaultParallelism, 1)
-
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.schema([batch.schema.field(k) for k in keys])
-            for row in batch.to_pylist():
-                block, cuts = Block.read(row, width), row["cuts"]
-                made = [{**{k: row[k] for k in keys}, "tree": t, **_rows(grow(block, t, growth), cuts)}
-                        for t in range(row["group"] * TREE_GROUP, min(trees, (row["group"] + 1) * TREE_GROUP))]
-                yield _arrays(made, own)
-
-    single = _groups(blocks.filter("blocks = 1"), trees).repartition(4 * work, *keys, "group").mapInArrow(whole, schema)
-    large = blocks.filter("blocks > 1")
-    many, most = large.agg(F.count(F.lit(1)), F.max("blocks")).first()
+    # as many tasks as keep the cluster's cores busy, however few bytes the blocks are
+    tasks = 8 * max(spark.sparkContext.defaultParallelism, 1)
+    every, many, most = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("blocks") > HELD).cast("long")), F.lit(0)), F.max("blocks")).first()
+
+    def whole(table: pa.Table) -> pa.Table:
+        held, first = _blocks(table), table.slice(0, 1).select([*keys, "cuts", "group", "groups"]).to_pylist()[0]
+        own = [t for t in range(trees) if t * first["groups"] // trees == first["group"]]
+        made = [{**{k: first[k] for k in keys}, "tree": t, **_rows(grow_together(held, t, growth, width), first["cuts"])} for t in own]
+        return pa.Table.from_batches([_arrays(made, pa.schema([table.schema.field(k) for k in keys]))])
+
+    # the more rows a key has, the fewer of its trees a task grows
+    groups = F.least(F.lit(trees), F.ceil(F.col("blocks") * F.lit(tasks / max(every, 1)))).cast("int")
+    spot = [*keys, "group"]
+    small = blocks.filter(F.col("blocks") <= HELD).withColumn("groups", groups).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    grown = small.repartition(tasks, *spot).groupBy(*spot).applyInArrow(whole, schema)
     if not many:
-        return single
-    return single.unionByName(_by_levels(large, keys, trees, growth, width, many, most))
+        return grown
+    large = _by_levels(blocks.filter(F.col("blocks") > HELD), keys, trees, growth, width, many, most)
+    return large if many == every else grown.unionByName(large)
 
 
 def _read_trees(table: pa.Table) -> dict[int, Tree]:
@@ -295,22 +457,24 @@ def _read_trees(table: pa.Table) -> dict[int, Tree]:
 
 
 def _by_levels(blocks: DataFrame, keys: list[str], trees: int, growth: Growth, width: int, many: int, most: int) -> DataFrame:
-    """Forests of keys with several blocks: the counts of a level are summed over the blocks.
+    """Forests of keys with many blocks: the counts of a level are summed over bundles of blocks.
 
-    There are ``many`` blocks, and ``most`` of one key. A block meets all trees of its key in one task, or in
-    several where the blocks are fewer than the tasks.
+    There are ``many`` blocks, and ``most`` of one key. A bundle meets all trees of its key in one task, or in
+    several where the bundles are fewer than the tasks.
     """
     key_schema, spark = _key_schema(blocks, keys), blocks.sparkSession
     work = max(spark.sparkContext.defaultParallelism, 1)
-    groups = min(-(-trees // TREE_GROUP), max(1, -(-2 * work // many)))
+    size = min(HELD, max(1, many // (4 * work)))
+    many, most = -(-many // size), -(-most // size)
+    groups = min(trees, max(1, -(-2 * work // many)))
     per = -(-trees // groups)
-    spot = [*keys, "block", "group"]
-    # a few blocks a task, however few bytes they are
-    tasks = max(2 * work, -(-many * groups // 4))
-    held = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    places = materialize(held.select(*spot), "forest-places")
-    names = [*keys, "tree", "part", "block", "nodes", "counts"]
-    partial_schema = f"{key_schema}tree int, part int, block long, nodes array<int>, counts binary"
+    spot = [*keys, "bundle", "group"]
+    # a few bundles a task, however few bytes they are
+    tasks = max(4 * work, -(-many * groups // 4))
+    held = blocks.select(*keys, "block", F.floor(F.col("block") / size).alias("bundle"), "words", "weights", "ids").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    places = materialize(held.select(*spot).distinct(), "forest-places")
+    names = [*keys, "tree", "part", "bundle", "nodes", "counts"]
+    partial_schema = f"{key_schema}tree int, part int, bundle long, nodes array<int>, counts binary"
     tree_schema = f"{key_schema}tree int, {ARRAYS}"
     pieces = [*keys, "tree", "part"]
     # cuts as bins
@@ -318,51 +482,46 @@ def _by_levels(blocks: DataFrame, keys: list[str], trees: int, growth: Growth, w
 
     def table_of(own: pa.Table, rows: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.Table:
         columns = [pa.array([own.column(k)[0].as_py()] * len(rows), own.schema.field(k).type) for k in keys]
-        tree, part, block, nodes, found = zip(*rows, strict=True) if rows else ((),) * 5
-        return pa.table([*columns, pa.array(tree, pa.int32()), pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array([n.tolist() for n in nodes], pa.list_(pa.int32())),
+        tree, part, bundle, nodes, found = zip(*rows, strict=True) if rows else ((),) * 5
+        return pa.table([*columns, pa.array(tree, pa.int32()), pa.array(part, pa.int32()), pa.array(bundle, pa.int64()), pa.array([n.tolist() for n in nodes], pa.list_(pa.int32())),
                          pa.array([f.tobytes() for f in found], pa.binary())], names)
 
     def count(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def work(own: pa.Table, known: pa.Table) -> pa.Table:
             made, forest = [], _read_trees(known)
-            for row in own.to_pylist():
-                block = Block.read(row, width)
-                for t in range(row["group"] * per, min(trees, (row["group"] + 1) * per)):
-                    tree = forest.get(t, Tree.empty())
-                    nodes = tree.open(level)
-                    if not len(nodes):
-                        continue
-                    found = counts(block, t, nodes, placed(block.bins, tree, level), growth)
-                    made += [(t, i // NODE_GROUP, row["block"], nodes[i:i + NODE_GROUP], found[i:i + NODE_GROUP]) for i in range(0, len(nodes), NODE_GROUP)]
+            if not own.num_rows:
+                return table_of(own, made)
+            held, bundle, group = _blocks(own), own.column("bundle")[0].as_py(), own.column("group")[0].as_py()
+            for t in range(group * per, min(trees, (group + 1) * per)):
+                nodes, found = count_level(held, t, forest.get(t, Tree.empty()), level, growth, width)
+                made += [(t, i // NODE_GROUP, bundle, nodes[i:i + NODE_GROUP], found[i:i + NODE_GROUP]) for i in range(0, len(nodes), NODE_GROUP)]
             return table_of(own, made)
         return work
 
-    def summed(table: pa.Table, level: int) -> np.ndarray:
-        shape = (-1, 1, 1, 3) if level == growth.depth else (-1, min(width, FEATURES_TRIED), BINS, 3)
-        # blocks in order, so that a rerun adds up the same
-        return sum(np.frombuffer(c, float) for c in table.sort_by("block").column("counts").to_pylist()).reshape(shape)
+    def summed(table: pa.Table) -> np.ndarray:
+        # bundles in order, so that a rerun adds up the same
+        return sum(np.frombuffer(c, float) for c in table.sort_by("bundle").column("counts").to_pylist()).reshape(-1, min(width, FEATURES_TRIED), BINS, 3)
 
-    def fold(level: int) -> Callable[[pa.Table], pa.Table]:
-        def work(table: pa.Table) -> pa.Table:
-            first = table.slice(0, 1).to_pylist()[0]
-            return table_of(table, [(first["tree"], first["part"], first["block"] // SUMMED, np.array(first["nodes"]), summed(table, level))])
-        return work
+    def fold(table: pa.Table) -> pa.Table:
+        first = table.slice(0, 1).to_pylist()[0]
+        return table_of(table, [(first["tree"], first["part"], first["bundle"] // SUMMED, np.array(first["nodes"]), summed(table))])
 
     def best(level: int) -> Callable[[pa.Table], pa.Table]:
         def work(table: pa.Table) -> pa.Table:
             first = table.slice(0, 1).to_pylist()[0]
-            made = _rows(split(summed(table, level), np.array(first["nodes"]), first["tree"], width, level, growth), None)
-            own = table.slice(0, 1)
-            return pa.table([*(own.column(c) for c in [*keys, "tree"]), *(pa.array([made[c]], pa.list_(pa.int32() if c in ("node", "feature") else pa.float64())) for c in made)],
-                            [*keys, "tree", *made])
+            found = split(summed(table), np.array(first["nodes"]), first["tree"], width, level, growth)
+            # nodes of one level a row, so that rows in order are nodes in order
+            levels = [found.part(found.node >> level == 1), found.part(found.node >> level + 1 == 1)]
+            made = [{**{k: first[k] for k in keys}, "tree": first["tree"], **_rows(t, None)} for t in levels if len(t.node)]
+            return pa.Table.from_batches([_arrays(made, pa.schema([table.schema.field(k) for k in keys]))])
         return work
 
-    for level in range(growth.depth + 1):
+    for level in range(max(growth.depth, 1)):
         asked = held.repartition(tasks, *spot).groupBy(*spot)
         sent = places.join(state.withColumn("group", F.floor(F.col("tree") / per).cast("int")), [*keys, "group"]).repartition(tasks, *spot).groupBy(*spot)
         partial, left = asked.cogroup(sent).applyInArrow(count(level), partial_schema), most
         while left > SUMMED:
-            partial, left = partial.groupBy(*pieces, F.floor(F.col("block") / SUMMED)).applyInArrow(fold(level), partial_schema), -(-left // SUMMED)
+            partial, left = partial.groupBy(*pieces, F.floor(F.col("bundle") / SUMMED)).applyInArrow(fold, partial_schema), -(-left // SUMMED)
         found = materialize(partial.repartition(tasks, *pieces).groupBy(*pieces).applyInArrow(best(level), tree_schema), "forest-level")
         if found.isEmpty():
             break
@@ -379,25 +538,48 @@ def _by_levels(blocks: DataFrame, keys: list[str], trees: int, growth: Growth, w
 
 # --- scoring -------------------------------------------------------------------
 
-def walked(values: np.ndarray, trees: list[dict]) -> np.ndarray:
-    """Mean probability of the trees for each row of values."""
-    total, rows = np.zeros(len(values)), np.arange(len(values))
-    for tree in trees:
-        node = np.array(tree["node"], np.int64)
+def _lists(table: pa.Table, column: str) -> list[np.ndarray]:
+    """A column of lists, an array a row."""
+    values = table.column(column).combine_chunks()
+    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+    ends = np.cumsum(values.value_lengths().to_numpy())
+    return np.split(values.flatten().to_numpy(), ends[:-1])
+
+
+def walked(values: np.ndarray, trees: pa.Table) -> np.ndarray:
+    """Mean probability of the trees for each row of values.
+
+    A value becomes its place among the thresholds of its feature, and a row's places lie in few 64-bit words.
+    """
+    nodes, features, thresholds, chances = (_lists(trees, c) for c in ("node", "feature", "threshold", "p"))
+    feature, threshold = np.concatenate(features), np.concatenate(thresholds)
+    known = [np.unique(threshold[feature == f]) for f in range(values.shape[1])]
+    words, word, shift, used = [np.zeros(len(values), np.int64)], np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), 0
+    for f, own in enumerate(known):
+        bits = len(own).bit_length()
+        if used + bits > 62:
+            words, used = [*words, np.zeros(len(values), np.int64)], 0
+        word[f], shift[f], used = len(words) - 1, used, used + bits
+        # an unknown value goes left, as if it were the least
+        words[-1] |= np.where(np.isnan(values[:, f]), 0, np.searchsorted(own, values[:, f])) << shift[f]
+    words, total = np.stack(words), np.zeros(len(values))
+    masks = np.array([(1 << len(own).bit_length()) - 1 for own in known]) << shift
+    for node, own, limit, p in zip(nodes, features, thresholds, chances, strict=True):
         order = np.argsort(node)
-        node = node[order]
-        feature, threshold, p = (np.array(tree[c])[order] for c in ("feature", "threshold", "p"))
-        left = np.searchsorted(node, 2 * node)
+        node, own, limit = node[order].astype(np.int64), own[order].astype(np.int64), limit[order]
+        inner = np.flatnonzero(own >= 0)
+        # leaves lead to themselves; a right child follows its left one
+        left, mask, cut, which = np.arange(len(node)), np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        left[inner], mask[inner], which[inner] = np.searchsorted(node, 2 * node[inner]), masks[own[inner]], word[own[inner]]
+        for f in np.unique(own[inner]):
+            there = own == f
+            cut[there] = np.searchsorted(known[f], limit[there]) << shift[f]
         at = np.zeros(len(values), np.int64)
-        while True:
-            own = feature[at]
-            inner = own >= 0
-            if not inner.any():
-                break
-            right = values[rows, np.maximum(own, 0)] > threshold[at]
-            at = np.where(inner, left[at] + right, at)      # a right child follows its left one
-        total += p[at]
-    return total / max(len(trees), 1)
+        for _ in range(int(node[-1]).bit_length() - 1):
+            held = _picked(words, which.take(at) if len(words) > 1 else None)
+            at = left.take(at) + ((held & mask.take(at)) > cut.take(at))
+        total += p[order].take(at)
+    return total / max(len(nodes), 1)
 
 
 def predict(trees: DataFrame, rows: DataFrame, keys: Sequence[str], id_column: str, features: Sequence[str] = K.FEATURES, as_: str = "p") -> DataFrame:
@@ -419,7 +601,7 @@ def predict(trees: DataFrame, rows: DataFrame, keys: Sequence[str], id_column: s
         if not held.num_rows or not forest.num_rows:
             return held.select(columns).slice(0, 0).append_column(as_, pa.array([], pa.float64()))
         values = np.stack([held.column(n).to_numpy() for n in names], axis=1)
-        return held.select(columns).append_column(as_, pa.array(walked(values, forest.sort_by("tree").select(["node", "feature", "threshold", "p"]).to_pylist())))
+        return held.select(columns).append_column(as_, pa.array(walked(values, forest.sort_by("tree"))))
 
     schema = rows.select(*columns).withColumn(as_, F.lit(0.0)).schema
     parts = [*keys, "_block"]

@@ -1,13 +1,14 @@
 """Forests of many keys as tables of trees."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from deployrisk import contract as K
 from deployrisk.operators import forests, models, training
-from deployrisk.session import scratch_path
+from deployrisk.session import materialize, scratch_path
 
 FEATURES = K.FEATURES
 COLUMNS = "tenant_id string, build_id string, label int, weight double, " + ", ".join(f"{f} double" for f in FEATURES)
@@ -165,3 +166,74 @@ def test_one_forest_over_all_rows_ranks_like_mllib(tables, monkeypatch):
     assert len(found) == test.count()
     ours, mllib = (auc(np.array([r.p for r in part]), [r.label for r in part]) for part in (found, other))
     assert ours > mllib - 0.03
+
+
+def test_keys_of_some_blocks_need_no_summed_levels(tables, monkeypatch):
+    train, _ = tables
+    whole = listed(forests.fit(train, ["tenant_id"], "build_id", 6))
+    written = []
+    monkeypatch.setattr(forests, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    monkeypatch.setattr(forests, "BLOCK", 90)
+    assert listed(forests.fit(train, ["tenant_id"], "build_id", 6)) == whole
+    assert "forest-level" not in written
+
+
+def test_counts_of_bundles_of_blocks(tables, monkeypatch):
+    train, _ = tables
+    whole = listed(forests.fit(train, ["tenant_id"], "build_id", 6))
+    for name, value in (("BLOCK", 10), ("HELD", 4), ("SUMMED", 3), ("NODE_GROUP", 3)):
+        monkeypatch.setattr(forests, name, value)
+    cut = listed(forests.fit(train, ["tenant_id"], "build_id", 6))
+    assert set(cut) == set(whole)
+    for key, (node, feature, threshold, p, weight) in whole.items():
+        assert cut[key][:2] == (node, feature) and cut[key][2] == threshold
+        np.testing.assert_allclose(cut[key][3], p, atol=1e-12)
+        np.testing.assert_allclose(cut[key][4], weight)
+
+
+def test_blocks_of_one_key_grow_the_tree_of_all_rows():
+    """Whether labels decide the weights, or do in some blocks only, or rows have their own; with more features than a word holds."""
+    rng = np.random.default_rng(8)
+    n, growth = 3000, forests.Growth()
+    label = rng.integers(0, 2, n).astype(np.uint8)
+    ids = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for width in (10, 30):
+        bins = rng.integers(0, 32, (n, width)).astype(np.uint8)
+        bins[:, 1] = np.minimum(bins[:, 1], 30 * label)
+        classes = np.where(label == 1, 1.25, 0.75)
+        for weight in (classes, np.where(np.arange(n) < 1000, classes, 0.5), rng.integers(1, 9, n) / 8):
+            whole = forests.grow(forests.Block(bins, label, weight, ids), 3, growth)
+            order = np.argsort(label[:500], kind="stable")      # the first blocks have one label each
+            parts = [order[:200], np.sort(order[200:]), np.arange(500, 1000), np.arange(1000, n)]
+            cut = forests.grow_together([forests.Packed.of(forests.Block(bins[q], label[q], weight[q], ids[q])) for q in parts], 3, growth, width)
+            for a, b in zip(vars(whole).values(), vars(cut).values(), strict=True):
+                np.testing.assert_array_equal(a, b)
+            drawn = forests.draws(ids, 3, growth.seed)
+            assert whole.weight[0] == (weight * drawn).sum() and whole.p[0] == pytest.approx((weight * drawn)[label == 1].sum() / whole.weight[0])
+
+
+def test_walks_of_many_thresholds_and_unknown_values():
+    """More thresholds than places in a word, deep trees, missing values: as a plain walk."""
+    rng = np.random.default_rng(4)
+    trees = []
+    for _ in range(40):
+        node, feature, threshold, p, open_ = [], [], [], [], [1]
+        while open_:
+            at = open_.pop(0)
+            inner = at < 4 or (at < 1 << 11 and rng.random() < 0.7)
+            node.append(at), feature.append(int(rng.integers(0, 10)) if inner else -1), p.append(float(rng.random()))
+            threshold.append(float(rng.normal()) if inner else 0.0)
+            open_ += [2 * at, 2 * at + 1] if inner else []
+        trees.append({"node": node, "feature": feature, "threshold": threshold, "p": p})
+    values = rng.normal(size=(300, 10))
+    values[rng.random(values.shape) < 0.05] = np.nan
+    values[:40, 0] = [t["threshold"][0] for t in trees]
+    found = forests.walked(values, pa.Table.from_pylist(trees, pa.schema([("node", pa.list_(pa.int32())), ("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.float64())), ("p", pa.list_(pa.float64()))])))
+    for row, p in zip(values, found, strict=True):
+        plain = []
+        for t in trees:
+            at, known = 1, {n: i for i, n in enumerate(t["node"])}
+            while t["feature"][known[at]] >= 0:
+                at = 2 * at + bool(row[t["feature"][known[at]]] > t["threshold"][known[at]])
+            plain.append(t["p"][known[at]])
+        assert p == pytest.approx(np.mean(plain), abs=1e-12)
