@@ -107,9 +107,13 @@ def _in_tile(k: int) -> Callable[[pa.Table], pa.Table]:
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by("vid")
         points, vids = _matrix(table, "at"), table.column("vid").combine_chunks()
-        places, squares, _ = tile_neighbours(points, points, np.arange(len(points)), np.full(len(points), np.inf), k)
-        found = _listed(vids, vids, places, squares)
-        keys = {c: table.column(c)[0] for c in table.column_names if c not in ("vid", "at")}
+        own = np.flatnonzero(table.column("asked").to_numpy())
+        if len(own):
+            places, squares, _ = tile_neighbours(points, points[own], own, np.full(len(own), np.inf), k)
+        else:
+            places, squares = np.full((0, k), -1), np.zeros((0, k))
+        found = _listed(vids, vids.take(pa.array(own)), places, squares)
+        keys = {c: table.column(c)[0] for c in table.column_names if c not in ("vid", "at", "asked")}
         return pa.table({**{c: pa.array([v.as_py()] * found.num_rows, table.schema.field(c).type) for c, v in keys.items()},
                          **{c: found.column(c) for c in found.column_names}})
     return search
@@ -133,13 +137,13 @@ def _in_other_tile(k: int, names: list[str]) -> Callable[[pa.Table, pa.Table], p
 # --- tiles ---------------------------------------------------------------------
 
 def tiled(points: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """keys, vid, ``at`` (array of the features), slab and tile."""
+    """keys, vid, asked, ``at`` (array of the features), slab and tile."""
     keys = list(keys)
-    rows = points.select(*keys, "vid", F.array(*[F.col(f).cast("double") for f in features]).alias("at"))
+    rows = points.select(*keys, "vid", "asked", F.array(*[F.col(f).cast("double") for f in features]).alias("at"))
     spread = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.reverse(F.sort_array(F.array(*[
         F.struct(F.coalesce(F.var_samp(F.col(f).cast("double")), F.lit(0.0)).alias("v"), F.lit(i).alias("f")) for i, f in enumerate(features)]))).alias("by"))
     rows = rows.join(spread, keys)
-    small = rows.filter(F.col("n") <= TILE).select(*keys, "vid", "at", F.lit(0).cast("long").alias("slab"), F.lit(0).cast("long").alias("tile"))
+    small = rows.filter(F.col("n") <= TILE).select(*keys, "vid", "asked", "at", F.lit(0).cast("long").alias("slab"), F.lit(0).cast("long").alias("tile"))
     large = rows.filter(F.col("n") > TILE).withColumns({
         "_x": F.get("at", F.get("by", F.lit(0)).f), "_y": F.get("at", F.get("by", F.lit(1 if len(features) > 1 else 0)).f),
         "_slabs": F.ceil(F.sqrt(F.col("n") / TILE))}).drop("by", "n")
@@ -147,7 +151,7 @@ def tiled(points: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Da
     slabs = placed.withColumn("slab", F.floor(F.col("pos") * F.col("_slabs") / F.col("n"))).drop("pos", "n")
     placed = with_position(slabs, [*keys, "slab"], ["_y", "vid"], value_slice("_y"))
     tiles = placed.withColumn("tile", F.floor(F.col("pos") * F.ceil(F.col("n") / TILE) / F.col("n")))
-    return small.unionByName(tiles.select(*keys, "vid", "at", "slab", "tile"))
+    return small.unionByName(tiles.select(*keys, "vid", "asked", "at", "slab", "tile"))
 
 
 def _box_distance(at: Column, low: Column, high: Column) -> Column:
@@ -166,12 +170,13 @@ def _boxes(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
 def nearest(points: DataFrame, keys: Sequence[str], k: int, features: Sequence[str] = K.FEATURES) -> DataFrame:
     """The ``k`` nearest other points of each point within its key, exact.
 
-    ``points`` has distinct feature vectors with an id ``vid``. Returns
+    ``points`` has distinct feature vectors with an id ``vid``, and may have a column ``asked``: then only the neighbours of
+    points where it is true are searched, among all points. Returns
     keys, ``vid``, ``other`` (struct of vid, features and remaining columns), ``distance2``
     (squared) and ``rank``.
     """
     keys, size = list(keys), len(features)
-    points = materialize(points, "neighbour-points")
+    points = materialize(points if "asked" in points.columns else points.withColumn("asked", F.lit(True)), "neighbour-points")
     placed = materialize(tiled(points, keys, features), "neighbour-tiles")
     schemas = {f.name: f.dataType.simpleString() for f in placed.schema}
     spot = [*keys, "slab", "tile"]
@@ -186,7 +191,7 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, features: Sequence[s
     many = tiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tiles")).filter("_tiles > 1").select(*keys)
     tiles = materialize(tiles.join(many, keys, "left_semi"), "neighbour-boxes")
     reach = inside.groupBy(*keys, "vid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance2")).otherwise(float("inf")).alias("bound"))
-    asking = placed.join(many, keys, "left_semi").join(reach, [*keys, "vid"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    asking = placed.filter("asked").drop("asked").join(many, keys, "left_semi").join(reach, [*keys, "vid"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     asking = asking.withColumnsRenamed({"slab": "_slab", "tile": "_tile"})
     slabs = tiles.groupBy(*keys, "slab").agg(
         F.array(*[F.min(F.get("low", F.lit(i))) for i in range(size)]).alias("low"), F.array(*[F.max(F.get("high", F.lit(i))) for i in range(size)]).alias("high"))
@@ -201,13 +206,13 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, features: Sequence[s
     # a tile that many ask is copied, and each copy answers some of them
     copies = near.groupBy(*spot).agg((F.floor(F.count(F.lit(1)) / QUERIES) + 1).alias("_copies"))
     asked = near.join(copies, spot).withColumn("copy", F.pmod(F.xxhash64("vid"), F.col("_copies"))).drop("_copies")
-    held = placed.join(copies, spot).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
+    held = placed.drop("asked").join(copies, spot).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
     parts = [*spot, "copy"]
     outside = held.repartition(tasks, *parts).groupBy(*parts).cogroup(asked.repartition(tasks, *parts).groupBy(*parts)).applyInArrow(_in_other_tile(k, spot), schema)
 
     best = Window.partitionBy(*keys, "vid").orderBy("distance2", "other")
     found = inside.unionByName(outside).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    body = F.struct(*[c for c in points.columns if c not in keys])
+    body = F.struct(*[c for c in points.columns if c not in keys and c != "asked"])
     others = points.select(*keys, F.col("vid").alias("_other"), body.alias("_body"))
     found = found.withColumnRenamed("other", "_other").join(others, [*keys, "_other"])
     return found.select(*keys, "vid", F.col("_body").alias("other"), "distance2", "rank")
@@ -248,9 +253,10 @@ def oversample(train: DataFrame, keys: Sequence[str], id_column: str, seed: int
         F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("vid"), F.sum("_quota").alias("_quota"),
         F.max("_k").alias("_k")), "rare-vectors")
 
-    # vectors with enough copies are their own neighbours; the others are searched
-    found = nearest(vectors.select(*keys, "vid", "copies", *[F.col(f).cast("double").alias(f) for f in features]),
-                    keys, NEIGHBOURS, features)
+    # only vectors that synthetic rows start from need their neighbours
+    asked = vectors.filter("_quota > 0").select(*keys, "vid", F.lit(True).alias("asked")).distinct()
+    points = vectors.select(*keys, "vid", "copies", *[F.col(f).cast("double").alias(f) for f in features]).join(asked, [*keys, "vid"], "left")
+    found = nearest(points.withColumn("asked", F.coalesce("asked", F.lit(False))), keys, NEIGHBOURS, features)
     # at most NEIGHBOURS rows per vector
     listed = found.groupBy(*keys, "vid").agg(F.array_sort(F.collect_list(F.struct(
         "rank", F.col("other.copies").alias("copies"),

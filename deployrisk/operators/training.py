@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from deployrisk import contract as K
 from deployrisk import sinks
 from deployrisk.operators import balance, forests, metrics, models, selection, validation
-from deployrisk.operators.impute import impute_training
+from deployrisk.operators.impute import column_medians, fill_with
 from deployrisk.session import materialize
 
 
@@ -23,15 +23,17 @@ def prepare(builds: DataFrame, as_of: Column, window_days: int = K.TRAIN_WINDOW_
     Rows are labelled, recent, filled from their tenant's medians and marked ``held_out``; they keep their
     ``sample_weight``, 1 where they have none.
     """
-    marked = validation.labelled(builds)
-    recent = validation.recent_window(marked, as_of, window_days)
+    own = F.coalesce(F.col("sample_weight").cast("double"), F.lit(1.0)) if "sample_weight" in builds.columns else F.lit(1.0)
+    # written, as counts, split and medians all read them
+    marked = materialize(validation.labelled(builds).select(
+        "tenant_id", "build_id", "timestamp", "label", own.alias("sample_weight"), *K.FEATURES, validation.is_recent(builds, as_of, window_days).alias("_recent")), "labelled-builds")
+    recent = marked.filter("_recent").drop("_recent")
     counts = marked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("labelled"))
     usable = recent.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("usable"))
     report = validation.eligibility(counts, usable)
-    own = F.coalesce(F.col("sample_weight").cast("double"), F.lit(1.0)) if "sample_weight" in builds.columns else F.lit(1.0)
+    report = materialize(report, "eligibility")
     chosen = recent.join(report.filter("eligible").select("tenant_id"), "tenant_id", "left_semi")
-    split = selection.tail_split(chosen.select("tenant_id", "build_id", "timestamp", "label", own.alias("sample_weight"), *K.FEATURES))
-    return impute_training(split), report
+    return fill_with(selection.tail_split(chosen), column_medians(chosen, ["tenant_id"]), ["tenant_id"]), report
 
 
 def fit_keys(train: DataFrame, keys: Sequence[str], trees: int = models.TREES, id_column: str = "build_id") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from deployrisk import contract as K
 from deployrisk.functions import scalars as S
@@ -71,16 +72,26 @@ def nonempty_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+def _read_number(df: DataFrame, column: str) -> Column:
+    """A column as a number, whatever type it was stored in; whole numbers need no reading."""
+    if isinstance(df.schema[column].dataType, IntegralType):
+        return F.col(column).cast("double")
+    return S.number(strip(F.col(column).cast("string")))
+
+
 def labelled(df: DataFrame) -> DataFrame:
     """Rows whose label reads as 0 or 1, whatever type it was stored in."""
-    number = S.number(strip(F.col("label").cast("string")))
+    number = _read_number(df, "label")
     return df.filter(number.isin(0.0, 1.0)).withColumn("label", number.cast("int"))
 
 
 def recent_window(df: DataFrame, as_of: Column, days: int = K.TRAIN_WINDOW_DAYS) -> DataFrame:
     """Rows not older than ``days``; an unreadable time counts as zero."""
-    ts = F.coalesce(S.number(strip(F.col("timestamp").cast("string"))), F.lit(0.0)).cast("long")
-    return df.filter(ts >= as_of - days * 86400)
+    return df.filter(is_recent(df, as_of, days))
+
+
+def is_recent(df: DataFrame, as_of: Column, days: int = K.TRAIN_WINDOW_DAYS) -> Column:
+    return F.coalesce(_read_number(df, "timestamp"), F.lit(0.0)).cast("long") >= as_of - days * 86400
 
 
 def eligibility(labelled_counts: DataFrame, usable_counts: DataFrame) -> DataFrame:

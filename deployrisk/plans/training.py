@@ -10,7 +10,7 @@ from deployrisk import contract as K
 from deployrisk import sinks
 from deployrisk.functions import scalars as S
 from deployrisk.operators import balance, calibration, forests, joins, metrics, models, selection, training
-from deployrisk.operators.impute import impute_training
+from deployrisk.operators.impute import column_medians, fill_with, impute_training
 from deployrisk.operators.ordered import newest
 from deployrisk.plans import duck, views
 from deployrisk.plans.filters import AS_OF
@@ -22,9 +22,10 @@ TOPIC = Topic()
 
 def labelled_rows(spark, sf):
     """Decided builds of all tenants, filled and split by time within each tenant."""
-    rows = views.builds(spark, sf).filter("label >= 0").select(
-        "tenant_id", "build_id", "timestamp", "label", *K.FEATURES)
-    return impute_training(selection.tail_split(rows))
+    # written, as split and medians both read them
+    rows = materialize(views.builds(spark, sf).filter("label >= 0").select(
+        "tenant_id", "build_id", "timestamp", "label", *K.FEATURES), "decided-builds")
+    return fill_with(selection.tail_split(rows), column_medians(rows, ["tenant_id"]), ["tenant_id"])
 
 
 def fitted(spark, sf, trees=models.TREES):

@@ -278,3 +278,23 @@ def test_isotonic_scales_per_tenant(spark, monkeypatch, slices):
         np.testing.assert_allclose(got[t][1], ys)
     for r in calibration.calibrate(scale, scored, ["tenant_id"]).collect():
         assert r.p == (pytest.approx(float(np.interp(r.p_raw, *want[r.tenant_id]))) if r.tenant_id in want else r.p_raw)
+
+
+def test_only_asked_neighbours_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(balance, "TILE", 16)
+    rng = np.random.default_rng(5)
+    rows = [("a" if i % 3 else "b", f"v{i:04d}", i % 7 == 0, *map(float, rng.normal(0, 1, 10))) for i in range(200)]
+    df = spark.createDataFrame(rows, "tenant_id string, vid string, asked boolean, " + ", ".join(f"{f} double" for f in K.FEATURES))
+    every = {(r.vid, r["rank"]): (r.other.vid, r.distance2) for r in balance.nearest(df.drop("asked"), ["tenant_id"], 5).collect()}
+    some = balance.nearest(df, ["tenant_id"], 5)
+    assert "asked" not in some.schema["other"].dataType.names
+    assert {(r.vid, r["rank"]): (r.other.vid, r.distance2) for r in some.collect()} == {k: v for k, v in every.items() if int(k[0][1:]) % 7 == 0}
+
+
+def test_builds_are_read_once_for_a_night(spark):
+    builds = history(spark, 300)
+    rows, report = training.prepare(builds, F.lit(AS_OF))
+    assert rows.count() and report.count()
+    for part in (rows, report):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan and "LocalTableScan" not in plan and "ExistingRDD" not in plan
