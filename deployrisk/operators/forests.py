@@ -30,7 +30,8 @@ from deployrisk.session import materialize
 
 BINS = 32
 BLOCK = 100_000     # rows of a key handled together
-HELD = 32           # blocks of a key that one task may hold
+HELD = 64           # blocks of a key that one task may hold
+BUNDLE = 32         # blocks of a larger key that are counted together
 STEP = 65_536       # rows taken down a tree together
 SCORED = 20_000     # rows scored together
 NODE_GROUP = 16     # nodes whose counts are summed together
@@ -430,7 +431,7 @@ def fit(rows: DataFrame, keys: Sequence[str], id_column: str, trees: int, growth
     blocks = materialize(blocks_of(rows, keys, id_column, features, growth.seed), "forest-blocks")
     schema = _key_schema(blocks, keys) + "tree int, " + ARRAYS
     width = len(features)
-    # as many tasks as keep the cluster's cores busy, however few bytes the blocks are
+    # as many groups of trees as keep the cluster's cores busy, however few bytes the blocks are
     tasks = 8 * max(spark.sparkContext.defaultParallelism, 1)
     every, many, most = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("blocks") > HELD).cast("long")), F.lit(0)), F.max("blocks")).first()
 
@@ -444,7 +445,8 @@ def fit(rows: DataFrame, keys: Sequence[str], id_column: str, trees: int, growth
     groups = F.least(F.lit(trees), F.ceil(F.col("blocks") * F.lit(tasks / max(every, 1)))).cast("int")
     spot = [*keys, "group"]
     small = blocks.filter(F.col("blocks") <= HELD).withColumn("groups", groups).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    grown = small.repartition(tasks, *spot).groupBy(*spot).applyInArrow(whole, schema)
+    # more partitions than groups, so that few share one
+    grown = small.repartition(4 * tasks, *spot).groupBy(*spot).applyInArrow(whole, schema)
     if not many:
         return grown
     large = _by_levels(blocks.filter(F.col("blocks") > HELD), keys, trees, growth, width, many, most)
@@ -464,13 +466,13 @@ def _by_levels(blocks: DataFrame, keys: list[str], trees: int, growth: Growth, w
     """
     key_schema, spark = _key_schema(blocks, keys), blocks.sparkSession
     work = max(spark.sparkContext.defaultParallelism, 1)
-    size = min(HELD, max(1, many // (4 * work)))
+    size = min(BUNDLE, max(1, many // (4 * work)))
     many, most = -(-many // size), -(-most // size)
     groups = min(trees, max(1, -(-2 * work // many)))
     per = -(-trees // groups)
     spot = [*keys, "bundle", "group"]
-    # a few bundles a task, however few bytes they are
-    tasks = max(4 * work, -(-many * groups // 4))
+    # a few bundles a task at most, however few bytes they are, and few that share one where there are cores for more
+    tasks = max(32 * work, -(-many * groups // 4))
     held = blocks.select(*keys, "block", F.floor(F.col("block") / size).alias("bundle"), "words", "weights", "ids").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     places = materialize(held.select(*spot).distinct(), "forest-places")
     names = [*keys, "tree", "part", "bundle", "nodes", "counts"]

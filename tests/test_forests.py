@@ -181,7 +181,7 @@ def test_keys_of_some_blocks_need_no_summed_levels(tables, monkeypatch):
 def test_counts_of_bundles_of_blocks(tables, monkeypatch):
     train, _ = tables
     whole = listed(forests.fit(train, ["tenant_id"], "build_id", 6))
-    for name, value in (("BLOCK", 10), ("HELD", 4), ("SUMMED", 3), ("NODE_GROUP", 3)):
+    for name, value in (("BLOCK", 10), ("HELD", 4), ("BUNDLE", 4), ("SUMMED", 3), ("NODE_GROUP", 3)):
         monkeypatch.setattr(forests, name, value)
     cut = listed(forests.fit(train, ["tenant_id"], "build_id", 6))
     assert set(cut) == set(whole)
